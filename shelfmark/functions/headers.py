@@ -14,7 +14,8 @@ def clock(seconds: Column) -> Column:
     whole = F.floor(seconds).cast("bigint")
     hours, minutes, secs = F.floor(whole / 3600).cast("bigint"), F.floor(whole % 3600 / 60).cast("bigint"), whole % 60
     short = F.concat_ws(":", two(minutes), two(secs))
-    return F.when(hours > 0, F.concat_ws(":", two(hours), short)).otherwise(short)
+    shown = F.when(hours > 0, F.concat_ws(":", two(hours), short)).otherwise(short)
+    return F.when(seconds.isNotNull(), shown)
 
 
 def vtt_clock(seconds: Column) -> Column:
@@ -45,11 +46,8 @@ def line_header(text: Column, source_type: Column, name: Column, page: Column, p
         labelled("PAGE", F.concat(page.cast("string"), F.coalesce(total, F.lit("")))),
         labelled("SHEET", F.when(sheet != "", sheet)), labelled("TIME", span(clock(start), clock(end))),
         labelled("LINES", span(line_start.cast("string"), line_end.cast("string"))))
-    second = F.concat_ws(
-        " | ", labelled("CATEGORY", F.when(category != "", category)),
-        labelled("CONFIDENCE", F.format_string("%.2f", confidence)))
-    confidence_missing = confidence.isNull()
-    second = F.when(confidence_missing, F.concat_ws(" | ", labelled("CATEGORY", F.when(category != "", category)))).otherwise(second)
+    shown = F.when(confidence.isNotNull(), F.format_string("%.2f", confidence))
+    second = F.concat_ws(" | ", labelled("CATEGORY", F.when(category != "", category)), labelled("CONFIDENCE", shown))
     return F.concat(
         F.lit("["), first, F.lit("]\n"), F.when(second != "", F.concat(F.lit("["), second, F.lit("]\n"))).otherwise(""),
         F.lit("---\n"), text)

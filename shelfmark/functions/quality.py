@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .. import fixed_values as V
 from .text import number_set, word_set
@@ -29,7 +29,7 @@ def word_error_rate_by_chars(reference: Column, hypothesis: Column) -> Column:
     return F.when(F.length(r) == 0, empty).otherwise(F.least(F.lit(1.0), F.levenshtein(r, h) / F.length(r)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def word_error_rate(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     """Word-level edit distance over the number of reference words."""
     def rate(ref: list[str], hyp: list[str]) -> float:
@@ -45,7 +45,7 @@ def word_error_rate(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     return pd.Series([rate((r or "").split(), (h or "").split()) for r, h in zip(reference, hypothesis)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Matching-block similarity of two strings, case-insensitive."""
     for left, right in pairs:
@@ -92,12 +92,16 @@ def completeness(text: Column, metadata: Column, ext: Column) -> Column:
     """Struct of the share of passed checks and the names of the failed ones."""
     keys = F.map_keys(metadata)
     image_data = F.exists(F.map_entries(metadata), lambda e: e["key"].contains("Image") | e["value"].contains("Image"))
+    def check(name: str, used: Column, ok: Column) -> Column:
+        return F.struct(F.lit(name).alias("check"), used.alias("used"), ok.alias("ok"))
+
+    always = F.lit(True)
     checks = F.array(
-        F.struct(F.lit("text_extracted").alias("check"), F.lit(True).alias("used"), (F.length(text) > 50).alias("ok")),
-        F.struct(F.lit("has_metadata"), F.lit(True), F.size(keys) > 0),
-        F.struct(F.lit("readable_content"), F.lit(True), text.rlike("[a-zA-Z]{3,}")),
-        F.struct(F.lit("substantial_text"), F.lower(ext).isin(DOCUMENT_EXTENSIONS), F.length(text) > 200),
-        F.struct(F.lit("image_metadata"), F.lower(ext).isin(IMAGE_EXTENSIONS), image_data | (F.size(keys) > 2)))
+        check("text_extracted", always, F.length(text) > 50),
+        check("has_metadata", always, F.size(keys) > 0),
+        check("readable_content", always, text.rlike("[a-zA-Z]{3,}")),
+        check("substantial_text", F.lower(ext).isin(DOCUMENT_EXTENSIONS), F.length(text) > 200),
+        check("image_metadata", F.lower(ext).isin(IMAGE_EXTENSIONS), image_data | (F.size(keys) > 2)))
     used = F.filter(checks, lambda c: c["used"])
     failed = F.filter(used, lambda c: ~c["ok"])
     return F.struct(

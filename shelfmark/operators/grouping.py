@@ -59,3 +59,8 @@ def previous_in_time(df: DataFrame, keys: list[str], value: str, ts: str, *ties:
     return (joined.join(carried, [*keys, "_bucket"])
             .withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col("_lag")))
             .drop("_bucket", "_lag", "_first", "_carried"))
+
+
+def hashed_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows in an order fixed by key and seed, so a rerun after a lost executor draws the same."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
