@@ -71,9 +71,9 @@ def _(t: Tables):
     return rounded(vector_search.similar_pairs(vectors(t).select("id", "embedding")), "score")
 
 
-@query("j9_similar_pairs_wide", f"WITH {PAIRS} SELECT id_a, id_b, round(score, 6) AS score FROM pairs WHERE score > 0.6::DOUBLE")
+@query("j9_similar_pairs_wide", f"WITH {PAIRS} SELECT id_a, id_b, round(score, 6) AS score FROM pairs WHERE score > 0.3::DOUBLE")
 def _(t: Tables):
-    return rounded(vector_search.similar_pairs(vectors(t).select("id", "embedding"), above=0.6, rows=256), "score")
+    return rounded(vector_search.similar_pairs(vectors(t).select("id", "embedding"), above=0.3, rows=128), "score")
 
 
 @query("rt4_fused_search", f"""WITH {SCORED}, f AS (SELECT id, sum(score / (rank + 60)) AS fused FROM ranked GROUP BY id)
