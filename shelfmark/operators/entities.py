@@ -79,8 +79,11 @@ def similar_names(names: DataFrame, ratio: float = V.ENTITY_RATIO, column: str =
     def meet(rows: DataFrame) -> DataFrame:
         a = rows.select(F.col("name").alias("a"), F.col("low").alias("la"), "block", "key", F.col("n").alias("na"))
         b = rows.select(F.col("name").alias("b"), F.col("low").alias("lb"), "block", "key", F.col("n").alias("nb"))
-        close = 2 * F.least("na", "nb") >= ratio * (F.col("na") + F.col("nb"))
-        return a.join(b, ["block", "key"]).filter((F.col("a") < F.col("b")) & close).select("a", "b", "la", "lb")
+        both = F.col("na") + F.col("nb")
+        close = 2 * F.least("na", "nb") >= ratio * both - EPS
+        # matched characters are a common subsequence, so the edit distance is within the unmatched ones
+        edits = F.levenshtein("la", "lb") <= (1 - ratio) * both + EPS
+        return a.join(b, ["block", "key"]).filter((F.col("a") < F.col("b")) & close & edits).select("a", "b", "la", "lb")
 
     candidates = meet(long_).unionByName(meet(short_rows)).distinct()
     return candidates.withColumn("ratio", name_ratio("la", "lb")).filter(F.col("ratio") >= ratio).select("a", "b", "ratio")
@@ -94,23 +97,19 @@ def merge_entities(names: DataFrame, ratio: float = V.ENTITY_RATIO, column: str
     matches are, so each round settles all names whose predecessors are settled."""
     plain = names.select(F.col(column).alias("name")).filter(F.length("name") > 0).distinct()
     edges = cut_lineage(similar_names(names, ratio, column).select("a", "b"))
-    open_edges = edges
-    leaders = cut_lineage(plain.join(edges.select(F.col("b").alias("name")), "name", "left_anti").select("name"))
-    members = cut_lineage(leaders.filter(F.lit(False)))
-    waiting = cut_lineage(edges.select(F.col("b").alias("name")).distinct())
+    later = edges.select(F.col("b").alias("name")).distinct().withColumn("_later", F.lit(True))
+    state = plain.join(later, "name", "left").select("name", F.when(F.col("_later"), "open").otherwise("leader").alias("status"))
+    state = cut_lineage(state)
     for _ in range(max_rounds):
-        if waiting.isEmpty():
+        if state.filter("status = 'open'").isEmpty():
             break
-        led = open_edges.join(leaders.select(F.col("name").alias("a")), "a", "left_semi").select(F.col("b").alias("name")).distinct()
-        led = led.join(waiting, "name", "left_semi")
-        members = cut_lineage(members.unionByName(led))
-        rest = waiting.join(members, "name", "left_anti")
-        # an edge from a member says nothing any more; a name left without open edges leads
-        open_edges = cut_lineage(open_edges.join(members.select(F.col("name").alias("a")), "a", "left_anti")
-                                 .join(rest.select(F.col("name").alias("b")), "b", "left_semi"))
-        fresh = rest.join(open_edges.select(F.col("b").alias("name")), "name", "left_anti")
-        leaders = cut_lineage(leaders.unionByName(fresh))
-        waiting = cut_lineage(rest.join(fresh, "name", "left_anti"))
+        before = edges.join(state.select(F.col("name").alias("a"), "status"), "a").groupBy(F.col("b").alias("name")).agg(
+            F.bool_or(F.col("status") == "leader").alias("_led"), F.bool_or(F.col("status") == "open").alias("_waits"))
+        decided = F.when(F.col("_led"), "member").when(F.col("_waits"), "open").otherwise("leader")
+        state = cut_lineage(state.join(before, "name", "left").select(
+            "name", F.when(F.col("status") == "open", decided).otherwise(F.col("status")).alias("status")))
+    leaders = state.filter("status = 'leader'").select("name")
+    members = state.filter("status = 'member'").select("name")
     first = (edges.join(leaders.select(F.col("name").alias("a")), "a", "left_semi").join(members.select(F.col("name").alias("b")), "b", "left_semi")
              .groupBy("b").agg(F.min("a").alias("leader")).withColumnRenamed("b", "name"))
     clusters = leaders.select("name", F.col("name").alias("leader")).unionByName(first)

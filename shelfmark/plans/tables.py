@@ -121,6 +121,7 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold UTC times
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
