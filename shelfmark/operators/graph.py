@@ -18,6 +18,7 @@ def tfidf(documents: DataFrame, max_features: int = V.MAX_FEATURES) -> DataFrame
     words = documents.select("id", F.explode(tokens(F.col("text"))).alias("term")).filter(~F.col("term").isin(V.ENGLISH_STOPWORDS))
     features = (words.groupBy("term").agg(F.count("*").alias("total")).orderBy(F.desc("total"), "term").limit(max_features).select("term"))
     tf = words.join(F.broadcast(features), "term").groupBy("id", "term").agg(F.count("*").alias("tf"))  # features: max_features rows
+    tf = cut_lineage(tf)  # used twice; the texts are not read again
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = documents.agg(F.count("*").alias("n")).scalar()
     idf = F.log((1 + n) / (1 + F.col("df"))) + 1
@@ -85,19 +86,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, alpha: float
     total = ranks.count()
     if total == 0:
         return ranks.select("id", F.lit(0.0).alias("rank"))
-    ranks = ranks.withColumn("rank", F.lit(1.0 / total))
-    for _ in range(rounds):
-        dangling = ranks.agg(F.sum(F.when(~F.col("has_out"), F.col("rank")))).first()[0] or 0.0
+    ranks = ranks.withColumn("rank", F.lit(1.0 / total)).withColumn("_old", F.lit(0.0))
+    for done in range(rounds):
+        state = ranks.agg(F.sum(F.when(~F.col("has_out"), F.col("rank"))), F.max(F.abs(F.col("rank") - F.col("_old")))).first()
+        if done and tolerance and state[1] < tolerance:
+            break
+        dangling = state[0] or 0.0
         received = (ranks.filter("has_out").select(F.col("id").alias("src"), "rank").join(links, "src")
                     .groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("_in")))
         base = (1 - alpha) / total + alpha * dangling / total
         fresh = ranks.join(received.withColumnRenamed("dst", "id"), "id", "left").select(
             "id", "has_out", F.col("rank").alias("_old"), (F.lit(base) + alpha * F.coalesce("_in", F.lit(0.0))).alias("rank"))
-        fresh = cut_lineage(fresh)
-        moved = fresh.agg(F.max(F.abs(F.col("rank") - F.col("_old")))).first()[0] if tolerance else None
-        ranks = fresh.drop("_old")
-        if moved is not None and moved < tolerance:
-            break
+        ranks = cut_lineage(fresh)
     return ranks.select("id", "rank")
 
 

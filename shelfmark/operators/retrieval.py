@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
+from ..session import cut_lineage
 from .grouping import top_k_per
 
 TOKEN = V.WORD + "{2,}"
@@ -28,16 +29,17 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Best documents of each query by BM25. ``documents`` hold id and text, ``queries`` query_id and query.
 
     Tokens that no query asks for are dropped before anything is shuffled."""
-    terms = query_terms(queries)
+    terms = cut_lineage(query_terms(queries))
     vocabulary = terms.select("term").distinct()
     small = terms.count() <= SMALL_VOCABULARY
     if small:
         vocabulary, terms = F.broadcast(vocabulary), F.broadcast(terms)
-    sized = documents.select("id", tokens(F.col("text")).alias("_t")).withColumn("_len", F.size("_t"))
-    corpus = documents.select(F.size(tokens(F.col("text"))).alias("_len")).agg(F.count("*").alias("n"), F.avg("_len").alias("mean")).first()
+    lengths = cut_lineage(documents.select("id", F.size(tokens(F.col("text"))).alias("_len")))
+    corpus = lengths.agg(F.count("*").alias("n"), F.avg("_len").alias("mean")).first()
     n, mean = corpus["n"], corpus["mean"] or 1.0
-    postings = (sized.select("id", "_len", F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi")
-                .groupBy("id", "_len", "term").agg(F.count("*").alias("tf")))
+    asked = (documents.select("id", F.explode(tokens(F.col("text"))).alias("term")).join(vocabulary, "term", "left_semi")
+             .groupBy("id", "term").agg(F.count("*").alias("tf")))
+    postings = cut_lineage(asked.join(lengths, "id"))  # used twice; the texts are not read again
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = df.select("term", idf.alias("idf"))  # no larger than the vocabulary

@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
+from ..session import cut_lineage
 from .grouping import top_k_per
 from .retrieval import tokens
 
@@ -39,7 +40,7 @@ def topic_terms(texts: DataFrame, k: int = 10) -> DataFrame:
     """Best words of each topic (topic, text) by class-based TF-IDF: tf in the topic times
     ln(1 + mean words per topic / frequency of the word)."""
     words = texts.select("topic", F.explode(tokens(F.col("text"))).alias("term")).filter(~F.col("term").isin(V.ENGLISH_STOPWORDS))
-    tf = words.groupBy("topic", "term").agg(F.count("*").alias("tf"))
+    tf = cut_lineage(words.groupBy("topic", "term").agg(F.count("*").alias("tf")))  # used four times
     frequency = tf.groupBy("term").agg(F.sum("tf").alias("f"))
     per_topic = tf.groupBy("topic").agg(F.sum("tf").alias("words"))
     mean = per_topic.agg(F.avg("words").alias("a")).scalar()

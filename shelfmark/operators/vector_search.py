@@ -122,25 +122,14 @@ def distinct_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps.drop("_n"), copies
 
 
-def similar_pairs(vectors: DataFrame, above: float = 0.85, rows: int = BLOCK_ROWS, max_cells: int = 1024) -> DataFrame:
-    """All pairs of distinct vectors with cosine above the threshold, and each copy linked to its
-    representative: rows of id_a, id_b, score.
-
-    Vectors live in the cell of their nearest pivot. A vector is also sent to a lower cell when its
-    distance to the plane between the two pivots is within the join radius, so every pair meets in
-    exactly one cell. Cells larger than ``rows`` are cut into block pairs, so a hot cell is spread
-    over tasks. The result is exact."""
-    reps, copies = distinct_vectors(vectors)
-    reps = reps.filter(F.exists("embedding", lambda x: x != 0))
-    count = reps.count()
-    n_pivots = max(1, min(max_cells, ceil(count / rows)))
-    pivots = reps.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("embedding").toPandas()  # at most max_cells rows
+def _place(reps: DataFrame, n_pivots: int, above: float) -> DataFrame:
+    """Rows of cell, at_home, id and embedding: each vector in the cell of its nearest pivot, and as a
+    guest in the lower cells it may find partners in."""
+    pivots = reps.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("embedding").toPandas()  # a bounded number
     p_unit = unit_rows(pivots["embedding"])
-    apart = np.sqrt(np.maximum(0.0, 2 - 2 * p_unit @ p_unit.T)) if len(p_unit) else np.zeros((0, 0))
-    shared = vectors.sparkSession.sparkContext.broadcast((p_unit, apart))
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * p_unit @ p_unit.T))
+    shared = reps.sparkSession.sparkContext.broadcast((p_unit, apart))
     radius = sqrt(max(0.0, 2 - 2 * above)) + 1e-9
-    id_type = vectors.schema["id"].dataType.simpleString()
-    vec_type = vectors.schema["embedding"].dataType.simpleString()
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pivot, gaps = shared.value
@@ -158,9 +147,27 @@ def similar_pairs(vectors: DataFrame, above: float = 0.85, rows: int = BLOCK_ROW
                 yield pd.DataFrame({"cell": cells_.astype("int32"), "at_home": at_home, "id": part["id"].to_numpy(),
                                     "embedding": part["embedding"].to_numpy()})
 
-    placed = reps.select("id", "embedding").mapInPandas(assign, f"cell int, at_home boolean, id {id_type}, embedding {vec_type}")
+    types = {c: reps.schema[c].dataType.simpleString() for c in ("id", "embedding")}
+    return reps.select("id", "embedding").mapInPandas(
+        assign, f"cell int, at_home boolean, id {types['id']}, embedding {types['embedding']}")
+
+
+def similar_pairs(vectors: DataFrame, above: float = 0.85, rows: int = BLOCK_ROWS, max_cells: int = 1024) -> DataFrame:
+    """All pairs of distinct vectors with cosine above the threshold, and each copy linked to its
+    representative: rows of id_a, id_b, score.
+
+    Vectors live in the cell of their nearest pivot. A vector is also sent to a lower cell when its
+    distance to the plane between the two pivots is within the join radius, so every pair meets in
+    exactly one cell. Cells larger than ``rows`` are cut into block pairs, so a hot cell is spread
+    over tasks. The result is exact."""
+    reps, copies = distinct_vectors(vectors)
+    reps = reps.filter(F.exists("embedding", lambda x: x != 0))
+    count = reps.count()
+    n_pivots = max(1, min(max_cells, ceil(count / rows)))
     if n_pivots > 1:
-        placed = cut_lineage(placed)
+        placed = cut_lineage(_place(reps, n_pivots, above))
+    else:
+        placed = reps.select(F.lit(0).alias("cell"), F.lit(True).alias("at_home"), "id", "embedding")
     sizes = placed.groupBy("cell").agg(
         F.greatest(F.lit(1), F.ceil(F.count_if("at_home") / rows)).cast("int").alias("n_home"),
         F.greatest(F.lit(1), F.ceil(F.count("*") / rows)).cast("int").alias("n_all"))
@@ -181,6 +188,7 @@ def similar_pairs(vectors: DataFrame, above: float = 0.85, rows: int = BLOCK_ROW
         i, j = np.nonzero(hit)
         return pd.DataFrame({"id_a": np.minimum(ids_a[i], ids_b[j]), "id_b": np.maximum(ids_a[i], ids_b[j]), "score": scores[i, j]})
 
+    id_type = vectors.schema["id"].dataType.simpleString()
     found = homes.groupBy("c", "h", "g").cogroup(members.groupBy("cell", "hb", "gb")).applyInPandas(
         pairs, f"id_a {id_type}, id_b {id_type}, score double")
     linked = copies.join(reps.select(F.col("id").alias("representative")), "representative").select(

@@ -29,7 +29,7 @@ TFIDF = f"""docs AS (SELECT doc_id AS id, text, source FROM documents WHERE leng
 
 
 def graph_texts(t: Tables) -> DataFrame:
-    return t.documents.filter(F.length("text") > V.MIN_GRAPH_TEXT).select(F.col("doc_id").alias("id"), "text")
+    return t.docs.filter(F.length("text") > V.MIN_GRAPH_TEXT).select(F.col("doc_id").alias("id"), "text")
 
 
 @query("g2_tfidf", f"WITH {TFIDF} SELECT id, term, round(weight, 6) AS weight FROM weights")
@@ -144,7 +144,7 @@ def _(t: Tables):
 def vendor_names(t: Tables) -> DataFrame:
     """Capitalised names of at least eight letters found in the texts."""
     found = F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}{7,}"), F.lit(0))
-    return t.documents.select(F.explode(found).alias("name")).distinct()
+    return t.docs.select(F.explode(found).alias("name")).distinct()
 
 
 @query("g9_merge_entities")
@@ -188,12 +188,12 @@ TOPIC_TERMS = f"""w AS (SELECT source AS topic, term FROM (SELECT source, unnest
 
 @query("tm2_topic_terms", f"WITH {TOPIC_TERMS} SELECT topic, term, round(weight, 6) AS weight, rank FROM r WHERE rank <= 10")
 def _(t: Tables):
-    return rounded(topics.topic_terms(t.documents.select(F.col("source").alias("topic"), "text")), "weight")
+    return rounded(topics.topic_terms(t.docs.select(F.col("source").alias("topic"), "text")), "weight")
 
 
 @query("tm2_topic_names", f"WITH {TOPIC_TERMS} SELECT topic, topic || '_' || string_agg(term, '_' ORDER BY rank) AS name FROM r WHERE rank <= 4 GROUP BY topic")
 def _(t: Tables):
-    return topics.topic_names(topics.topic_terms(t.documents.select(F.col("source").alias("topic"), "text")))
+    return topics.topic_names(topics.topic_terms(t.docs.select(F.col("source").alias("topic"), "text")))
 
 # --- reports ----------------------------------------------------------------------------------
 

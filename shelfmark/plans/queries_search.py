@@ -122,7 +122,7 @@ def bm25_sql(text: str, k: int) -> str:
 
 
 def documents(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("id"), "text")
+    return t.docs.select(F.col("doc_id").alias("id"), "text")
 
 
 def questions(t: Tables) -> DataFrame:
@@ -352,3 +352,8 @@ def _(t: Tables):
 def _(t: Tables):
     renamed = variants(t).withColumnRenamed("accuracy", "precision").withColumnRenamed("success_rate", "silhouette")
     return evaluation.compare_points(renamed)
+
+
+@query("rt1_question_search", f"WITH {DENSE} SELECT query_id, id, round(score, 6) AS score FROM dense")
+def _(t: Tables):
+    return rounded(dense_hits(t, 20), "score").drop("rank")

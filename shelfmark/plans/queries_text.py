@@ -50,12 +50,12 @@ HTML_STEPS = [
 @query("c1_html_to_markdown", f"""WITH s AS (SELECT page_id, {replaced('html', HTML_STEPS)} AS x, {ENTITIES} AS names FROM pages),
   u AS (SELECT page_id, {UNESCAPED} AS x FROM s) SELECT page_id, {replaced('x', TIDY)} AS markdown FROM u""")
 def _(t: Tables):
-    return t.pages.select("page_id", text.html_to_markdown(F.col("html")).alias("markdown"))
+    return t.html.select("page_id", text.html_to_markdown(F.col("html")).alias("markdown"))
 
 
 @query("c2_tidy_markdown", f"SELECT doc_id, {replaced('text', TIDY)} AS tidy FROM documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", text.tidy_markdown(F.col("text")).alias("tidy"))
+    return t.docs.select("doc_id", text.tidy_markdown(F.col("text")).alias("tidy"))
 
 
 @query("c3_query_keywords", f"""SELECT item_id, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[?!]', '', 'g'), '\\s+'),
@@ -140,7 +140,7 @@ def segments_of(t: Tables):
     parts = F.transform(F.split("text", "\n"), lambda l, i: F.struct(
         (i * 45).cast("double").alias("start"), (i * 45 + 40).cast("double").alias("end"),
         F.when(i % 2 == 0, "A").alias("speaker"), l.alias("text")))
-    return t.documents.select("doc_id", parts.alias("segments"))
+    return t.docs.select("doc_id", parts.alias("segments"))
 
 
 @query("c10_transcript_text", f"""WITH s AS (SELECT doc_id, {SEGMENT_LIST.format()} AS segs FROM documents)
@@ -165,7 +165,7 @@ def _(t: Tables):
     blocks = F.transform(lines, lambda l, i: F.struct(
         F.when(i % 3 == 0, "header").when(i % 3 == 1, "table").otherwise("text").alias("kind"), F.array(l).alias("lines")))
     boxes = F.transform(lines, lambda l, i: F.struct(l.alias("text"), F.lit(0).alias("x1"), (i * 20).alias("y1"), F.lit(50).alias("x2"), (i * 20 + 15).alias("y2")))
-    return t.documents.select("doc_id", headers.layout_text(blocks).alias("layout"), headers.region_text(boxes, 10, 30, 40, 95).alias("region"),
+    return t.docs.select("doc_id", headers.layout_text(blocks).alias("layout"), headers.region_text(boxes, 10, 30, 40, 95).alias("region"),
                               F.size(headers.tables_only(blocks)).alias("tables"))
 
 
@@ -192,7 +192,7 @@ def _(t: Tables):
 @query("c15_smart_context", """SELECT doc_id, substr('Filename: ' || source || chr(10) || 'Content: ' || substr(text, 1, 800) || ' ... '
   || CASE WHEN length(text) > 1600 THEN substr(text, length(text) // 2 + 1, 800) ELSE '' END, 1, 2000) AS context FROM documents""")
 def _(t: Tables):
-    return t.documents.select("doc_id", text.smart_context(F.col("source"), F.col("text")).alias("context"))
+    return t.docs.select("doc_id", text.smart_context(F.col("source"), F.col("text")).alias("context"))
 
 
 @query("c16_name_tags", f"""WITH {FILES} SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(replace(original_path, '/', ' - '), '[ \\-_]+'),
@@ -277,12 +277,12 @@ def masked_before(label: str) -> str:
 @query("c24_pii_counts", "SELECT doc_id, " + ", ".join(
     f"len(regexp_extract_all({masked_before(label)}, '{pattern}')) AS {label.lower()}" for label, pattern in V.PII_PATTERNS) + " FROM documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", pii_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
+    return t.docs.select("doc_id", pii_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
 
 
 @query("c25_mask_pii", f"SELECT doc_id, {replaced('text', [(p, f'[{n}]') for n, p in V.PII_PATTERNS])} AS masked FROM documents")
 def _(t: Tables):
-    return t.documents.select("doc_id", mask_pii(F.col("text")).alias("masked"))
+    return t.docs.select("doc_id", mask_pii(F.col("text")).alias("masked"))
 
 
 @query("c26_content_hash", "SELECT doc_id, sha256(text) AS sha256 FROM documents")
@@ -296,7 +296,7 @@ def _(t: Tables):
     WHEN iban > 0 THEN 'Finanzen' WHEN email > 0 OR phone > 0 THEN 'Arbeit' WHEN date > 3 THEN 'Dokumente' WHEN contains(low, 'arzt') OR contains(low, 'diagnose') THEN 'Gesundheit'
     WHEN contains(low, 'versicher') THEN 'Finanzen' ELSE 'Sonstiges' END AS category FROM n""")
 def _(t: Tables):
-    counted = t.files().withColumn("c", pii_counts(F.col("extracted_text")))
+    counted = t.text_files().withColumn("c", pii_counts(F.col("extracted_text")))
     labels = F.flatten(F.array(*[F.array_repeat(F.lit(n), F.col(f"c.{n}").cast("int")) for n in ("email", "iban", "phone", "date")]))
     return counted.select("id", classify.category(F.col("extracted_text"), labels).alias("category"))
 
@@ -342,7 +342,7 @@ GROUND = "lower(text || ' ' || source)"
   SELECT doc_id, round(len(list_filter(ents, lambda x: contains(body, lower(x)) OR len(list_filter(string_split(lower(x), ' '), lambda w: w <> '' AND contains(body, w))) > 0)) / 4.0, 6)::DOUBLE AS rate FROM e""")
 def _(t: Tables):
     ents = F.array(F.col("source"), F.lit("the Zzqq"), F.lit("Qqzz"), F.upper("lang"))
-    return rounded(t.documents.select("doc_id", quality.grounding_rate(ents, F.col("text"), F.col("source")).alias("rate")), "rate")
+    return rounded(t.docs.select("doc_id", quality.grounding_rate(ents, F.col("text"), F.col("source")).alias("rate")), "rate")
 
 
 @query("c31_hallucination", f"""WITH e AS (SELECT doc_id, {GROUND} AS body, ['that which there', 'quux zonk ' || source, 'nothing'] AS facts, [CAST(n_chars AS VARCHAR) || ' EUR', '12,50'] AS amounts FROM documents),
@@ -352,7 +352,7 @@ def _(t: Tables):
 def _(t: Tables):
     facts = F.array(F.lit("that which there"), F.concat(F.lit("quux zonk "), "source"), F.lit("nothing"))
     amounts = F.array(F.concat(F.col("n_chars").cast("string"), F.lit(" EUR")), F.lit("12,50"))
-    return rounded(t.documents.select("doc_id", quality.hallucination_score(facts, amounts, F.col("text"), F.col("source")).alias("score")), "score")
+    return rounded(t.docs.select("doc_id", quality.hallucination_score(facts, amounts, F.col("text"), F.col("source")).alias("score")), "score")
 
 
 @query("c32_completeness", f"""WITH {FILES}, k AS (SELECT id, [CASE WHEN length(extracted_text) <= 50 THEN 'text_extracted' END, CASE WHEN language = 'es' THEN 'has_metadata' END,
@@ -379,13 +379,13 @@ AMOUNTS = "regexp_extract_all(text, '[0-9]{12,}')"
 def _(t: Tables):
     amounts = F.regexp_extract_all("text", F.lit("[0-9]{12,}"), F.lit(0))
     none = F.array().cast("array<string>")
-    return rounded(t.documents.select("doc_id", quality.information_loss(F.col("text"), amounts, none).alias("loss")), "loss")
+    return rounded(t.docs.select("doc_id", quality.information_loss(F.col("text"), amounts, none).alias("loss")), "loss")
 
 
 @query("u4_lost_numbers", f"""SELECT doc_id, array_to_string(list_sort(list_filter({NUMBERS}, lambda n: NOT list_contains(flatten(list_transform({AMOUNTS}, lambda a: regexp_extract_all(a, '{V.NUMBER_PATTERN}'))), n))), ',') AS lost FROM documents""")
 def _(t: Tables):
     amounts = F.regexp_extract_all("text", F.lit("[0-9]{12,}"), F.lit(0))
-    return t.documents.select("doc_id", F.array_join(F.array_sort(quality.lost_numbers(F.col("text"), amounts)), ",").alias("lost"))
+    return t.docs.select("doc_id", F.array_join(F.array_sort(quality.lost_numbers(F.col("text"), amounts)), ",").alias("lost"))
 
 
 WORDS4 = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]{{4,}}'))"
@@ -435,7 +435,7 @@ HITS = "len(list_intersect(list_distinct(w), [{0}]))"
   h AS (SELECT doc_id, {HITS.format(sql_list(V.GERMAN_WORDS))} AS de, {HITS.format(sql_list(V.ENGLISH_WORDS))} AS en FROM s)
   SELECT doc_id, CASE WHEN de > en THEN 'de' WHEN en > de THEN 'en' ELSE 'unknown' END AS language FROM h""")
 def _(t: Tables):
-    return t.documents.select("doc_id", text.guess_language(F.col("text")).alias("language"))
+    return t.docs.select("doc_id", text.guess_language(F.col("text")).alias("language"))
 
 
 @query("u3_word_overlap", f"""WITH w AS (SELECT conv_id, turn, {WORDS4.format('text')} AS a, {WORDS4.format("split_part(text, '.', 1)")} AS b FROM conversations)
@@ -449,13 +449,13 @@ def _(t: Tables):
   contains(lower(text), 'the') AND contains(lower(text), 'and') AND length(text) >= 200 AS all_ok FROM documents""")
 def _(t: Tables):
     size = F.lit(200)
-    return t.documents.select("doc_id", text.golden_check(F.col("text"), F.array(F.lit("The"), F.lit("der")), "any", size).alias("any_ok"),
+    return t.docs.select("doc_id", text.golden_check(F.col("text"), F.array(F.lit("The"), F.lit("der")), "any", size).alias("any_ok"),
                               text.golden_check(F.col("text"), F.array(F.lit("the"), F.lit("AND")), "all", size).alias("all_ok"))
 
 
 @query("c43_follow_ups")
 def _(t: Tables):
-    return t.documents.select("doc_id", text.follow_ups(F.col("text")).alias("questions"))
+    return t.docs.select("doc_id", text.follow_ups(F.col("text")).alias("questions"))
 
 
 @query("c44_prompt", f"""WITH {FILES} SELECT id, 'Datei: ' || original_filename || ' (' || content_type || ')' || chr(10) || CASE WHEN language = 'es' THEN '{V.NO_TEXT}' ELSE substr(extracted_text, 1, 3000) END AS prompt FROM files""")
@@ -482,12 +482,12 @@ SUPER = f"list_filter(range(1, 10), lambda i: contains(text || translate(CAST(n_
 @query("c47_cited_ordinals", f"SELECT doc_id, array_to_string({SUPER}, ',') AS cited FROM documents")
 def _(t: Tables):
     answer = F.concat("text", F.translate(F.col("n_chars").cast("string"), "0123456789", "⁰" + V.SUPERSCRIPTS))
-    return t.documents.select("doc_id", F.array_join(cited_ordinals(answer).cast("array<string>"), ",").alias("cited"))
+    return t.docs.select("doc_id", F.array_join(cited_ordinals(answer).cast("array<string>"), ",").alias("cited"))
 
 
 @query("c48_chunks")
 def _(t: Tables):
-    return t.documents.select("doc_id", F.posexplode(chunking.chunks(F.col("text"))).alias("idx", "content"))
+    return t.docs.select("doc_id", F.posexplode(chunking.chunks(F.col("text"))).alias("idx", "content"))
 
 
 @query("e9_keyword_ratio", """WITH k AS (SELECT doc_id, lower(text) AS low, ['The', 'der', lang, source] AS keys FROM documents),
@@ -495,7 +495,7 @@ def _(t: Tables):
   SELECT doc_id, 4 - len(missing) AS found, (4 - len(missing)) / 4.0::DOUBLE AS ratio, (4 - len(missing)) / 4.0 >= 0.5 AS passed, array_to_string(missing, ',') AS missing FROM m""")
 def _(t: Tables):
     keys = F.array(F.lit("The"), F.lit("der"), F.col("lang"), F.col("source"))
-    out = t.documents.select("doc_id", quality.keyword_ratio(F.col("text"), keys).alias("k"))
+    out = t.docs.select("doc_id", quality.keyword_ratio(F.col("text"), keys).alias("k"))
     return out.select("doc_id", F.col("k.found").cast("bigint").alias("found"), "k.ratio", (F.col("k.ratio") >= 0.5).alias("passed"), F.array_join("k.missing", ",").alias("missing"))
 
 
@@ -516,7 +516,7 @@ def _(t: Tables):
 
 @query("s6_text_corpus", "SELECT doc_id, length(trim(text)) AS n FROM documents WHERE length(trim(text)) > 50")
 def _(t: Tables):
-    return t.documents.select("doc_id", F.length(F.trim("text")).alias("n")).filter("n > 50")
+    return t.docs.select("doc_id", F.length(F.trim("text")).alias("n")).filter("n > 50")
 
 
 RESULTS = f"{FILES}, results AS (SELECT id, extension, '/archive/' || category AS folder, tags, ingested_at AS uploaded_at FROM files)"
@@ -628,7 +628,7 @@ def _(t: Tables):
 @query("rt7_first_chunks", """WITH l AS (SELECT doc_id AS file_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM documents)
   SELECT file_id, string_agg(content, chr(10) || '---' || chr(10) ORDER BY idx) AS initial_content FROM l WHERE idx < 3 GROUP BY file_id""")
 def _(t: Tables):
-    return search.first_chunks(t.documents.select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("idx", "content")))
+    return search.first_chunks(t.docs.select(F.col("doc_id").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("idx", "content")))
 
 
 CLAIMS = """sources AS (SELECT conv_id AS "group", row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ordinal, conv_id * 1000 + turn AS source_id FROM conversations WHERE role = 'user'),

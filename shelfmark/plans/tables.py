@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.tables import spread
+
 EXTENSIONS = ".pdf,.docx,.doc,.xlsx,.txt,.md,.csv,.json,.eml,.html,.jpg,.png,.mp3,.wav,.mp4,.mkv,.zip,.7z,.py,.bak"
 MIMES = (
     "application/pdf,application/vnd.openxmlformats-officedocument,application/msword,application/vnd.ms-excel,"
@@ -128,6 +130,15 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    @property
+    def docs(self) -> DataFrame:
+        """Documents for steps that work on their texts, read by all cores."""
+        return spread(self.documents, "doc_id")
+
+    @property
+    def html(self) -> DataFrame:
+        return spread(self.pages, "page_id")
+
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:
         """Run a SELECT over given frames without leaving views behind."""
         for name, frame in frames.items():
@@ -137,6 +148,10 @@ class Tables:
     def files(self) -> DataFrame:
         return self.sql(files_sql(SPARK), documents=self.documents)
 
+    def text_files(self) -> DataFrame:
+        """Ledger rows for steps that work on the extracted texts."""
+        return self.sql(files_sql(SPARK), documents=self.docs)
+
     def audit(self) -> DataFrame:
         return self.sql(audit_sql(SPARK), events=self.events)
 

@@ -18,6 +18,13 @@ def read_inventory_csv(spark: SparkSession, path: str) -> DataFrame:
                       F.when(ext == "", "[no_extension]").otherwise(ext).alias("extension"), size.alias("size_mb"), depth.alias("depth"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Input of fewer splits than cores is spread by key before heavy work; larger input is left as it
+    is, so that no shuffle of texts is planned at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema: T.StructType | str | None = None) -> DataFrame:
     """CSV or TSV with a header; types are inferred only when no schema is given."""
     reader = spark.read.option("header", True).option("sep", sep)

@@ -150,14 +150,14 @@ class StuckStage(StatefulProcessor):
             top = batch.sort_values(["ts", "id"]).iloc[-1]
             if last_ts is None or top["ts"] >= last_ts:
                 last_status, last_ts = top["status"], top["ts"]
-        for timer in self._handle.listTimers():
+        for timer in list(self._handle.listTimers()):
             self._handle.deleteTimer(timer)
         if last_status == "started":
             self._open.update((last_ts.to_pydatetime(),))
             self._handle.registerTimer(int(last_ts.timestamp() * 1000) + self.WAIT_MS)
         else:
             self._open.clear()
-        yield pd.DataFrame({"file_hash": [], "stage": [], "since": pd.Series([], dtype="datetime64[ns]")})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self._open.exists():
