@@ -141,22 +141,18 @@ def path_between(edges: DataFrame, nodes: DataFrame, start: str, end: str) -> Da
         "distance", F.col("_p.label").alias("path"))
 
 
-def related_documents(edges: DataFrame, k: int = 10) -> DataFrame:
-    """Documents that share keywords with a document, by summed edge weight products, best ``k`` each.
-
-    The sum over shared keywords is a product of two sparse matrices; keyword postings are joined with
-    themselves on the keyword and reduced per pair. Very frequent keywords make long postings, which
-    adaptive skew handling splits."""
-    m = edges.filter(F.col("rel") == "MENTIONS")
-    left = m.select(F.col("src_label").alias("document"), F.col("dst"), F.col("weight").alias("_w"))
-    right = m.select(F.col("src_label").alias("related"), F.col("dst"), F.col("weight").alias("_v"))
-    pairs = left.join(right, "dst").filter(F.col("document") != F.col("related"))
-    total = pairs.groupBy("document", "related").agg(F.round(F.sum(F.col("_w") * F.col("_v")), 9).alias("strength"), F.count("*").alias("shared"))
-    return top_k_per(total, ["document"], [F.desc("strength"), F.col("related")], k)
+def related_documents(edges: DataFrame, k: int = 5) -> DataFrame:
+    """Strongest document neighbours of each document, read in both directions (document, related, weight, rank)."""
+    alike = edges.filter(F.col("rel") == "SIMILAR_TO")
+    ahead = alike.select(F.col("src_label").alias("document"), F.col("dst_label").alias("related"), "weight")
+    back = alike.select(F.col("dst_label").alias("document"), F.col("src_label").alias("related"), "weight")
+    strongest = ahead.unionByName(back).groupBy("document", "related").agg(F.round(F.max("weight"), 9).alias("weight"))
+    return top_k_per(strongest, ["document"], [F.desc("weight"), F.col("related")], k)
 
 
 def shared_support(mentions: DataFrame, above: int = 2) -> DataFrame:
-    """Pairs of entities found together in more than ``above`` documents (id, term)."""
+    """Pairs of entities found together in more than ``above`` documents (id, term). A document brings a
+    few top keywords, so its pairs are few."""
     left = mentions.select("id", F.col("term").alias("entity_a"))
     right = mentions.select("id", F.col("term").alias("entity_b"))
     return (left.join(right, "id").filter("entity_a < entity_b").groupBy("entity_a", "entity_b")

@@ -36,18 +36,24 @@ def top_k_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank:
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 
 
-def number_in_time(df: DataFrame, keys: list[str], ts: str, *ties: str, unit: str = "hour", name: str = "number") -> DataFrame:
-    """Running number of each row of a key in time order. Rows are numbered inside (key, time bucket)
-    and shifted by the count of the key's earlier buckets, so a hot key is spread over its buckets."""
-    bucketed = df.withColumn("_bucket", F.date_trunc(unit, ts))
+def number_rows(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str = "number") -> DataFrame:
+    """Running number of each row of a key. ``bucket`` must not decrease along ``order``: rows are numbered
+    inside (key, bucket) and shifted by the count of the key's earlier buckets, so a hot key is spread
+    over its buckets."""
+    bucketed = df.withColumn("_bucket", bucket)
     counts = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket")
     offsets = counts.withColumn("_before", F.sum("_n").over(earlier) - F.col("_n")).drop("_n")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(ts, *ties)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
     numbered = bucketed.withColumn("_rank", F.row_number().over(inside)).join(offsets, [*keys, "_bucket"])
     return numbered.withColumn(name, (F.col("_rank") + F.col("_before")).cast("bigint")).drop("_rank", "_before", "_bucket")
 
 
+def number_in_time(df: DataFrame, keys: list[str], ts: str, *ties: str, unit: str = "hour", name: str = "number") -> DataFrame:
+    """``number_rows`` in time order, with hours (or another unit) as buckets."""
+    return number_rows(df, keys, F.date_trunc(unit, ts), [ts, *ties], name)
+
+
 def previous_in_time(df: DataFrame, keys: list[str], value: str, ts: str, *ties: str, unit: str = "hour", name: str = "previous") -> DataFrame:
     """Value of the row before, per key in time order, with the same two levels."""
     bucketed = df.withColumn("_bucket", F.date_trunc(unit, ts))

@@ -13,6 +13,7 @@ from ..sources import tables as table_sources
 from .queries_ledger import rounded, sql_list
 from .queries_search import PAIRS, TOKENS, vectors
 from .queries_text import sql_map
+from . import answer, ingest
 from .registry import query
 from .tables import FILES, Tables
 
@@ -77,14 +78,11 @@ def _(t: Tables):
     return rounded(graph.graph_stats(graph.build_nodes(docs, edges), edges), "density", digits=9)
 
 
-@query("g7_related_documents", f"""WITH {TFIDF}, names AS (SELECT id, 'doc_' || id || '.txt' AS label FROM docs), m AS (SELECT label, term, weight FROM keywords JOIN names USING (id)),
-  p AS (SELECT a.label AS document, b.label AS related, round(sum(a.weight * b.weight), 9) AS strength, count(*) AS shared FROM m a JOIN m b ON a.term = b.term AND a.label <> b.label GROUP BY ALL)
-  SELECT document, related, round(strength, 6) AS strength, shared, rank FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY strength DESC, related) AS rank FROM p) WHERE rank <= 10""")
+@query("g7_related_documents", f"""WITH {EDGES}, s AS (SELECT src AS document, dst AS related, weight FROM edges WHERE rel = 'SIMILAR_TO' UNION ALL SELECT dst, src, weight FROM edges WHERE rel = 'SIMILAR_TO')
+  SELECT document, related, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY weight DESC, related) AS rank FROM s) WHERE rank <= 5""")
 def _(t: Tables):
-    docs = graph_texts(t).select("id", F.concat(F.lit("doc_"), F.col("id").cast("string"), F.lit(".txt")).alias("label"), F.lit("").alias("author"))
-    none = t.spark.createDataFrame([], "id_a long, id_b long, score double")
-    edges = graph.build_edges(docs, graph.top_keywords(graph.tfidf(graph_texts(t))), none)
-    return rounded(graph.related_documents(edges), "strength")
+    _, edges = graph_parts(t)
+    return rounded(graph.related_documents(edges), "weight")
 
 
 @query("g8_shared_support", f"""WITH {TFIDF} SELECT a.term AS entity_a, b.term AS entity_b, count(*) AS documents FROM keywords a JOIN keywords b ON a.id = b.id AND a.term < b.term GROUP BY ALL HAVING count(*) > 2""")
@@ -374,3 +372,23 @@ def _(t: Tables):
 def _(t: Tables):
     return t.orders.groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"), F.weekday("o_orderdate").alias("weekday")).agg(F.count("*").alias("orders"))
 
+
+# --- chains -----------------------------------------------------------------------------------
+
+
+def incoming(t: Tables) -> DataFrame:
+    return t.text_files().select("id", F.col("original_filename").alias("filename"), "content_type", F.col("extracted_text").alias("text"), "ingested_at")
+
+
+@query("ingest_chain", f"""WITH {FILES}, f AS (SELECT sha256, min(id) AS first FROM files GROUP BY 1), held AS (SELECT DISTINCT sha256 FROM files WHERE is_deleted)
+  SELECT id, f.first = id AND held.sha256 IS NULL AND length(extracted_text) > 0 AS accepted FROM files JOIN f USING (sha256) LEFT JOIN held USING (sha256)""")
+def _(t: Tables):
+    stored = t.files().filter("is_deleted").select("id", "sha256", F.concat(F.lit("/old"), "current_path").alias("current_path"))
+    accepted, rejected = ingest.ingest(incoming(t), stored)
+    return accepted.select("id", F.lit(True).alias("accepted")).unionByName(rejected.select("id", F.lit(False).alias("accepted")))
+
+
+@query("answer_chain")
+def _(t: Tables):
+    docs = t.text_files().select("id", F.col("original_filename").alias("filename"), F.col("extracted_text").alias("text"))
+    return answer.contexts(docs, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))

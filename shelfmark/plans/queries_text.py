@@ -11,7 +11,7 @@ from ..functions.lookup import inverted
 from ..functions.pii import mask_pii, pii_counts
 from ..functions.vectors import cosine
 from ..operators import classify, search
-from ..operators.grouping import hashed_sample, top_k_per
+from ..operators.grouping import PART_SIZE, hashed_sample, number_rows, top_k_per
 from .queries_ledger import TS, rounded, sql_list
 from .registry import query
 from .tables import FILES, Tables
@@ -639,8 +639,7 @@ CLAIMS = """sources AS (SELECT conv_id AS "group", row_number() OVER (PARTITION
 def claim_tables(t: Tables):
     conv = t.conversations
     users = conv.filter("role = 'user'")
-    earlier = users.select("conv_id", F.col("turn").alias("before"))
-    ordinal = (users.join(earlier, "conv_id").filter("before <= turn").groupBy("conv_id", "turn").agg(F.count("*").alias("ordinal")))
+    ordinal = number_rows(users.select("conv_id", "turn"), ["conv_id"], F.floor(F.col("turn") / PART_SIZE), ["turn"], name="ordinal")
     sources = ordinal.select(F.col("conv_id").alias("group"), "ordinal", (F.col("conv_id") * 1000 + F.col("turn")).alias("source_id"))
     n = conv.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("n_sources"))
     claims = conv.filter("role = 'assistant'").join(n, "conv_id").select(
