@@ -13,7 +13,7 @@ import time
 
 HEADLINE = """a9_extension_stats a4_gate_stats a2_duplicates a21_profile_orders j20_revenue_per_customer j9_similar_pairs rt1_question_search
 rt1_semantic_search rt4_fused_search w2_rank_fusion rt2_bm25 g2_tfidf g1_graph_edges g5_pagerank g6_shortest_paths c1_html_to_markdown
-c25_mask_pii c24_pii_counts c48_chunks tm2_topic_terms e1_neighbour_precision e5_silhouette e7_latency a6_pipeline_status
+c25_mask_pii c24_pii_counts c48_chunks tm2_topic_terms e1_neighbour_precision e5_silhouette e7_latency a6_stage_status
 a8_queue_throughput_all w12_numbered_attempts c22_quality_gates st4_throughput st9_drain_to_index corpus_category_stats""".split()
 
 

@@ -30,7 +30,7 @@ def trail_of(audit: DataFrame, file_hash: str) -> DataFrame:
             .select("stage", "status", "worker_id", "ts", "processing_time_ms", "error_message").orderBy("ts"))
 
 
-def pipeline_status(audit: DataFrame) -> DataFrame:
+def stage_status(audit: DataFrame) -> DataFrame:
     """Latest status of every stage of a file as a map, with first and last time and total milliseconds."""
     per_stage = audit.groupBy("file_hash", "filename", "stage").agg(
         F.max_by("status", "ts").alias("status"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_updated"),

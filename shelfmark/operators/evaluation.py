@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.naming import paths_match
 from ..functions.scoring import any_word
 from . import vector_search
+from .grouping import exact_quantiles
 
 
 def neighbour_precision(vectors: DataFrame, k: int = 10) -> DataFrame:
@@ -99,20 +100,9 @@ def entity_scores(expected: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def latency(rows: DataFrame, group: str, value: str, ok: Column, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Exact percentiles (interpolated) and success rate per group. Equal values are counted first, so
-    what is sorted per group is its distinct values."""
-    counts = rows.groupBy(group, value).agg(F.count("*").alias("_n"), F.count_if(ok).alias("_ok"))
-    totals = counts.groupBy(group).agg(F.sum("_n").alias("_total"), F.sum("_ok").alias("_good"))
-    w = Window.partitionBy(group).orderBy(value)
-    upto = counts.withColumn("_to", F.sum("_n").over(w)).join(totals, group)
-    picks = []
-    for p in points:
-        place = F.lit(p) * (F.col("_total") - 1)
-        low = F.min(F.when(F.col("_to") > F.floor(place), F.col(value)))
-        high = F.min(F.when(F.col("_to") > F.ceil(place), F.col(value)))
-        share = F.max(place - F.floor(place))
-        picks.append((low + (high - low) * share).alias(f"p{int(p * 100)}"))
-    return upto.groupBy(group).agg(F.max("_total").alias("n"), *picks, (F.max("_good") / F.max("_total")).alias("success_rate"))
+    """Exact interpolated percentiles and success rate per group."""
+    totals = rows.groupBy(group).agg(F.count("*").alias("n"), (F.count_if(ok) / F.count("*")).alias("success_rate"))
+    return totals.join(exact_quantiles(rows, group, value, {f"p{int(p * 100)}": p for p in points}), group)
 
 
 def evidence_level(hits: DataFrame, ledger: DataFrame) -> DataFrame:

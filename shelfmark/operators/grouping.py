@@ -70,3 +70,35 @@ def previous_in_time(df: DataFrame, keys: list[str], value: str, ts: str, *ties:
 def hashed_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows in an order fixed by key and seed, so a rerun after a lost executor draws the same."""
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
+
+
+def exact_quantiles(rows: DataFrame, group: str, value: str, points: dict[str, float], bins: int = 1000) -> DataFrame:
+    """Interpolated quantiles per group, one column per point. Counts over ``bins`` equal ranges tell
+    which ranges hold the wanted ranks; only values of those ranges are then sorted, so no task sorts a
+    whole group."""
+    v = rows.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
+    edges = v.groupBy(group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    place = F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width * bins)).cast("int")
+    binned = v.join(edges, group).select(group, "_v", "_n", F.coalesce(place, F.lit(0)).alias("_bin"))
+    counted = binned.groupBy(group, "_bin").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy(group).orderBy("_bin"))  # at most ``bins`` rows per group
+    wanted = [F.struct(F.lit(name).alias("name"), F.lit(end).alias("end"), f(F.lit(p) * (F.col("_n") - 1)).cast("bigint").alias("rank"))
+              for name, p in points.items() for end, f in (("low", F.floor), ("high", F.ceil))]
+    targets = (counted.withColumn("_before", upto - F.col("_c")).withColumn("_t", F.explode(F.array(*wanted)))
+               .filter((F.col("_t.rank") >= F.col("_before")) & (F.col("_t.rank") < F.col("_before") + F.col("_c")))
+               .select(group, "_bin", "_before", "_n", "_t.*"))
+    values = (binned.join(targets.select(group, "_bin").distinct(), [group, "_bin"], "left_semi")
+              .groupBy(group, "_bin", "_v").agg(F.count("*").alias("_k")))
+    inside = F.sum("_k").over(Window.partitionBy(group, "_bin").orderBy("_v"))
+    placed = values.withColumn("_to", inside).join(targets, [group, "_bin"])
+    hit = placed.filter((F.col("rank") < F.col("_before") + F.col("_to")) & (F.col("rank") >= F.col("_before") + F.col("_to") - F.col("_k")))
+
+    def end(name: str, which: str) -> Column:
+        return F.max(F.when((F.col("name") == name) & (F.col("end") == which), F.col("_v")))
+
+    picks = []
+    for name, p in points.items():
+        at = F.lit(p) * (F.max("_n") - 1)
+        picks.append((end(name, "low") + (end(name, "high") - end(name, "low")) * (at - F.floor(at))).alias(name))
+    return hit.groupBy(group).agg(*picks)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import fixed_values as V
 from ..functions.lookup import inverted, lookup
-from .grouping import top_k_per
+from .grouping import exact_quantiles, top_k_per
 
 
 def component_summary(runs: DataFrame) -> DataFrame:
@@ -41,19 +41,10 @@ def coverage_verdict(coverage: DataFrame) -> DataFrame:
 
 
 def value_stats(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Mean, exact median, least, greatest and sample deviation (0 for one value) per group. The median
-    is found from counted values."""
-    from pyspark.sql import Window
-
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(group).orderBy(value)
-    totals = counts.groupBy(group).agg(F.sum("_n").alias("_total"))
-    upto = counts.withColumn("_to", F.sum("_n").over(w)).join(totals, group)
-    low, high = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
-    median = upto.groupBy(group).agg(((F.min(F.when(F.col("_to") > low, F.col(value))) + F.min(F.when(F.col("_to") > high, F.col(value)))) / 2).alias("median"))
+    """Mean, exact median, least, greatest and sample deviation (0 for one value) per group."""
     plain = rows.groupBy(group).agg(F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"),
                                     F.coalesce(F.nanvl(F.stddev_samp(value), F.lit(0.0)), F.lit(0.0)).alias("stdev"))
-    return plain.join(median, group)
+    return plain.join(exact_quantiles(rows, group, value, {"median": 0.5}), group)
 
 
 def plausibility(files: DataFrame) -> DataFrame:

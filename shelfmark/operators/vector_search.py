@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .grouping import top_k_per
+from .grouping import number_rows, top_k_per
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 4096
+SCORE_CELLS = 8 << 20
 DIGITS = 9  # scores are compared after rounding, so equal vectors tie and the id decides
 
 
@@ -67,14 +68,19 @@ def _schema(queries: DataFrame, corpus: DataFrame) -> str:
 
 
 def _score_block(q_ids, q_unit, items: pd.DataFrame, k, above, exclude_self) -> pd.DataFrame:
-    ids = items["id"].to_numpy()
-    scores = np.round(q_unit @ unit_rows(items["embedding"]).T, DIGITS)
-    if exclude_self:
-        scores = np.where(q_ids[:, None] == ids[None, :], -np.inf, scores)
-    q, j = best_rows(scores, ids, k, above)
-    found = scores[q, j]
-    real = np.isfinite(found)
-    return pd.DataFrame({"query_id": q_ids[q][real], "id": ids[j][real], "score": found[real]})
+    """Hits of all queries among the items, in slices whose score matrix stays small."""
+    ids, unit = items["id"].to_numpy(), unit_rows(items["embedding"]).T
+    step, parts = max(1, SCORE_CELLS // max(1, len(ids))), []
+    for start in range(0, len(q_ids), step):
+        some = q_ids[start:start + step]
+        scores = np.round(q_unit[start:start + step] @ unit, DIGITS)
+        if exclude_self:
+            scores = np.where(some[:, None] == ids[None, :], -np.inf, scores)
+        q, j = best_rows(scores, ids, k, above)
+        found = scores[q, j]
+        real = np.isfinite(found)
+        parts.append(pd.DataFrame({"query_id": some[q][real], "id": ids[j][real], "score": found[real]}))
+    return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "id": [], "score": []})
 
 
 def _broadcast_search(queries: DataFrame, corpus: DataFrame, k, above, exclude_self) -> DataFrame:
@@ -200,7 +206,8 @@ def fused_search(queries: DataFrame, corpus: DataFrame, top_k: int, by_score: bo
     """Items ranked by reciprocal-rank fusion over the full rankings of several queries.
 
     Only candidates from the heads of the rankings get an exact rank, by counting per task how many
-    corpus rows come before them. The head is doubled until no other row can reach the top."""
+    corpus rows come before them. The head is doubled until no other row can reach the top; should it
+    outgrow what a driver may hold, all ranks are computed as rows instead."""
     corpus = corpus.select("id", "embedding")
     total = corpus.count()
     local = queries.select("query_id", "embedding").toPandas()
@@ -208,8 +215,11 @@ def fused_search(queries: DataFrame, corpus: DataFrame, top_k: int, by_score: bo
         raise ValueError("one fused search takes a handful of queries; split the query set")
     q_unit = unit_rows(local["embedding"])
     sc = corpus.sparkSession.sparkContext
+    width = q_unit.shape[1] if len(q_unit) else 1
     depth = min(total, max(4 * top_k, 50))
     while True:
+        if len(local) * depth * width * 8 > BROADCAST_BYTES:
+            return _ranked_fusion(queries, corpus, top_k, by_score, fusion_k)
         heads = search(queries, corpus, k=depth)
         candidates = corpus.join(heads.select("id").distinct(), "id", "left_semi").toPandas()  # at most queries x depth rows
         floor = heads.groupBy("query_id").agg(F.min("score").alias("s")).agg(F.sum(F.greatest("s", F.lit(0.0)) if by_score else F.lit(1.0))).first()[0]
@@ -247,3 +257,15 @@ def fused_search(queries: DataFrame, corpus: DataFrame, top_k: int, by_score: bo
         depth = min(total, depth * 2)
     out = [(row.id, float(row.fused), i + 1) for i, row in enumerate(fused.itertuples())]
     return corpus.sparkSession.createDataFrame(out, f"id {corpus.schema['id'].dataType.simpleString()}, fused double, rank int")
+
+
+def _ranked_fusion(queries: DataFrame, corpus: DataFrame, top_k: int, by_score: bool, fusion_k: int) -> DataFrame:
+    """Fusion over full rankings as rows; each ranking is numbered in slices of the score."""
+    scored = search(queries, corpus, k=None, above=-1.5).withColumn("_down", -F.col("score"))
+    slices = F.floor((F.col("_down") + 1) * 500)
+    ranked = number_rows(scored, ["query_id"], slices, ["_down", "id"], name="place")
+    weight = F.col("score") if by_score else F.lit(1.0)
+    fused = ranked.groupBy("id").agg(F.sum(weight / (F.col("place") + fusion_k)).alias("fused"))
+    best = fused.orderBy(F.desc(F.round("fused", 12)), "id").limit(top_k)
+    listed = best.agg(F.array_sort(F.collect_list(F.struct((-F.round("fused", 12)).alias("_key"), "id", "fused"))).alias("_b"))  # top_k rows
+    return listed.select(F.posexplode("_b").alias("_pos", "_r")).select("_r.id", "_r.fused", (F.col("_pos") + 1).cast("int").alias("rank"))

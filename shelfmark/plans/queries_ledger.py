@@ -327,12 +327,12 @@ def _(t: Tables):
     return texts(audit.trail_of(t.audit(), "f42"), "ts")
 
 
-@query("a6_pipeline_status", f"""WITH {AUDIT}, s AS (SELECT file_hash, filename, stage, arg_max(status, ts) AS status, min(ts) AS a, max(ts) AS b,
+@query("a6_stage_status", f"""WITH {AUDIT}, s AS (SELECT file_hash, filename, stage, arg_max(status, ts) AS status, min(ts) AS a, max(ts) AS b,
      sum(processing_time_ms) AS ms FROM audit GROUP BY ALL)
   SELECT file_hash, filename, string_agg(stage || '=' || status, ',' ORDER BY stage) AS stages, {TS.format('min(a)')} AS first_seen,
     {TS.format('max(b)')} AS last_updated, sum(ms)::BIGINT AS total_processing_ms FROM s GROUP BY ALL""")
 def _(t: Tables):
-    out = audit.pipeline_status(t.audit())
+    out = audit.stage_status(t.audit())
     listed = F.array_join(F.transform(F.map_entries("stages"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return texts(out.withColumn("stages", listed), "first_seen", "last_updated")
 

@@ -596,20 +596,20 @@ def _(t: Tables):
     return search.speaker_segments(segs)
 
 
-HOSTS = "hits AS (SELECT page_id AS position, CASE WHEN url LIKE '%.html%' THEN NULL ELSE split_part(url, '/', 3) END AS url, substr(html, 1, 200) AS content FROM pages)"
+HOSTS = "hits AS (SELECT page_id AS position, CASE WHEN url LIKE '%.html%' THEN NULL ELSE split_part(url, '/', 3) END AS url, html AS content FROM pages)"
 
 
 @query("w3_merge_by_url", f"""WITH {HOSTS} SELECT url, 0 AS part, count(*) AS group_rows, min(position) AS first_position, string_agg(content, chr(10) || chr(10) ORDER BY position) AS content FROM hits WHERE url IS NOT NULL GROUP BY url
   UNION ALL SELECT url, 0, 1, position, content FROM hits WHERE url IS NULL""")
 def _(t: Tables):
     url = F.when(~F.col("url").contains(".html"), F.split_part("url", F.lit("/"), F.lit(3)))
-    return search.merge_by_url(t.pages.select(F.col("page_id").alias("position"), url.alias("url"), F.substring("html", 1, 200).alias("content")))
+    return search.merge_by_url(t.pages.select(F.col("page_id").alias("position"), url.alias("url"), F.col("html").alias("content")))
 
 
 @query("w4_merge_by_id", f"""WITH {HOSTS} SELECT url, min(position) AS position, arg_max(content, position) AS content FROM hits WHERE url IS NOT NULL GROUP BY url""")
 def _(t: Tables):
     url = F.when(~F.col("url").contains(".html"), F.split_part("url", F.lit("/"), F.lit(3)))
-    hits = t.pages.select(F.col("page_id").alias("position"), url.alias("url"), F.substring("html", 1, 200).alias("content"))
+    hits = t.pages.select(F.col("page_id").alias("position"), url.alias("url"), F.col("html").alias("content"))
     return search.merge_by_id(hits.filter("url IS NOT NULL"), "url", "position")
 
 

@@ -51,8 +51,11 @@ def test_search_exact(vectors, monkeypatch, block):
         assert [got[(q, r + 1)] for r in range(7)] == order
 
 
-def test_fused_search_exact(vectors):
+@pytest.mark.parametrize("rows_only", [False, True])
+def test_fused_search_exact(vectors, monkeypatch, rows_only):
     df, table = vectors
+    if rows_only:
+        monkeypatch.setattr(vector_search, "BROADCAST_BYTES", 3 * 8 * 8 + 1)
     queries = df.filter("id in (0, 1, 2)").select(F.col("id").alias("query_id"), "embedding")
     fused = dict.fromkeys(table, 0.0)
     for q in (0, 1, 2):
@@ -87,6 +90,15 @@ def test_numbering_over_a_hot_key(spark):
     assert all(r.previous == (None if r.id in (0, 2900) else r.id - 1) for r in before)
 
 
+@pytest.mark.parametrize("bins", [1, 7, 1000])
+def test_exact_quantiles(spark, bins):
+    rng = random.Random(1)
+    data = {"a": [rng.expovariate(0.01) for _ in range(501)], "b": [5.0] * 40, "c": [1.0], "d": [1.0] * 30 + [1000.0]}
+    df = spark.createDataFrame([(k, x) for k, xs in data.items() for x in xs], "g string, x double")
+    for r in grouping.exact_quantiles(df, "g", "x", {"p50": 0.5, "p95": 0.95}, bins).collect():
+        assert (r.p50, r.p95) == (pytest.approx(np.quantile(data[r.g], 0.5)), pytest.approx(np.quantile(data[r.g], 0.95)))
+
+
 def test_upsert_is_idempotent(spark):
     base = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, v int, s string")
     new = spark.createDataFrame([("a", 2, "z")], "k string, v int, s string")
