@@ -15,15 +15,19 @@ def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 
 def concat_in_parts(df: DataFrame, keys: list[str], order: list[str], joined: dict[str, tuple[str, str]],
-                    size: int = PART_SIZE) -> DataFrame:
+                    size: int = PART_SIZE, count: str | None = None) -> DataFrame:
     """Join the values of each group in order. ``joined`` maps an output name to (column, separator).
 
     A group of up to ``size`` rows gives one row with ``part`` 0. A larger one continues on further
-    rows, so no task ever holds a whole hot group and nothing is left out."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rows, so no task ever holds a whole hot group and nothing is left out. ``count`` names a column that
+    already holds the size of the row's group."""
+    if count:
+        counted = df.withColumn("_n", F.col(count))
+    else:
+        counted = df.join(df.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
     blocks = F.ceil(F.col("_n") / size).cast("int")
     part = F.when(F.col("_n") <= size, 0).otherwise(F.pmod(F.xxhash64(*order), blocks)).cast("int")
-    tagged = df.join(counts, keys).withColumn("part", part)
+    tagged = counted.withColumn("part", part)
     entries = F.array_sort(F.collect_list(F.struct(*order, *[F.col(c).alias(f"_{n}") for n, (c, _) in joined.items()])))
     grouped = tagged.groupBy(*keys, "part").agg(F.first("_n").alias("group_rows"), entries.alias("_rows"))
     return grouped.select(

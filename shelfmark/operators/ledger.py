@@ -47,7 +47,8 @@ def duplicates(files: DataFrame, hash_col: str = "sha256", name: str = "original
     live = files.filter(~F.col("is_deleted")).select(hash_col, name, path)
     repeated = live.groupBy(hash_col).agg(F.count("*").alias("duplicate_count")).filter("duplicate_count > 1")
     copies = live.join(repeated, hash_col)
-    joined = concat_in_parts(copies, [hash_col, "duplicate_count"], [path], {"filenames": (name, " | "), "paths": (path, " | ")})
+    joined = concat_in_parts(copies, [hash_col, "duplicate_count"], [path], {"filenames": (name, " | "), "paths": (path, " | ")},
+                             count="duplicate_count")
     return joined.drop("group_rows")
 
 

@@ -210,16 +210,15 @@ def fused_search(queries: DataFrame, corpus: DataFrame, top_k: int, by_score: bo
     outgrow what a driver may hold, all ranks are computed as rows instead."""
     corpus = corpus.select("id", "embedding")
     total = corpus.count()
-    local = queries.select("query_id", "embedding").toPandas()
-    if len(local) and local["embedding"].map(len).sum() * 8 > BROADCAST_BYTES:
-        raise ValueError("one fused search takes a handful of queries; split the query set")
-    q_unit = unit_rows(local["embedding"])
-    sc = corpus.sparkSession.sparkContext
-    width = q_unit.shape[1] if len(q_unit) else 1
+    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
     depth = min(total, max(4 * top_k, 50))
+    sc = corpus.sparkSession.sparkContext
+    q_unit = None
     while True:
-        if len(local) * depth * width * 8 > BROADCAST_BYTES:
+        if size["n"] * depth * (size["dim"] or 1) * 8 > BROADCAST_BYTES:
             return _ranked_fusion(queries, corpus, top_k, by_score, fusion_k)
+        if q_unit is None:
+            q_unit = unit_rows(queries.select("query_id", "embedding").toPandas()["embedding"])  # size checked above
         heads = search(queries, corpus, k=depth)
         candidates = corpus.join(heads.select("id").distinct(), "id", "left_semi").toPandas()  # at most queries x depth rows
         floor = heads.groupBy("query_id").agg(F.min("score").alias("s")).agg(F.sum(F.greatest("s", F.lit(0.0)) if by_score else F.lit(1.0))).first()[0]

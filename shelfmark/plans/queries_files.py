@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.binary import file_health, file_type
 from ..sources import files, tables as table_sources
-from ..streaming.jobs import run_folder
+from ..streaming.jobs import drain_to_index, run_folder, watch_inbox
 from .queries_ledger import rounded
 from .registry import query
 from .tables import FILES, INVENTORY, Tables
@@ -118,6 +118,18 @@ def _(t: Tables):
     return found.groupBy("extension", "depth").agg(F.count("*").alias("files"))
 
 
+@query("st10_inbox", "SELECT source, sum(octet_length(encode(text)) + 1)::BIGINT AS bytes FROM documents GROUP BY source")
+def _(t: Tables):
+    folder = run_folder(t.spark)
+    t.documents.select("source", "text").repartition("source").write.partitionBy("source").text(f"{folder}/inbox")
+
+    def prepare(batch: DataFrame) -> DataFrame:
+        return batch.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), F.length("content").cast("bigint").alias("bytes"))
+
+    drain_to_index(watch_inbox(t.spark, f"{folder}/inbox"), t.spark, f"{folder}/index", f"{folder}/state", prepare)
+    return t.spark.read.parquet(f"{folder}/index").select("source", "bytes")
+
+
 def files_root(folder: str) -> str:
     return folder.replace("file:", "") if folder.startswith("file:") else folder
 

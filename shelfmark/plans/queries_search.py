@@ -357,3 +357,8 @@ def _(t: Tables):
 @query("rt1_question_search", f"WITH {DENSE} SELECT query_id, id, round(score, 6) AS score FROM dense")
 def _(t: Tables):
     return rounded(dense_hits(t, 20), "score").drop("rank")
+
+
+@query("g3_similarity_edges", f"WITH {PAIRS} SELECT id_a, id_b, round(score, 6) AS score FROM pairs WHERE score > 0.35::DOUBLE")
+def _(t: Tables):
+    return rounded(vector_search.similar_pairs(vectors(t).select("id", "embedding"), above=0.35, rows=200), "score")
