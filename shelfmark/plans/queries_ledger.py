@@ -418,7 +418,7 @@ def _(t: Tables):
 
 def candidates(t: Tables) -> DataFrame:
     """Ledger rows as they reach the gates: generated name, target folder, collisions, duplicates."""
-    files = t.files()
+    files = t.text_files()
     firsts = files.groupBy("sha256").agg(F.min("id").alias("first_id"))
     rows = files.join(firsts, "sha256").select(
         "id", "sha256", "category", "content_type", "confidence", "extracted_text", F.lit("").alias("meta_description"),
