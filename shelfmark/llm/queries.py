@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import quality_rules, simhash
+from shelfmark.llm import language_id, quality_rules, simhash
 from shelfmark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(language_id.split_of(F.col("doc_id")) != 1))
+    rows = language_id.predict(docs, model)
+    return rows.select("doc_id", F.coalesce(language_id.split_of(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
