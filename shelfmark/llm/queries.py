@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import language_id, quality_rules, simhash
+from shelfmark.llm import language_id, quality_rules, sentencepieces, simhash
 from shelfmark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(language_id.split_of(F.col("doc_id")) != 1))
     rows = language_id.predict(docs, model)
     return rows.select("doc_id", F.coalesce(language_id.split_of(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+#: A public SentencePiece model; any other can be given to the operator.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query()
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.encode(read(spark, sf_dir, "documents"), MODEL)
