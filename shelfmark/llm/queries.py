@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import language_id, quality_rules, sentencepieces, simhash
+from shelfmark.llm import language_id, line_runs, quality_rules, sentencepieces, simhash
 from shelfmark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,20 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 @query()
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(read(spark, sf_dir, "documents"), MODEL)
+
+
+@query("""WITH lines AS (SELECT doc_id, n - 1 AS line, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS p, l, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS words
+  FROM (SELECT doc_id, unnest(range(1, len(a) + 1)) AS n, unnest(a) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))
+  WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
+pairs AS (SELECT b.doc_id AS d, b.p, b.words, a.doc_id AS d0, a.p - b.p AS diagonal, b.p - row_number() OVER (PARTITION BY a.doc_id, b.doc_id, a.p - b.p ORDER BY b.p) AS island
+  FROM lines a JOIN lines b ON a.l = b.l AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.p < b.p)),
+runs AS (SELECT d, d0, diagonal, island, min(p) AS p0, max(p) AS p1 FROM pairs GROUP BY ALL HAVING sum(words) >= 20),
+gone AS (SELECT DISTINCT d, unnest(range(p0, p1 + 1)) AS p FROM runs),
+kept AS (SELECT doc_id, count(*) AS n_deleted FROM lines JOIN gone ON doc_id = d AND lines.p = gone.p GROUP BY doc_id),
+texts AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY n) AS text FROM (SELECT doc_id, unnest(range(1, len(a) + 1)) AS n, unnest(a) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)) x
+  LEFT JOIN (SELECT lines.doc_id AS g, line FROM lines JOIN gone ON doc_id = d AND lines.p = gone.p) y ON x.doc_id = g AND line = n - 1 WHERE g IS NULL GROUP BY doc_id)
+SELECT documents.doc_id, len(string_split(documents.text, chr(10))) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, coalesce(texts.text, '') AS text
+FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN texts USING (doc_id)""")
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_runs.without_later_copies(read(spark, sf_dir, "documents"))
+    return rows.select("row.doc_id", "n_lines", "n_deleted", "text")
