@@ -61,3 +61,12 @@ def field(name: str, kind: str) -> T.StructField:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+LAST_KEY = (1 << 63) - 1
+
+
+def document(key: str = "key", text: str = "text") -> list[Column]:
+    """Columns (d, copy) that stand for a document where a join has to find it again: its integer key, null as the largest
+    number, and a hash of its text. Rows that repeat with key and text are one document."""
+    return [F.coalesce(F.col(key).cast("bigint"), F.lit(LAST_KEY)).alias("d"), F.xxhash64(text).alias("copy")]

@@ -15,25 +15,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.common import WORD
+from shelfmark.llm.common import WORD, document
 from shelfmark.llm.tables import drop_table, write_table
 
 #: Fewest words of a run that is worth deleting.
 MIN_WORDS = 20
 DOC = ["d", "copy"]
 AT = ["d", "copy", "p"]
-LAST = (1 << 63) - 1
-
-
-def _doc(key: str, text: str) -> list[Column]:
-    """A document is its key (null last) and its text: repeated rows are one document."""
-    return [F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("copy")]
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(d, copy, p, line, id1, id2, words): the \\n-split lines with a word; p counts them, line counts all. The two ids are one
     128-bit hash of the line. Distinct documents only."""
-    split = docs.where(F.col(text).isNotNull()).select(*_doc(key, text), F.split(text, "\n").alias("lines"))
+    split = docs.where(F.col(text).isNotNull()).select(*document(key, text), F.split(text, "\n").alias("lines"))
     numbered = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s.x.rlike(WORD))
     rows = split.select(*DOC, F.posexplode(numbered).alias("p", "s"))
     return rows.select(*AT, F.col("s.i").alias("line"), F.xxhash64("s.x").alias("id1"), F.xxhash64(F.lit(1), "s.x").alias("id2"),
@@ -153,7 +147,7 @@ def without_later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text
     text are one document and share its result. Null texts stay null with 0 lines; blank lines are no part of a run and stay.
     """
     gone = later_lines(docs, key, text, min_words)
-    packed = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text")).select("row", "text", *_doc("key", "text"))
+    packed = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text")).select("row", "text", *document())
     joined = packed.join(gone, DOC, "left")
     lines = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import language_id, line_runs, quality_rules, sentencepieces, simhash
+from shelfmark.llm import decontaminate, language_id, line_runs, quality_rules, sentencepieces, simhash
 from shelfmark.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,18 @@ FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN texts USING (doc_id)""")
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_runs.without_later_copies(read(spark, sf_dir, "documents"))
     return rows.select("row.doc_id", "n_lines", "n_deleted", "text")
+
+
+@query("""WITH toks AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?"''()[]{}', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+items AS (SELECT item_id, w, least(len(w), 16) AS wn, CAST(ceil(least(len(w), 16) * 4 / 5) AS BIGINT) AS need
+  FROM (SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?"''()[]{}', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 6),
+dg AS (SELECT doc_id, i, concat_ws(' ', w[i], w[i+1], w[i+2]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM toks)),
+ig AS (SELECT item_id, j, concat_ws(' ', w[j], w[j+1], w[j+2]) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS j FROM items)),
+diagonals AS (SELECT DISTINCT doc_id, item_id, i - j AS d FROM dg JOIN ig USING (g)),
+starts AS (SELECT doc_id, item_id, d, unnest(range(0, len(w) - wn + 1)) AS a FROM diagonals JOIN items USING (item_id)),
+scored AS (SELECT doc_id, item_id, d + a AS start, wn, need, len(list_filter(range(1, wn + 1), lambda o: coalesce(items.w[a + o] = CASE WHEN d + a + o >= 1 THEN toks.w[d + a + o] END, false))) AS matched
+  FROM starts JOIN items USING (item_id) JOIN toks USING (doc_id)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start) AS r FROM scored WHERE matched >= need)
+SELECT doc_id, item_id, matched, wn AS "window", start FROM best WHERE r = 1""")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
