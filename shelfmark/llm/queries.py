@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, language_id, line_runs, quality_rules, sentencepieces, simhash
+from shelfmark.llm import decontaminate, language_id, licenses, line_runs, quality_rules, sentencepieces, simhash
 from shelfmark.llm.common import read
+from shelfmark.llm.license_texts import TEMPLATES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +101,24 @@ best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matc
 SELECT doc_id, item_id, matched, wn AS "window", start FROM best WHERE r = 1""")
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_TEMPLATES_SQL = ", ".join("('%s', '%s')" % (name, text.replace("'", "''")) for name, text in TEMPLATES.items())
+
+
+def _shingles_sql(keys: str, source: str) -> str:
+    words = "list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z\\x{80}-\\x{10FFFF}]+'), lambda x: x <> '')"
+    return (f"SELECT {keys}, i - 1 AS i, concat_ws(' ', w[i], w[i+1], w[i+2], w[i+3], w[i+4]) AS s "
+            f"FROM (SELECT {keys}, w, unnest(range(1, len(w) - 3)) AS i FROM (SELECT {keys}, {words} AS w FROM {source}))")
+
+
+@query(f"""WITH templates(license, text) AS (VALUES {_TEMPLATES_SQL}),
+own AS (SELECT DISTINCT license, s FROM ({_shingles_sql("license", "templates")})),
+sized AS (SELECT license, s, n, CAST(2 ** ceil(log2(n) - 1e-9) AS BIGINT) AS c FROM own JOIN (SELECT license, count(*) AS n FROM own GROUP BY license) USING (license)),
+hits AS (SELECT doc_id, license, n, c, s, i FROM ({_shingles_sql("doc_id", "documents")}) JOIN sized USING (s)),
+inside AS (SELECT doc_id, license, n, s, unnest([i // c, i // c - 1]) AS w, i FROM hits),
+held AS (SELECT doc_id, license, n, w, count(DISTINCT s) AS same, min(i) AS start FROM inside WHERE w >= 0 GROUP BY ALL HAVING count(DISTINCT s) >= n * 0.8),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY same DESC, start) AS r FROM held)
+SELECT doc_id, license, same / n AS containment, start FROM best WHERE r = 1""")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
