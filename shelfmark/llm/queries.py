@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, language_id, licenses, line_runs, quality_rules, sentencepieces, simhash
+from shelfmark.llm import decontaminate, language_id, licenses, line_runs, quality_rules, secret_scan, sentencepieces, simhash
 from shelfmark.llm.common import read
 from shelfmark.llm.license_texts import TEMPLATES
 
@@ -122,3 +122,41 @@ best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY same
 SELECT doc_id, license, same / n AS containment, start FROM best WHERE r = 1""")
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+_S = secret_scan
+_COUNT_LOG_SQL = "[" + ", ".join(map(str, _S.COUNT_LOG)) + "]"
+_ALLOW_SQL = " AND ".join(f"NOT regexp_matches(m, '{p}')" for p in _S.ALLOW)
+_RANDOM_SQL = " ".join(f"WHEN regexp_full_match(win, '{c.characters}+') THEN digits >= {c.digits} AND letters >= {c.letters} AND total <= {_S.most_concentrated(c.bits)}"
+                       for c in _S.CLASSES)
+
+
+def _matches_sql() -> str:
+    """The pieces and matches of each pattern; DuckDB wants the pattern as a constant."""
+    parts = []
+    for n, name in enumerate(_S.KINDS):
+        pattern = _S.SEARCH[name].replace("'", "''")
+        parts.append(f"SELECT doc_id, {n} AS kind, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS found FROM docs")
+    return " UNION ALL ".join(parts)
+
+
+@query(f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+raw AS ({_matches_sql()}),
+placed AS (SELECT doc_id, kind, list_sum(list_transform(gaps[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:n-1], lambda x: length(x))), 0) AS s, found[n] AS m
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS n FROM raw)),
+base AS (SELECT doc_id, kind, s::BIGINT AS s, (s + length(m))::BIGINT AS e FROM placed WHERE kind < 3 AND (kind > 0 OR length(regexp_extract(m, '{_S.ASSIGN.replace("'", "''")}', 1)) >= {_S.ASSIGNED})),
+wins AS (SELECT doc_id, s, i, m[i:i+{_S.WINDOW - 1}] AS win FROM (SELECT doc_id, s, m, unnest(range(1, length(m) - {_S.WINDOW - 2})) AS i FROM placed WHERE kind = 3 AND {_ALLOW_SQL})),
+counts AS (SELECT doc_id, s, i, win, ch, count(*) AS c FROM (SELECT doc_id, s, i, win, unnest(string_split(win, '')) AS ch FROM wins) GROUP BY ALL),
+totals AS (SELECT doc_id, s, i, win, sum({_COUNT_LOG_SQL}[c + 1]) AS total, coalesce(sum(c) FILTER (regexp_matches(ch, '[0-9]')), 0) AS digits,
+  coalesce(sum(c) FILTER (regexp_matches(ch, '[A-Za-z]')), 0) AS letters FROM counts GROUP BY ALL),
+parts AS (SELECT doc_id, 3 AS kind, (s + min(i) - 1)::BIGINT AS b, (s + max(i) + {_S.WINDOW - 1})::BIGINT AS e FROM totals WHERE CASE {_RANDOM_SQL} ELSE false END GROUP BY doc_id, s),
+spans AS (SELECT * FROM base UNION ALL SELECT doc_id, kind, b AS s, e FROM parts p WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = p.doc_id AND base.s < p.e AND p.b < base.e)),
+texts AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || s || ':' || e AS t FROM spans)
+SELECT docs.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(t, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(t, ',' ORDER BY s, kind), '') AS spans
+FROM docs LEFT JOIN texts USING (doc_id) GROUP BY docs.doc_id""")
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("spans")
+    return secret_scan.scan(read(spark, sf_dir, "documents")).select(
+        "doc_id", *(secret_scan.count_of(found, k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]),
+        F.sha2(secret_scan.written(found, base_only=True), 256).alias("base_sha256"), secret_scan.written(found).alias("spans"))
