@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, language_id, licenses, line_runs, quality_rules, secret_scan, sentencepieces, simhash
+from shelfmark.llm import decontaminate, language_id, licenses, line_runs, quality_rules, secret_scan, sentencepieces, simhash, warc_zip
 from shelfmark.llm.common import read
 from shelfmark.llm.license_texts import TEMPLATES
 
@@ -160,3 +160,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents")).select(
         "doc_id", *(secret_scan.count_of(found, k).alias(f"n_{k}") for k in secret_scan.KINDS[:3]),
         F.sha2(secret_scan.written(found, base_only=True), 256).alias("base_sha256"), secret_scan.written(found).alias("spans"))
+
+
+@query("""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, strlen(h) AS n, sha256(h) AS d FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM q)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to FROM f""")
+def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc_zip.round_trip(read(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
