@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, language_id, licenses, line_runs, quality_rules, secret_scan, sentencepieces, simhash, warc_zip
+from shelfmark.llm import decontaminate, language_id, licenses, line_runs, ngram_scores, quality_rules, secret_scan, sentencepieces, simhash, warc_zip
 from shelfmark.llm.common import read
 from shelfmark.llm.license_texts import TEMPLATES
 
@@ -169,3 +169,18 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND
 def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_zip.round_trip(read(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("""WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, i, w[i] AS g1, CASE WHEN i > 1 THEN w[i-1] || ' ' || w[i] END AS g2, CASE WHEN i > 2 THEN w[i-2] || ' ' || w[i-1] || ' ' || w[i] END AS g3,
+  CASE WHEN i > 1 THEN w[i-1] END AS b2, CASE WHEN i > 2 THEN w[i-2] || ' ' || w[i-1] END AS b3 FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+n1 AS (SELECT g1 AS g, count(*) AS c FROM t GROUP BY 1), n2 AS (SELECT g2 AS g, count(*) AS c FROM t WHERE g2 IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
+n3 AS (SELECT g3 AS g, count(*) AS c FROM t WHERE g3 IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
+s AS (SELECT doc_id, CASE WHEN n3.c IS NOT NULL THEN 3 WHEN n2.c IS NOT NULL THEN 2 ELSE 1 END AS o,
+  CASE WHEN n3.c IS NOT NULL THEN n3.c / c3.c WHEN n2.c IS NOT NULL THEN 0.4::DOUBLE ** (least(i, 3) - 2) * n2.c / c2.c
+    ELSE 0.4::DOUBLE ** (least(i, 3) - 1) * n1.c / (SELECT count(*) FROM t) END AS p
+  FROM t JOIN n1 ON n1.g = g1 LEFT JOIN n2 ON n2.g = g2 LEFT JOIN n3 ON n3.g = g3 LEFT JOIN n1 c2 ON c2.g = b2 LEFT JOIN n2 c3 ON c3.g = b3)
+SELECT w.doc_id, count(o) AS n_words, coalesce(sum(round(ln(p) * 1e6)::BIGINT), 0)::BIGINT AS log_micros, count(*) FILTER (o = 1) AS n_order1,
+  count(*) FILTER (o = 2) AS n_order2, count(*) FILTER (o = 3) AS n_order3 FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id""")
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_scores.scores(read(spark, sf_dir, "documents"))
