@@ -11,7 +11,7 @@ from .lookup import bare_ext, first_case, lookup
 def file_type(content: Column, ext: Column, members: Column | None = None) -> Column:
     """Struct of extension, mime and detection method from the first 64 bytes, archive member names
     (when given) and the extension, in this order."""
-    head = F.hex(F.substring(content, 1, 64))
+    head = F.substring(content, 1, 64)
     plain = bare_ext(ext)
 
     def found(kind: str, mime: str | None, how: str) -> Column:
@@ -22,30 +22,31 @@ def file_type(content: Column, ext: Column, members: Column | None = None) -> Co
                        F.lit("application/octet-stream").alias("mime"),
                        F.when(plain != "", "extension").otherwise("unknown").alias("method"))
 
-    def inside(needle: str, first: int, size: int) -> Column:
-        return F.substring(head, first * 2 + 1, size * 2) == needle
+    def inside(needle: bytes, first: int) -> Column:
+        return F.substring(head, first + 1, len(needle)) == F.lit(needle)
 
     cases = []
     for prefix, kind, mime in V.MAGIC:
-        hit = head.startswith(prefix)
+        hit = F.startswith(head, F.lit(prefix))
         if kind == "zip_based":
             if members is not None:
                 names = F.array_join(members, "\n")
                 cases += [(hit & names.contains(part), found(e, t, "container")) for part, e, t in V.ZIP_MEMBERS]
             cases.append((hit, found("zip", "application/zip", "magic")))
         elif kind == "ole2":
-            cases += [(hit & F.contains(F.substring(content, 1, 64), F.unhex(F.lit(text))), found(e, t, "container"))
+            cases += [(hit & F.contains(head, F.lit(text)), found(e, t, "container"))
                       for text, e, t in V.OLE_STRINGS]
             cases.append((hit, found("ole2", None, "magic")))
         elif kind == "riff":
-            cases += [(hit & inside(text, 8, 4), found(e, t, "container")) for text, e, t in V.RIFF_TYPES]
+            cases += [(hit & inside(text, 8), found(e, t, "container")) for text, e, t in V.RIFF_TYPES]
             cases.append((hit, found("riff", None, "magic")))
         else:
             cases.append((hit, found(kind, mime, "magic")))
-    ftyp_at = F.locate("66747970", F.substring(head, 1, 64))
-    brand = F.substr(head, ftyp_at + F.lit(8), F.lit(8))
-    ftyp = ftyp_at > 0
-    cases += [(ftyp & (brand == code), found(e, t, "container")) for code, e, t in V.FTYP_BRANDS]
+    # the marker may start at any byte of the first 32; byte positions, so that no half byte can match
+    starts = F.filter(F.sequence(F.lit(1), F.lit(29)), lambda i: F.substr(head, i, F.lit(4)) == F.lit(b"ftyp"))
+    brand = F.substr(head, F.get(starts, 0) + F.lit(4), F.lit(4))
+    ftyp = F.size(starts) > 0
+    cases += [(ftyp & (brand == F.lit(code)), found(e, t, "container")) for code, e, t in V.FTYP_BRANDS]
     cases.append((ftyp, found("mp4", "video/mp4", "container")))
     return first_case(cases, by_name)
 
@@ -54,14 +55,14 @@ def file_health(content: Column, size: Column, ext: Column, zip_ok: Column | Non
     """Struct of validity, error codes, warning codes and health. A null size is a missing file; give
     ``zip_ok`` from the archive manifest to report broken archives."""
     plain = bare_ext(ext)
-    head = F.hex(F.substring(content, 1, 64))
+    head = F.substring(content, 1, 64)
     expected = lookup(plain, V.EXPECTED_HEADER)
-    mismatch = expected.isNotNull() & ~head.startswith(expected)
+    mismatch = expected.isNotNull() & ~F.startswith(head, expected)
     is_pdf, is_zip = plain == "pdf", plain.isin("zip", "docx", "xlsx", "pptx")
     tail = F.substr(content, F.greatest(F.lit(1), F.length(content) - 1023), F.lit(1024))
     listing_broken = F.lit(False) if zip_ok is None else ~F.coalesce(zip_ok, F.lit(True))
     codes = F.array(
-        F.when(is_pdf & ~head.startswith("25504446"), "PDF_INVALID_HEADER"),
+        F.when(is_pdf & ~F.startswith(head, F.lit(b"%PDF")), "PDF_INVALID_HEADER"),
         F.when(is_pdf & F.contains(content, F.lit(bytearray(b"/Encrypt"))), "PDF_ENCRYPTED"),
         F.when(is_pdf & ~F.contains(tail, F.lit(bytearray(b"%%EOF"))), "PDF_TRUNCATED"),
         F.when(is_zip & listing_broken, "ZIP_CORRUPTED"))

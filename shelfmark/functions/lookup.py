@@ -15,11 +15,6 @@ def lookup(key: Column, table: Mapping[str, object], default: object = None) ->
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def inverted(table: Mapping[object, str]) -> dict[str, object]:
-    """``{"images": "png jpg"}`` to ``{"png": "images", "jpg": "images"}``."""
-    return {name: value for value, names in table.items() for name in names.split()}
-
-
 def contains_any(text: Column, needles: Iterable[str]) -> Column:
     """True when the text holds at least one of the fixed strings."""
     return reduce(lambda a, b: a | b, [text.contains(needle) for needle in needles])

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as V
-from .lookup import bare_ext, contains_any, first_case, inverted, lookup
+from .lookup import bare_ext, contains_any, first_case, lookup
 
 MB = 1024 * 1024
 
@@ -24,7 +24,7 @@ def clamp(score: Column) -> Column:
 
 def submit_priority(name: Column, ext: Column, size: Column, modified: Column, as_of: Column) -> Column:
     """Priority of a submitted file, 0 to 100."""
-    score = (F.lit(50) + recency(modified, as_of) + lookup(bare_ext(ext), inverted(V.SUBMIT_WEIGHTS), 0)
+    score = (F.lit(50) + recency(modified, as_of) + lookup(bare_ext(ext), V.SUBMIT_WEIGHTS, 0)
              + F.when(contains_any(F.lower(name), V.SUBMIT_KEYWORDS), 15).otherwise(0))
     score = F.when((size > 50 * MB) & (score < 70), score - 10).otherwise(score)
     score = F.when(size > 500 * MB, F.greatest(score - 20, F.lit(0))).otherwise(score)
@@ -38,7 +38,7 @@ def submit_path(ext: Column, size: Column) -> Column:
 
 def router_priority(name: Column, ext: Column, size: Column, modified: Column, as_of: Column) -> Column:
     """Priority of a routed file: smaller weight and keyword tables, one size rule."""
-    score = (F.lit(50) + recency(modified, as_of) + lookup(bare_ext(ext), inverted(V.ROUTER_WEIGHTS), 0)
+    score = (F.lit(50) + recency(modified, as_of) + lookup(bare_ext(ext), V.ROUTER_WEIGHTS, 0)
              + F.when(contains_any(F.lower(name), V.ROUTER_KEYWORDS), 15).otherwise(0))
     return clamp(F.when((size > 100 * MB) & (score < 70), score - 10).otherwise(score))
 
@@ -53,12 +53,19 @@ def intake_queue(priority: Column) -> Column:
     return F.when(priority >= 75, "intake:priority").when(priority >= 40, "intake:normal").otherwise("intake:bulk")
 
 
-def extract_queue(ext: Column) -> Column:
-    return lookup(bare_ext(ext), inverted(V.QUEUE_EXTENSIONS), V.DEFAULT_QUEUE)
+def submit_queue(ext: Column) -> Column:
+    """Queue of a submitted file."""
+    return lookup(bare_ext(ext), V.SUBMIT_QUEUES, V.DEFAULT_QUEUE)
+
+
+def router_queue(ext: Column) -> Column:
+    """Queue of a routed file: text formats share one, others have their own, unknown ones the last."""
+    plain = bare_ext(ext)
+    return F.when(plain.isin(V.ROUTER_DOCUMENTS), V.DEFAULT_QUEUE).otherwise(lookup(plain, V.ROUTER_QUEUES, V.ROUTER_DEFAULT_QUEUE))
 
 
 def parser(ext: Column) -> Column:
-    return lookup(bare_ext(ext), inverted(V.PARSER_EXTENSIONS), V.DEFAULT_PARSER)
+    return lookup(bare_ext(ext), V.EXTENSION_PARSERS, V.DEFAULT_PARSER)
 
 
 def parser_chain(ext: Column) -> Column:
@@ -89,20 +96,20 @@ def source_type(mime: Column, ext: Column) -> Column:
     low = F.lower(mime)
     cases = [(low.contains(n) if how == "contains" else low.startswith(n), kind) for how, n, kind in V.MIME_SOURCE_TYPES]
     by_ext = F.when(F.coalesce(ext, F.lit("")) == "", "unknown").otherwise(
-        lookup(bare_ext(ext), inverted(V.EXTENSION_SOURCE_TYPES), "text_file"))
+        lookup(bare_ext(ext), V.EXTENSION_SOURCE_TYPES, "text_file"))
     return first_case(cases, by_ext)
 
 
 def hit_type(ext: Column) -> Column:
-    return lookup(bare_ext(ext), inverted(V.HIT_SOURCE_TYPES), "text")
+    return lookup(bare_ext(ext), V.HIT_SOURCE_TYPES, "text")
 
 
 def result_type(ext: Column) -> Column:
-    return lookup(bare_ext(ext), inverted(V.RESULT_SOURCE_TYPES), "document")
+    return lookup(bare_ext(ext), V.RESULT_SOURCE_TYPES, "document")
 
 
 def index_type(ext: Column) -> Column:
-    return lookup(bare_ext(ext), inverted(V.INDEX_SOURCE_TYPES), "other")
+    return lookup(bare_ext(ext), V.INDEX_SOURCE_TYPES, "other")
 
 
 def extractor(label: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import fixed_values as V
-from ..functions.lookup import inverted, lookup
+from ..functions.lookup import lookup
 from .grouping import exact_quantiles, top_k_per
 
 
@@ -50,7 +50,7 @@ def value_stats(rows: DataFrame, group: str, value: str) -> DataFrame:
 def plausibility(files: DataFrame) -> DataFrame:
     """Matches, mismatches and unknowns of MIME type and category against the extension."""
     ext = F.lower("extension")
-    mime, category = lookup(ext, V.EXPECTED_MIME), lookup(ext, inverted(V.EXPECTED_CATEGORY))
+    mime, category = lookup(ext, V.EXPECTED_MIME), lookup(ext, V.EXPECTED_CATEGORY)
     return files.agg(
         F.count_if(F.col("content_type").contains(mime)).alias("mime_match"), F.count_if(~F.col("content_type").contains(mime)).alias("mime_mismatch"),
         F.count_if(mime.isNull()).alias("mime_unknown"), F.count_if(F.col("category") == category).alias("category_match"),

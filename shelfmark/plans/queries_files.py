@@ -17,7 +17,7 @@ from .tables import FILES, INVENTORY, Tables
 
 # --- bytes ------------------------------------------------------------------------------------
 
-HEADERS = ["255044462D312E340A", "FFD8FFE0", "504B0304", "524946460000000057415645", "000000186674797071742020", ""]
+HEADERS = [b"%PDF-1.4\n", b"\xff\xd8\xff\xe0", b"PK\x03\x04", b"RIFF\x00\x00\x00\x00WAVE", b"\x00\x00\x00\x18ftypqt  ", b""]
 KINDS = ["pdf", "jpg", "zip", "wav", "mov", ""]
 
 
@@ -25,7 +25,7 @@ def byte_files(t: Tables) -> DataFrame:
     """Every document as bytes behind one of several file signatures; some PDFs are cut or encrypted."""
     head = F.element_at(F.array(*[F.lit(h) for h in HEADERS]), (F.col("n_chars") % 6 + 1).cast("int"))
     tail = F.when(F.col("lang") == "en", "%%EOF").when(F.col("lang") == "de", "/Encrypt %%EOF").otherwise("")
-    content = F.concat(F.unhex(head), F.col("text").cast("binary"), tail.cast("binary"))
+    content = F.concat(head, F.col("text").cast("binary"), tail.cast("binary"))
     return t.docs.select(F.concat(F.lit("/in/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), "doc_id", content.alias("content"),
                          F.length(content).cast("bigint").alias("length"), F.timestamp_seconds(F.col("doc_id")).alias("modificationTime"))
 

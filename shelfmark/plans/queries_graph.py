@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
-from ..functions.lookup import inverted
 from ..operators import entities, graph, reports, topics, vector_search
 from ..operators.grouping import concat_in_parts
 from ..session import cut_lineage
@@ -234,7 +233,7 @@ def _(t: Tables):
 
 
 EXPECTED_MIME = sql_map(V.EXPECTED_MIME, "extension", None)
-EXPECTED_CATEGORY = sql_map(inverted(V.EXPECTED_CATEGORY), "extension", None)
+EXPECTED_CATEGORY = sql_map(V.EXPECTED_CATEGORY, "extension", None)
 
 
 @query("a22_plausibility", f"""WITH {FILES}, x AS (SELECT contains(content_type, {EXPECTED_MIME}) AS m, category = {EXPECTED_CATEGORY} AS c FROM files)

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import fixed_values as V
-from ..functions.lookup import inverted
 from ..sources import queues
 from ..streaming import jobs
 from .queries_ledger import TS, error_case, sql_list, texts
-from .queries_text import EXT, sql_map
+from .queries_text import EXT, ROUTER_SQL, sql_map
 from .registry import query
 from .tables import AUDIT, CORRECTIONS, FILES, SPARK, Tables, audit_sql, files_sql, ts_text
 
@@ -26,9 +25,9 @@ def audit_stream(t: Tables) -> DataFrame:
     return t.sql(audit_sql(SPARK), events=stream(t, "events"))
 
 
-@query("st1_route_jobs", f"""WITH {FILES} SELECT id, {sql_map(inverted(V.QUEUE_EXTENSIONS), EXT, "'extract:documents'")} AS queue,
+@query("st1_route_jobs", f"""WITH {FILES} SELECT id, {ROUTER_SQL} AS queue,
   CASE WHEN file_size_bytes > 52428800 THEN 'deep' WHEN {EXT} IN ({sql_list(V.ROUTER_DEEP_TYPES)}) AND NOT
-    (50 + 30 + {sql_map(inverted(V.ROUTER_WEIGHTS), EXT, '0')} + CASE WHEN {' OR '.join(f"contains(lower(original_filename), '{k}')" for k in V.ROUTER_KEYWORDS)} THEN 15 ELSE 0 END >= 70
+    (50 + 30 + {sql_map(V.ROUTER_WEIGHTS, EXT, '0')} + CASE WHEN {' OR '.join(f"contains(lower(original_filename), '{k}')" for k in V.ROUTER_KEYWORDS)} THEN 15 ELSE 0 END >= 70
      AND file_size_bytes < 10485760) THEN 'deep' ELSE 'fast' END AS processing_path FROM files""")
 def _(t: Tables):
     files = t.sql(files_sql(SPARK), documents=stream(t, "documents"))
@@ -65,20 +64,22 @@ def _(t: Tables):
   CASE WHEN {error_case('error_message', 0)} <> 'SOURCE_FILE' AND row_number() OVER (PARTITION BY file_hash, stage ORDER BY ts, id) <= 3 THEN 'retry' ELSE 'dead_letter' END AS decision
   FROM audit WHERE status = 'failed'""")
 def _(t: Tables):
-    done = jobs.with_rocks(t.spark, lambda: jobs.collect_stream(jobs.retry_or_dead(audit_stream(t)), t.spark))
+    done = jobs.with_rocks(t.spark, lambda: jobs.collect_updates(jobs.retry_or_dead(audit_stream(t)), t.spark, ["id"]))
     return done.select("id", F.col("attempt").cast("bigint").alias("attempt"), "error_type", "decision")
 
 
 @query("st6_quarantine_on_error", f"""WITH {AUDIT}, l AS (SELECT *, lag(status) OVER (PARTITION BY file_hash ORDER BY ts, id) AS before FROM audit)
   SELECT id, file_hash, filename, error_message FROM l WHERE status = 'failed' AND coalesce(before, '') <> 'failed'""")
 def _(t: Tables):
-    return jobs.with_rocks(t.spark, lambda: jobs.collect_stream(jobs.quarantine_on_error(audit_stream(t)), t.spark))
+    told = jobs.with_rocks(t.spark, lambda: jobs.collect_updates(jobs.quarantine_on_error(audit_stream(t)), t.spark, ["id"]))
+    return told.filter("turned").select("id", "file_hash", "filename", "error_message")
 
 
-@query("st7_stuck_stages")
+@query("st7_stuck_stages", f"""WITH {AUDIT}, l AS (SELECT *, lead(ts) OVER (PARTITION BY file_hash, stage ORDER BY ts, id) AS until, max(ts) OVER () AS now FROM audit)
+  SELECT id, file_hash, stage, {TS.format('ts')} AS since FROM l WHERE status = 'started' AND least(coalesce(until, now), now) >= ts + INTERVAL 10 MINUTE""")
 def _(t: Tables):
-    found = jobs.with_rocks(t.spark, lambda: jobs.collect_stream(jobs.stuck_stages(audit_stream(t)), t.spark))
-    return found.select("file_hash", "stage", ts_text("since").alias("since"))
+    spells = jobs.with_rocks(t.spark, lambda: jobs.collect_updates(jobs.stage_spells(audit_stream(t)), t.spark, ["id"]))
+    return texts(jobs.stuck_stages(spells, t.as_of(t.audit(), "ts")), "since")
 
 
 @query("st8_pattern_counts", f"WITH {CORRECTIONS} SELECT predicted_category, actual_category, count(*) AS occurrence_count, {TS.format('max(ts)')} AS last_seen FROM corrections GROUP BY 1, 2")
@@ -100,7 +101,7 @@ def _(t: Tables):
         return batch.groupBy("sha256").agg(F.count("*").alias("copies"))
 
     jobs.drain_to_index(source, t.spark, f"{folder}/index", f"{folder}/state", prepare)
-    return jobs.read_index(t.spark, f"{folder}/index", "sha256")
+    return jobs.read_sums(t.spark, f"{folder}/index", ["sha256"], ["copies"])
 
 
 @query("st11_worker_activity", f"""WITH {AUDIT} SELECT {TS.format("date_trunc('hour', ts)")} AS hour, worker_type, worker_id, count(*) AS jobs_processed, count(*) FILTER (status = 'completed') AS successful,
@@ -113,7 +114,8 @@ def _(t: Tables):
   s AS (SELECT *, sum(fresh) OVER (PARTITION BY worker_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
   SELECT worker_id, {TS.format('min(ts)')} AS session_start, count(*) AS jobs FROM s GROUP BY worker_id, n""")
 def _(t: Tables):
-    return texts(jobs.worker_sessions(t.audit()), "session_start").select("worker_id", "session_start", "jobs")
+    sessions = jobs.collect_complete(jobs.worker_sessions(audit_stream(t)), t.spark)
+    return texts(sessions, "session_start").select("worker_id", "session_start", "jobs")
 
 
 @query("s18_sink_by_queue", f"WITH {AUDIT} SELECT queue_name, count(*) AS rows FROM audit GROUP BY 1")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 from ..functions import chunking, headers, naming, quality, scoring, text
 from ..functions.evidence import cited_ordinals, evidence_from_metadata, merge_evidence
-from ..functions.lookup import inverted
 from ..functions.pii import mask_pii, pii_counts
 from ..functions.vectors import cosine
 from ..operators import classify, search
@@ -173,7 +172,7 @@ EXT = "lower(ltrim(extension, '.'))"
 MIME_ARMS = " ".join(f"WHEN {'contains' if how == 'contains' else 'starts_with'}(lower(content_type), '{n}') THEN '{kind}'" for how, n, kind in V.MIME_SOURCE_TYPES)
 
 
-@query("c12_source_type", f"""WITH {FILES} SELECT id, CASE {MIME_ARMS} ELSE {sql_map(inverted(V.EXTENSION_SOURCE_TYPES), EXT, "'text_file'")} END AS source_type FROM files""")
+@query("c12_source_type", f"""WITH {FILES} SELECT id, CASE {MIME_ARMS} ELSE {sql_map(V.EXTENSION_SOURCE_TYPES, EXT, "'text_file'")} END AS source_type FROM files""")
 def _(t: Tables):
     return t.files().select("id", scoring.source_type(F.col("content_type"), F.col("extension")).alias("source_type"))
 
@@ -206,7 +205,7 @@ def sql_priority(weights, keywords, submit: bool) -> str:
     age = "epoch_us((SELECT max(ingested_at) FROM files)) - epoch_us(ingested_at)"
     words = " OR ".join(f"contains(lower(original_filename), '{k}')" for k in keywords)
     base = (f"50 + CASE WHEN {age} < 3600000000 THEN 30 WHEN {age} < 86400000000 THEN 20 WHEN {age} < 604800000000 THEN 10 ELSE 0 END "
-            f"+ {sql_map(inverted(weights), EXT, '0')} + CASE WHEN {words} THEN 15 ELSE 0 END")
+            f"+ {sql_map(weights, EXT, '0')} + CASE WHEN {words} THEN 15 ELSE 0 END")
     mb = 1048576
     if submit:
         return (f"(SELECT least(100, greatest(0, CASE WHEN file_size_bytes > {500 * mb} THEN greatest(b - 20, 0) ELSE b END)) FROM "
@@ -247,15 +246,30 @@ def _(t: Tables):
     return jobs.orderBy(F.desc("priority"), "ingested_at", "id").limit(100).drop("ingested_at")
 
 
-@query("j7_routing", f"""WITH {FILES}, p AS (SELECT id, {sql_map(inverted(V.QUEUE_EXTENSIONS), EXT, "'extract:documents'")} AS queue,
-    {sql_map(inverted(V.PARSER_EXTENSIONS), EXT, "'tika'")} AS parser FROM files)
+ROUTER_SQL = f"CASE WHEN {EXT} IN ({sql_list(V.ROUTER_DOCUMENTS)}) THEN 'extract:documents' ELSE {sql_map(V.ROUTER_QUEUES, EXT, "'extract:unknown'")} END"
+
+
+@query("j7_routing", f"""WITH {FILES}, p AS (SELECT id, {sql_map(V.SUBMIT_QUEUES, EXT, "'extract:documents'")} AS queue, {ROUTER_SQL} AS router_queue,
+    {sql_map(V.EXTENSION_PARSERS, EXT, "'tika'")} AS parser FROM files)
   SELECT *, CASE parser WHEN 'docling' THEN 'docling,tika' WHEN 'surya' THEN 'surya,tika' ELSE parser END AS chain FROM p""")
 def _(t: Tables):
     ext = F.col("extension")
-    return t.files().select("id", scoring.extract_queue(ext).alias("queue"), scoring.parser(ext).alias("parser"), scoring.parser_chain(ext).alias("chain"))
+    return t.files().select("id", scoring.submit_queue(ext).alias("queue"), scoring.router_queue(ext).alias("router_queue"), scoring.parser(ext).alias("parser"), scoring.parser_chain(ext).alias("chain"))
+
+
+ROUTED = [*V.ROUTER_DOCUMENTS, *V.ROUTER_QUEUES, "no such format"]
+
+
+@query("j7_router_formats", f"""WITH f AS (SELECT doc_id, [{sql_list(ROUTED)}][doc_id % {len(ROUTED)} + 1] AS extension FROM documents)
+  SELECT doc_id, extension, {ROUTER_SQL} AS queue FROM f""")
+def _(t: Tables):
+    """Every format of the router's table in turn, over all documents."""
+    formats = F.array(*map(F.lit, ROUTED))
+    docs = t.docs.select("doc_id", F.get(formats, (F.col("doc_id") % len(ROUTED)).cast("int")).alias("extension"))
+    return docs.withColumn("queue", scoring.router_queue(F.col("extension")))
 
 
-@query("a26_routing_counts", f"""WITH {FILES} SELECT {sql_map(inverted(V.PARSER_EXTENSIONS), EXT, "'tika'")} AS parser, count(*) AS files,
+@query("a26_routing_counts", f"""WITH {FILES} SELECT {sql_map(V.EXTENSION_PARSERS, EXT, "'tika'")} AS parser, count(*) AS files,
   string_agg(DISTINCT extension, ',' ORDER BY extension) AS extensions FROM files GROUP BY 1""")
 def _(t: Tables):
     return t.files().groupBy(scoring.parser(F.col("extension")).alias("parser")).agg(
@@ -545,13 +559,13 @@ def _(t: Tables):
     return search.facet_values(results(t))
 
 
-@query("p13_source_types", f"""WITH {RESULTS} SELECT id, {sql_map(inverted(V.RESULT_SOURCE_TYPES), EXT, "'document'")} AS source_type FROM results
-  WHERE {sql_map(inverted(V.RESULT_SOURCE_TYPES), EXT, "'document'")} IN ('video', 'audio') ORDER BY uploaded_at DESC, id LIMIT 20""")
+@query("p13_source_types", f"""WITH {RESULTS} SELECT id, {sql_map(V.RESULT_SOURCE_TYPES, EXT, "'document'")} AS source_type FROM results
+  WHERE {sql_map(V.RESULT_SOURCE_TYPES, EXT, "'document'")} IN ('video', 'audio') ORDER BY uploaded_at DESC, id LIMIT 20""")
 def _(t: Tables):
     return search.of_source_types(results(t), ["video", "audio"], [F.desc("uploaded_at"), F.col("id")], 20).select("id", "source_type")
 
 
-@query("p17_source_records", f"""WITH {FILES}, h AS (SELECT *, {sql_map(inverted(V.HIT_SOURCE_TYPES), EXT, "'text'")} AS type FROM files)
+@query("p17_source_records", f"""WITH {FILES}, h AS (SELECT *, {sql_map(V.HIT_SOURCE_TYPES, EXT, "'text'")} AS type FROM files)
   SELECT id, type, CASE WHEN language = 'en' THEN original_filename WHEN language = 'de' THEN current_filename ELSE 'Document ' || (id + 1) END AS filename,
     CASE WHEN status = 'indexed' THEN current_path ELSE '' END AS path, CASE WHEN status = 'indexed' THEN regexp_extract(current_path, '^(.*)/[^/]*$', 1) END AS folder, extension AS file_extension,
     CASE WHEN language = 'fr' THEN round(confidence, 6) ELSE least(99, greatest(70, 100 - id * 3))::DOUBLE END AS confidence, substr(extracted_text, 1, 500) AS excerpt,
@@ -569,8 +583,8 @@ def _(t: Tables):
 
 @query("p18_index_rows", f"""WITH {FILES} SELECT id, epoch(ingested_at)::BIGINT AS file_created_timestamp, year(ingested_at) AS year_created, month(ingested_at) AS month_created,
   isodow(ingested_at) - 1 AS weekday_created, hour(ingested_at) AS hour_created, author || ' ' || language || ' ' || category AS entities_flat,
-  {sql_map(inverted(V.INDEX_SOURCE_TYPES), EXT, "'other'")} AS source_type,
-  '[SOURCE: Type: ' || {sql_map(inverted(V.INDEX_SOURCE_TYPES), EXT, "'other'")} || ' | File: ' || original_filename || ' | Category: ' || category || ' | Confidence: ' || round(confidence * 100)::BIGINT || '%]'
+  {sql_map(V.INDEX_SOURCE_TYPES, EXT, "'other'")} AS source_type,
+  '[SOURCE: Type: ' || {sql_map(V.INDEX_SOURCE_TYPES, EXT, "'other'")} || ' | File: ' || original_filename || ' | Category: ' || category || ' | Confidence: ' || round(confidence * 100)::BIGINT || '%]'
     || chr(10) || extracted_text || chr(10) || '[/SOURCE]' AS extracted_text FROM files""")
 def _(t: Tables):
     entities = F.create_map(F.lit("org"), F.array("author", "language"), F.lit("topic"), F.array("category"))

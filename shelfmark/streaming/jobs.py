@@ -11,13 +11,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType, TimestampType
 
 from .. import fixed_values as V
 from ..functions.pii import mask_pii
-from ..functions.scoring import classify_error, extract_queue, router_path, router_priority
+from ..functions.scoring import classify_error, router_path, router_priority, router_queue
 from ..operators.grouping import latest_per_key
 from ..session import checkpoint_dir
 from ..sources import queues
@@ -38,7 +37,7 @@ def route_jobs(jobs: DataFrame, as_of: Column | None = None) -> DataFrame:
     priority = router_priority(F.col("filename"), F.col("extension"), F.col("size"), F.col("modified"), now)
     routed = jobs.withColumn("priority", priority).withColumn(
         "processing_path", router_path(F.col("extension"), F.col("size"), F.col("priority")))
-    return routed.withColumn("queue", extract_queue(F.col("extension")))
+    return routed.withColumn("queue", router_queue(F.col("extension")))
 
 
 def once_per_job(jobs: DataFrame, key: str = "id", ts: str = "ts") -> DataFrame:
@@ -74,106 +73,107 @@ def pattern_counts(corrections: DataFrame) -> DataFrame:
         F.count("*").alias("occurrence_count"), F.max("ts").alias("last_seen"))
 
 
-class RetryCounter(StatefulProcessor):
-    """Counts the failures of a job; retryable ones go back while fewer than three attempts were made."""
+class KeyHistory(StatefulProcessor):
+    """Keeps the rows of a key in the order of (ts, id), whatever batches they come in, and reports every row whose outcome
+    is new or has changed. The latest report of each id is the result, so it depends neither on the slicing of the
+    input nor on the order of arrival; a row delivered twice counts once. The state holds a key's rows: one file's, or one
+    stage's of it."""
+
+    CARRIED: str
+    OUTCOME: str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._attempts = handle.getValueState("attempts", StructType([StructField("n", IntegerType())]), ttlDurationMs=None)
+        self._rows = handle.getListState("rows", f"ts timestamp, id long, {self.CARRIED}, reported string")
+
+    def outcomes(self, rows: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = self._attempts.get()[0] if self._attempts.exists() else 0
-        for batch in rows:
-            batch = batch.sort_values(["ts", "id"])
-            attempts = range(n + 1, n + len(batch) + 1)
-            n += len(batch)
-            again = [bool(r) and a <= V.MAX_RETRIES for r, a in zip(batch["retry"], attempts)]
-            yield pd.DataFrame({"id": batch["id"].to_numpy(), "file_hash": batch["file_hash"].to_numpy(), "stage": batch["stage"].to_numpy(),
-                                "attempt": list(attempts), "error_type": batch["error_type"].to_numpy(),
-                                "decision": ["retry" if a else "dead_letter" for a in again]})
-        self._attempts.update((n,))
+        names = ["ts", "id", *(c.split()[0] for c in self.CARRIED.split(", "))]
+        new = pd.concat(list(rows))[names].assign(reported=None)
+        old = pd.DataFrame(list(self._rows.get()) if self._rows.exists() else [], columns=[*names, "reported"]).astype({"ts": new["ts"].dtype})
+        merged = (pd.concat([old, new]) if len(old) else new).drop_duplicates("id").sort_values(["ts", "id"], ignore_index=True)
+        found = self.outcomes(merged)
+        said = [str(t) for t in found.itertuples(index=False, name=None)]
+        changed = [a != b for a, b in zip(said, merged["reported"])]
+        merged["reported"] = said
+        plain = merged.astype(object).where(merged.notna(), None)
+        plain["ts"] = [t.to_pydatetime() for t in merged["ts"]]
+        self._rows.put(list(plain.itertuples(index=False, name=None)))
+        out = pd.concat([merged[["id"]].assign(**{n: k for n, k in zip(self.KEYS, key)}), merged[names[2:]], found], axis=1)[changed]
+        yield out[[c.split()[0] for c in self.output().split(", ")]]
+
+    @classmethod
+    def output(cls) -> str:
+        return ", ".join(["id long", *(f"{k} string" for k in cls.KEYS), cls.CARRIED, cls.OUTCOME])
 
     def close(self) -> None:
         pass
 
 
-RETRY_OUT = "id long, file_hash string, stage string, attempt int, error_type string, decision string"
+def _follow(rows: DataFrame, history: type[KeyHistory]) -> DataFrame:
+    kept = rows.select("id", "ts", *history.KEYS, *(c.split()[0] for c in history.CARRIED.split(", ")))
+    return kept.groupBy(*history.KEYS).transformWithStateInPandas(history(), history.output(), outputMode="update", timeMode="None")
+
+
+class RetryCounter(KeyHistory):
+    """Counts the failures of a stage; retryable ones go back while fewer than three attempts were made."""
 
+    KEYS = ("file_hash", "stage")
+    CARRIED = "error_type string, retry boolean"
+    OUTCOME = "attempt int, decision string"
 
-def retry_or_dead(audit: DataFrame, mode: str = "append") -> DataFrame:
-    """Decision for each failed attempt of a file's stage: retry, or dead letter with its error class."""
+    def outcomes(self, rows: pd.DataFrame) -> pd.DataFrame:
+        attempt = pd.Series(range(1, len(rows) + 1), dtype="int32")
+        again = rows["retry"].astype(bool) & (attempt <= V.MAX_RETRIES)
+        return pd.DataFrame({"attempt": attempt, "decision": again.map({True: "retry", False: "dead_letter"})})
+
+
+def retry_or_dead(audit: DataFrame) -> DataFrame:
+    """Decision for each failed attempt of a file's stage: retry, or dead letter with its error class. An updating stream of
+    reports; the latest per id counts."""
     failed = audit.filter(F.col("status") == "failed").withColumn("_c", classify_error(F.col("error_message"))).select(
         "id", "file_hash", "stage", "ts", F.col("_c.error_type").alias("error_type"), F.col("_c.retry").alias("retry"))
-    return failed.groupBy("file_hash", "stage").transformWithStateInPandas(
-        RetryCounter(), RETRY_OUT, outputMode=mode, timeMode="None")
+    return _follow(failed, RetryCounter)
 
 
-class ErrorTransition(StatefulProcessor):
-    """Remembers the last status of a file and reports each change into ``failed``."""
+class ErrorTransition(KeyHistory):
+    """Tells for each status of a file whether the file turned into ``failed`` with it."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", StructType([StructField("status", StringType())]), ttlDurationMs=None)
+    KEYS = ("file_hash",)
+    CARRIED = "filename string, status string, error_message string"
+    OUTCOME = "turned boolean"
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self._last.get()[0] if self._last.exists() else ""
-        for batch in rows:
-            batch = batch.sort_values(["ts", "id"])
-            before = [last, *batch["status"].tolist()[:-1]]
-            last = batch["status"].iloc[-1] if len(batch) else last
-            turned = [s == "failed" and b != "failed" for s, b in zip(batch["status"], before)]
-            hit = batch[turned]
-            yield pd.DataFrame({"id": hit["id"], "file_hash": hit["file_hash"], "filename": hit["filename"], "error_message": hit["error_message"]})
-        self._last.update((last,))
-
-    def close(self) -> None:
-        pass
+    def outcomes(self, rows: pd.DataFrame) -> pd.DataFrame:
+        failed = rows["status"] == "failed"
+        return pd.DataFrame({"turned": failed & ~failed.shift(fill_value=False)})
 
 
-def quarantine_on_error(audit: DataFrame, mode: str = "append") -> DataFrame:
-    """Quarantine rows for files whose status turns into ``failed``."""
-    out = "id long, file_hash string, filename string, error_message string"
-    kept = audit.select("id", "file_hash", "filename", "status", "ts", "error_message")
-    return kept.groupBy("file_hash").transformWithStateInPandas(ErrorTransition(), out, outputMode=mode, timeMode="None")
+def quarantine_on_error(audit: DataFrame) -> DataFrame:
+    """Reports of status rows; those whose latest report has ``turned`` are the files to quarantine."""
+    return _follow(audit, ErrorTransition)
 
 
-class StuckStage(StatefulProcessor):
-    """Sets a timer when a stage starts and reports it unless it ends within ten minutes."""
+class StuckStage(KeyHistory):
+    """Tells for each row of a stage when the next one came."""
 
-    WAIT_MS = 10 * 60 * 1000
+    KEYS = ("file_hash", "stage")
+    CARRIED = "status string"
+    OUTCOME = "since timestamp, until timestamp"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._open = handle.getValueState("open", StructType([StructField("since", TimestampType())]), ttlDurationMs=None)
+    def outcomes(self, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"since": rows["ts"], "until": rows["ts"].shift(-1)})
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last_status, last_ts = None, None
-        for batch in rows:
-            top = batch.sort_values(["ts", "id"]).iloc[-1]
-            if last_ts is None or top["ts"] >= last_ts:
-                last_status, last_ts = top["status"], top["ts"]
-        for timer in list(self._handle.listTimers()):
-            self._handle.deleteTimer(timer)
-        if last_status == "started":
-            self._open.update((last_ts.to_pydatetime(),))
-            self._handle.registerTimer(int(last_ts.timestamp() * 1000) + self.WAIT_MS)
-        else:
-            self._open.clear()
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self._open.exists():
-            since = self._open.get()[0]
-            self._open.clear()
-            yield pd.DataFrame({"file_hash": [key[0]], "stage": [key[1]], "since": pd.to_datetime([since])})
 
-    def close(self) -> None:
-        pass
+def stage_spells(audit: DataFrame) -> DataFrame:
+    """Reports of stage rows with the time of the row after; the latest per id counts."""
+    return _follow(audit, StuckStage)
 
 
-def stuck_stages(audit: DataFrame) -> DataFrame:
-    """Stages still open ten minutes of event time after they started."""
-    kept = audit.select("id", "file_hash", "stage", "status", "ts").withWatermark("ts", WATERMARK)
-    return kept.groupBy("file_hash", "stage").transformWithStateInPandas(
-        StuckStage(), "file_hash string, stage string, since timestamp", outputMode="append", timeMode="EventTime")
+def stuck_stages(spells: DataFrame, as_of: Column, wait: str = "10 minutes") -> DataFrame:
+    """Starts after which nothing came for ten minutes, as known at ``as_of``."""
+    due = F.col("since") + F.expr(f"INTERVAL {wait}")
+    return spells.filter((F.col("status") == "started") & (F.least(F.coalesce("until", as_of), as_of) >= due)).select("id", "file_hash", "stage", "since")
 
 
 def extract_batch(batch: DataFrame) -> DataFrame:
@@ -203,6 +203,28 @@ def collect_updates(stream: DataFrame, spark: SparkSession, keys: list[str]) ->
     return latest_per_key(versions, keys, F.col("version")).drop("version")
 
 
+def collect_complete(stream: DataFrame, spark: SparkSession) -> DataFrame:
+    """Run an aggregating stream over all available input; the whole result after the last batch."""
+    folder = run_folder(spark)
+    batches = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/version={number}")
+        batches.append(number)
+
+    queues.write_batches(stream, f"{folder}/state", keep, mode="complete").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/version={max(batches)}")
+
+
+def late_rows(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK) -> DataFrame:
+    """Number of rows that came later than the delay behind the newest row of the batches before theirs. Rows carry the number
+    of their batch in column batch; batches are few."""
+    newest = rows.groupBy("batch").agg(F.max(ts).alias("newest"))
+    before = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    limits = newest.select("batch", (F.max("newest").over(before) - F.expr(f"INTERVAL {delay}")).alias("limit"))
+    return rows.join(F.broadcast(limits), "batch").agg(F.count_if(F.col(ts) < F.col("limit")).alias("late_rows"), F.count("*").alias("rows"))
+
+
 def drain_to_index(stream: DataFrame, spark: SparkSession, index: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame]) -> None:
     """Write each micro-batch to its own folder of the index, after preparing it. A repeated batch
     overwrites itself, and offsets move on only after success."""
@@ -213,10 +235,16 @@ def drain_to_index(stream: DataFrame, spark: SparkSession, index: str, checkpoin
 
 
 def read_index(spark: SparkSession, index: str, key: str) -> DataFrame:
-    """Latest row per key of a drained index."""
+    """Latest row per key of a drained index: for rows that are whole in themselves (snapshots). What a batch has only
+    counted or summed needs ``read_sums``."""
     return latest_per_key(spark.read.parquet(index), [key], F.col("batch")).drop("batch")
 
 
+def read_sums(spark: SparkSession, index: str, keys: list[str], sums: list[str]) -> DataFrame:
+    """Additive values of a drained index, summed over its batches."""
+    return spark.read.parquet(index).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))
+
+
 def watch_inbox(spark: SparkSession, folder: str, per_batch: int = 100) -> DataFrame:
     """Files of a folder as they appear, with their bytes."""
     return (spark.readStream.format("binaryFile").option("maxFilesPerTrigger", per_batch).option("recursiveFileLookup", True)
