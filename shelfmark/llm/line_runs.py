@@ -45,16 +45,14 @@ def _position(prefix: str = "") -> Column:
 
 
 def levels_of(lines: DataFrame) -> list:
-    """Level k: (d, copy, p, rank, words, later) of the suffixes whose first 2**k lines are found elsewhere too; later: found at an earlier
-    position. Ends at the first level without rows."""
+    """Level k: (d, copy, p, rank, words, first) of the suffixes whose first 2**k lines are found elsewhere too; first is the earliest position
+    with the same lines and so names the interval. Ends at the first level without rows."""
     levels = []
     keys, columns = lines, ["id1", "id2"]
     while True:
-        groups = keys.groupBy(*columns).agg(F.count("*").alias("n"), F.min(_position()).alias("first")).where("n > 1")
-        ranks = write_table(_ranked(groups.drop("n"), columns))
-        found = keys.join(ranks.frame, columns).select(*AT, "rank", "words", (_position() > F.col("first")).alias("later"))
+        groups = keys.groupBy(*columns).agg(F.count("*").alias("n"), F.min(_position()).alias("first")).where("n > 1").drop("n")
+        found = keys.join(_ranked(groups, columns), columns).select(*AT, "rank", "words", "first")
         level = write_table(found if levels else found.distinct())  # rows that repeat are one document
-        drop_table(ranks)
         if level.frame.isEmpty():
             drop_table(level)
             return levels
@@ -65,64 +63,47 @@ def levels_of(lines: DataFrame) -> list:
         columns = ["rank1", "rank2"]
 
 
-def _narrow(asking: DataFrame, members: DataFrame, level: DataFrame, step: int) -> tuple:
-    """One step of the descent. asking and members: (d, copy, p, length, name, words), all positions with the same first `length` lines having one name.
-    An asking suffix grows by `step` lines if a member that comes earlier has the same next `step` lines."""
+def _narrow(state: DataFrame, level: DataFrame, step: int) -> DataFrame:
+    """One step of the descent. state: (d, copy, p, length, name, words, asks), name being the earliest position with the same first `length` lines.
+    An asking suffix grows by `step` lines if a member that comes earlier has the same next `step` lines; members follow whoever asks."""
     block = level.select(*DOC, F.col("p").alias("at"), F.col("rank").alias("r"), F.col("words").alias("more"))
-
-    def ahead(rows: DataFrame, how: str) -> DataFrame:
-        return rows.withColumn("at", F.col("p") + F.col("length")).join(block, [*DOC, "at"], how).drop("at")
-
-    grown = ["length", "name", "r"]
-    members_ahead = write_table(ahead(members, "inner"))
-    groups = write_table(members_ahead.frame.groupBy(*grown).agg(F.count("*").alias("n"), F.min(_position()).alias("first")).where("n > 1").drop("n")
-                         .withColumn("named", F.monotonically_increasing_id()))
-    found = ahead(asking, "left").join(groups.frame, grown, "left")
+    ahead = state.withColumn("at", F.col("p") + F.col("length")).join(block, [*DOC, "at"], "left").drop("at")
+    members, interval, grown = ahead.where("NOT asks"), ["length", "name"], ["length", "name", "r"]
+    groups = members.where("r IS NOT NULL").groupBy(*grown).agg(F.count("*").alias("n"), F.min(_position()).alias("first")).where("n > 1").drop("n")
+    found = ahead.where("asks").join(groups, grown, "left")
     accepts = F.coalesce(_position() > F.col("first"), F.lit(False))
-    asked = write_table(found.select(*AT, F.when(accepts, F.col("length") + step).otherwise(F.col("length")).alias("length"),
-                                     F.when(accepts, F.col("named")).otherwise(F.col("name")).alias("name"),
-                                     F.when(accepts, F.col("words") + F.col("more")).otherwise(F.col("words")).alias("words"), accepts.alias("grew")))
-    # members follow whoever asks: those that grew and those that did not
-    grown_members = members_ahead.frame.join(groups.frame.drop("first"), grown).select(
-        *AT, (F.col("length") + step).alias("length"), F.col("named").alias("name"), F.lit(True).alias("grew"))
-    needed = asked.frame.select("length", "name", "grew").distinct()
-    same = members.select(*AT, "length", "name", F.lit(False).alias("grew"))
-    followed = write_table(same.unionByName(grown_members).join(needed, ["length", "name", "grew"], "left_semi").drop("grew"))
-    for table in (members_ahead, groups):
-        drop_table(table)
-    return asked, followed
+    asked = found.select(*AT, F.when(accepts, F.col("length") + step).otherwise(F.col("length")).alias("length"),
+                         F.when(accepts, F.col("first")).otherwise(F.col("name")).alias("name"),
+                         F.when(accepts, F.col("words") + F.col("more")).otherwise(F.col("words")).alias("words"), F.lit(True).alias("asks"))
+    needed = asked.select(*interval).distinct()
+    longer = members.join(groups, grown).select(*AT, (F.col("length") + step).alias("length"), F.col("first").alias("name"))
+    followed = members.select(*AT, *interval).unionByName(longer).join(needed, interval, "left_semi")
+    return asked.unionByName(followed.select("*", F.lit(0).alias("words"), F.lit(False).alias("asks")))
 
 
 def repeated_runs(lines: DataFrame) -> DataFrame:
     """(d, copy, p, length, words): for every suffix with an earlier twin, the longest run from here that occurred before."""
     levels = levels_of(lines)
-    asking = members = None
-    tables: list = []
+    state = None
     for k in reversed(range(len(levels))):
         level = levels[k].frame
-        if asking is not None:
-            new_tables = _narrow(asking, members, level, 1 << k)
-            for table in tables:
-                drop_table(table)
-            tables = list(new_tables)
-            asking, members = tables[0].frame.drop("grew"), tables[1].frame
-        # suffixes whose deepest power of two with an earlier twin is this level join the descent
-        mine = level.where("later")
-        if asking is not None:
-            mine = mine.join(asking.select(*AT), AT, "left_anti")
-        mine = mine.select(*AT, F.lit(1 << k).alias("length"), F.col("rank").alias("name"), "words")
-        theirs = level.join(mine.select(F.col("name").alias("rank")).distinct(), "rank", "left_semi").select(
-            *AT, F.lit(1 << k).alias("length"), F.col("rank").alias("name"))
-        joined = (write_table(mine if asking is None else asking.unionByName(mine)), write_table(theirs if members is None else members.unionByName(theirs)))
-        for table in tables:
-            drop_table(table)
-        tables = list(joined)
-        asking, members = tables[0].frame, tables[1].frame
+        # suffixes whose deepest power of two with an earlier twin is this level join the descent, with their interval's members
+        twins = level.where(_position() > F.col("first"))
+        if state is not None:
+            twins = twins.join(state.frame.where("asks").select(*AT), AT, "left_anti")
+        mine = twins.select(*AT, F.lit(1 << k).alias("length"), F.col("first").alias("name"), "words", F.lit(True).alias("asks"))
+        theirs = level.join(mine.select(F.col("name").alias("first")).distinct(), "first", "left_semi").select(
+            *AT, F.lit(1 << k).alias("length"), F.col("first").alias("name"), F.lit(0).alias("words"), F.lit(False).alias("asks"))
+        new = mine.unionByName(theirs)
+        joined = write_table(new if state is None else _narrow(state.frame, level, 1 << k).unionByName(new))
+        if state is not None:
+            drop_table(state)
+        state = joined
     for level in levels:
         drop_table(level)
-    if asking is None:
+    if state is None:
         return lines.select(*AT, F.col("p").alias("length"), "words").limit(0)
-    return asking.drop("name")
+    return state.frame.where("asks").drop("asks", "name")
 
 
 def maximal(runs: DataFrame) -> DataFrame:
