@@ -17,6 +17,7 @@ import struct
 import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from typing import Any
 from urllib.parse import quote, unquote
 
@@ -126,13 +127,8 @@ def _write_task(batches: Iterator[pa.RecordBatch], folder: str, limit: int) -> I
     first = next(rest, None)
     while first is not None:
         name = f"{path}/{uuid.uuid4().hex}.wacz"
-
-        def with_first(first=first):
-            yield first
-            yield from rest
-
         with store.open_output_stream(name) as stream:
-            n, size = write_package(stream, with_first(), limit)
+            n, size = write_package(stream, chain((first,), rest), limit)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n]), pa.array([size])], ["package", "n_records", "bytes"])
         first = next(rest, None)
 
