@@ -22,14 +22,11 @@ def unescape(text: Column) -> Column:
     """Decode named and numeric character references in one pass over the pieces between ampersands."""
 
     def piece(part: Column, i: Column) -> Column:
-        ref = F.regexp_extract(part, r"^(#[0-9]{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z][A-Za-z0-9]*);", 1)
+        ref = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
         decimal = F.regexp_extract(ref, r"^#([0-9]+)$", 1)
         hexa = F.regexp_extract(ref, r"^#[xX]([0-9a-fA-F]+)$", 1)
-        decoded = (
-            F.when(decimal != "", code_point(decimal.cast("bigint")))
-            .when(hexa != "", code_point(F.conv(hexa, 16, 10).cast("bigint")))
-            .otherwise(lookup(ref, ENTITY_NAMES))
-        )
+        number = F.when(decimal != "", decimal.cast("bigint")).when(hexa != "", F.conv(hexa, 16, 10).cast("bigint"))
+        decoded = F.when(number.isNull(), lookup(ref, ENTITY_NAMES)).when(number <= 0x10FFFF, code_point(number))
         rest = F.substr(part, F.length(ref) + F.lit(2))
         return F.when(i == 0, part).when(decoded.isNotNull(), F.concat(decoded, rest)).otherwise(
             F.concat(F.lit("&"), part))

@@ -33,7 +33,7 @@ def trail_of(audit: DataFrame, file_hash: str) -> DataFrame:
 def stage_status(audit: DataFrame) -> DataFrame:
     """Latest status of every stage of a file as a map, with first and last time and total milliseconds."""
     per_stage = audit.groupBy("file_hash", "filename", "stage").agg(
-        F.max_by("status", "ts").alias("status"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_updated"),
+        F.max_by("status", F.struct("ts", "id")).alias("status"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_updated"),
         F.sum("processing_time_ms").alias("ms"))
     return per_stage.groupBy("file_hash", "filename").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "status")))).alias("stages"),

@@ -89,7 +89,7 @@ def similar_names(names: DataFrame, ratio: float = V.ENTITY_RATIO, column: str =
     return candidates.withColumn("ratio", name_ratio("la", "lb")).filter(F.col("ratio") >= ratio).select("a", "b", "ratio")
 
 
-def merge_entities(names: DataFrame, ratio: float = V.ENTITY_RATIO, column: str = "name", max_rounds: int = 200) -> DataFrame:
+def merge_entities(names: DataFrame, ratio: float = V.ENTITY_RATIO, column: str = "name") -> DataFrame:
     """Greedy clusters in sorted order (name, leader, winner): a name joins the first earlier leader it
     resembles, else it leads. The winner is the longest name of the cluster.
 
@@ -100,7 +100,7 @@ def merge_entities(names: DataFrame, ratio: float = V.ENTITY_RATIO, column: str
     later = edges.select(F.col("b").alias("name")).distinct().withColumn("_later", F.lit(True))
     state = plain.join(later, "name", "left").select("name", F.when(F.col("_later"), "open").otherwise("leader").alias("status"))
     state = cut_lineage(state)
-    for _ in range(max_rounds):
+    while True:  # every round settles a name at least: that with the earliest open predecessors
         if state.filter("status = 'open'").isEmpty():
             break
         before = edges.join(state.select(F.col("name").alias("a"), "status"), "a").groupBy(F.col("b").alias("name")).agg(

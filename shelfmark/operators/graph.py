@@ -78,7 +78,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, alpha: float
     """PageRank (id, rank) by repeated joins; nodes without out-edges spread their rank evenly.
 
     Each round joins the ranks (unique per node) to the edges and adds up per target, so hubs are
-    reduced before the shuffle. Ranks are cut from their lineage with reliable checkpoints."""
+    reduced before the shuffle. Each round is one written table."""
     degree = edges.groupBy("src").agg(F.count("*").alias("_deg"))
     links = cut_lineage(edges.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("_deg")).alias("share")))
     start = nodes.select("id").distinct().join(degree.select(F.col("src").alias("id"), F.lit(True).alias("_out")), "id", "left")
@@ -107,7 +107,7 @@ def top_ranked(ranks: DataFrame, nodes: DataFrame, top: int = 20) -> DataFrame:
     return ordered.orderBy(F.desc("rank"), "id").limit(top)
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 100) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Least total weight from each source to every node it reaches (source, node, distance, path).
 
     Only nodes whose distance fell in the last round are extended; the loop ends when none did."""
@@ -115,7 +115,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, max_rounds: int = 100)
                                       F.array("id").alias("path")).distinct())
     links = cut_lineage(edges.groupBy(F.col("src").alias("node"), "dst").agg(F.min("weight").alias("weight")))
     frontier = best
-    for _ in range(max_rounds):
+    while True:
         steps = frontier.join(links, "node").select(
             "source", F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"),
             F.concat("path", F.array("dst")).alias("path"))

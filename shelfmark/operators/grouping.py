@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-PART_SIZE = 1000
-
 
 def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """Last row of each key by ``order``. An aggregate, so rows are reduced before the shuffle."""
@@ -14,24 +12,12 @@ def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return best.select("_row.*")
 
 
-def concat_in_parts(df: DataFrame, keys: list[str], order: list[str], joined: dict[str, tuple[str, str]],
-                    size: int = PART_SIZE, count: str | None = None) -> DataFrame:
-    """Join the values of each group in order. ``joined`` maps an output name to (column, separator).
-
-    A group of up to ``size`` rows gives one row with ``part`` 0. A larger one continues on further
-    rows, so no task ever holds a whole hot group and nothing is left out. ``count`` names a column that
-    already holds the size of the row's group."""
-    if count:
-        counted = df.withColumn("_n", F.col(count))
-    else:
-        counted = df.join(df.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
-    blocks = F.ceil(F.col("_n") / size).cast("int")
-    part = F.when(F.col("_n") <= size, 0).otherwise(F.pmod(F.xxhash64(*order), blocks)).cast("int")
-    tagged = counted.withColumn("part", part)
+def concat_ordered(df: DataFrame, keys: list[str], order: list[str], joined: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row per group with the values of its rows joined in order. ``joined`` maps an output name to (column, separator);
+    ``group_rows`` counts. A group's result is one text, so it must fit a row; what is joined is all that is shuffled."""
     entries = F.array_sort(F.collect_list(F.struct(*order, *[F.col(c).alias(f"_{n}") for n, (c, _) in joined.items()])))
-    grouped = tagged.groupBy(*keys, "part").agg(F.first("_n").alias("group_rows"), entries.alias("_rows"))
-    return grouped.select(
-        *keys, "part", "group_rows", *[F.array_join(F.col("_rows")[f"_{n}"], sep).alias(n) for n, (_, sep) in joined.items()])
+    grouped = df.groupBy(*keys).agg(F.count("*").alias("group_rows"), entries.alias("_rows"))
+    return grouped.select(*keys, "group_rows", *[F.array_join(F.col("_rows")[f"_{n}"], sep).alias(n) for n, (_, sep) in joined.items()])
 
 
 def top_k_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..functions.naming import first_category
-from .grouping import concat_in_parts, latest_per_key
+from .grouping import concat_ordered, latest_per_key
 
 
 def active_files(files: DataFrame) -> DataFrame:
@@ -47,8 +47,7 @@ def duplicates(files: DataFrame, hash_col: str = "sha256", name: str = "original
     live = files.filter(~F.col("is_deleted")).select(hash_col, name, path)
     repeated = live.groupBy(hash_col).agg(F.count("*").alias("duplicate_count")).filter("duplicate_count > 1")
     copies = live.join(repeated, hash_col)
-    joined = concat_in_parts(copies, [hash_col, "duplicate_count"], [path], {"filenames": (name, " | "), "paths": (path, " | ")},
-                             count="duplicate_count")
+    joined = concat_ordered(copies, [hash_col, "duplicate_count"], [path], {"filenames": (name, " | "), "paths": (path, " | ")})
     return joined.drop("group_rows")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .grouping import concat_in_parts, previous_in_time
+from .grouping import concat_ordered, previous_in_time
 
 
 def quarantine_summary(log: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def repeated_failures(attempts: DataFrame) -> DataFrame:
         F.count("*").alias("attempt_count"), F.max("attempt_number").alias("max_attempts"),
         F.array_join(F.array_sort(F.collect_set("processing_stage")), ",").alias("failed_stages")).filter("attempt_count >= 2")
     messages = failed.select("sha256", "error_message").distinct()
-    joined = concat_in_parts(messages, ["sha256"], ["error_message"], {"errors": ("error_message", " | ")})
+    joined = concat_ordered(messages, ["sha256"], ["error_message"], {"errors": ("error_message", " | ")})
     return totals.join(joined.drop("group_rows"), "sha256")
 
 

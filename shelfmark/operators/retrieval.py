@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from .. import fixed_values as V
 from ..session import cut_lineage
@@ -34,12 +34,15 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     small = terms.count() <= SMALL_VOCABULARY
     if small:
         vocabulary, terms = F.broadcast(vocabulary), F.broadcast(terms)
-    lengths = cut_lineage(documents.select("id", F.size(tokens(F.col("text"))).alias("_len")))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("_len").alias("mean")).first()
+    # one scan of the texts: the corpus' numbers are observed while the postings, each with its document's length, are written
+    seen = Observation()
+    cut = (documents.select("id", tokens(F.col("text")).alias("_t")).select("id", "_t", F.coalesce(F.size("_t"), F.lit(0)).alias("_len"))
+           .observe(seen, F.count(F.lit(1)).alias("n"), F.avg("_len").alias("mean")))
+    asked = (cut.select("id", "_len", F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi")
+             .groupBy("id", "_len", "term").agg(F.count("*").alias("tf")))
+    postings = cut_lineage(asked)
+    corpus = seen.get
     n, mean = corpus["n"], corpus["mean"] or 1.0
-    asked = (documents.select("id", F.explode(tokens(F.col("text"))).alias("term")).join(vocabulary, "term", "left_semi")
-             .groupBy("id", "term").agg(F.count("*").alias("tf")))
-    postings = cut_lineage(asked.join(lengths, "id"))  # used twice; the texts are not read again
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = df.select("term", idf.alias("idf"))  # no larger than the vocabulary

@@ -9,7 +9,7 @@ from ..functions.lookup import parent_dir, suffix
 from ..functions.scoring import (date_bucket, extractor, hit_type, index_type, positional_confidence, result_type)
 from ..functions.headers import block_header
 from ..functions.text import snippet
-from .grouping import PART_SIZE, concat_in_parts, top_k_per
+from .grouping import concat_ordered, top_k_per
 
 
 def faceted(results: DataFrame, as_of: Column, types: list[str] = (), folders: list[str] = (), tags: list[str] = (),
@@ -74,12 +74,12 @@ def index_rows(files: DataFrame, created: str = "ingested_at") -> DataFrame:
 
 def merge_by_url(results: DataFrame, url: str = "url", position: str = "position", content: str = "content") -> DataFrame:
     """One row per URL at its first position, later contents appended after a blank line; rows without
-    URL pass through. A URL with very many results continues on further rows (``part``)."""
+    URL pass through. ``group_rows`` counts the results behind a row."""
     with_url = results.filter(F.coalesce(F.col(url), F.lit("")) != "")
     first = with_url.groupBy(url).agg(F.min(position).alias("first_position"))
-    merged = concat_in_parts(with_url, [url], [position], {content: (content, "\n\n")}).join(first, url)
+    merged = concat_ordered(with_url, [url], [position], {content: (content, "\n\n")}).join(first, url)
     alone = results.filter(F.coalesce(F.col(url), F.lit("")) == "").select(
-        url, F.lit(0).alias("part"), F.lit(1).cast("bigint").alias("group_rows"), content, F.col(position).alias("first_position"))
+        url, F.lit(1).cast("bigint").alias("group_rows"), content, F.col(position).alias("first_position"))
     return merged.unionByName(alone)
 
 
@@ -139,12 +139,11 @@ def snippets(files: DataFrame, text: str, size: int) -> DataFrame:
 
 
 def transcripts(messages: DataFrame) -> DataFrame:
-    """Chat history as ``User:``/``AI:`` lines, one row per chat and block of turns."""
+    """Chat history as ``User:``/``AI:`` lines, one row per chat."""
     speaker = F.when(F.col("role") == "assistant", "AI").otherwise("User")
-    lines = messages.select("conv_id", "turn", F.floor(F.col("turn") / PART_SIZE).cast("int").alias("part"),
-                            F.concat(speaker, F.lit(": "), "text").alias("line"))
-    return lines.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("_l")).select(
-        "conv_id", "part", F.array_join(F.col("_l.line"), "\n").alias("transcript"))
+    lines = messages.select("conv_id", "turn", F.concat(speaker, F.lit(": "), "text").alias("line"))
+    return lines.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("_l")).select(
+        "conv_id", F.array_join(F.col("_l.line"), "\n").alias("transcript"))
 
 
 def restart_chats(messages: DataFrame, edits: DataFrame) -> DataFrame:

@@ -159,8 +159,24 @@ def _place(reps: DataFrame, n_pivots: int, above: float) -> DataFrame:
 
 
 def similar_pairs(vectors: DataFrame, above: float = 0.85, rows: int = BLOCK_ROWS, max_cells: int = 1024) -> DataFrame:
-    """All pairs of distinct vectors with cosine above the threshold, and each copy linked to its
-    representative: rows of id_a, id_b, score.
+    """All pairs of vectors with cosine above the threshold: rows of id_a, id_b, score.
+
+    Equal vectors are searched once; ``similar_classes`` has the hits before their copies are joined to them, which is the form to
+    keep where copies are many, since this result grows with the square of a group of copies."""
+    found, copies = similar_classes(vectors, above, rows, max_cells)
+    members = copies.select("id", "representative")
+    kinds = found.select(F.col("id_a").alias("representative")).unionByName(found.select(F.col("id_b").alias("representative")))
+    everyone = members.unionByName(kinds.unionByName(members.select("representative")).distinct().select(F.col("representative").alias("id"), "representative"))
+    a = everyone.select(F.col("id").alias("a"), F.col("representative").alias("id_a"))
+    b = everyone.select(F.col("id").alias("b"), F.col("representative").alias("id_b"))
+    between = found.join(a, "id_a").join(b, "id_b").select("a", "b", "score")
+    equal = a.join(b, F.col("id_a") == F.col("id_b")).filter("a < b").select("a", "b", F.lit(1.0).alias("score"))
+    return between.unionByName(equal).select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "score")
+
+
+def similar_classes(vectors: DataFrame, above: float = 0.85, rows: int = BLOCK_ROWS, max_cells: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Pairs (id_a, id_b, score) of distinct vectors above the threshold, each class of equal vectors standing under its smallest
+    id, and the copies (id, representative).
 
     Vectors live in the cell of their nearest pivot. A vector is also sent to a lower cell when its
     distance to the plane between the two pivots is within the join radius, so every pair meets in
@@ -197,9 +213,7 @@ def similar_pairs(vectors: DataFrame, above: float = 0.85, rows: int = BLOCK_ROW
     id_type = vectors.schema["id"].dataType.simpleString()
     found = homes.groupBy("c", "h", "g").cogroup(members.groupBy("cell", "hb", "gb")).applyInPandas(
         pairs, f"id_a {id_type}, id_b {id_type}, score double")
-    linked = copies.join(reps.select(F.col("id").alias("representative")), "representative").select(
-        F.col("representative").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("score"))
-    return found.unionByName(linked)
+    return found, copies.join(reps.select(F.col("id").alias("representative")), "representative")
 
 
 def fused_search(queries: DataFrame, corpus: DataFrame, top_k: int, by_score: bool = True, fusion_k: int = 60) -> DataFrame:

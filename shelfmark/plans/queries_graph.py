@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..operators import entities, graph, reports, topics, vector_search
-from ..operators.grouping import concat_in_parts
+from ..operators.grouping import concat_ordered
 from ..session import cut_lineage
 from ..sources import tables as table_sources
 from .queries_ledger import rounded, sql_list
@@ -361,10 +361,10 @@ def _(t: Tables):
     return table_sources.export_lines(t.nation.select("n_nationkey", "n_name", "n_regionkey"), "csv")
 
 
-@query("a2_duplicate_texts_by_source", """SELECT source, 0 AS part, count(*) AS group_rows, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY source""")
+@query("a2_duplicate_texts_by_source", """SELECT source, count(*) AS group_rows, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids FROM documents GROUP BY source""")
 def _(t: Tables):
     ids = t.documents.select("source", "doc_id", F.col("doc_id").cast("string").alias("text_id"))
-    return concat_in_parts(ids, ["source"], ["doc_id"], {"ids": ("text_id", ",")})
+    return concat_ordered(ids, ["source"], ["doc_id"], {"ids": ("text_id", ",")})
 
 
 @query("p18_calendar_of_orders", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, isodow(o_orderdate) - 1 AS weekday, count(*) AS orders FROM orders GROUP BY ALL")

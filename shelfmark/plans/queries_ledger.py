@@ -240,7 +240,7 @@ def _(t: Tables):
     return texts(rounded(ledger.category_stats(t.files()), "avg_confidence"), "first_ingested", "last_ingested")
 
 
-@query("a2_duplicates", f"""WITH {FILES} SELECT sha256, count(*) AS duplicate_count, 0 AS part,
+@query("a2_duplicates", f"""WITH {FILES} SELECT sha256, count(*) AS duplicate_count,
   string_agg(original_filename, ' | ' ORDER BY original_path) AS filenames, string_agg(original_path, ' | ' ORDER BY original_path) AS paths
   FROM files WHERE NOT is_deleted GROUP BY sha256 HAVING count(*) > 1""")
 def _(t: Tables):
@@ -402,7 +402,7 @@ def _(t: Tables):
 
 @query("a5_repeated_failures", f"""WITH {AUDIT}, f AS (SELECT * FROM audit WHERE status = 'failed')
   SELECT file_hash AS sha256, count(*) AS attempt_count, max(retry_count + 1) AS max_attempts, string_agg(DISTINCT stage, ',' ORDER BY stage) AS failed_stages,
-    0 AS part, string_agg(DISTINCT error_message, ' | ' ORDER BY error_message) AS errors FROM f GROUP BY file_hash HAVING count(*) >= 2""")
+    string_agg(DISTINCT error_message, ' | ' ORDER BY error_message) AS errors FROM f GROUP BY file_hash HAVING count(*) >= 2""")
 def _(t: Tables):
     attempts = t.audit().select(F.col("file_hash").alias("sha256"), (F.col("retry_count") + 1).alias("attempt_number"),
                                 (F.col("status") != "failed").alias("success"), "error_message", F.col("stage").alias("processing_stage"))

@@ -38,9 +38,12 @@ def _(t: Tables):
     return rounded(vector_search.search(centroids(t), vectors(t), k=20, above=V.UI_THRESHOLD), "score")
 
 
-@query("rt1_service_search", f"WITH {SCORED} SELECT query_id, id, round(score, 6) AS score, rank FROM ranked WHERE rank <= {V.MODE_SIZES['balanced']} AND score >= 0.5::DOUBLE")
+@query("rt1_service_search", f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score
+    FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
+  SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= {V.SERVICE_LIMIT} AND score >= {V.SERVICE_THRESHOLD}::DOUBLE""")
 def _(t: Tables):
-    return rounded(vector_search.search(centroids(t), vectors(t), k=V.MODE_SIZES["balanced"], above=V.SERVICE_THRESHOLD), "score")
+    asked = t.benchmark.select(F.col("item_id").alias("vec_id")).join(t.embeddings, "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
+    return rounded(vector_search.search(asked, vectors(t), k=V.SERVICE_LIMIT, above=V.SERVICE_THRESHOLD), "score")
 
 
 @query("j8_query_corpus_scores", f"WITH {SCORED} SELECT query_id, id, round(score, 6) AS score FROM scored WHERE score >= 0.2::DOUBLE")
@@ -50,8 +53,7 @@ def _(t: Tables):
 
 @query("w1_top_k_per_query", f"WITH {SCORED} SELECT query_id, id, rank FROM ranked WHERE rank <= 5")
 def _(t: Tables):
-    scored = vector_search.search(centroids(t), vectors(t), k=None, above=-1.0)
-    return top_k_per(scored, ["query_id"], [F.desc("score"), F.col("id")], 5).select("query_id", "id", "rank")
+    return vector_search.search(centroids(t), vectors(t), k=5).select("query_id", "id", "rank")
 
 
 @query("rt5_similar_documents", """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score
@@ -66,9 +68,21 @@ PAIRS = """pairs AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_cosin
     FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"""
 
 
-@query("j9_similar_pairs", f"WITH {PAIRS} SELECT id_a, id_b, round(score, 6) AS score FROM pairs WHERE score > 0.85::DOUBLE")
+def with_copies(t: Tables) -> DataFrame:
+    """The vectors, every fifth also a little changed and every seventh twice more."""
+    own = vectors(t).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    changed = F.transform("embedding", lambda x, i: F.when(i == 0, x + F.lit(0.05)).otherwise(x))
+    near = own.filter("id % 5 = 0").select((F.col("id") + 1_000_000).alias("id"), changed.alias("embedding"))
+    equal = own.filter("id % 7 = 0").select(F.explode(F.array(F.col("id") + 2_000_000, F.col("id") + 3_000_000)).alias("id"), "embedding")
+    return own.unionByName(near).unionByName(equal)
+
+
+@query("j9_similar_pairs", """WITH own AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+  every AS (SELECT * FROM own UNION ALL SELECT id + 1000000, list_concat([v[1] + 0.05::DOUBLE], v[2:]) FROM own WHERE id % 5 = 0
+    UNION ALL SELECT id + k, v FROM own, (VALUES (2000000), (3000000)) c(k) WHERE id % 7 = 0)
+  SELECT a.id AS id_a, b.id AS id_b, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM every a JOIN every b ON a.id < b.id WHERE round(list_cosine_similarity(a.v, b.v), 9) > 0.85::DOUBLE""")
 def _(t: Tables):
-    return rounded(vector_search.similar_pairs(vectors(t).select("id", "embedding")), "score")
+    return rounded(vector_search.similar_pairs(with_copies(t)), "score")
 
 
 @query("j9_similar_pairs_wide", f"WITH {PAIRS} SELECT id_a, id_b, round(score, 6) AS score FROM pairs WHERE score > 0.3::DOUBLE")
@@ -108,8 +122,11 @@ def _(t: Tables):
 TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]{{2,}}')"
 
 
-def bm25_sql(text: str, k: int) -> str:
-    return f"""toks AS (SELECT doc_id AS id, {TOKENS.format(text)} AS t FROM documents),
+SEARCHED = "concat_ws(' ', original_filename, category, extracted_text)"
+
+
+def bm25_sql(k: int) -> str:
+    return f"""{FILES}, toks AS (SELECT id, {TOKENS.format(SEARCHED)} AS t FROM files),
   stats AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM toks),
   terms AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest({TOKENS.format('text')}) AS term FROM benchmark) WHERE NOT list_contains([{sql_list(V.ENGLISH_STOPWORDS)}], term)),
   tf AS (SELECT id, n_t, term, count(*) AS tf FROM (SELECT id, len(t) AS n_t, unnest(t) AS term FROM toks) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
@@ -125,15 +142,20 @@ def documents(t: Tables) -> DataFrame:
     return t.docs.select(F.col("doc_id").alias("id"), "text")
 
 
+def searched(t: Tables) -> DataFrame:
+    """The fields keyword search covers: file name, category and text."""
+    return t.files().select("id", F.concat_ws(" ", "original_filename", "category", "extracted_text").alias("text"))
+
+
 def questions(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def keyword_hits(t: Tables, k: int = 10) -> DataFrame:
-    return retrieval.bm25(documents(t), questions(t), k)
+    return retrieval.bm25(searched(t), questions(t), k)
 
 
-@query("rt2_bm25", f"WITH {bm25_sql('text', 10)} SELECT query_id, id, round(score, 6) AS score, rank FROM ktop")
+@query("rt2_bm25", f"WITH {bm25_sql(10)} SELECT query_id, id, round(score, 6) AS score, rank FROM ktop")
 def _(t: Tables):
     return rounded(keyword_hits(t), "score")
 
@@ -148,7 +170,7 @@ def dense_hits(t: Tables, k: int) -> DataFrame:
     return vector_search.search(asked.select(F.col("vec_id").alias("query_id"), "embedding"), vectors(t), k=k)
 
 
-@query("rt3_hybrid", f"""WITH {bm25_sql('text', 20)}, {DENSE}, best AS (SELECT query_id, max(score) AS top FROM ktop GROUP BY 1),
+@query("rt3_hybrid", f"""WITH {bm25_sql(20)}, {DENSE}, best AS (SELECT query_id, max(score) AS top FROM ktop GROUP BY 1),
   s AS (SELECT query_id, id, score / top AS sp FROM ktop JOIN best USING (query_id)),
   b AS (SELECT query_id, id, round(0.6::DOUBLE * coalesce(d.score, 0) + 0.4::DOUBLE * coalesce(sp, 0), 9) AS score,
         CASE WHEN d.score IS NULL THEN 'sparse' WHEN sp IS NULL THEN 'dense' ELSE 'dense+sparse' END AS source FROM dense d FULL OUTER JOIN s USING (query_id, id))
@@ -157,7 +179,7 @@ def _(t: Tables):
     return rounded(retrieval.hybrid(dense_hits(t, 20), keyword_hits(t, 20), 10), "score")
 
 
-@query("rt3_hybrid_rrf", f"""WITH {bm25_sql('text', 20)}, {DENSE}, u AS (SELECT query_id, id, rank FROM ktop UNION ALL
+@query("rt3_hybrid_rrf", f"""WITH {bm25_sql(20)}, {DENSE}, u AS (SELECT query_id, id, rank FROM ktop UNION ALL
      SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM dense),
   f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (rank + 60)), 12) AS fused FROM u GROUP BY ALL)
   SELECT query_id, id, round(fused, 9) AS fused, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS rank FROM f) WHERE rank <= 10""")
@@ -173,13 +195,13 @@ def _(t: Tables):
     return a.union(t.pages.select(-F.col("page_id"), retrieval.routing(F.col("url"))))
 
 
-@query("rt3_zero_results", f"""WITH {bm25_sql('text', 1)} SELECT count(*) AS queries, count(*) FILTER (k.id IS NULL) AS without_result,
+@query("rt3_zero_results", f"""WITH {bm25_sql(1)} SELECT count(*) AS queries, count(*) FILTER (k.id IS NULL) AS without_result,
   round(count(*) FILTER (k.id IS NULL) / count(*)::DOUBLE, 6) AS zero_result_rate FROM benchmark b LEFT JOIN ktop k ON k.query_id = b.item_id""")
 def _(t: Tables):
     return rounded(retrieval.zero_result_rate(questions(t), keyword_hits(t, 1)), "zero_result_rate")
 
 
-@query("l4_rerank", f"""WITH {bm25_sql('text', 10)}, c AS (SELECT k.query_id, k.id, k.rank AS first_rank, list_distinct({TOKENS.format('b.text')}) AS q, {TOKENS.format('d.text')} AS d
+@query("l4_rerank", f"""WITH {bm25_sql(10)}, c AS (SELECT k.query_id, k.id, k.rank AS first_rank, list_distinct({TOKENS.format('b.text')}) AS q, {TOKENS.format('d.text')} AS d
     FROM ktop k JOIN benchmark b ON b.item_id = k.query_id JOIN documents d ON d.doc_id = k.id),
   s AS (SELECT query_id, id, first_rank, CASE WHEN len(q) = 0 THEN 0 ELSE round(len(list_intersect(q, list_distinct(d))) / len(q)::DOUBLE, 9) END AS rerank_score FROM c)
   SELECT query_id, id, first_rank, round(rerank_score, 6) AS rerank_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, first_rank) AS rank FROM s) WHERE rank <= 5""")
@@ -193,7 +215,7 @@ def described_hits(t: Tables) -> DataFrame:
     return keyword_hits(t, 5).join(files, "id").withColumnRenamed("rank", "place")
 
 
-DESCRIBED = f"{bm25_sql('text', 5)}, {FILES}, h AS (SELECT k.query_id, k.rank, f.original_filename AS filename, substr(f.extracted_text, 1, 500) AS excerpt FROM ktop k JOIN files f USING (id))"
+DESCRIBED = f"{bm25_sql(5)}, h AS (SELECT k.query_id, k.rank, f.original_filename AS filename, substr(f.extracted_text, 1, 500) AS excerpt FROM ktop k JOIN files f USING (id))"
 
 
 @query("c42_rag_context", f"""WITH {DESCRIBED} SELECT query_id, string_agg('[Quelle ' || rank || '] (' || filename || '):' || chr(10) || excerpt || chr(10), chr(10) ORDER BY rank) AS context FROM h WHERE rank <= 3 GROUP BY query_id""")
@@ -251,7 +273,7 @@ EXPECTED_WORDS = f"""words AS (SELECT item_id AS query_id, list_filter(regexp_sp
   lambda w: length(w) > 2 AND NOT list_contains([{sql_list(V.QUERY_STOPWORDS)}], w))[1:3] AS words FROM benchmark)"""
 
 
-@query("e2_keyword_precision", f"""WITH {bm25_sql('text', 5)}, {EXPECTED_WORDS}, h AS (SELECT k.query_id, len(list_filter(w.words, lambda x: contains(lower(d.text), x))) > 0 AS good
+@query("e2_keyword_precision", f"""WITH {bm25_sql(5)}, {EXPECTED_WORDS}, h AS (SELECT k.query_id, len(list_filter(w.words, lambda x: contains(lower(d.text), x))) > 0 AS good
     FROM ktop k JOIN words w USING (query_id) JOIN documents d ON d.doc_id = k.id)
   SELECT w.query_id, round(coalesce((SELECT count(*) FILTER (good) FROM h WHERE h.query_id = w.query_id), 0) / 5.0, 6)::DOUBLE AS precision FROM words w""")
 def _(t: Tables):
@@ -308,7 +330,7 @@ def _(t: Tables):
     return rounded(evaluation.latency(t.events, "event_type", "value", F.col("value") < 100), "p50", "p95", "p99", "success_rate")
 
 
-@query("e8_evidence_level", f"""WITH {bm25_sql('text', 5)}, {FILES}, l AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN f.current_path END AS ledger_path,
+@query("e8_evidence_level", f"""WITH {bm25_sql(5)}, l AS (SELECT item_id AS query_id, CASE WHEN item_id % 3 = 0 THEN f.current_path END AS ledger_path,
      CASE WHEN item_id % 3 = 1 THEN f.current_filename END AS current_filename, split_part(b.text, ' ', 2) AS token FROM benchmark b JOIN files f ON f.id = b.item_id),
   h AS (SELECT k.query_id, k.rank, f.current_path AS path, f.current_filename AS filename, substr(f.extracted_text, 1, 500) AS excerpt FROM ktop k JOIN files f USING (id)),
   m AS (SELECT l.query_id, h.rank, CASE WHEN h.path IS NOT NULL AND ledger_path IS NOT NULL AND (lower(h.path) = lower(ledger_path) OR ends_with(lower(h.path), '/' || regexp_extract(lower(ledger_path), '([^/]+)$', 1))) THEN 'path'

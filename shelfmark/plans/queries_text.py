@@ -10,7 +10,7 @@ from ..functions.evidence import cited_ordinals, evidence_from_metadata, merge_e
 from ..functions.pii import mask_pii, pii_counts
 from ..functions.vectors import cosine
 from ..operators import classify, search
-from ..operators.grouping import PART_SIZE, hashed_sample, number_rows, top_k_per
+from ..operators.grouping import hashed_sample, number_rows, top_k_per
 from .queries_ledger import TS, rounded, sql_list
 from .registry import query
 from .tables import FILES, Tables
@@ -591,7 +591,7 @@ def _(t: Tables):
     return search.index_rows(t.files().withColumn("entities", entities))
 
 
-@query("c41_transcripts", """SELECT conv_id, 0 AS part, string_agg(CASE WHEN role = 'assistant' THEN 'AI' ELSE 'User' END || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id""")
+@query("c41_transcripts", """SELECT conv_id, string_agg(CASE WHEN role = 'assistant' THEN 'AI' ELSE 'User' END || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id""")
 def _(t: Tables):
     return search.transcripts(t.conversations)
 
@@ -613,8 +613,8 @@ def _(t: Tables):
 HOSTS = "hits AS (SELECT page_id AS position, CASE WHEN url LIKE '%.html%' THEN NULL ELSE split_part(url, '/', 3) END AS url, html AS content FROM pages)"
 
 
-@query("w3_merge_by_url", f"""WITH {HOSTS} SELECT url, 0 AS part, count(*) AS group_rows, min(position) AS first_position, string_agg(content, chr(10) || chr(10) ORDER BY position) AS content FROM hits WHERE url IS NOT NULL GROUP BY url
-  UNION ALL SELECT url, 0, 1, position, content FROM hits WHERE url IS NULL""")
+@query("w3_merge_by_url", f"""WITH {HOSTS} SELECT url, count(*) AS group_rows, min(position) AS first_position, string_agg(content, chr(10) || chr(10) ORDER BY position) AS content FROM hits WHERE url IS NOT NULL GROUP BY url
+  UNION ALL SELECT url, 1, position, content FROM hits WHERE url IS NULL""")
 def _(t: Tables):
     url = F.when(~F.col("url").contains(".html"), F.split_part("url", F.lit("/"), F.lit(3)))
     return search.merge_by_url(t.pages.select(F.col("page_id").alias("position"), url.alias("url"), F.col("html").alias("content")))
@@ -653,7 +653,7 @@ CLAIMS = """sources AS (SELECT conv_id AS "group", row_number() OVER (PARTITION
 def claim_tables(t: Tables):
     conv = t.conversations
     users = conv.filter("role = 'user'")
-    ordinal = number_rows(users.select("conv_id", "turn"), ["conv_id"], F.floor(F.col("turn") / PART_SIZE), ["turn"], name="ordinal")
+    ordinal = number_rows(users.select("conv_id", "turn"), ["conv_id"], F.floor(F.col("turn") / 1000), ["turn"], name="ordinal")
     sources = ordinal.select(F.col("conv_id").alias("group"), "ordinal", (F.col("conv_id") * 1000 + F.col("turn")).alias("source_id"))
     n = conv.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("n_sources"))
     claims = conv.filter("role = 'assistant'").join(n, "conv_id").select(

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -43,3 +44,62 @@ def test_inbox_and_repeated_drain(spark, tmp_path):
         (inbox / f"{n}.txt").write_text(f"file {n}")
         jobs.drain_to_index(jobs.watch_inbox(spark, str(inbox)), spark, index, state, prepare)
     assert sorted(r.text for r in jobs.read_index(spark, index, "id").collect()) == ["file 0", "file 1"]
+
+
+def shuffled_audit(spark, folder, files=6):
+    """Audit rows in several files in random order, some delivered twice."""
+    rng = random.Random(11)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, f"f{rng.randrange(4)}", rng.choice("ab"), rng.choice(["started", "failed", "failed", "completed"]), start + datetime.timedelta(minutes=rng.randrange(600)),
+             f"n{i}", rng.choice(["timeout", "corrupt"])) for i in range(400)]
+    sent = rows + rng.sample(rows, 30)
+    rng.shuffle(sent)
+    schema = "id long, file_hash string, stage string, status string, ts timestamp, filename string, error_message string"
+    for n in range(files):
+        spark.createDataFrame(sent[n::files], schema).coalesce(1).write.mode("append").parquet(folder)
+    return rows, spark.read.parquet(folder).schema
+
+
+def latest(spark, folder, schema, follow):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        source = queues.read_table_stream(spark, folder, schema, per_batch=1)
+        return jobs.with_rocks(spark, lambda: jobs.collect_updates(follow(source), spark, ["id"])).cache()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def by_key(rows, *at):
+    groups = {}
+    for r in sorted(rows, key=lambda r: (r[4], r[0])):
+        groups.setdefault(tuple(r[i] for i in at), []).append(r)
+    return groups
+
+
+def test_histories_do_not_depend_on_slicing(spark, tmp_path):
+    folder = str(tmp_path / "audit")
+    rows, schema = shuffled_audit(spark, folder)
+    want = {}
+    for group in by_key([r for r in rows if r[3] == "failed"], 1, 2).values():
+        for n, r in enumerate(group, 1):
+            want[r[0]] = (n, "retry" if r[6] == "timeout" and n <= 3 else "dead_letter")
+    assert {r.id: (r.attempt, r.decision) for r in latest(spark, folder, schema, jobs.retry_or_dead).collect()} == want
+
+    turned = {r[0] for group in by_key(rows, 1).values() for before, r in zip([None, *group], group) if r[3] == "failed" and (before is None or before[3] != "failed")}
+    assert {r.id for r in latest(spark, folder, schema, jobs.quarantine_on_error).filter("turned").collect()} == turned
+
+    now, wait = max(r[4] for r in rows), datetime.timedelta(minutes=10)
+    stuck = {r[0] for group in by_key(rows, 1, 2).values() for r, after in zip(group, [*group[1:], None])
+             if r[3] == "started" and min(after[4] if after else now, now) >= r[4] + wait}
+    got = jobs.stuck_stages(latest(spark, folder, schema, jobs.stage_spells), F.lit(now))
+    assert {r.id for r in got.collect()} == stuck
+
+
+def test_drained_counts_and_late_rows(spark, tmp_path):
+    folder, index = str(tmp_path / "audit"), str(tmp_path / "index")
+    rows, schema = shuffled_audit(spark, folder)
+    stream = queues.read_table_stream(spark, folder, schema, per_batch=1)
+    jobs.drain_to_index(stream, spark, index, str(tmp_path / "state"), lambda b: b.groupBy("status").agg(F.count("*").alias("n")))
+    assert sum(r.n for r in jobs.read_sums(spark, index, ["status"], ["n"]).collect()) == len(rows) + 30
+    batches = spark.createDataFrame([(0, 100), (1, 50), (1, 2000), (2, 1300), (2, 1500)], "batch int, s long").select("batch", F.timestamp_seconds("s").alias("ts"))
+    assert tuple(jobs.late_rows(batches).first()) == (1, 5)
