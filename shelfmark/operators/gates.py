@@ -20,12 +20,12 @@ def _gate(name: str, error: Column | None, warning: Column, score: Column) -> Co
 
 def gate_array(known_folders: Column | None = None) -> Column:
     """The gates in order as an array of structs over the columns of a candidate row: category,
-    content_type, new_filename, target_folder, target_taken, confidence, extracted_text,
+    content_type, new_filename, target_folder, target_taken, confidence, text_length (characters of the extracted text),
     meta_description and is_duplicate."""
     category = F.trim(F.split_part(F.coalesce("category", F.lit("")), F.lit("|"), F.lit(1)))
     name = F.coalesce("new_filename", F.lit(""))
     folder = F.coalesce("target_folder", F.lit(""))
-    text, description = F.coalesce("extracted_text", F.lit("")), F.coalesce("meta_description", F.lit(""))
+    length, description = F.coalesce("text_length", F.lit(0)), F.coalesce("meta_description", F.lit(""))
     confidence = F.coalesce("confidence", F.lit(0.0))
     odd_mime = first_case(
         [(category == c, ~reduce(lambda a, b: a | b, [F.coalesce("content_type", F.lit("")).startswith(p) for p in prefixes]))
@@ -44,8 +44,8 @@ def gate_array(known_folders: Column | None = None) -> Column:
         _gate("TARGET_FOLDER_VALID", (folder == "") | ~folder.startswith("/") | ~reachable, F.lit(False), one),
         _gate("NO_COLLISION", (folder == "") | (name == "") | F.coalesce("target_taken", F.lit(False)), F.lit(False), one),
         _gate("CONFIDENCE_THRESHOLD", confidence < V.CONFIDENCE_MIN, confidence < V.CONFIDENCE_OK, confidence),
-        _gate("CONTENT_EXTRACTED", (text == "") & (description == ""),
-              (F.length(text) < V.SHORT_TEXT) & (F.length(description) < V.SHORT_DESCRIPTION), score(F.length(text) >= V.SHORT_TEXT)),
+        _gate("CONTENT_EXTRACTED", (length == 0) & (description == ""),
+              (length < V.SHORT_TEXT) & (F.length(description) < V.SHORT_DESCRIPTION), score(length >= V.SHORT_TEXT)),
         _gate("DUPLICATE_CHECK", F.coalesce("is_duplicate", F.lit(False)), F.lit(False), one))
 
 

@@ -421,7 +421,7 @@ def candidates(t: Tables) -> DataFrame:
     files = t.text_files()
     firsts = files.groupBy("sha256").agg(F.min("id").alias("first_id"))
     rows = files.join(firsts, "sha256").select(
-        "id", "sha256", "category", "content_type", "confidence", "extracted_text", F.lit("").alias("meta_description"),
+        "id", "sha256", "category", "content_type", "confidence", F.length("extracted_text").alias("text_length"), F.lit("").alias("meta_description"),
         smart_filename(F.col("original_filename"), F.col("category"), F.lit(""), F.date_format("ingested_at", "yyyy-MM-dd")).alias("new_filename"),
         target_folder(F.col("category")).alias("target_folder"), (F.col("id") > F.col("first_id")).alias("is_duplicate"))
     taken = files.filter("is_deleted").select(

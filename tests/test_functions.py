@@ -93,7 +93,7 @@ def test_monday_week(spark):
 
 def gate_row(spark, **change):
     base = dict(category="Finanzen", content_type="application/pdf", new_filename="2024-12-26_Finanzen_Bauhaus_Gartenmaterial.pdf",
-                target_folder="/archive/Finanzen", target_taken=False, confidence=0.85, extracted_text="x" * 80, meta_description="", is_duplicate=False, id=1)
+                target_folder="/archive/Finanzen", target_taken=False, confidence=0.85, text_length=80, meta_description="", is_duplicate=False, id=1)
     base.update(change)
     return gates.run_gates(spark.createDataFrame([base])).first()
 
