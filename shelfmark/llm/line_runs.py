@@ -131,7 +131,11 @@ def without_later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text
     packed = docs.select(F.struct("*").alias("row"), F.col(key).alias("key"), F.col(text).alias("text")).select("row", "text", *document())
     joined = packed.join(gone, DOC, "left")
     lines = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.get(lines, i))
+
+    def left(ls: Column) -> Column:
+        return F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), "gone"), lambda i: F.get(ls, i))
+
+    kept = F.get(F.transform(F.array(lines), left), 0)  # the outer lambda holds the lines, so they are split once
     return joined.select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
                          F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
                          F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_deleted"))
