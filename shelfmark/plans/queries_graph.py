@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
-from ..operators import entities, graph, reports, topics, vector_search
+from ..operators import entities, graph, reports, similar_texts, topics, vector_search
 from ..operators.grouping import concat_ordered
 from ..session import cut_lineage
 from ..sources import tables as table_sources
@@ -154,13 +154,22 @@ def _(t: Tables):
     return entities.similar_names(vendor_names(t))
 
 
-NEAR_COPY = 0.97
+SHINGLES = """d AS (SELECT min(doc_id) AS id, text FROM documents GROUP BY text), w AS (SELECT id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM d),
+  sh AS (SELECT DISTINCT id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+  n AS (SELECT id, count(*) AS n FROM sh GROUP BY id)"""
 
 
-@query("g10_similar_texts")
+@query("g10_similar_texts", f"""WITH {SHINGLES}, c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.id < b.id GROUP BY ALL)
+  SELECT id_a, id_b, round(c / (x.n + y.n - c), 6) AS jaccard FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c / (x.n + y.n - c) >= 0.8::DOUBLE - 1e-9""")
 def _(t: Tables):
-    from ..operators.retrieval import hashing_encoder
-    return vector_search.similar_pairs(hashing_encoder(graph_texts(t)), above=NEAR_COPY)
+    pairs, _ = similar_texts.similar_texts(t.docs.select(F.col("doc_id").alias("id"), "text"))
+    return rounded(pairs, "jaccard")
+
+
+@query("g10_copies", """WITH g AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS representative FROM documents) SELECT * FROM g WHERE id <> representative""")
+def _(t: Tables):
+    return similar_texts.similar_texts(t.docs.select(F.col("doc_id").alias("id"), "text"))[1]
+
 
 # --- topics -----------------------------------------------------------------------------------
 
