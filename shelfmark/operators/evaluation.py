@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.naming import paths_match
 from ..functions.scoring import any_word
+from ..session import cut_lineage
 from . import vector_search
 from .grouping import exact_quantiles
 
@@ -27,35 +29,45 @@ def neighbour_precision(vectors: DataFrame, k: int = 10) -> DataFrame:
 def silhouette(vectors: DataFrame) -> DataFrame:
     """Cosine silhouette per row (id, label, embedding). The mean distance of a unit vector to a cluster
     is one minus its product with the cluster's summed unit vectors over the cluster size, so no pairs
-    are formed; only the cluster sums, whose size is checked, go to the tasks."""
+    are formed; only the cluster sums go to the tasks, in slices of bounded size if they are many."""
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     unit = vectors.select("label", F.transform("embedding", lambda x: x.cast("double") / length).alias("u"))
     sums = (unit.select("label", F.posexplode("u").alias("pos", "x")).groupBy("label", "pos").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
             .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("_s"), F.max("n").alias("n")))
+    sums = cut_lineage(sums)
     cells = sums.agg(F.sum(F.size("_s"))).first()[0] or 0
-    if cells * 8 > vector_search.BROADCAST_BYTES:
-        raise ValueError("the cluster sums are too large to hold on each task")
-    local = sums.select("label", "n", F.col("_s.s").alias("total")).orderBy("label").toPandas()
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (local["label"].to_numpy(), local["n"].to_numpy().astype(float), np.vstack(local["total"].to_numpy())))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labels, sizes, totals = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            products = vector_search.unit_rows(batch["embedding"]) @ totals.T
-            own = batch["label"].to_numpy()[:, None] == labels[None, :]
-            n_own = sizes[own.argmax(axis=1)]
-            a = (n_own - products[own]) / np.maximum(n_own - 1, 1)
-            b = np.where(own, np.inf, 1 - products / sizes[None, :]).min(axis=1)
-            usable = (n_own > 1) & np.isfinite(b)
-            value = np.where(usable, (b - a) / np.maximum(np.where(usable, np.maximum(a, b), 1.0), 1e-300), 0.0)
-            yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "silhouette": value})
-
+    slices = max(1, -(-cells * 8 // vector_search.BROADCAST_BYTES))
     types = {c: vectors.schema[c].dataType.simpleString() for c in ("id", "label")}
-    return vectors.select("id", "label", "embedding").mapInPandas(
-        score, f"id {types['id']}, label {types['label']}, silhouette double")
+
+    def against(some: DataFrame) -> DataFrame:
+        """Per row: own cluster's size and mean distance, where it is among these clusters, and the nearest other one's."""
+        local = some.select("label", "n", F.col("_s.s").alias("total")).orderBy("label").toPandas()
+        totals = np.vstack(local["total"].to_numpy()) if len(local) else np.zeros((0, 0))
+        shared = vectors.sparkSession.sparkContext.broadcast((local["label"].to_numpy(), local["n"].to_numpy().astype(float), totals))
+
+        def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            labels, sizes, totals = shared.value
+            for batch in batches:
+                if not len(batch) or not len(labels):
+                    continue
+                products = vector_search.unit_rows(batch["embedding"]) @ totals.T
+                own = batch["label"].to_numpy()[:, None] == labels[None, :]
+                here = own.any(axis=1)
+                n_own = np.where(here, sizes[own.argmax(axis=1)], 0.0)
+                a = np.where(here, (n_own - np.where(own, products, 0.0).sum(axis=1)) / np.maximum(n_own - 1, 1), 0.0)
+                b = np.where(own, np.inf, 1 - products / sizes[None, :]).min(axis=1)
+                yield pd.DataFrame({"id": batch["id"], "label": batch["label"], "n": n_own, "a": a, "b": b})
+
+        return vectors.select("id", "label", "embedding").mapInPandas(
+            measure, f"id {types['id']}, label {types['label']}, n double, a double, b double")
+
+    parts = [against(sums if slices == 1 else sums.filter(F.pmod(F.xxhash64("label"), F.lit(slices)) == i)) for i in range(slices)]
+    rows = parts[0]
+    if slices > 1:
+        rows = reduce(DataFrame.unionAll, parts).groupBy("id", "label").agg(F.max("n").alias("n"), F.max("a").alias("a"), F.min("b").alias("b"))
+    usable = (F.col("n") > 1) & (F.col("b") < float("inf"))
+    value = F.when(usable, (F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-300))).otherwise(0.0)
+    return rows.select("id", "label", value.alias("silhouette"))
 
 
 def keyword_precision(hits: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import fixed_values as V
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_round, write_round
 from .grouping import top_k_per
 from .retrieval import tokens
 
@@ -74,11 +74,13 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "density", F.when(n == 0, 0.0).otherwise(F.col("edges") / (n * n)))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, alpha: float = V.PAGERANK_ALPHA, tolerance: float = 0.0) -> DataFrame:
-    """PageRank (id, rank) by repeated joins; nodes without out-edges spread their rank evenly.
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, alpha: float = V.PAGERANK_ALPHA, tolerance: float = V.PAGERANK_TOLERANCE) -> DataFrame:
+    """PageRank (id, rank) by repeated joins; nodes without out-edges spread their rank evenly. The rounds end when the ranks
+    together change by less than the tolerance times the number of nodes, which they do, since each round shrinks the change by
+    ``alpha``; ``rounds`` asks for so many power steps instead.
 
     Each round joins the ranks (unique per node) to the edges and adds up per target, so hubs are
-    reduced before the shuffle. Each round is one written table."""
+    reduced before the shuffle. Each round is one written table and the one before it is deleted."""
     degree = edges.groupBy("src").agg(F.count("*").alias("_deg"))
     links = cut_lineage(edges.join(degree, "src").select("src", "dst", (F.lit(1.0) / F.col("_deg")).alias("share")))
     start = nodes.select("id").distinct().join(degree.select(F.col("src").alias("id"), F.lit(True).alias("_out")), "id", "left")
@@ -87,17 +89,22 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 10, alpha: float
     if total == 0:
         return ranks.select("id", F.lit(0.0).alias("rank"))
     ranks = ranks.withColumn("rank", F.lit(1.0 / total)).withColumn("_old", F.lit(0.0))
-    for done in range(rounds):
-        state = ranks.agg(F.sum(F.when(~F.col("has_out"), F.col("rank"))), F.max(F.abs(F.col("rank") - F.col("_old")))).first()
-        if done and tolerance and state[1] < tolerance:
+    done, written = 0, None
+    while rounds is None or done < rounds:
+        state = ranks.agg(F.sum(F.when(~F.col("has_out"), F.col("rank"))), F.sum(F.abs(F.col("rank") - F.col("_old")))).first()
+        if rounds is None and done and state[1] < tolerance * total:
             break
+        done += 1
         dangling = state[0] or 0.0
         received = (ranks.filter("has_out").select(F.col("id").alias("src"), "rank").join(links, "src")
                     .groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("_in")))
         base = (1 - alpha) / total + alpha * dangling / total
         fresh = ranks.join(received.withColumnRenamed("dst", "id"), "id", "left").select(
             "id", "has_out", F.col("rank").alias("_old"), (F.lit(base) + alpha * F.coalesce("_in", F.lit(0.0))).alias("rank"))
-        ranks = cut_lineage(fresh)
+        ranks, path = write_round(fresh)
+        if written:
+            drop_round(ranks.sparkSession, written)
+        written = path
     return ranks.select("id", "rank")
 
 

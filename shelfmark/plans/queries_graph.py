@@ -125,7 +125,7 @@ def _(t: Tables):
     docs, edges = graph_parts(t)
     edges = cut_lineage(edges)
     nodes = cut_lineage(graph.build_nodes(docs, edges))
-    return graph.top_ranked(graph.pagerank(nodes, edges.select("src", "dst"), rounds=10), nodes)
+    return graph.top_ranked(graph.pagerank(nodes, edges.select("src", "dst")), nodes)
 
 
 @query("g6_shortest_paths", """WITH RECURSIVE e AS (SELECT c_nationkey::VARCHAR AS src, s_nationkey::VARCHAR AS dst, avg(l_extendedprice) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey

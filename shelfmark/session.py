@@ -43,6 +43,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def write_round(df: DataFrame) -> tuple[DataFrame, str]:
+    """One round of a loop as a table in the shared checkpoint folder, and its path for ``drop_round``."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_round(spark: SparkSession, path: str) -> None:
+    """Delete a round's table that no later round reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate result as a table into the shared checkpoint folder and continue from it.
     A lost executor costs a read, not the work; unlike a checkpoint the plan runs only once."""

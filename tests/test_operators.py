@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfmark.operators import entities, feedback, graph, grouping, inventory, ledger, retrieval, search, vector_search
+from shelfmark.operators import entities, evaluation, feedback, graph, grouping, inventory, ledger, retrieval, search, vector_search
 
 
 def cos(a, b):
@@ -174,6 +174,11 @@ def test_pagerank_sums_to_one(spark):
         rank = fresh
     assert sum(got.values()) == pytest.approx(1.0)
     assert all(got[i] == pytest.approx(rank[i]) for i in rank)
+    for _ in range(150):
+        dangling = sum(rank[i] for i in range(45) if not out[i])
+        rank = {i: 0.15 / 45 + 0.85 * dangling / 45 + sum(0.85 * rank[j] * out[j].count(i) / len(out[j]) for j in range(45) if out[j]) for i in range(45)}
+    settled = {r.id: r["rank"] for r in graph.pagerank(nodes, edges).collect()}
+    assert all(settled[i] == pytest.approx(rank[i], abs=1e-5) for i in rank)
 
 
 def test_median_sample(spark):
@@ -200,3 +205,13 @@ def test_embedding_cache(spark):
     cache = texts.filter("id = 1").select(retrieval.cache_key(F.col("text"), "m").alias("key"), F.array(F.lit(1.0).cast("float")).alias("embedding"))
     out = {r.id: r.embedding for r in retrieval.embed(texts, cache, "m").collect()}
     assert out[1] == [1.0] and out[2] == out[3] and math.isclose(sum(x * x for x in out[2]), 1.0, rel_tol=1e-6)
+
+
+def test_silhouette_in_slices(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)], i % 7) for i in range(80)] + [(90, [1.0, 0.0, 0.0, 0.0], 99)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>, label long")
+    whole = {r.id: r.silhouette for r in evaluation.silhouette(df).collect()}
+    monkeypatch.setattr(vector_search, "BROADCAST_BYTES", 64)
+    sliced = {r.id: r.silhouette for r in evaluation.silhouette(df).collect()}
+    assert whole.keys() == sliced.keys() and all(sliced[i] == pytest.approx(whole[i]) for i in whole) and whole[90] == 0.0
