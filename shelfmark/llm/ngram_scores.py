@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import document, field
+from shelfmark.llm.common import document, field, map_rows
 
 ORDER = 3
 ALPHA = 0.4
 #: n-grams of two words or more that occur less often are not in the table.
 MIN_COUNT = 2
 #: Bytes of text in one block, and bytes of text whose n-grams make one part.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 24 << 20
 PART_BYTES = 12 << 20
 _UPPER_TO_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _TAG = np.uint64(3)  # the two low bits of a hash hold the order
@@ -67,6 +67,18 @@ class Grams:
         return np.concatenate([hashes[self.place >= n] for n, hashes in enumerate(self.at)])
 
 
+def texts_of(table: pa.Table) -> list[bytes | None]:
+    codec = pa.Codec("zstd")
+    return [codec.decompress(t, n, asbytes=True) if n else None for t, n in zip(table.column("packed").to_pylist(), table.column("size").to_pylist())]
+
+
+def _packed(batch: pa.RecordBatch) -> dict:
+    """Texts compressed on their own: they are shuffled once and take the most room beside the n-grams."""
+    codec = pa.Codec("zstd", compression_level=3)
+    texts = batch.column("text").to_pylist()
+    return {"packed": [codec.compress(t, asbytes=True) if t else None for t in texts], "size": [len(t) if t else 0 for t in texts]}
+
+
 def _bounds(parts: int) -> np.ndarray:
     """First hash of each part but the first."""
     return np.array([(p << 64) // parts for p in range(1, parts)], dtype=np.uint64)
@@ -78,7 +90,7 @@ def _differences(keys: np.ndarray) -> bytes:
 
 def _send(table: pa.Table, parts: int) -> pa.Table:
     """The distinct n-grams of one block, a row for every part, empty ones too."""
-    keys, counts = np.unique(Grams(table.column("text").to_pylist()).keys(), return_counts=True)
+    keys, counts = np.unique(Grams(texts_of(table)).keys(), return_counts=True)
     counts = counts.astype(np.uint32)
     cuts = [0, *np.searchsorted(keys, _bounds(parts)).tolist(), len(keys)]
     ranges = list(zip(cuts, cuts[1:]))
@@ -105,22 +117,23 @@ def _total(table: pa.Table) -> pa.Table:
 
 
 def _score(docs: pa.Table, answers: pa.Table, parts: int, key_type: pa.DataType) -> pa.Table:
-    grams = Grams(docs.column("text").to_pylist())
-    keys = np.unique(grams.keys())
+    grams = Grams(texts_of(docs))
+    keys, place = np.unique(grams.keys(), return_inverse=True)
     rows = sorted(zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist()))
     totals = np.concatenate([unpack(t, np.uint64) for _, t in rows])
     if [p for p, _ in rows] != list(range(parts)) or len(totals) != len(keys):
         raise ValueError("the answers do not fit the block's n-grams")
     n_words = sum(answers.column("n_words").to_pylist())
 
-    def count(n: int) -> np.ndarray:
-        """Counts of the n-grams that end at each word, 0 where the text is too short."""
-        found = np.zeros(len(grams.place), dtype=np.float64)
+    # counts of the n-grams that end at each word, 0 where the text is too short
+    counts, start = [], 0
+    for n in range(1, ORDER + 1):
         fits = grams.place >= n - 1
-        found[fits] = totals[np.searchsorted(keys, grams.at[n - 1][fits])]
-        return found
-
-    counts = [count(n) for n in range(1, ORDER + 1)]
+        found = np.zeros(len(fits), dtype=np.float64)
+        end = start + int(fits.sum())
+        found[fits] = totals[place[start:end]]
+        counts.append(found)
+        start = end
     longest = np.minimum(grams.place, ORDER - 1)
     value = ALPHA ** longest * counts[0] / max(1, n_words)
     seen = np.ones(len(value), dtype=np.int64)
@@ -133,9 +146,8 @@ def _score(docs: pa.Table, answers: pa.Table, parts: int, key_type: pa.DataType)
     document_of = np.repeat(np.arange(len(grams.sizes)), grams.sizes)
 
     def per_document(values: np.ndarray) -> pa.Array:
-        sums = np.zeros(len(grams.sizes), dtype=np.int64)
-        np.add.at(sums, document_of, values)
-        return pa.array(sums)
+        sums = np.bincount(document_of, weights=values, minlength=len(grams.sizes))  # whole numbers, exact below 2**53
+        return pa.array(sums.astype(np.int64))
 
     return pa.table({"key": docs.column("key").cast(key_type), "n_words": pa.array(grams.sizes), "log_micros": per_document(micros),
                      **{f"n_order{n}": per_document((seen == n).astype(np.int64)) for n in range(1, ORDER + 1)}})
@@ -153,7 +165,8 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, parts = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // PART_BYTES))
     block = F.pmod(F.xxhash64(*(F.col(c) for c in ("d", "copy"))), F.lit(blocks)).cast("int")
-    placed = rows.select("key", "text", *document()).select("key", "text", block.alias("block"))
+    placed = map_rows(rows.select("key", "text", *document()).select("key", "text", block.alias("block")), _packed,
+                      [field("packed", "binary"), field("size", "bigint")], keep=("key", "block"))
     sent = placed.groupBy("block").applyInArrow(lambda t: _send(t, parts), "part int, block int, grams binary, counts binary")
     answered = sent.groupBy("part").applyInArrow(_total, "block int, part int, totals binary, n_words bigint")
     fields = [field(n, "bigint") for n in ("n_words", "log_micros", *(f"n_order{n}" for n in range(1, ORDER + 1)))]
