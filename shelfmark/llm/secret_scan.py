@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import document
+from shelfmark.llm.tables import write_table
 
 #: Fixed patterns, in the order in which spans of one start are listed; sizes are the least lengths (of the group named).
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -117,7 +118,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", allow: tuple
 
 
 def _spans(rows: DataFrame, allow: tuple[str, ...]) -> DataFrame:
-    found = _matches(rows)
+    found = write_table(_matches(rows)).frame  # used twice; the texts are searched once
     doc = ["d", "copy"]
     base = found.where(f"kind < {KINDS.index('entropy')}").select(*doc, "kind", "start", "end")
     added = random_parts(found.where(f"kind = {KINDS.index('entropy')}").select(*doc, "start", "match"), doc, allow).select(
