@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from .. import fixed_values as V
-from .text import number_set, word_set
+from .text import code_point, number_set, word_set
 
 
 def squeeze(text: Column) -> Column:
@@ -29,20 +29,31 @@ def word_error_rate_by_chars(reference: Column, hypothesis: Column) -> Column:
     return F.when(F.length(r) == 0, empty).otherwise(F.least(F.lit(1.0), F.levenshtein(r, h) / F.length(r)))
 
 
-@F.pandas_udf(T.DoubleType())
-def word_error_rate(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """Word-level edit distance over the number of reference words."""
-    def rate(ref: list[str], hyp: list[str]) -> float:
-        if not ref:
-            return 1.0 if hyp else 0.0
-        row = list(range(len(hyp) + 1))
-        for i, word in enumerate(ref, 1):
-            last, row[0] = row[0], i
-            for j, other in enumerate(hyp, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (word != other))
-        return row[-1] / len(ref)
-
-    return pd.Series([rate((r or "").split(), (h or "").split()) for r, h in zip(reference, hypothesis)])
+#: First of the code points that stand for words; 983,040 follow, one for each distinct word of a pair.
+WORD_MARKS = 0x20000
+
+
+def word_error_rate(reference: Column, hypothesis: Column) -> Column:
+    """Word-level edit distance over the number of reference words. Each distinct word of the pair becomes one character, so
+    that the built-in edit distance of texts counts words."""
+    def words(text: Column) -> Column:
+        return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+
+    def rate(pair: Column) -> Column:
+        def marked(side: Column) -> Column:
+            return F.array_join(F.transform(side, lambda w: code_point(F.array_position(pair["known"], w) + WORD_MARKS)), "")
+
+        size = F.size(pair["r"])
+        empty = F.when(F.size(pair["h"]) > 0, 1.0).otherwise(0.0)
+        return F.when(size == 0, empty).otherwise(F.levenshtein(marked(pair["r"]), marked(pair["h"])) / size)
+
+    r, h = words(_column(reference)), words(_column(hypothesis))
+    pair = F.struct(r.alias("r"), h.alias("h"), F.array_distinct(F.concat(r, h)).alias("known"))
+    return F.get(F.transform(F.array(pair), rate), 0)  # the lambda holds the words, so they are split once
+
+
+def _column(value: Column | str) -> Column:
+    return F.col(value) if isinstance(value, str) else value
 
 
 @F.pandas_udf(T.DoubleType())

@@ -1,4 +1,4 @@
-"""The search and answer chain: several queries, fused hits, one context per question."""
+"""The search and answer chain: one keyword search per question, its best hits as one numbered context."""
 
 from __future__ import annotations
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..functions import chunking, headers, naming, quality, scoring, text
@@ -263,12 +263,23 @@ ROUTED = [*V.ROUTER_DOCUMENTS, *V.ROUTER_QUEUES, "no such format"]
 @query("j7_router_formats", f"""WITH f AS (SELECT doc_id, [{sql_list(ROUTED)}][doc_id % {len(ROUTED)} + 1] AS extension FROM documents)
   SELECT doc_id, extension, {ROUTER_SQL} AS queue FROM f""")
 def _(t: Tables):
+    return router_formats(t)
+
+
+def router_formats(t: Tables) -> DataFrame:
     """Every format of the router's table in turn, over all documents."""
     formats = F.array(*map(F.lit, ROUTED))
     docs = t.docs.select("doc_id", F.get(formats, (F.col("doc_id") % len(ROUTED)).cast("int")).alias("extension"))
     return docs.withColumn("queue", scoring.router_queue(F.col("extension")))
 
 
+@query("a26_format_counts", f"""WITH f AS (SELECT doc_id, [{sql_list(ROUTED)}][doc_id % {len(ROUTED)} + 1] AS extension FROM documents)
+  SELECT {ROUTER_SQL} AS queue, count(*) AS files, count(DISTINCT extension) AS formats, string_agg(DISTINCT extension, ',' ORDER BY extension) AS extensions FROM f GROUP BY 1""")
+def _(t: Tables):
+    return router_formats(t).groupBy("queue").agg(
+        F.count("*").alias("files"), F.countDistinct("extension").alias("formats"), F.array_join(F.array_sort(F.collect_set("extension")), ",").alias("extensions"))
+
+
 @query("a26_routing_counts", f"""WITH {FILES} SELECT {sql_map(V.EXTENSION_PARSERS, EXT, "'tika'")} AS parser, count(*) AS files,
   string_agg(DISTINCT extension, ',' ORDER BY extension) AS extensions FROM files GROUP BY 1""")
 def _(t: Tables):
