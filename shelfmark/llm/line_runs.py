@@ -2,23 +2,26 @@
 
 Every document is a sequence of line ids. Prefix doubling sorts its suffixes by their first 1, 2, 4, ... lines: a level holds the
 rank of each suffix among all suffixes under that comparison, for suffixes that share the rank with another one (others need no
-further comparison). Equal ranks are the LCP intervals of at least that depth. A descent through the levels then narrows, for every suffix
-that has an earlier twin, the interval to the deepest one that still holds an earlier suffix: its depth is the length of the
-longest run that starts here and occurred before. Runs that no longer run contains are the maximal ones; those with enough
-words are deleted, so the first copy in the order of keys stays.
+further comparison). Equal ranks are the LCP intervals of at least that depth. A suffix that is not the first of its interval begins a block that
+occurred before. A run of n lines that occurred before is the union of two such blocks, one at its start and one at its end, of the
+largest power of two up to n, and these overlap: so the blocks of all suffixes, each at its deepest level, joined where they share a line, are
+exactly the runs that occurred before, joined where they share a line. Such a stretch is deleted if it has enough words; the first
+copy, in the order of keys, stays.
 
 Lines that occur once leave after the first count, so all later work is on repeated lines. Every level is a table in the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.llm.common import WORD, document
 from shelfmark.llm.tables import drop_table, write_table
 
-#: Fewest words of a run that is worth deleting.
+#: Fewest words of a stretch that is worth deleting.
 MIN_WORDS = 20
 DOC = ["d", "copy"]
 AT = ["d", "copy", "p"]
@@ -44,85 +47,43 @@ def _position(prefix: str = "") -> Column:
     return F.struct(*(F.col(prefix + c).alias(c) for c in AT))
 
 
-def levels_of(lines: DataFrame) -> list:
-    """Level k: (d, copy, p, rank, words, first) of the suffixes whose first 2**k lines are found elsewhere too; first is the earliest position
-    with the same lines and so names the interval. Ends at the first level without rows."""
-    levels = []
-    keys, columns = lines, ["id1", "id2"]
+def later_blocks(lines: DataFrame) -> DataFrame:
+    """(d, copy, p, level): for every line that occurred before, the deepest level at which it begins a block of 2**level lines that
+    occurred before. Ends with the first level at which no block is found twice."""
+    found: list[DataFrame] = []
+    level, keys, columns = None, lines.select(*AT, "id1", "id2"), ["id1", "id2"]
     while True:
         groups = keys.groupBy(*columns).agg(F.count("*").alias("n"), F.min(_position()).alias("first")).where("n > 1").drop("n")
-        found = keys.join(_ranked(groups, columns), columns).select(*AT, "rank", "words", "first")
-        level = write_table(found if levels else found.distinct())  # rows that repeat are one document
+        ranked = keys.join(_ranked(groups, columns), columns).select(*AT, "rank", (_position() > F.col("first")).alias("later"))
+        level = write_table(ranked if found else ranked.distinct())  # rows that repeat are one document
         if level.frame.isEmpty():
             drop_table(level)
-            return levels
-        levels.append(level)
-        half = 1 << (len(levels) - 1)
-        a, b = level.frame, level.frame.select(*DOC, (F.col("p") - half).alias("p"), F.col("rank").alias("rank2"), F.col("words").alias("words2"))
-        keys = a.join(b, AT).select(*AT, F.col("rank").alias("rank1"), "rank2", (F.col("words") + F.col("words2")).alias("words"))
+            break
+        number = len(found)
+        found.append(level.frame.where("later").select(*AT, F.lit(number).alias("level")))
+        after = level.frame.select(*DOC, (F.col("p") - (1 << number)).alias("p"), F.col("rank").alias("rank2"))
+        keys = level.frame.select(*AT, F.col("rank").alias("rank1")).join(after, AT)
         columns = ["rank1", "rank2"]
-
-
-def _narrow(state: DataFrame, level: DataFrame, step: int) -> DataFrame:
-    """One step of the descent. state: (d, copy, p, length, name, words, asks), name being the earliest position with the same first `length` lines.
-    An asking suffix grows by `step` lines if a member that comes earlier has the same next `step` lines; members follow whoever asks."""
-    block = level.select(*DOC, F.col("p").alias("at"), F.col("rank").alias("r"), F.col("words").alias("more"))
-    ahead = state.withColumn("at", F.col("p") + F.col("length")).join(block, [*DOC, "at"], "left").drop("at")
-    members, interval, grown = ahead.where("NOT asks"), ["length", "name"], ["length", "name", "r"]
-    groups = members.where("r IS NOT NULL").groupBy(*grown).agg(F.count("*").alias("n"), F.min(_position()).alias("first")).where("n > 1").drop("n")
-    found = ahead.where("asks").join(groups, grown, "left")
-    accepts = F.coalesce(_position() > F.col("first"), F.lit(False))
-    asked = found.select(*AT, F.when(accepts, F.col("length") + step).otherwise(F.col("length")).alias("length"),
-                         F.when(accepts, F.col("first")).otherwise(F.col("name")).alias("name"),
-                         F.when(accepts, F.col("words") + F.col("more")).otherwise(F.col("words")).alias("words"), F.lit(True).alias("asks"))
-    needed = asked.select(*interval).distinct()
-    longer = members.join(groups, grown).select(*AT, (F.col("length") + step).alias("length"), F.col("first").alias("name"))
-    followed = members.select(*AT, *interval).unionByName(longer).join(needed, interval, "left_semi")
-    return asked.unionByName(followed.select("*", F.lit(0).alias("words"), F.lit(False).alias("asks")))
-
-
-def repeated_runs(lines: DataFrame) -> DataFrame:
-    """(d, copy, p, length, words): for every suffix with an earlier twin, the longest run from here that occurred before."""
-    levels = levels_of(lines)
-    state = None
-    for k in reversed(range(len(levels))):
-        level = levels[k].frame
-        # suffixes whose deepest power of two with an earlier twin is this level join the descent, with their interval's members
-        twins = level.where(_position() > F.col("first"))
-        if state is not None:
-            twins = twins.join(state.frame.where("asks").select(*AT), AT, "left_anti")
-        mine = twins.select(*AT, F.lit(1 << k).alias("length"), F.col("first").alias("name"), "words", F.lit(True).alias("asks"))
-        theirs = level.join(mine.select(F.col("name").alias("first")).distinct(), "first", "left_semi").select(
-            *AT, F.lit(1 << k).alias("length"), F.col("first").alias("name"), F.lit(0).alias("words"), F.lit(False).alias("asks"))
-        new = mine.unionByName(theirs)
-        joined = write_table(new if state is None else _narrow(state.frame, level, 1 << k).unionByName(new))
-        if state is not None:
-            drop_table(state)
-        state = joined
-    for level in levels:
-        drop_table(level)
-    if state is None:
-        return lines.select(*AT, F.col("p").alias("length"), "words").limit(0)
-    return state.frame.where("asks").drop("asks", "name")
-
-
-def maximal(runs: DataFrame) -> DataFrame:
-    """Runs that the run from the line before does not contain."""
-    before = runs.select(*DOC, (F.col("p") + 1).alias("p"), F.col("length").alias("longer"))
-    return runs.join(before, AT, "left").where("longer IS NULL OR longer <= length").drop("longer")
+    if not found:
+        return lines.select(*AT, F.lit(0).alias("level")).limit(0)
+    return reduce(DataFrame.unionAll, found).groupBy(*AT).agg(F.max("level").alias("level"))
 
 
 def later_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(d, copy, gone): per document with deletions, the numbers of the lines to delete."""
-    lines = write_table(lines_of(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text"))
-    runs = maximal(repeated_runs(lines.frame)).where(F.col("words") >= min_words)
-    places = runs.select(*DOC, F.explode(F.sequence("p", F.col("p") + F.col("length") - 1)).alias("p")).distinct()
-    return places.join(lines.frame.select(*AT, "line"), AT).groupBy(*DOC).agg(F.collect_set("line").alias("gone"))
+    lines = write_table(lines_of(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "key", "text")).frame
+    blocks = later_blocks(lines).join(lines.select(*AT, "line", "words").distinct(), AT)
+    along = Window.partitionBy(*DOC).orderBy("p")  # one document's lines
+    reached = F.max(F.col("p") + F.pow(F.lit(2), F.col("level")).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce((F.col("p") >= reached).cast("int"), F.lit(1))
+    stretches = blocks.withColumn("begins", begins).withColumn("stretch", F.sum("begins").over(along))
+    long_enough = F.sum("words").over(Window.partitionBy(*DOC, "stretch")) >= min_words
+    return stretches.withColumn("goes", long_enough).where("goes").groupBy(*DOC).agg(F.collect_list("line").alias("gone"))
 
 
 def without_later_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, text, n_lines, n_deleted) per row of `docs`: the row as it was, and its text without the lines of maximal runs that
-    occurred before and have `min_words` words or more.
+    """(row, text, n_lines, n_deleted) per row of `docs`: the row as it was, and its text without the stretches of lines that
+    occurred before and have `min_words` words or more. A stretch is a maximal repeated run, or several that overlap.
 
     Order is by key (an integer; null last), then by text, then by line. A run may lie anywhere, also twice in one text. Rows that repeat with key and
     text are one document and share its result. Null texts stay null with 0 lines; blank lines are no part of a run and stay.

@@ -76,8 +76,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
 pairs AS (SELECT b.doc_id AS d, b.p, b.words, a.doc_id AS d0, a.p - b.p AS diagonal, b.p - row_number() OVER (PARTITION BY a.doc_id, b.doc_id, a.p - b.p ORDER BY b.p) AS island
   FROM lines a JOIN lines b ON a.l = b.l AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.p < b.p)),
-runs AS (SELECT d, d0, diagonal, island, min(p) AS p0, max(p) AS p1 FROM pairs GROUP BY ALL HAVING sum(words) >= 20),
-gone AS (SELECT DISTINCT d, unnest(range(p0, p1 + 1)) AS p FROM runs),
+runs AS (SELECT d, min(p) AS p0, max(p) AS p1 FROM pairs GROUP BY d, d0, diagonal, island),
+marked AS (SELECT *, CASE WHEN p0 <= max(p1) OVER (PARTITION BY d ORDER BY p0, p1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS begins FROM runs),
+numbered AS (SELECT *, sum(begins) OVER (PARTITION BY d ORDER BY p0, p1 ROWS UNBOUNDED PRECEDING) AS stretch FROM marked),
+stretches AS (SELECT d, stretch, min(p0) AS p0, max(p1) AS p1 FROM numbered GROUP BY ALL),
+gone AS (SELECT DISTINCT lines.doc_id AS d, lines.p FROM stretches s JOIN lines ON lines.doc_id = s.d AND lines.p BETWEEN s.p0 AND s.p1
+  QUALIFY sum(words) OVER (PARTITION BY s.d, s.stretch) >= 20),
 kept AS (SELECT doc_id, count(*) AS n_deleted FROM lines JOIN gone ON doc_id = d AND lines.p = gone.p GROUP BY doc_id),
 texts AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY n) AS text FROM (SELECT doc_id, unnest(range(1, len(a) + 1)) AS n, unnest(a) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)) x
   LEFT JOIN (SELECT lines.doc_id AS g, line FROM lines JOIN gone ON doc_id = d AND lines.p = gone.p) y ON x.doc_id = g AND line = n - 1 WHERE g IS NULL GROUP BY doc_id)

@@ -6,13 +6,13 @@ from shelfmark.llm import line_runs
 
 
 def plain(docs, min_words):
-    """Longest earlier match of every suffix by comparing all pairs; union of those long enough."""
+    """Longest earlier match of every suffix by comparing all pairs; runs that share a line together, those long enough gone."""
     order = sorted(set(docs), key=lambda d: (d[0] is None, d[0] or 0))
     places = []
     for at, (_, text) in enumerate(order):
         seq = [(i, x) for i, x in enumerate(text.split("\n")) if x.split()] if text is not None else []
         places += [(at, p, seq) for p in range(len(seq))]
-    gone = {at: set() for at in range(len(order))}
+    runs = {at: [] for at in range(len(order))}
     for n, (at, p, seq) in enumerate(places):
         best = 0
         for _, q, other in places[:n]:
@@ -20,11 +20,15 @@ def plain(docs, min_words):
             while p + size < len(seq) and q + size < len(other) and seq[p + size][1] == other[q + size][1]:
                 size += 1
             best = max(best, size)
-        if best and sum(len(x.split()) for _, x in seq[p:p + best]) >= min_words:
-            gone[at] |= {seq[i][0] for i in range(p, p + best)}
+        if best:
+            if runs[at] and p < runs[at][-1][1]:
+                runs[at][-1][1] = max(runs[at][-1][1], p + best)
+            else:
+                runs[at].append([p, p + best, seq])
     out = {}
     for at, d in enumerate(order):
-        out[d] = None if d[1] is None else "\n".join(x for i, x in enumerate(d[1].split("\n")) if i not in gone[at])
+        gone = {seq[i][0] for a, b, seq in runs[at] if sum(len(x.split()) for _, x in seq[a:b]) >= min_words for i in range(a, b)}
+        out[d] = None if d[1] is None else "\n".join(x for i, x in enumerate(d[1].split("\n")) if i not in gone)
     return out
 
 
