@@ -23,7 +23,7 @@ ALPHA = 0.4
 #: n-grams of two words or more that occur less often are not in the table.
 MIN_COUNT = 2
 #: Bytes of text in one block, and bytes of text whose n-grams make one part.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 PART_BYTES = 12 << 20
 _UPPER_TO_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _TAG = np.uint64(3)  # the two low bits of a hash hold the order
@@ -50,11 +50,11 @@ class Grams:
     """n-gram hashes of a block of texts: at[n - 1][i] is that of the n words that end with word i, where `place` of the word in its text allows it."""
 
     def __init__(self, texts: list[bytes | None]):
-        words = [t.translate(_UPPER_TO_LOWER).split() if t else [] for t in texts]
-        self.sizes = np.array([len(w) for w in words], dtype=np.int64)
         digest = xxhash.xxh64_intdigest
-        word = np.fromiter((digest(w) for text in words for w in text), np.uint64, int(self.sizes.sum()))
-        del words
+        hashed = [np.fromiter(map(digest, t.translate(_UPPER_TO_LOWER).split()), np.uint64) if t else np.zeros(0, np.uint64) for t in texts]
+        self.sizes = np.array([len(h) for h in hashed], dtype=np.int64)
+        word = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
+        del hashed
         starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])) if len(self.sizes) else np.zeros(0, np.int64)
         self.place = np.arange(len(word)) - np.repeat(starts, self.sizes)
         grams, self.at = word, []
@@ -64,7 +64,9 @@ class Grams:
             self.at.append((grams & ~_TAG) | np.uint64(n))
 
     def keys(self) -> np.ndarray:
-        return np.concatenate([hashes[self.place >= n] for n, hashes in enumerate(self.at)])
+        """All n-grams, shortest first; the arrays they come from are let go."""
+        at, self.at = self.at, []
+        return np.concatenate([hashes[self.place >= n] for n, hashes in enumerate(at)])
 
 
 def texts_of(table: pa.Table) -> list[bytes | None]:
