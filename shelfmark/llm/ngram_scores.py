@@ -23,20 +23,31 @@ ALPHA = 0.4
 #: n-grams of two words or more that occur less often are not in the table.
 MIN_COUNT = 2
 #: Bytes of text in one block, and bytes of text whose n-grams make one part.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 PART_BYTES = 12 << 20
 _UPPER_TO_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _TAG = np.uint64(3)  # the two low bits of a hash hold the order
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers as byte planes."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.dtype.itemsize).T).tobytes()
+    """Unsigned integers as byte planes, each compressed on its own, with the planes' sizes in front."""
+    codec = pa.Codec("zstd", compression_level=1)
+    width = values.dtype.itemsize
+    planes = [codec.compress(p.tobytes(), asbytes=True) for p in values.view(np.uint8).reshape(-1, width).T]
+    return np.array([len(values), *map(len, planes)], dtype="<u8").tobytes() + b"".join(planes)
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    codec = pa.Codec("zstd")
+    width = np.dtype(kind).itemsize
+    n, *sizes = np.frombuffer(data, "<u8", count=width + 1).tolist()
+    out = np.empty((n, width), dtype=np.uint8)
+    at = 8 * (width + 1)
+    for plane, size in enumerate(sizes):
+        if n:
+            out[:, plane] = np.frombuffer(codec.decompress(data[at:at + size], n, asbytes=True), np.uint8)
+        at += size
+    return out.view(kind).ravel()
 
 
 def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -64,9 +75,7 @@ class Grams:
             self.at.append((grams & ~_TAG) | np.uint64(n))
 
     def keys(self) -> np.ndarray:
-        """All n-grams, shortest first; the arrays they come from are let go."""
-        at, self.at = self.at, []
-        return np.concatenate([hashes[self.place >= n] for n, hashes in enumerate(at)])
+        return np.concatenate([hashes[self.place >= n] for n, hashes in enumerate(self.at)])
 
 
 def texts_of(table: pa.Table) -> list[bytes | None]:
@@ -120,7 +129,7 @@ def _total(table: pa.Table) -> pa.Table:
 
 def _score(docs: pa.Table, answers: pa.Table, parts: int, key_type: pa.DataType) -> pa.Table:
     grams = Grams(texts_of(docs))
-    keys, place = np.unique(grams.keys(), return_inverse=True)
+    keys = np.unique(grams.keys())
     rows = sorted(zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist()))
     totals = np.concatenate([unpack(t, np.uint64) for _, t in rows])
     if [p for p, _ in rows] != list(range(parts)) or len(totals) != len(keys):
@@ -128,14 +137,14 @@ def _score(docs: pa.Table, answers: pa.Table, parts: int, key_type: pa.DataType)
     n_words = sum(answers.column("n_words").to_pylist())
 
     # counts of the n-grams that end at each word, 0 where the text is too short
-    counts, start = [], 0
+    counts = []
     for n in range(1, ORDER + 1):
         fits = grams.place >= n - 1
         found = np.zeros(len(fits), dtype=np.float64)
-        end = start + int(fits.sum())
-        found[fits] = totals[place[start:end]]
+        own, place = np.unique(grams.at[n - 1][fits], return_inverse=True)
+        found[fits] = totals[np.searchsorted(keys, own)][place]  # sorted against sorted
         counts.append(found)
-        start = end
+    del keys, totals
     longest = np.minimum(grams.place, ORDER - 1)
     value = ALPHA ** longest * counts[0] / max(1, n_words)
     seen = np.ones(len(value), dtype=np.int64)
