@@ -76,7 +76,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]')),
 pairs AS (SELECT b.doc_id AS d, b.p, b.words, a.doc_id AS d0, a.p - b.p AS diagonal, b.p - row_number() OVER (PARTITION BY a.doc_id, b.doc_id, a.p - b.p ORDER BY b.p) AS island
   FROM lines a JOIN lines b ON a.l = b.l AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.p < b.p)),
-runs AS (SELECT d, min(p) AS p0, max(p) AS p1 FROM pairs GROUP BY d, d0, diagonal, island),
+runs AS (SELECT DISTINCT d, p0, p1 FROM (SELECT d, min(p) AS p0, max(p) AS p1 FROM pairs GROUP BY d, d0, diagonal, island)),
 marked AS (SELECT *, CASE WHEN p0 <= max(p1) OVER (PARTITION BY d ORDER BY p0, p1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS begins FROM runs),
 numbered AS (SELECT *, sum(begins) OVER (PARTITION BY d ORDER BY p0, p1 ROWS UNBOUNDED PRECEDING) AS stretch FROM marked),
 stretches AS (SELECT d, stretch, min(p0) AS p0, max(p1) AS p1 FROM numbered GROUP BY ALL),
