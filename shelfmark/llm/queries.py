@@ -13,6 +13,8 @@ from shelfmark.llm.license_texts import TEMPLATES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Second forms of an operator, beside the one whose SQL fixes its rows.
+MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(sql: str | None = None):
@@ -166,6 +168,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.written(found, base_only=True), 256).alias("base_sha256"), secret_scan.written(found).alias("spans"))
 
 
+def op3_secret_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("spans")
+    return secret_scan.scan(read(spark, sf_dir, "documents"), whole=True).select(
+        "doc_id", *(secret_scan.count_of(found, k).alias(f"n_{k}") for k in secret_scan.KINDS), secret_scan.written(found).alias("spans"))
+
+
+MORE["op3_secret_scan_whole"] = op3_secret_scan_whole
+
+
 @query("""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, strlen(h) AS n, sha256(h) AS d FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM q)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,

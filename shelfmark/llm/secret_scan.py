@@ -54,6 +54,12 @@ ALLOW = (
     r"(?i)example|sample|dummy|placeholder|changeme",
     r"(?i)abcdefghij|0123456789|1234567890|qwertyuiop",
 )
+#: What `scan` with whole=True allows instead. An identifier is a whole candidate; of a path only windows within its last segment count, the others having
+#: no digits; a window with one of these words in it, or out of one of these alphabets, does not count. A date is shorter than a window.
+IDENTIFIER, PATH, WORDS = ALLOW[0], ALLOW[2], f"{ALLOW[3]}|{ALLOW[4].removeprefix('(?i)')}"
+_LETTERS, _KEYS = "abcdefghijklmnopqrstuvwxyz", "qwertyuiopasdfghjklzxcvbnm"
+ALPHABETS = " ".join(a + b + end for digits in ("0123456789", "1234567890") for x in (_LETTERS, _KEYS)
+                     for a, b, end in ((2 * x, digits, "+/="), (2 * x, digits, "-_="), (digits, 2 * x, "+/="), (digits, 2 * x, "-_=")))
 #: c log2 c in units of 1e-9 for c = 0 ... WINDOW.
 COUNT_LOG = [round(c * math.log2(c) * 1e9) if c else 0 for c in range(WINDOW + 1)]
 
@@ -82,11 +88,20 @@ def _count_log(count: Column) -> Column:
     return F.get(F.array(*map(F.lit, COUNT_LOG)), count.cast("int"))
 
 
-def random_parts(candidates: DataFrame, keys: list[str], allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def _counts(match: Column, i: Column) -> Column:
+    """Whether the window of `match` that ends with character i counts though it may be random."""
+    first = i - (WINDOW - 1)
+    text = F.substr(match, first + 1, F.lit(WINDOW))
+    segment = F.when(match.rlike(PATH), F.length(match) - F.length(F.substring_index(match, "/", -1))).otherwise(F.lit(0))
+    return (first >= segment) & ~text.rlike(WORDS) & ~F.contains(F.lit(ALPHABETS), F.lower(text))
+
+
+def random_parts(candidates: DataFrame, keys: list[str], allow: tuple[str, ...] = ALLOW, whole: bool = False) -> DataFrame:
     """(keys..., start, end) of the candidates (keys..., start, match) with a random window: from the first such window to the end of the last.
+    With `whole` the windows are allowed one by one and `allow` is not used.
     Characters of one candidate are ordered in one place, which its text bounds."""
     wanted = candidates
-    for pattern in allow:
+    for pattern in (IDENTIFIER,) if whole else allow:
         wanted = wanted.where(~F.col("match").rlike(pattern))
     own = [*keys, "start"]
     chars = wanted.select(*own, F.posexplode(F.split("match", "")).alias("i", "ch")).where("ch <> ''")
@@ -107,7 +122,11 @@ def random_parts(candidates: DataFrame, keys: list[str], allow: tuple[str, ...]
     for c in reversed(CLASSES):
         good = (F.col("digits") >= c.digits) & (F.col("letters") >= c.letters) & (F.col("total") <= most_concentrated(c.bits))
         random = F.when(F.col(c.name) == WINDOW, good).otherwise(random)
-    ends = windows.where(random).groupBy(*own).agg(F.min("i").alias("first"), F.max("i").alias("last"))
+    found = windows.where(random)
+    if whole:
+        places = found.groupBy(*own).agg(F.collect_list("i").alias("at")).join(wanted.select(*own, "match"), own)
+        found = places.select(*own, F.explode(F.filter("at", lambda i: _counts(F.col("match"), i))).alias("i"))
+    ends = found.groupBy(*own).agg(F.min("i").alias("first"), F.max("i").alias("last"))
     return ends.select(*keys, (F.col("start") + F.col("first") - (WINDOW - 1)).alias("start"), (F.col("start") + F.col("last") + 1).alias("end"))
 
 
@@ -117,30 +136,33 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", allow: tuple
     return _spans(rows, allow)
 
 
-def _spans(rows: DataFrame, allow: tuple[str, ...]) -> DataFrame:
+def _spans(rows: DataFrame, allow: tuple[str, ...], whole: bool = False) -> DataFrame:
     found = write_table(_matches(rows)).frame  # used twice; the texts are searched once
     doc = ["d", "copy"]
     base = found.where(f"kind < {KINDS.index('entropy')}").select(*doc, "kind", "start", "end")
-    added = random_parts(found.where(f"kind = {KINDS.index('entropy')}").select(*doc, "start", "match"), doc, allow).select(
+    added = random_parts(found.where(f"kind = {KINDS.index('entropy')}").select(*doc, "start", "match"), doc, allow, whole).select(
         *doc, F.lit(KINDS.index("entropy")).alias("kind"), "start", "end")
-    # an entropy span that overlaps a pattern's span says nothing new
+    # an entropy span that a pattern's span contains says nothing new, and without `whole` also one that overlaps it
     ordered = Window.partitionBy(*doc).orderBy("start", "kind")
     is_base = F.col("kind") < KINDS.index("entropy")
     seen = base.unionByName(added).withColumns({
         "before": F.max(F.when(is_base, F.col("end"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1)),
         "behind": F.min(F.when(is_base, F.col("start"))).over(ordered.rowsBetween(1, Window.unboundedFollowing))})
     clear = F.coalesce(F.col("before") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("behind") >= F.col("end"), F.lit(True))
+    if whole:
+        clear = F.coalesce(F.col("before") < F.col("end"), F.lit(True))
     return seen.where(is_base | clear).select(*doc, "kind", "start", "end")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", allow: tuple[str, ...] = ALLOW, whole: bool = False) -> DataFrame:
     """(key, spans) per row of `docs`: an array of (kind, start, end), by start and then kind, counted in code points, end exclusive; kinds are the
     places in KINDS. The three patterns are matched from the left without overlap, each on its own, and matches that are too short go.
     To them come candidate strings with a random window, but for those the allow list knows and those that overlap a pattern's
-    span. Null and blank texts have no spans; repeated rows give repeated rows; other columns are ignored.
+    span. With `whole` no candidate goes for a part of it: the windows that IDENTIFIER, PATH, WORDS and ALPHABETS cover do not count, all others do, and a
+    span goes only where one span of a pattern contains it. Null and blank texts have no spans; repeated rows give repeated rows; other columns are ignored.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).select("key", "text", *document())
-    listed = _spans(rows.select("text", "d", "copy"), allow).groupBy("d", "copy").agg(
+    listed = _spans(rows.select("text", "d", "copy"), allow, whole).groupBy("d", "copy").agg(
         F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("found"))
     spans_of = F.transform(F.coalesce("found", F.array()), lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end")))
     return rows.select("key", "d", "copy").join(listed, ["d", "copy"], "left").select(F.col("key").alias(key), spans_of.alias("spans"))
