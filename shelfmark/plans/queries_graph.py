@@ -139,8 +139,8 @@ def _(t: Tables):
 
 
 def vendor_names(t: Tables) -> DataFrame:
-    """Capitalised names of at least eight letters found in the texts."""
-    found = F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}{7,}"), F.lit(0))
+    """Capitalised names found in the texts, of any length from two letters on."""
+    found = F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}+"), F.lit(0))
     return t.docs.select(F.explode(found).alias("name")).distinct()
 
 
