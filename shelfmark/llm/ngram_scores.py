@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -164,19 +164,23 @@ def _score(docs: pa.Table, answers: pa.Table, parts: int, key_type: pa.DataType)
                      **{f"n_order{n}": per_document((seen == n).astype(np.int64)) for n in range(1, ORDER + 1)}})
 
 
+def _block(blocks: int) -> Column:
+    """Block of a row by key, text and row number, so that rows that repeat spread. The number is that of the input's files and so the same in every read."""
+    return F.pmod(F.xxhash64("d", "copy", F.monotonically_increasing_id()), F.lit(blocks)).cast("int")
+
+
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_words, log_micros, n_order1, n_order2, n_order3) per row of `docs`, counts taken from all rows.
 
     A word scores count(n-gram) / count(its context) for the longest n-gram of up to three words that ends with it and is in the table, times 0.4 for
     each order given up; with one word left, count / all words. log_micros sums the natural logarithms in millionths, each rounded. n_order* count
     the words by the order used. Words are those between ASCII blanks, in ASCII lower case. Null and blank texts have 0 everywhere; repeated rows
-    count and score each; other columns are ignored.
+    count and score each; other columns are ignored. `docs` is read more than once and has to give its rows in the same order each time, as tables do.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks, parts = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // PART_BYTES))
-    block = F.pmod(F.xxhash64(*(F.col(c) for c in ("d", "copy"))), F.lit(blocks)).cast("int")
-    placed = map_rows(rows.select("key", "text", *document()).select("key", "text", block.alias("block")), _packed,
+    placed = map_rows(rows.select("key", "text", *document()).select("key", "text", _block(blocks).alias("block")), _packed,
                       [field("packed", "binary"), field("size", "bigint")], keep=("key", "block"))
     sent = placed.groupBy("block").applyInArrow(lambda t: _send(t, parts), "part int, block int, grams binary, counts binary")
     answered = sent.groupBy("part").applyInArrow(_total, "block int, part int, totals binary, n_words bigint")

@@ -49,3 +49,13 @@ def test_empty_table(spark):
 def test_packing():
     values = np.array([0, 1, 2**63 + 5, 2**64 - 1], dtype=np.uint64)
     assert (ns.unpack(ns.pack(values), np.uint64) == values).all() and len(ns.unpack(ns.pack(values[:0]), np.uint64)) == 0
+
+
+def test_repeated_rows_spread(spark, monkeypatch):
+    rows = [(None, "the same text")] * 400 + [(7, "another one here")] * 400
+    frame = spark.createDataFrame(rows, "key bigint, text string").select("key", *ns.document())
+    sizes = [r["count"] for r in frame.select("key", ns._block(8).alias("block")).groupBy("key", "block").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 100
+    monkeypatch.setattr(ns, "BLOCK_BYTES", 1500)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in ns.scores(docs).na.fill(-1).collect()) == sorted((-1 if r[0] is None else r[0], *r[1:]) for r in plain(rows))
