@@ -120,6 +120,14 @@ def _(t: Tables):
     return rounded(graph.pagerank(nodes, edges, rounds=6), "rank", digits=9)
 
 
+@query("g5_pagerank_converged")
+def _(t: Tables):
+    similar = vector_search.similar_pairs(vectors(t).select("id", "embedding"), above=0.2)
+    edges = cut_lineage(similar.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")))
+    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    return rounded(graph.pagerank(nodes, edges), "rank", digits=9)
+
+
 @query("g5_pagerank_corpus")
 def _(t: Tables):
     docs, edges = graph_parts(t)

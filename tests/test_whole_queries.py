@@ -4,8 +4,10 @@ import itertools
 from difflib import SequenceMatcher
 from types import SimpleNamespace
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from shelfmark import fixed_values as V
 from shelfmark.plans.catalog import QUERIES
 from shelfmark.plans.queries_graph import vendor_names
 
@@ -36,3 +38,20 @@ def test_fuzzy_names_and_merging_of_all_names(spark):
         if not led:
             leaders.add(n)
     assert {r.name: r.leader for r in QUERIES["g9_merge_entities"](spark, SF).collect()} == leader
+
+
+def test_pagerank_converges(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = np.round(x @ x.T, 9) > 0.2
+    links &= ids[:, None] < ids[None, :]
+    used = links.any(axis=0) | links.any(axis=1)
+    links, ids = links[np.ix_(used, used)], ids[used]
+    n, degree = len(ids), links.sum(axis=1)
+    rank, change = np.full(n, 1 / n), n
+    while change >= V.PAGERANK_TOLERANCE * n:
+        fresh = (1 - V.PAGERANK_ALPHA) / n + V.PAGERANK_ALPHA * (links.T @ (rank / np.maximum(degree, 1)) + rank[degree == 0].sum() / n)
+        rank, change = fresh, np.abs(fresh - rank).sum()
+    got = {r.id: r.rank for r in QUERIES["g5_pagerank_converged"](spark, SF).collect()}
+    assert set(got) == set(ids.tolist()) and max(abs(got[i] - r) for i, r in zip(ids.tolist(), rank)) < 2e-9
