@@ -373,6 +373,26 @@ def _(t: Tables):
     return out.select("table_name", "row_count", F.size("columns").alias("columns"))
 
 
+CATALOG = {
+    "region": "r_regionkey:int,r_name:string", "nation": "n_nationkey:int,n_name:string,n_regionkey:int",
+    "customer": "c_custkey:bigint,c_name:string,c_nationkey:int,c_acctbal:double,c_mktsegment:string",
+    "supplier": "s_suppkey:bigint,s_name:string,s_nationkey:int,s_acctbal:double",
+    "part": "p_partkey:bigint,p_name:string,p_brand:string,p_type:string,p_size:int,p_retailprice:double",
+    "orders": "o_orderkey:bigint,o_custkey:bigint,o_orderstatus:string,o_totalprice:double,o_orderdate:timestamp_ntz,o_orderpriority:string",
+    "lineitem": "l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_linenumber:int,l_quantity:double,l_extendedprice:double,l_discount:double,l_tax:double,l_returnflag:string,l_linestatus:string,l_shipdate:timestamp_ntz",
+    "events": "event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double,props:string",
+    "documents": "doc_id:bigint,text:string,lang:string,source:string,n_chars:bigint", "embeddings": "vec_id:bigint,embedding:array<float>,label:int",
+    "pages": "page_id:bigint,url:string,html:string", "benchmark": "item_id:bigint,text:string", "labels": "doc_id:bigint,quality:int,toxic:int",
+    "conversations": "conv_id:bigint,turn:bigint,role:string,text:string"}
+
+
+@query("s7_catalog_profile_all", " UNION ALL ".join(f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS row_count, '{c}' AS columns, least(3, (SELECT count(*) FROM {n})) AS preview_rows" for n, c in CATALOG.items()))
+def _(t: Tables):
+    out = table_sources.catalog_profile({n: getattr(t, n) for n in CATALOG}, sample_rows=3)
+    written = F.array_join(F.transform("columns", lambda c: F.concat_ws(":", c["name"], c["type"])), ",")
+    return out.select("table_name", "row_count", written.alias("columns"), F.size("preview").cast("bigint").alias("preview_rows"))
+
+
 @query("s8_export_rows", "SELECT n_nationkey || ',' || n_name || ',' || n_regionkey AS line FROM nation")
 def _(t: Tables):
     return table_sources.export_lines(t.nation.select("n_nationkey", "n_name", "n_regionkey"), "csv")

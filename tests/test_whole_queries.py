@@ -1,6 +1,7 @@
 """Queries that take all of their input, against brute force or SQL."""
 
 import itertools
+import os
 from difflib import SequenceMatcher
 from types import SimpleNamespace
 
@@ -55,3 +56,9 @@ def test_pagerank_converges(spark):
         rank, change = fresh, np.abs(fresh - rank).sum()
     got = {r.id: r.rank for r in QUERIES["g5_pagerank_converged"](spark, SF).collect()}
     assert set(got) == set(ids.tolist()) and max(abs(got[i] - r) for i, r in zip(ids.tolist(), rank)) < 2e-9
+
+
+def test_catalog_profile_covers_every_table(spark):
+    rows = QUERIES["s7_catalog_profile_all"](spark, SF).collect()
+    assert {f"{r.table_name}.parquet" for r in rows} == set(os.listdir(SF))
+    assert {r.table_name: r["columns"] for r in rows}["documents"].startswith("doc_id:bigint,text:string")
