@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, language_id, licenses, line_runs, ngram_scores, quality_rules, secret_scan, sentencepieces, simhash, warc_zip
+from shelfmark.llm import decontaminate, language_id, licenses, line_runs, ngram_scores, quality_rules, secret_scan, sentencepieces, simhash, suffix_dedup, warc_zip
 from shelfmark.llm.common import read
 from shelfmark.llm.license_texts import TEMPLATES
 
@@ -199,3 +199,10 @@ SELECT w.doc_id, count(o) AS n_words, coalesce(sum(round(ln(p) * 1e6)::BIGINT),
   count(*) FILTER (o = 2) AS n_order2, count(*) FILTER (o = 3) AS n_order3 FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id""")
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_scores.scores(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.without_repeats(read(spark, sf_dir, "documents"), ["doc_id"])
+    size = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.start)
+    return rows.select("row.doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
