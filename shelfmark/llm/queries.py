@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, language_id, licenses, line_runs, ngram_scores, quality_rules, secret_scan, sentencepieces, simhash, suffix_dedup, warc_zip
-from shelfmark.llm.common import read
+from shelfmark.llm import decontaminate, language_id, licenses, line_runs, merkle, ngram_scores, quality_rules, secret_scan, sentencepieces, simhash, suffix_dedup, warc_zip
+from shelfmark.llm.common import ascii_lower, read
 from shelfmark.llm.license_texts import TEMPLATES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +206,43 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.without_repeats(read(spark, sf_dir, "documents"), ["doc_id"])
     size = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.start)
     return rows.select("row.doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: DuckDB: CRC-32 of the decimal doc_id by its table, which comes from the polynomial; digests of leaves; runs of 16 until one node is left; and the way up.
+_CRC_SQL = """crc(k, n, c) AS (SELECT 0, i, i FROM range(256) t(i) UNION ALL SELECT k + 1, n, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS t FROM crc WHERE k = 8)"""
+
+
+def _coded_sql(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+@query(f"""WITH RECURSIVE {_CRC_SQL},
+docs AS (SELECT *, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])) AS c FROM documents, crc_table),
+leaves AS (SELECT doc_id, source, sha256({" || ".join(map(_coded_sql, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf,
+  sha256({" || ".join(map(_coded_sql, ("doc_id", "source", "lang", "n_chars")))} || {_coded_sql("CASE WHEN xor(c, 4294967295) % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")}) AS found FROM docs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, found) - 1 AS pos, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS size FROM leaves),
+nodes(tree, level, pos, size, h) AS (SELECT tree, 0, pos, size, leaf FROM placed UNION ALL
+  SELECT tree, level + 1, pos // 16, any_value((size + 15) // 16), sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE size > 1 GROUP BY tree, level, pos // 16),
+subroots AS (SELECT tree, level, h FROM nodes WHERE size = 1),
+top(level, pos, size, h) AS (SELECT 0, tree, (SELECT count(*) FROM subroots), h FROM subroots UNION ALL
+  SELECT level + 1, pos // 16, any_value((size + 15) // 16), sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE size > 1 GROUP BY level, pos // 16),
+runs AS (SELECT tree, level, pos // 16 AS run, list(h ORDER BY pos) AS children FROM nodes WHERE size > 1 GROUP BY ALL
+  UNION ALL SELECT -1, level, pos // 16, list(h ORDER BY pos) FROM top WHERE size > 1 GROUP BY ALL),
+roots AS (SELECT h AS root FROM top WHERE size = 1),
+climb(doc_id, leaf, home, tree, level, pos, folded, proof) AS (SELECT doc_id, leaf, tree, CASE WHEN size = 1 THEN -1 ELSE tree END, 0, CASE WHEN size = 1 THEN tree ELSE pos END, found, '' FROM placed UNION ALL
+  SELECT doc_id, leaf, home, CASE WHEN c.tree >= 0 AND c.level + 1 = s.level THEN -1 ELSE c.tree END, CASE WHEN c.tree >= 0 AND c.level + 1 = s.level THEN 0 ELSE c.level + 1 END,
+    CASE WHEN c.tree >= 0 AND c.level + 1 = s.level THEN c.tree ELSE c.pos // 16 END, sha256(array_to_string(list_concat(children[1:c.pos % 16], [folded], children[c.pos % 16 + 2:]), '')),
+    proof || array_to_string(list_concat(children[1:c.pos % 16], children[c.pos % 16 + 2:]), '')
+  FROM climb c JOIN runs r ON r.tree = c.tree AND r.level = c.level AND r.run = c.pos // 16 LEFT JOIN subroots s ON s.tree = c.tree),
+ends AS (SELECT c.*, s.h AS subroot FROM climb c JOIN subroots s ON s.tree = c.home WHERE c.tree = -1 AND c.level = (SELECT max(level) FROM top))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM ends, roots""")
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    values = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    found = [*values[:4], F.when(tampered, ascii_lower(F.col("text"))).otherwise(F.col("text"))]
+    rows = merkle.climb(merkle.build(docs, F.col("doc_id"), F.col("source"), values, found))
+    return rows.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"),
+                       (F.col("folded") == F.col("root")).alias("verified"))
