@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import decontaminate, language_id, licenses, line_runs, merkle, ngram_scores, quality_rules, secret_scan, sentencepieces, simhash, suffix_dedup, warc_zip
+from shelfmark.llm import decontaminate, language_id, licenses, line_runs, merkle, ngram_scores, quality_rules, secret_scan, sentencepieces, simhash, suffix_dedup, warc_zip, whitening
 from shelfmark.llm.common import ascii_lower, read
 from shelfmark.llm.license_texts import TEMPLATES
 
@@ -246,3 +246,8 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = merkle.climb(merkle.build(docs, F.col("doc_id"), F.col("source"), values, found))
     return rows.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), F.col("folded").alias("folded_root"),
                        (F.col("folded") == F.col("root")).alias("verified"))
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
