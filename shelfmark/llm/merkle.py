@@ -6,7 +6,7 @@ row (id, children, parent, ordinal): its nodes, the run its own digest lies in,
 
 A recursive query climbs from the leaves to the root. Leaves of one run have the same nodes above them, so they climb in one row, each with a digest of its
 own: a step joins the stored run, appends the siblings and folds the digest of every leaf. Runs near the root are met by many rows; they are
-stored in as many copies as their share of the rows asks for, and a row goes to the copy its id hashes to.
+stored in as many copies as their share of the rows asks for, and a row goes to the copy its id hashes to. Climbing rows hold digests as bytes.
 """
 
 from __future__ import annotations
@@ -129,11 +129,11 @@ def build(rows: DataFrame, key: Column, group: Column, values: list[Column], see
 
 
 CLIMB = """WITH RECURSIVE climb(bundle, parent, ordinal, copies, folded, proof) AS (
-  SELECT id, parent, ordinal, copies, folded, CAST('' AS STRING) FROM {start}
+  SELECT id, parent, ordinal, copies, folded, CAST('' AS BINARY) FROM {start}
   UNION ALL
   SELECT c.bundle, r.parent, r.ordinal, r.copies,
-    transform(c.folded, f -> sha2(CAST(array_join(transform(r.children, (x, i) -> IF(i = c.ordinal, f, x)), '') AS BINARY), 256)),
-    concat(c.proof, array_join(filter(r.children, (x, i) -> i <> c.ordinal), ''))
+    transform(c.folded, f -> unhex(sha2(CAST(array_join(transform(r.children, (x, i) -> IF(i = c.ordinal, lower(hex(f)), x)), '') AS BINARY), 256))),
+    concat(c.proof, unhex(array_join(filter(r.children, (x, i) -> i <> c.ordinal), '')))
   FROM climb c JOIN {runs} r ON c.parent = r.id AND pmod(hash(c.bundle), c.copies) = r.copy)
 SELECT bundle, folded, proof FROM climb WHERE parent IS NULL"""
 _LIMIT = "spark.sql.cteRecursionRowLimit"
@@ -146,7 +146,7 @@ def climb(manifest: Manifest) -> DataFrame:
     children = F.col("rows.leaf")
     # the first run, in which every leaf has siblings of its own
     folded = F.transform("rows.found", lambda f, i: _digest(F.transform(children, lambda x, j: F.when(i == j, f).otherwise(x))))
-    start = write_table(manifest.bundles.select("id", "parent", "ordinal", "copies", F.when(F.col("alone"), F.col("rows.found")).otherwise(folded).alias("folded")))
+    start = write_table(manifest.bundles.select("id", "parent", "ordinal", "copies", F.transform(F.when(F.col("alone"), F.col("rows.found")).otherwise(folded), F.unhex).alias("folded")))
     before = spark.conf.get(_LIMIT, None)
     spark.conf.set(_LIMIT, "-1")  # the limit guards against queries without an end; this one ends at the root
     try:
@@ -159,4 +159,4 @@ def climb(manifest: Manifest) -> DataFrame:
     siblings = F.transform(F.col("rows.leaf"), lambda x, i: F.array_join(F.filter(F.col("rows.leaf"), lambda y, j: i != j), ""))
     each = rows.select("subroot", "proof", F.explode(F.arrays_zip("rows", "folded", siblings.alias("siblings"))).alias("x"))
     return each.select(F.col("x.rows.k").alias("key"), F.col("x.rows.leaf").alias("leaf"), "subroot", F.lit(manifest.root).cast("string").alias("root"),
-                       F.sha2(F.concat("x.siblings", "proof").cast("binary"), 256).alias("proof"), F.col("x.folded").alias("folded"))
+                       F.sha2(F.concat("x.siblings", F.lower(F.hex("proof"))).cast("binary"), 256).alias("proof"), F.lower(F.hex("x.folded")).alias("folded"))
