@@ -1,6 +1,6 @@
 """Repeated passages of whole corpora, byte by byte, from a sorted table of suffixes.
 
-A passage counts as repeated if its `length` bytes also start anywhere else. Not every suffix has to be sorted to find them. Let h = length // 2 and
+A passage counts as repeated if its `length` bytes also start anywhere else. Not every suffix has to be sorted to find them. Let h = 3 * length // 4 and
 q = length - h + 1. Every string of `length` bytes has h places at which q bytes fit; the place whose q bytes hash least (leftmost of equals) is its
 anchor. Equal strings have their anchors at equal offsets, so it is enough to compare suffixes that start at anchors, with the h - 1 bytes before them: about
 two of h + 1 places are anchors. Anchors whose q bytes occur once are left out.
@@ -37,6 +37,12 @@ _BASE = 0x9E3779B97F4A7C15
 _TEXT = ["t1", "t2"]
 
 
+def _reach(length: int) -> tuple[int, int]:
+    """(h, q): a longer h gives fewer anchors with more bytes around each."""
+    h = max(1, 3 * length // 4)
+    return h, length - h + 1
+
+
 # --- anchors
 
 def _gram_hashes(data: np.ndarray, q: int) -> np.ndarray:
@@ -64,8 +70,7 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the anchors of the texts that lie end to end in `data` and stop at `ends`; a string never crosses an end."""
-    h = length // 2
-    q = length - h + 1
+    h, q = _reach(length)
     starts_of = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
     places, hashes = [], []
     for start in range(0, len(data) - length + 1, BLOCK):
@@ -112,8 +117,7 @@ _SUFFIX = "t1 bigint, t2 bigint, pos array<int>, q binary, before binary, rest b
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The suffixes of each text at its shared anchors; equal ones of one text are one row with all their places."""
-    h = length // 2
-    q = length - h + 1
+    h, q = _reach(length)
     for batch in batches:
         for n in range(batch.num_rows):
             text = batch.column("text")[n].as_py()
@@ -191,7 +195,7 @@ def _compare(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     if not rows:
         return
     table = pa.Table.from_batches(rows)
-    h = length // 2
+    h, _ = _reach(length)
     q_all, before, rest = (table.column(c).to_pylist() for c in ("q", "before", "rest"))
     places = table.column("pos").to_pylist()
     t1, t2 = table.column("t1").to_numpy(), table.column("t2").to_numpy()
@@ -240,12 +244,12 @@ def repeated_stretches(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     grams = rows.select("t1", "text").mapInArrow(lambda b: _anchor_rows(b, length), "gram bigint, t1 bigint, pos int")
     place = F.struct("t1", "pos")
     shared = grams.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram")
-    wanted = write_table(grams.join(shared, "gram", "left_semi").groupBy("t1").agg(F.collect_set("pos").alias("places")))
+    wanted = write_table(grams.join(shared, "gram", "left_semi").groupBy("t1").agg(F.collect_set("pos").alias("places")), free=True)
     n = wanted.frame.agg(F.sum(F.size("places").cast("bigint"))).first()[0] or 0
     one_each = rows.groupBy(*_TEXT).agg(F.first("text").alias("text"))
     suffixes = one_each.join(wanted.frame, "t1").select(*_TEXT, "text", "places").mapInArrow(lambda b: _suffix_rows(b, length), _SUFFIX)
-    dealt = suffixes.repartitionByRange(max(1, -(-n * (length + length // 2) // BUCKET_BYTES)), "q", "before", "rest", *_TEXT, "pos")
-    found = write_table(dealt.mapInArrow(lambda b: _compare(b, length), _FOUND)).frame
+    dealt = suffixes.repartitionByRange(max(1, -(-n * (length + _reach(length)[0]) // BUCKET_BYTES)), "q", "before", "rest", *_TEXT, "pos")
+    found = write_table(dealt.mapInArrow(lambda b: _compare(b, length), _FOUND), free=True).frame
     drop_table(wanted)
     crossing = found.where("w1 IS NOT NULL")
     place = F.struct(*_TEXT, "start")  # two anchors of one string can send the same place from two buckets

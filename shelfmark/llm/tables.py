@@ -20,10 +20,22 @@ def new_path(spark, name: str = "table") -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame) -> Table:
-    """Write and read again: a lost executor costs a read, not the work before."""
+_FREES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, free: bool = False) -> Table:
+    """Write and read again: a lost executor costs a read, not the work before. With `free`, Spark deletes the shuffle files of this write at
+    its end; without it they stay until the driver collects its garbage."""
     path = new_path(df.sparkSession)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_FREES, "false")
+    if free:
+        conf.set(_FREES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if free:
+            conf.set(_FREES, before)
     return Table(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
