@@ -13,8 +13,6 @@ from shelfmark.llm.license_texts import TEMPLATES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: Second forms of an operator, beside the one whose SQL fixes its rows.
-MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(sql: str | None = None):
@@ -132,7 +130,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _S = secret_scan
 _COUNT_LOG_SQL = "[" + ", ".join(map(str, _S.COUNT_LOG)) + "]"
-_ALLOW_SQL = " AND ".join(f"NOT regexp_matches(m, '{p}')" for p in _S.ALLOW)
+#: A path: no digits, +, = or double slashes up to the last slash, no + or = behind it. Its last part begins behind that slash.
+_PART_SQL = "CASE WHEN regexp_full_match(m, '[A-Za-z_/-]*/[A-Za-z0-9_-]*') AND NOT contains(regexp_replace(m, '[^/]*$', ''), '//') THEN length(m) - length(string_split(m, '/')[-1]) ELSE 0 END"
 _RANDOM_SQL = " ".join(f"WHEN regexp_full_match(win, '{c.characters}+') THEN digits >= {c.digits} AND letters >= {c.letters} AND total <= {_S.most_concentrated(c.bits)}"
                        for c in _S.CLASSES)
 
@@ -151,12 +150,15 @@ raw AS ({_matches_sql()}),
 placed AS (SELECT doc_id, kind, list_sum(list_transform(gaps[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:n-1], lambda x: length(x))), 0) AS s, found[n] AS m
   FROM (SELECT *, unnest(range(1, len(found) + 1)) AS n FROM raw)),
 base AS (SELECT doc_id, kind, s::BIGINT AS s, (s + length(m))::BIGINT AS e FROM placed WHERE kind < 3 AND (kind > 0 OR length(regexp_extract(m, '{_S.ASSIGN.replace("'", "''")}', 1)) >= {_S.ASSIGNED})),
-wins AS (SELECT doc_id, s, i, m[i:i+{_S.WINDOW - 1}] AS win FROM (SELECT doc_id, s, m, unnest(range(1, length(m) - {_S.WINDOW - 2})) AS i FROM placed WHERE kind = 3 AND {_ALLOW_SQL})),
-counts AS (SELECT doc_id, s, i, win, ch, count(*) AS c FROM (SELECT doc_id, s, i, win, unnest(string_split(win, '')) AS ch FROM wins) GROUP BY ALL),
+wins AS (SELECT doc_id, s, i, m[i:i+{_S.WINDOW - 1}] AS win FROM (SELECT doc_id, s, m, unnest(range(1 + {_PART_SQL}, length(m) - {_S.WINDOW - 2})) AS i FROM placed
+  WHERE kind = 3 AND NOT regexp_full_match(m, '[0-9A-Fa-f]{{8}}-([0-9A-Fa-f]{{4}}-){{3}}[0-9A-Fa-f]{{12}}'))),
+judged AS (SELECT * FROM wins WHERE NOT contains('{_S.ALPHABETS}', lower(win))
+  AND NOT regexp_matches(lower(win), 'example|sample|dummy|placeholder|changeme|abcdefghij|0123456789|1234567890|qwertyuiop')),
+counts AS (SELECT doc_id, s, i, win, ch, count(*) AS c FROM (SELECT doc_id, s, i, win, unnest(string_split(win, '')) AS ch FROM judged) GROUP BY ALL),
 totals AS (SELECT doc_id, s, i, win, sum({_COUNT_LOG_SQL}[c + 1]) AS total, coalesce(sum(c) FILTER (regexp_matches(ch, '[0-9]')), 0) AS digits,
   coalesce(sum(c) FILTER (regexp_matches(ch, '[A-Za-z]')), 0) AS letters FROM counts GROUP BY ALL),
 parts AS (SELECT doc_id, 3 AS kind, (s + min(i) - 1)::BIGINT AS b, (s + max(i) + {_S.WINDOW - 1})::BIGINT AS e FROM totals WHERE CASE {_RANDOM_SQL} ELSE false END GROUP BY doc_id, s),
-spans AS (SELECT * FROM base UNION ALL SELECT doc_id, kind, b AS s, e FROM parts p WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = p.doc_id AND base.s < p.e AND p.b < base.e)),
+spans AS (SELECT * FROM base UNION ALL SELECT doc_id, kind, b AS s, e FROM parts p WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = p.doc_id AND base.s <= p.b AND p.e <= base.e)),
 texts AS (SELECT *, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || s || ':' || e AS t FROM spans)
 SELECT docs.doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   sha256(coalesce(string_agg(t, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256, coalesce(string_agg(t, ',' ORDER BY s, kind), '') AS spans
@@ -168,15 +170,6 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.written(found, base_only=True), 256).alias("base_sha256"), secret_scan.written(found).alias("spans"))
 
 
-def op3_secret_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.col("spans")
-    return secret_scan.scan(read(spark, sf_dir, "documents"), whole=True).select(
-        "doc_id", *(secret_scan.count_of(found, k).alias(f"n_{k}") for k in secret_scan.KINDS), secret_scan.written(found).alias("spans"))
-
-
-MORE["op3_secret_scan_whole"] = op3_secret_scan_whole
-
-
 @query("""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, strlen(h) AS n, sha256(h) AS d FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM q)
 SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,

@@ -1,7 +1,7 @@
 """Secrets in texts: three patterns, and candidate strings whose sliding windows are too random. DataFrame operations only.
 
 Patterns run once over each text and give matches and the pieces between them; places follow from running sums of
-their lengths. A candidate string is cut into characters; a window's entropy follows from the counts before a character leaves and
+their lengths. A candidate string is cut into pieces and these into characters; a window's entropy follows from the counts before a character leaves and
 before one enters, so each step costs the same whatever the window is. Entropy is kept as a whole number: sums of c log2 c in
 units of 1e-9, which makes running sums exact.
 """
@@ -46,20 +46,17 @@ CLASSES = (
     CharacterClass("alphanumeric", "[A-Za-z0-9]", 2, 2, 3.7),
     CharacterClass("base64", "[A-Za-z0-9+/_=-]", 2, 4, 3.8),
 )
-#: Candidates that match one of these are no secrets: identifiers, dates, paths, alphabets, examples.
-ALLOW = (
-    r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"^/?([A-Za-z_-]+/)+[A-Za-z0-9_-]*$",
-    r"(?i)example|sample|dummy|placeholder|changeme",
-    r"(?i)abcdefghij|0123456789|1234567890|qwertyuiop",
-)
-#: What `scan` with whole=True allows instead. An identifier is a whole candidate; of a path only windows within its last segment count, the others having
-#: no digits; a window with one of these words in it, or out of one of these alphabets, does not count. A date is shorter than a window.
-IDENTIFIER, PATH, WORDS = ALLOW[0], ALLOW[2], f"{ALLOW[3]}|{ALLOW[4].removeprefix('(?i)')}"
+#: What is allowed. A candidate that is an identifier goes. Of a path (letters, _ and - between single slashes, then a last part with digits too) only windows
+#: within the last part count. A window that holds one of these words, or lies in one of these alphabets, does not count. All others do, whatever lies
+#: beside them; a date is shorter than a window. No pattern has a group under a quantifier, which Java would match by recursion.
+IDENTIFIER = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
+NOT_IN_FOLDERS, NOT_IN_NAMES = "[^A-Za-z_/-]|//", "[+=]"
+WORDS = "(?i)example|sample|dummy|placeholder|changeme|abcdefghij|0123456789|1234567890|qwertyuiop"
 _LETTERS, _KEYS = "abcdefghijklmnopqrstuvwxyz", "qwertyuiopasdfghjklzxcvbnm"
 ALPHABETS = " ".join(a + b + end for digits in ("0123456789", "1234567890") for x in (_LETTERS, _KEYS)
                      for a, b, end in ((2 * x, digits, "+/="), (2 * x, digits, "-_="), (digits, 2 * x, "+/="), (digits, 2 * x, "-_=")))
+#: A candidate is cut into pieces of so many windows, so that no step depends on its length.
+PIECE = 1000
 #: c log2 c in units of 1e-9 for c = 0 ... WINDOW.
 COUNT_LOG = [round(c * math.log2(c) * 1e9) if c else 0 for c in range(WINDOW + 1)]
 
@@ -88,23 +85,25 @@ def _count_log(count: Column) -> Column:
     return F.get(F.array(*map(F.lit, COUNT_LOG)), count.cast("int"))
 
 
-def _counts(match: Column, i: Column) -> Column:
-    """Whether the window of `match` that ends with character i counts though it may be random."""
-    first = i - (WINDOW - 1)
-    text = F.substr(match, first + 1, F.lit(WINDOW))
-    segment = F.when(match.rlike(PATH), F.length(match) - F.length(F.substring_index(match, "/", -1))).otherwise(F.lit(0))
-    return (first >= segment) & ~text.rlike(WORDS) & ~F.contains(F.lit(ALPHABETS), F.lower(text))
-
-
-def random_parts(candidates: DataFrame, keys: list[str], allow: tuple[str, ...] = ALLOW, whole: bool = False) -> DataFrame:
-    """(keys..., start, end) of the candidates (keys..., start, match) with a random window: from the first such window to the end of the last.
-    With `whole` the windows are allowed one by one and `allow` is not used.
-    Characters of one candidate are ordered in one place, which its text bounds."""
-    wanted = candidates
-    for pattern in (IDENTIFIER,) if whole else allow:
-        wanted = wanted.where(~F.col("match").rlike(pattern))
-    own = [*keys, "start"]
-    chars = wanted.select(*own, F.posexplode(F.split("match", "")).alias("i", "ch")).where("ch <> ''")
+def _pieces(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., start, piece, first, text): the candidates that are no identifiers in pieces of PIECE characters and the windows' rest behind; first is the
+    place of the first window in a piece that may count."""
+    last = F.substring_index("match", "/", -1)
+    part = F.length("match") - F.length(last)
+    is_path = (part > 0) & ~F.substring("match", F.lit(1), part).rlike(NOT_IN_FOLDERS) & ~last.rlike(NOT_IN_NAMES)
+    chunks = F.regexp_extract_all("match", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    cut = candidates.where(~F.col("match").rlike(IDENTIFIER)).select(*keys, "start", F.when(is_path, part).otherwise(0).alias("part"), chunks.alias("chunks"))
+    behind = F.concat(F.transform(F.slice("chunks", 2, F.size("chunks")), lambda c: F.left(c, F.lit(WINDOW - 1))), F.array(F.lit("")))
+    rows = cut.select(*keys, "start", "part", F.posexplode(F.zip_with("chunks", behind, lambda c, rest: F.concat(c, rest))).alias("piece", "text"))
+    return rows.select(*keys, "start", "piece", (F.col("part") - F.col("piece") * PIECE).alias("first"), "text").where(f"length(text) >= {WINDOW}")
+
+
+def random_parts(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., start, end) of the candidates (keys..., start, match) with a random window that counts: from the first such window to the end of the last.
+    Characters of one piece are ordered in one place."""
+    pieces = _pieces(candidates, keys)
+    own = [*keys, "start", "piece"]
+    chars = pieces.select(*own, F.posexplode(F.split("text", "")).alias("i", "ch")).where("ch <> ''")
     same, along = Window.partitionBy(*own, "ch").orderBy("i"), Window.partitionBy(*own).orderBy("i")
     counted = chars.withColumns({
         "enters": F.count("*").over(same.rangeBetween(1 - WINDOW, -1)),  # equal characters in the window it enters
@@ -122,47 +121,47 @@ def random_parts(candidates: DataFrame, keys: list[str], allow: tuple[str, ...]
     for c in reversed(CLASSES):
         good = (F.col("digits") >= c.digits) & (F.col("letters") >= c.letters) & (F.col("total") <= most_concentrated(c.bits))
         random = F.when(F.col(c.name) == WINDOW, good).otherwise(random)
-    found = windows.where(random)
-    if whole:
-        places = found.groupBy(*own).agg(F.collect_list("i").alias("at")).join(wanted.select(*own, "match"), own)
-        found = places.select(*own, F.explode(F.filter("at", lambda i: _counts(F.col("match"), i))).alias("i"))
-    ends = found.groupBy(*own).agg(F.min("i").alias("first"), F.max("i").alias("last"))
-    return ends.select(*keys, (F.col("start") + F.col("first") - (WINDOW - 1)).alias("start"), (F.col("start") + F.col("last") + 1).alias("end"))
+    found = windows.where(random).groupBy(*own).agg(F.collect_list(F.col("i") - (WINDOW - 1)).alias("at")).join(pieces, own)
+
+    def counts(i: Column) -> Column:
+        window = F.substring("text", i + 1, F.lit(WINDOW))
+        return (i >= F.col("first")) & ~window.rlike(WORDS) & ~F.contains(F.lit(ALPHABETS), F.lower(window))
+
+    place = lambda i: F.col("start") + F.col("piece") * PIECE + i
+    counting = found.withColumn("at", F.filter("at", counts)).where(F.size("at") > 0)
+    ends = counting.select(*keys, "start", place(F.array_min("at")).alias("a"), place(F.array_max("at")).alias("b"))
+    return ends.groupBy(*keys, "start").agg(F.min("a").alias("a"), F.max("b").alias("b")).select(*keys, F.col("a").alias("start"), (F.col("b") + WINDOW).alias("end"))
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, copy, kind, start, end) of all secrets in the texts of `docs`; see `scan`."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).select("text", *document())
-    return _spans(rows, allow)
+    return _spans(rows)
 
 
-def _spans(rows: DataFrame, allow: tuple[str, ...], whole: bool = False) -> DataFrame:
+def _spans(rows: DataFrame) -> DataFrame:
     found = write_table(_matches(rows)).frame  # used twice; the texts are searched once
     doc = ["d", "copy"]
     base = found.where(f"kind < {KINDS.index('entropy')}").select(*doc, "kind", "start", "end")
-    added = random_parts(found.where(f"kind = {KINDS.index('entropy')}").select(*doc, "start", "match"), doc, allow, whole).select(
+    added = random_parts(found.where(f"kind = {KINDS.index('entropy')}").select(*doc, "start", "match"), doc).select(
         *doc, F.lit(KINDS.index("entropy")).alias("kind"), "start", "end")
-    # an entropy span that a pattern's span contains says nothing new, and without `whole` also one that overlaps it
+    # an entropy span that one span of a pattern contains says nothing new
     ordered = Window.partitionBy(*doc).orderBy("start", "kind")
     is_base = F.col("kind") < KINDS.index("entropy")
-    seen = base.unionByName(added).withColumns({
-        "before": F.max(F.when(is_base, F.col("end"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1)),
-        "behind": F.min(F.when(is_base, F.col("start"))).over(ordered.rowsBetween(1, Window.unboundedFollowing))})
-    clear = F.coalesce(F.col("before") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("behind") >= F.col("end"), F.lit(True))
-    if whole:
-        clear = F.coalesce(F.col("before") < F.col("end"), F.lit(True))
-    return seen.where(is_base | clear).select(*doc, "kind", "start", "end")
+    seen = base.unionByName(added).withColumn("before", F.max(F.when(is_base, F.col("end"))).over(ordered.rowsBetween(Window.unboundedPreceding, -1)))
+    return seen.where(is_base | F.coalesce(F.col("before") < F.col("end"), F.lit(True))).select(*doc, "kind", "start", "end")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", allow: tuple[str, ...] = ALLOW, whole: bool = False) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, spans) per row of `docs`: an array of (kind, start, end), by start and then kind, counted in code points, end exclusive; kinds are the
     places in KINDS. The three patterns are matched from the left without overlap, each on its own, and matches that are too short go.
-    To them come candidate strings with a random window, but for those the allow list knows and those that overlap a pattern's
-    span. With `whole` no candidate goes for a part of it: the windows that IDENTIFIER, PATH, WORDS and ALPHABETS cover do not count, all others do, and a
-    span goes only where one span of a pattern contains it. Null and blank texts have no spans; repeated rows give repeated rows; other columns are ignored.
+    To them come candidate strings with a random window: from the first window that counts to the end of the last. Every window is judged on its own, so no
+    candidate goes for a part of it; IDENTIFIER, NOT_IN_FOLDERS, WORDS and ALPHABETS say which windows do not count. A span goes only where one span of
+    a pattern contains it. Null and blank texts have no spans; repeated rows give repeated rows; other columns are ignored. Work grows with
+    the text, also within one candidate.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).select("key", "text", *document())
-    listed = _spans(rows.select("text", "d", "copy"), allow, whole).groupBy("d", "copy").agg(
+    listed = _spans(rows.select("text", "d", "copy")).groupBy("d", "copy").agg(
         F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("found"))
     spans_of = F.transform(F.coalesce("found", F.array()), lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end")))
     return rows.select("key", "d", "copy").join(listed, ["d", "copy"], "left").select(F.col("key").alias(key), spans_of.alias("spans"))
