@@ -243,14 +243,16 @@ def repeated_stretches(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = texts.select(*_TEXT, "text").where(F.octet_length("text") >= length)
     grams = rows.select("t1", "text").mapInArrow(lambda b: _anchor_rows(b, length), "gram bigint, t1 bigint, pos int")
     place = F.struct("t1", "pos")
-    shared = grams.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram")
-    wanted = write_table(grams.join(shared, "gram", "left_semi").groupBy("t1").agg(F.collect_set("pos").alias("places")), free=True)
+    shared = write_table(grams.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("gram"), free=True)
+    # a table on the other side of the join, so that Spark can split a frequent gram
+    wanted = write_table(grams.join(shared.frame, "gram", "left_semi").groupBy("t1").agg(F.collect_set("pos").alias("places")), free=True)
     n = wanted.frame.agg(F.sum(F.size("places").cast("bigint"))).first()[0] or 0
     one_each = rows.groupBy(*_TEXT).agg(F.first("text").alias("text"))
     suffixes = one_each.join(wanted.frame, "t1").select(*_TEXT, "text", "places").mapInArrow(lambda b: _suffix_rows(b, length), _SUFFIX)
     dealt = suffixes.repartitionByRange(max(1, -(-n * (length + _reach(length)[0]) // BUCKET_BYTES)), "q", "before", "rest", *_TEXT, "pos")
     found = write_table(dealt.mapInArrow(lambda b: _compare(b, length), _FOUND), free=True).frame
     drop_table(wanted)
+    drop_table(shared)
     crossing = found.where("w1 IS NOT NULL")
     place = F.struct(*_TEXT, "start")  # two anchors of one string can send the same place from two buckets
     repeated = crossing.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.bool_or("several").alias("known"))
