@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..functions.text import query_keywords
-from ..operators import evaluation, retrieval, search, vector_search
+from ..operators import evaluation, keyword_index, retrieval, search, vector_search
 from ..operators.grouping import top_k_per
+from ..session import checkpoint_dir
 from .queries_ledger import rounded, sql_list
 from .queries_text import sql_map
 from .registry import query
@@ -151,8 +154,21 @@ def questions(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def stored_index(t: Tables) -> str:
+    """The keyword index over the documents, built by the first query that needs it and then kept for the session."""
+    key = (t.spark.sparkContext.applicationId, t.dir)
+    if key not in _INDEXES:
+        path = f"{checkpoint_dir(t.spark).rstrip('/')}/keyword-index-{uuid.uuid4().hex}"
+        keyword_index.add_batch(searched(t), path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
 def keyword_hits(t: Tables, k: int = 10) -> DataFrame:
-    return retrieval.bm25(searched(t), questions(t), k)
+    return keyword_index.search(t.spark, stored_index(t), questions(t), k)
 
 
 @query("rt2_bm25", f"WITH {bm25_sql(10)} SELECT query_id, id, round(score, 6) AS score, rank FROM ktop")
