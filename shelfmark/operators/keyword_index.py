@@ -136,7 +136,11 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10) -> D
     limits = planned.groupBy("query_id").agg(F.first("least").alias("least"), F.coalesce(F.max(F.when(F.col("upto") < F.col("least"), F.col("upto"))), F.lit(0.0)).alias("more"))
     hopeful = summed(leading).join(limits, "query_id").where("sum + more >= least")
     candidates = keep(hopeful.select("query_id", "id", "sum", "least", F.floor(F.col("id") / WINDOW).alias("window")))
-    # the best that the other terms' blocks hold for a window
+    # what the leading terms alone give is a better threshold; then the best that the other terms' blocks hold for a window
+    reached = top_k_per(candidates, ["query_id"], [F.desc("sum"), F.col("id")], k).groupBy("query_id").agg(F.min("sum").alias("kth"), F.count("*").alias("n"))
+    better = limits.join(reached.where(F.col("n") == k), "query_id", "left").select(
+        "query_id", "more", F.greatest("least", F.coalesce(F.col("kth") * (1 - ROUNDING), F.lit(0.0))).alias("least"))
+    candidates = keep(candidates.drop("least").join(better, "query_id").where("sum + more >= least").drop("more"))
     wanted = candidates.select("query_id", "window").distinct().join(rest.select("query_id", "term", "idf"), "query_id")
     ahead = blocks.select("term", "window", "max_tf", "min_len").join(wanted, ["term", "window"]).groupBy("query_id", "window").agg(
         F.sum(F.col("idf") * _weight(F.col("max_tf"), F.col("min_len"), mean)).alias("ahead"))

@@ -147,7 +147,7 @@ def documents(t: Tables) -> DataFrame:
 
 def searched(t: Tables) -> DataFrame:
     """The fields keyword search covers: file name, category and text."""
-    return t.files().select("id", F.concat_ws(" ", "original_filename", "category", "extracted_text").alias("text"))
+    return t.text_files().select("id", F.concat_ws(" ", "original_filename", "category", "extracted_text").alias("text"))
 
 
 def questions(t: Tables) -> DataFrame:
