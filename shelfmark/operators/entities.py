@@ -89,6 +89,15 @@ def similar_names(names: DataFrame, ratio: float = V.ENTITY_RATIO, column: str =
     return candidates.withColumn("ratio", name_ratio("la", "lb")).filter(F.col("ratio") >= ratio).select("a", "b", "ratio")
 
 
+def one_edit_apart(names: DataFrame, column: str = "name") -> DataFrame:
+    """Pairs (a < b) of distinct names whose lower-case forms differ by one edit at most. Both or one of such names with one character
+    left out are equal, so they meet under that spelling."""
+    plain = names.select(F.col(column).alias("name")).filter(F.length("name") > 0).distinct()
+    spelt = plain.select("name", F.explode(F.array_distinct(_with_deletions(F.lower("name")))).alias("key"))
+    a, b = spelt.select(F.col("name").alias("a"), "key"), spelt.select(F.col("name").alias("b"), "key")
+    return a.join(b, "key").filter("a < b").select("a", "b").distinct().filter(F.levenshtein(F.lower("a"), F.lower("b")) <= 1)
+
+
 def merge_entities(names: DataFrame, ratio: float = V.ENTITY_RATIO, column: str = "name") -> DataFrame:
     """Greedy clusters in sorted order (name, leader, winner): a name joins the first earlier leader it
     resembles, else it leads. The winner is the longest name of the cluster.

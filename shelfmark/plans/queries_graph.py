@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
-from ..operators import entities, graph, reports, similar_texts, topics, vector_search
+from ..operators import components, entities, graph, reports, similar_texts, topics, vector_search
 from ..operators.grouping import concat_ordered
 from ..session import cut_lineage
 from ..sources import tables as table_sources
@@ -157,6 +157,18 @@ def _(t: Tables):
     return entities.merge_entities(vendor_names(t))
 
 
+@query("g9_components", """WITH RECURSIVE n AS (SELECT DISTINCT name, lower(name) AS low FROM (SELECT unnest(regexp_extract_all(text, '\\p{Lu}\\p{Ll}+')) AS name FROM documents)),
+  k AS (SELECT name, low, unnest(list_distinct(list_concat([low], list_transform(range(1, length(low) + 1), lambda i: substr(low, 1, i - 1) || substr(low, i + 1))))) AS k FROM n),
+  m AS (SELECT DISTINCT a.name AS a, b.name AS b, a.low AS x, b.low AS y FROM k a JOIN k b USING (k) WHERE a.name <> b.name),
+  p AS (SELECT a, b FROM m WHERE length(x) <> length(y) OR len(list_filter(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(y, i, 1))) <= 1),
+  r(node, reached) AS (SELECT a, a FROM p UNION SELECT node, b FROM r JOIN p ON a = reached)
+  SELECT node AS name, min(reached) AS component FROM r GROUP BY node""")
+def _(t: Tables):
+    """Names that one edit apart leads to, over any number of steps."""
+    found, _ = components.components(entities.one_edit_apart(vendor_names(t)))
+    return found.withColumnRenamed("node", "name")
+
+
 @query("j12_fuzzy_names")
 def _(t: Tables):
     return entities.similar_names(vendor_names(t))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -11,6 +12,7 @@ from ..functions.text import query_keywords
 from ..operators import evaluation, keyword_index, retrieval, search, vector_search
 from ..operators.grouping import top_k_per
 from ..session import checkpoint_dir
+from ..sources import vector_store
 from .queries_ledger import rounded, sql_list
 from .queries_text import sql_map
 from .registry import query
@@ -267,6 +269,29 @@ def _(t: Tables):
     rows = retrieval.hashing_encoder(documents(t), 128).join(t.documents.select(F.col("doc_id").alias("id"), "lang", "source"), "id")
     return rows.select(F.sha2(F.col("id").cast("string"), 256).alias("point_id"), "embedding", F.struct("lang", "source").alias("payload"))
 
+
+
+@query("s14_vector_versions", """WITH written AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label FROM embeddings WHERE vec_id % 3 <> 1),
+  changed AS (SELECT vec_id AS id, list_transform(embedding, lambda x: (x * 2)::DOUBLE) AS e, label + 100 AS label FROM embeddings WHERE vec_id % 4 = 1),
+  second AS (SELECT * FROM changed UNION ALL SELECT * FROM written WHERE id NOT IN (SELECT id FROM changed)),
+  third AS (SELECT * FROM second WHERE id % 10 <> 5),
+  again AS (SELECT vec_id AS id, list_transform(embedding, lambda x: (-x)::DOUBLE) AS e, label - 100 AS label FROM embeddings WHERE vec_id % 20 = 15),
+  fourth AS (SELECT * FROM again UNION ALL SELECT * FROM third WHERE id NOT IN (SELECT id FROM again)),
+  u AS (SELECT 1 AS version, * FROM written UNION ALL SELECT 2, * FROM second UNION ALL SELECT 3, * FROM third UNION ALL SELECT 4, * FROM fourth UNION ALL SELECT 5, * FROM fourth)
+  SELECT version, id, label, len(e) AS dim, round(list_sum(e), 4) AS total FROM u""")
+def _(t: Tables):
+    """A table written, changed, thinned, changed again and compacted; all five versions read back."""
+    rows = vectors(t)
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/vectors-{uuid.uuid4().hex}"
+    vector_store.upsert(rows.where("id % 3 <> 1"), path)
+    vector_store.upsert(rows.where("id % 4 = 1").select("id", (F.col("label") + 100).alias("label"), F.transform("embedding", lambda x: x * F.lit(2.0).cast("float")).alias("embedding")), path, 1)
+    vector_store.delete(rows.where("id % 10 = 5").select("id"), path)
+    vector_store.upsert(rows.where("id % 20 = 15").select("id", (F.col("label") - 100).alias("label"), F.transform("embedding", lambda x: -x).alias("embedding")), path)
+    last = vector_store.compact(t.spark, path)
+    total = F.round(F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4)
+    read = [vector_store.read(t.spark, path, v).select(F.lit(v).alias("version"), "id", "label", F.size("embedding").cast("bigint").alias("dim"), total.alias("total")) for v in range(1, last + 1)]
+    return reduce(DataFrame.unionByName, read)
+
 # --- evaluation -------------------------------------------------------------------------------
 
 

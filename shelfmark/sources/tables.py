@@ -104,23 +104,3 @@ def export_table(df: DataFrame, path: str, fmt: str = "csv", limit: int | None =
 def export_corrections(corrections: DataFrame, path: str) -> None:
     """Corrections newest first as JSON lines; files are range-sorted by time, so no task holds them all."""
     corrections.orderBy(F.desc("timestamp")).write.mode("overwrite").json(path)
-
-
-def write_vectors(vectors: DataFrame, path: str, buckets: int = 256) -> None:
-    """Vector table partitioned by the first characters of the id's hash, so that an upsert rewrites
-    only the partitions it touches."""
-    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).alias("bucket")
-    vectors.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-
-
-def upsert_vectors(spark: SparkSession, incoming: DataFrame, path: str, buckets: int = 256) -> None:
-    """Replace or add rows by id; the last write of an id wins. Only touched partitions are rewritten."""
-    from ..operators.grouping import latest_per_key
-    from ..session import cut_lineage
-
-    tagged = incoming.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
-    touched = [r[0] for r in tagged.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
-    stored = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
-    both = stored.withColumn("_v", F.lit(0)).unionByName(tagged.withColumn("_v", F.lit(1)), allowMissingColumns=True)
-    merged = cut_lineage(latest_per_key(both, ["id"], F.col("_v")).drop("_v"))
-    (merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))

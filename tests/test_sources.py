@@ -89,14 +89,3 @@ def test_tables(spark, tmp_path):
     assert tables.read_json_lines(spark, str(tmp_path / "t.jsonl"), "id long").count() == 2
     rows = {r.filename: (r.extension, r.size_mb, r.depth) for r in tables.read_inventory_csv(spark, str(tmp_path / "i.csv")).collect()}
     assert rows == {"a": ("[no_extension]", 0.0, 2), "b": (".pdf", 1.5, 0)}
-
-
-def test_vector_table_upsert(spark, tmp_path):
-    path = str(tmp_path / "vectors")
-    rows = spark.createDataFrame([(i, [float(i)], "old") for i in range(20)], "id long, embedding array<double>, note string")
-    tables.write_vectors(rows, path, 8)
-    fresh = spark.createDataFrame([(3, [9.0], "new"), (99, [1.0], "new")], "id long, embedding array<double>, note string")
-    for _ in range(2):
-        tables.upsert_vectors(spark, fresh, path, 8)
-    out = {r.id: r.note for r in spark.read.parquet(path).collect()}
-    assert len(out) == 21 and out[3] == out[99] == "new" and out[4] == "old"
