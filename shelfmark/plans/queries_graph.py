@@ -98,29 +98,20 @@ def trade_edges(t: Tables) -> DataFrame:
         F.avg("l_extendedprice").alias("weight")).filter("src <> dst")
 
 
-def pagerank_sql(rounds: int) -> str:
-    """The rounds written out one after the other."""
-    steps = [f"""deg AS (SELECT src, count(*) AS d FROM e GROUP BY 1), n AS (SELECT DISTINCT id FROM (SELECT src AS id FROM e UNION ALL SELECT dst FROM e)),
-  c AS (SELECT count(*)::DOUBLE AS n FROM n), r0 AS (SELECT id, 1 / (SELECT n FROM c) AS rank FROM n)"""]
-    for i in range(rounds):
-        steps.append(f"""i{i} AS (SELECT dst AS id, sum(rank / d) AS x FROM r{i} JOIN e ON src = id JOIN deg USING (src) GROUP BY 1),
-  r{i + 1} AS (SELECT n.id, 0.15::DOUBLE / (SELECT n FROM c) + 0.85::DOUBLE * (coalesce(x, 0) + (SELECT coalesce(sum(rank), 0) FROM r{i} WHERE id NOT IN (SELECT src FROM deg)) / (SELECT n FROM c)) AS rank
-    FROM n LEFT JOIN i{i} USING (id))""")
-    return ",\n  ".join(steps)
+#: Rounds as recursion: all ranks with those of the round before, until they change by less than a millionth each.
+PAGERANK_SQL = """deg AS (SELECT src, count(*) AS d FROM e GROUP BY 1), n AS (SELECT id, id IN (SELECT src FROM deg) AS has_out FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)),
+  c AS (SELECT count(*)::DOUBLE AS n FROM n),
+  r(k, id, has_out, rank, old) AS (SELECT 0, id, has_out, 1 / (SELECT n FROM c), 0.0::DOUBLE FROM n UNION ALL
+    SELECT k + 1, s.id, s.has_out, 0.15::DOUBLE / (SELECT n FROM c) + 0.85::DOUBLE * (coalesce(x, 0) + loose / (SELECT n FROM c)), s.rank
+    FROM (SELECT *, sum(abs(rank - old)) OVER () AS change, coalesce(sum(CASE WHEN NOT has_out THEN rank END) OVER (), 0) AS loose FROM r) s
+    LEFT JOIN (SELECT dst AS id, sum(rank / d) AS x FROM r JOIN e ON src = id JOIN deg USING (src) GROUP BY dst) i ON i.id = s.id
+    WHERE k = 0 OR change >= 1e-6::DOUBLE * (SELECT n FROM c))"""
 
 
-PAIR_EDGES = f"WITH {PAIRS}, e AS (SELECT id_a AS src, id_b AS dst FROM pairs WHERE score > 0.2::DOUBLE)"
+PAIR_EDGES = f"WITH RECURSIVE {PAIRS}, e AS (SELECT id_a AS src, id_b AS dst FROM pairs WHERE score > 0.2::DOUBLE)"
 
 
-@query("g5_pagerank", f"{PAIR_EDGES}, {pagerank_sql(6)} SELECT id, round(rank, 9) AS rank FROM r6")
-def _(t: Tables):
-    similar = vector_search.similar_pairs(vectors(t).select("id", "embedding"), above=0.2)
-    edges = similar.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    return rounded(graph.pagerank(nodes, edges, rounds=6), "rank", digits=9)
-
-
-@query("g5_pagerank_converged")
+@query("g5_pagerank", f"{PAIR_EDGES}, {PAGERANK_SQL} SELECT id, round(rank, 9) AS rank FROM r WHERE k = (SELECT max(k) FROM r)")
 def _(t: Tables):
     similar = vector_search.similar_pairs(vectors(t).select("id", "embedding"), above=0.2)
     edges = cut_lineage(similar.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst")))
@@ -379,12 +370,6 @@ def _(t: Tables):
     return table_sources.table_summary(t.orders, "orders", 20).select("name", "row_count", "column_count", "truncated", F.size("preview").alias("preview_rows"))
 
 
-@query("s7_catalog_profile", " UNION ALL ".join(f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS row_count, {k} AS columns" for n, k in (("region", 2), ("nation", 3), ("customer", 5))))
-def _(t: Tables):
-    out = table_sources.catalog_profile({n: getattr(t, n) for n in ("region", "nation", "customer")}, sample_rows=3)
-    return out.select("table_name", "row_count", F.size("columns").alias("columns"))
-
-
 CATALOG = {
     "region": "r_regionkey:int,r_name:string", "nation": "n_nationkey:int,n_name:string,n_regionkey:int",
     "customer": "c_custkey:bigint,c_name:string,c_nationkey:int,c_acctbal:double,c_mktsegment:string",
@@ -398,7 +383,7 @@ CATALOG = {
     "conversations": "conv_id:bigint,turn:bigint,role:string,text:string"}
 
 
-@query("s7_catalog_profile_all", " UNION ALL ".join(f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS row_count, '{c}' AS columns, least(3, (SELECT count(*) FROM {n})) AS preview_rows" for n, c in CATALOG.items()))
+@query("s7_catalog_profile", " UNION ALL ".join(f"SELECT '{n}' AS table_name, (SELECT count(*) FROM {n}) AS row_count, '{c}' AS columns, least(3, (SELECT count(*) FROM {n})) AS preview_rows" for n, c in CATALOG.items()))
 def _(t: Tables):
     out = table_sources.catalog_profile({n: getattr(t, n) for n in CATALOG}, sample_rows=3)
     written = F.array_join(F.transform("columns", lambda c: F.concat_ws(":", c["name"], c["type"])), ",")
