@@ -232,7 +232,9 @@ def _locate(batches: Iterator[pa.RecordBatch], folder: str, rows: int = 20_000)
                     if not name.startswith("indexes/"):
                         continue
                     for line in index_lines(file, member["offset"], member["size"]):
-                        archive = members["archive/" + line["filename"]]
+                        archive = members.get("archive/" + line["filename"])
+                        if archive is None:
+                            raise ValueError(f"{package}: member archive/{line['filename']} is missing or not stored, its records cannot be read by range")
                         found.append((archive["offset"] + int(line["offset"]), int(line["length"])))
                         if len(found) >= rows:
                             yield pa.RecordBatch.from_arrays([pa.array([package] * len(found)), *map(pa.array, zip(*found))], names)
@@ -285,14 +287,16 @@ _ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type
 
 
 def locate_records(manifest: DataFrame, folder: str) -> DataFrame:
-    """(package, offset, length) of every record in the packages of column `package`."""
+    """(package, offset, length) of every record in the packages of column `package`. A package whose index names an archive that is missing or compressed
+    raises ValueError with both names."""
     return manifest.select("package").mapInArrow(lambda batches: _locate(batches, folder), "package string, offset bigint, length bigint")
 
 
 def read_records(places: DataFrame, folder: str) -> DataFrame:
-    """The records at (package, offset, length). Ranges of 32 MB are dealt out, so that one large package is read by many tasks."""
-    part = F.floor(F.col("offset") / RANGE)
-    dealt = places.withColumn("part", part).repartition("package", "part").sortWithinPartitions("package", "offset").drop("part")
+    """The records at (package, offset, length), in as many tasks as the records have ranges of 32 MB, so that one large package is read by many."""
+    stored = write_table(places).frame
+    size = stored.agg(F.sum("length")).first()[0] or 0
+    dealt = stored.repartitionByRange(max(1, -(-size // RANGE)), "package", "offset").sortWithinPartitions("package", "offset")
     return dealt.mapInArrow(lambda batches: _read(batches, folder, _ARROW), RECORD)
 
 

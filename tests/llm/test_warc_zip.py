@@ -109,3 +109,29 @@ def test_packages_roll_over(spark, tmp_path):
     manifest = wz.write_packages(wz.revisits(pages), folder, limit=1000)
     assert manifest.count() > 3 and manifest.agg({"n_records": "sum"}).first()[0] == 50
     assert sorted(r.page_id for r in wz.read_records(wz.locate_records(manifest, folder), folder).collect()) == list(range(50))
+
+
+def test_compressed_archive_member_is_named(spark, tmp_path):
+    """A stored index of a compressed archive: its records cannot be read by range, which the error says."""
+    pages = spark.createDataFrame([(i, f"u{i}", f"{i} " * 200) for i in range(5)], "page_id bigint, url string, html string").coalesce(1)
+    folder = tmp_path / "p"
+    manifest = wz.write_packages(wz.revisits(pages), str(folder))
+    path = manifest.select("package").first()[0]
+    local = path.removeprefix("file:")
+    with zipfile.ZipFile(local) as old:
+        members = [(i, old.read(i)) for i in old.infolist()]
+    other = str(tmp_path / "compressed.wacz")
+    with zipfile.ZipFile(other, "w") as new:
+        for info, data in members:
+            new.writestr(info.filename, data, zipfile.ZIP_DEFLATED if info.filename.startswith("archive/") else zipfile.ZIP_STORED)
+    changed = spark.createDataFrame([(other,)], "package string")
+    with pytest.raises(Exception, match="compressed.wacz: member archive/.* is missing or not stored"):
+        wz.locate_records(changed, str(folder)).collect()
+
+
+def test_ranges_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(wz, "RANGE", 500)
+    pages = spark.createDataFrame([(i, f"u{i}", f"{i} text " * 100) for i in range(60)], "page_id bigint, url string, html string").coalesce(1)
+    manifest = wz.write_packages(wz.revisits(pages), str(tmp_path / "r"))
+    records = wz.read_records(wz.locate_records(manifest, str(tmp_path / "r")), str(tmp_path / "r"))
+    assert manifest.count() == 1 and records.rdd.getNumPartitions() > 8 and records.count() == 60
