@@ -19,8 +19,10 @@ from shelfmark.llm.common import field, keyed_texts, map_rows
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 14
-#: Bound of the broadcast matrix; languages times buckets times four bytes must stay below it.
+#: Bound of the broadcast matrix; languages times buckets times four bytes must stay below it. While it is made, the driver holds three times as much.
 MATRIX_BYTES = 64 << 20
+#: Cells (buckets of texts times languages) that are weighed at a time.
+CELLS = 1 << 21
 UNKNOWN = "und"
 #: Characters of a text are worked on in slices of this many; sums do not depend on it.
 SLICE = 1 << 20
@@ -74,45 +76,56 @@ def _count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at) + [lang]), pa.array(buckets), pa.array(n)], ["lang", "bucket", "n"])
 
 
+def _pack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a language as bytes of BUCKETS + 1 whole numbers, the texts first."""
+    for batch in batches:
+        for lang, cells in zip(batch.column("lang").to_pylist(), batch.column("cells")):
+            dense = np.zeros(BUCKETS + 1, np.int64)
+            dense[cells.values.field("bucket").to_numpy() + 1] = cells.values.field("n").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([dense.tobytes()])], ["lang", "packed"])
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", smoothing: float = 0.1) -> Model:
-    """Learn from every row with text and language. The driver receives the summed counts alone, at most languages times
-    buckets, whose size is checked first; an empty table gives a model without languages."""
+    """Learn from every row with text and language. The driver receives the summed counts alone, a packed array per language, whose
+    size is checked first; an empty table gives a model without languages."""
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text")).where("lang is not null and text is not null")
     counts = rows.mapInArrow(_count_partition, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    packed = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("cells")).persist()
+    packed = counts.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("cells")).mapInArrow(_pack_counts, "lang string, packed binary").persist()
     try:
         n_languages = packed.count()
         if n_languages * BUCKETS * 4 > MATRIX_BYTES:
             raise ValueError(f"{n_languages} languages need more than {MATRIX_BYTES} bytes; give fewer labels or fewer buckets")
-        found = sorted(packed.toLocalIterator(), key=lambda r: r.lang)
+        found = sorted(((r.lang, np.frombuffer(r.packed, np.int64)) for r in packed.toLocalIterator()), key=lambda x: x[0])
     finally:
         packed.unpersist()
-    table = np.zeros((BUCKETS, len(found)), dtype=np.float64)
-    n_texts = np.zeros(len(found))
-    for column, row in enumerate(found):
-        for bucket, n in row.cells:
-            if bucket < 0:
-                n_texts[column] = n
-            else:
-                table[bucket, column] = n
+    names = tuple(lang for lang, _ in found)
+    cells = [column for _, column in found]
+    table = np.stack([c[1:] for c in cells], axis=1).astype(np.float64) if found else np.zeros((BUCKETS, 0))
+    n_texts = np.array([c[0] for c in cells], dtype=np.float64)
     table += smoothing
     log_prob = np.log(table / table.sum(axis=0)).astype(np.float32) if found else table.astype(np.float32)
-    return Model(tuple(r.lang for r in found), log_prob, np.log(n_texts / max(1, n_texts.sum())) if found else n_texts)
+    return Model(names, log_prob, np.log(n_texts / max(1, n_texts.sum())) if found else n_texts)
 
 
 def score_batch(texts: list[str], model: Model) -> tuple[list[str], list[float]]:
     """Language and its posterior for each text: sparse rows of counts (row starts, buckets, counts) times the matrix."""
     if not model.languages:
         return [UNKNOWN] * len(texts), [0.0] * len(texts)
-    starts, columns, data = [0], [], []
-    for text in texts:
-        counts = bucket_counts(text)
-        at = np.nonzero(counts)[0]
-        columns.append(at)
-        data.append(counts[at])
-        starts.append(starts[-1] + len(at))
-    weighted = model.log_prob[np.concatenate(columns)] * np.concatenate(data)[:, None].astype(np.float64)
-    totals = np.add.reduceat(weighted, starts[:-1], axis=0) + model.log_prior
+    counts = [bucket_counts(text) for text in texts]
+    at = [np.nonzero(c)[0] for c in counts]
+    most = max(1, CELLS // len(model.languages))
+    totals, first = np.zeros((len(texts), len(model.languages))), 0
+    while first < len(texts):
+        last, cells = first, 0
+        while last < len(texts) and (last == first or cells + len(at[last]) <= most):
+            cells += len(at[last])
+            last += 1
+        some = range(first, last)
+        data = np.concatenate([counts[i][at[i]] for i in some])
+        weighted = model.log_prob[np.concatenate([at[i] for i in some])] * data[:, None].astype(np.float64)
+        totals[first:last] = np.add.reduceat(weighted, np.cumsum([0, *(len(at[i]) for i in some)])[:-1], axis=0)
+        first = last
+    totals += model.log_prior
     best = totals.argmax(axis=1)
     posterior = 1.0 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
     return [model.languages[b] for b in best], posterior.tolist()
