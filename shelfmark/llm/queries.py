@@ -94,10 +94,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH toks AS (SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?"''()[]{}', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 items AS (SELECT item_id, w, least(len(w), 16) AS wn, CAST(ceil(least(len(w), 16) * 4 / 5) AS BIGINT) AS need
-  FROM (SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?"''()[]{}', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 6),
+  FROM (SELECT item_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?"''()[]{}', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 5),
 dg AS (SELECT doc_id, i, concat_ws(' ', w[i], w[i+1], w[i+2]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM toks)),
 ig AS (SELECT item_id, j, concat_ws(' ', w[j], w[j+1], w[j+2]) AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 1)) AS j FROM items)),
-diagonals AS (SELECT DISTINCT doc_id, item_id, i - j AS d FROM dg JOIN ig USING (g)),
+ig2 AS (SELECT item_id, j, concat_ws(' ', w[j], w[j+1]) AS g FROM (SELECT item_id, w, unnest(range(1, len(w))) AS j FROM items WHERE len(w) = 5)),
+dg2 AS (SELECT doc_id, i, concat_ws(' ', w[i], w[i+1]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM toks) WHERE concat_ws(' ', w[i], w[i+1]) IN (SELECT g FROM ig2)),
+diagonals AS (SELECT doc_id, item_id, i - j AS d FROM dg JOIN ig USING (g) UNION SELECT doc_id, item_id, i - j FROM dg2 JOIN ig2 USING (g)),
 starts AS (SELECT doc_id, item_id, d, unnest(range(0, len(w) - wn + 1)) AS a FROM diagonals JOIN items USING (item_id)),
 scored AS (SELECT doc_id, item_id, d + a AS start, wn, need, len(list_filter(range(1, wn + 1), lambda o: coalesce(items.w[a + o] = CASE WHEN d + a + o >= 1 THEN toks.w[d + a + o] END, false))) AS matched
   FROM starts JOIN items USING (item_id) JOIN toks USING (doc_id)),

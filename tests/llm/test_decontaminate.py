@@ -70,3 +70,24 @@ def test_slices_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "a b " + t) for i, t in items[::2]], "doc_id bigint, text string")
     monkeypatch.setattr(dc, "SLICE_SEEDS", 200)
     assert {(r.doc_id, r.item_id, r.start) for r in dc.leaks(docs, bench).collect()} == {(i, i, 2) for i in range(0, 9, 2)}
+
+
+def test_twin_and_operator_agree_on_short_items(spark):
+    import duckdb
+
+    from shelfmark.llm import decontaminate
+    from shelfmark.llm.queries import ORACLES
+
+    items = [(1, "one two three four five"), (2, "alpha beta gamma delta"), (3, "a b c d e f"), (4, "red green blue black white grey")]
+    texts = ["x one two NINE four five y", "one two three four", "one two three four FIVE!", "one x three x five", "alpha beta gamma delta", "a b c d x f", "a x c d x f",
+             "one two three x five", "red green x black white grey", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.matched) for r in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    names = [d[0] for d in con.execute(ORACLES["op4_decontaminate"]).description]
+    rows = [dict(zip(names, r)) for r in con.execute(ORACLES["op4_decontaminate"]).fetchall()]
+    assert got == {(r["doc_id"], r["item_id"], r["matched"]) for r in rows} and {(0, 1, 4), (2, 1, 5), (7, 1, 4)} <= got
