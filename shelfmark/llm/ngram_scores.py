@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfmark.llm.common import document, field, map_rows
+from shelfmark.llm.common import ascii_lower, document, field, map_rows, words_column
+from shelfmark.llm.tables import write_table
 
 ORDER = 3
 ALPHA = 0.4
@@ -25,6 +26,8 @@ MIN_COUNT = 2
 #: Bytes of text in one block, and bytes of text whose n-grams make one part.
 BLOCK_BYTES = 8 << 20
 PART_BYTES = 12 << 20
+#: Documents of one text and key whose rows are summed apart, see `relational_scores`.
+_DOC = ["d", "copy"]
 _UPPER_TO_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _TAG = np.uint64(3)  # the two low bits of a hash hold the order
 
@@ -192,3 +195,42 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     scored = placed.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, schema)
     return scored.withColumnRenamed("key", key)
+
+
+def _exploded(rows: DataFrame) -> DataFrame:
+    """(d, copy, i, n, gram, context): the n-grams of every word i that end with it, as hashes, and that of the n-gram without its last word."""
+    words = rows.select(*_DOC, F.transform(words_column(ascii_lower(F.col("text"))), lambda w: F.xxhash64(w)).alias("w"))
+
+    def gram(i: Column, n: int) -> Column:
+        return F.xxhash64(F.lit(n), *(F.get("w", i - back) for back in range(n - 1, -1, -1)))
+
+    def ending(i: Column) -> Column:
+        rows_of = [F.struct(i.alias("i"), F.lit(n).alias("n"), gram(i, n).alias("gram"), (gram(i - 1, n - 1) if n > 1 else F.lit(None).cast("bigint")).alias("context"))
+                   for n in range(1, ORDER + 1)]
+        return F.filter(F.array(*rows_of), lambda g: g.i >= g.n - 1)
+
+    places = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))
+    return words.select(*_DOC, F.explode(F.flatten(F.transform(places, ending))).alias("g")).select(*_DOC, "g.*")
+
+
+def relational_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", min_count: int = MIN_COUNT) -> DataFrame:
+    """The rows of `scores` by groupBy and joins alone: exploded n-grams, count tables dealt by hash, contexts joined to the counts once per n-gram, n-grams
+    joined to both, sums per document. n-grams of two words and more below `min_count` are not in the table; 1 keeps all. n-grams are 64-bit hashes here and
+    62-bit ones in `scores`; those that collide share a count. Shuffles a row per word and order."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).select("key", "text", *document())
+    grams = _exploded(rows)
+    counts = grams.groupBy("n", "gram", "context").agg(F.count("*").alias("c")).where((F.col("n") == 1) | (F.col("c") >= min_count))
+    counts = write_table(counts).frame
+    total = counts.where("n = 1").agg(F.sum("c")).first()[0] or 1
+    contexts = counts.select((F.col("n") + 1).alias("n"), F.col("gram").alias("context"), F.col("c").alias("before"))
+    table = counts.where("n > 1").join(contexts, ["n", "context"]).select("n", "gram", "c", "before").unionByName(
+        counts.where("n = 1").select("n", "gram", "c", F.lit(total).alias("before")))
+    found = grams.select(*_DOC, "i", "n", "gram").join(table, ["n", "gram"]).repartition(*_DOC)
+    best = found.groupBy(*_DOC, "i").agg(F.max(F.struct("n", "c", "before")).alias("b"))
+    given_up = F.least(F.col("i"), F.lit(ORDER - 1)) - (F.col("b.n") - 1)
+    value = F.pow(F.lit(ALPHA), given_up) * F.col("b.c") / F.col("b.before")
+    sums = best.groupBy(*_DOC).agg(F.count("*").alias("n_words"), F.sum(F.round(F.log(value) * 1e6).cast("bigint")).alias("log_micros"),
+                                   *(F.count_if(F.col("b.n") == n).alias(f"n_order{n}") for n in range(1, ORDER + 1)))
+    names = ["n_words", "log_micros", *(f"n_order{n}" for n in range(1, ORDER + 1))]
+    joined = rows.select("key", *_DOC).join(sums, _DOC, "left")
+    return joined.select(F.col("key").alias(key), *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in names))
