@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from .. import fixed_values as V
+from .matching import matching_ratio
 from .text import code_point, number_set, word_set
 
 
@@ -56,12 +53,9 @@ def _column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Matching-block similarity of two strings, case-insensitive."""
-    for left, right in pairs:
-        yield pd.Series([SequenceMatcher(None, (a or "").lower(), (b or "").lower()).ratio()
-                         for a, b in zip(left, right)], dtype="float64")
+def sequence_ratio(left: Column | str, right: Column | str) -> Column:
+    """Matching-block similarity of two strings, case-insensitive; null counts as empty."""
+    return matching_ratio(F.lower(_column(left)), F.lower(_column(right)))
 
 
 def f1(precision: Column, recall: Column) -> Column:

@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
 from math import ceil, floor
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
+from ..functions.matching import matching_ratio
 from ..session import cut_lineage
 
 
-@F.pandas_udf(T.DoubleType())
-def name_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Matching-block similarity of two lower-cased names."""
-    for left, right in pairs:
-        yield pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
-
-
 def _grams(text: Column) -> Column:
     """Two-character pieces numbered by occurrence, so that they form a set."""
     size = F.length(text)
@@ -86,7 +77,7 @@ def similar_names(names: DataFrame, ratio: float = V.ENTITY_RATIO, column: str =
         return a.join(b, ["block", "key"]).filter((F.col("a") < F.col("b")) & close & edits).select("a", "b", "la", "lb")
 
     candidates = meet(long_).unionByName(meet(short_rows)).distinct()
-    return candidates.withColumn("ratio", name_ratio("la", "lb")).filter(F.col("ratio") >= ratio).select("a", "b", "ratio")
+    return candidates.withColumn("ratio", matching_ratio("la", "lb")).filter(F.col("ratio") >= ratio).select("a", "b", "ratio")
 
 
 def one_edit_apart(names: DataFrame, column: str = "name") -> DataFrame:

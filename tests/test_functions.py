@@ -2,6 +2,7 @@
 
 import html
 import math
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -11,6 +12,7 @@ from shelfmark import fixed_values as V
 from shelfmark.functions import chunking, headers, naming, quality, scoring, text
 from shelfmark.functions.binary import file_health, file_type
 from shelfmark.functions.evidence import cited_ordinals, valid_ordinals
+from shelfmark.functions.matching import matching_ratio
 from shelfmark.functions.pii import mask_pii
 from shelfmark.functions.vectors import cosine
 from shelfmark.operators import classify, gates
@@ -146,6 +148,31 @@ def test_sequence_ratio(spark):
     assert rows.select(quality.sequence_ratio("a", "b")).first()[0] == pytest.approx(SequenceMatcher(None, "hello world", "help word").ratio())
 
 
+def test_matching_ratio_equals_brute_force(spark):
+    """Random pairs: short ones, long ones with frequent characters, edited copies, characters of four bytes, nulls."""
+    r = random.Random(3)
+
+    def noise(size: int) -> str:
+        return "".join(r.choice("abcäß😀 ") for _ in range(size))
+
+    def edited(given: str) -> str:
+        out = list(given)
+        for _ in range(r.randint(0, 8)):
+            at = r.randint(0, len(out))
+            out[at:at + r.randint(0, 3)] = r.choice(["", "x", "ab", "😀"])
+        return "".join(out)
+
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzäöü") for _ in range(r.randint(1, 8))) for _ in range(60)]
+    pairs = [(None, None), ("a", None), ("", ""), ("ab" * 150, "ab" * 150), ("a" * 300, "a" * 299)]
+    for n in range(400):
+        left = noise(r.choice([0, 1, 3, 8, 20, 60])) if n % 2 else " ".join(r.choice(words) for _ in range(r.randint(20, 90)))
+        pairs.append((left, edited(left) if r.random() < 0.7 else noise(r.randint(0, 250))))
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = dict(rows.select("i", matching_ratio("a", "b")).collect())
+    for i, (a, b) in enumerate(pairs):
+        assert got[i] == pytest.approx(SequenceMatcher(None, a or "", b or "").ratio()), (a, b)
+
+
 def test_information_loss_and_score(spark):
     loss = quality.information_loss(F.lit("12,50 am 1.2.2024 und 2024"), F.array(F.lit("12,50 EUR")), F.array().cast("array<string>"))
     assert 0 < one(spark, loss) < 1

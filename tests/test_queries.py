@@ -8,7 +8,6 @@ from shelfmark.plans.catalog import ORACLES, QUERIES
 from tests.oracle_check import compare, connect
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-SLOW_WITHOUT_TWIN = {"g9_merge_entities"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +22,7 @@ def test_query_equals_sql(spark, database, name):
     assert compare(QUERIES[name](spark, SF), ORACLES[name], database) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW_WITHOUT_TWIN))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, name):
     frame = QUERIES[name](spark, SF)
     assert frame.columns and frame.count() >= 0
