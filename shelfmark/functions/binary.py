@@ -8,10 +8,14 @@ from .. import fixed_values as V
 from .lookup import bare_ext, first_case, lookup
 
 
+#: Bytes of a file that its type is told from.
+HEAD_BYTES = 64
+
+
 def file_type(content: Column, ext: Column, members: Column | None = None) -> Column:
     """Struct of extension, mime and detection method from the first 64 bytes, archive member names
     (when given) and the extension, in this order."""
-    head = F.substring(content, 1, 64)
+    head = F.substring(content, 1, HEAD_BYTES)
     plain = bare_ext(ext)
 
     def found(kind: str, mime: str | None, how: str) -> Column:
@@ -55,7 +59,7 @@ def file_health(content: Column, size: Column, ext: Column, zip_ok: Column | Non
     """Struct of validity, error codes, warning codes and health. A null size is a missing file; give
     ``zip_ok`` from the archive manifest to report broken archives."""
     plain = bare_ext(ext)
-    head = F.substring(content, 1, 64)
+    head = F.substring(content, 1, HEAD_BYTES)
     expected = lookup(plain, V.EXPECTED_HEADER)
     mismatch = expected.isNotNull() & ~F.startswith(head, expected)
     is_pdf, is_zip = plain == "pdf", plain.isin("zip", "docx", "xlsx", "pptx")

@@ -72,6 +72,22 @@ def parser_chain(ext: Column) -> Column:
     return lookup(parser(ext), V.PARSER_CHAINS)
 
 
+def format_spec(ext: Column, rules: list[tuple[str, str, str, str]] | None = None) -> Column:
+    """Struct of category, processor and strategy of an extension: the last rule that lists it decides, unknown ones and null have
+    the default."""
+    def spec(category: str, processor: str, strategy: str) -> Column:
+        return F.struct(F.lit(category).alias("category"), F.lit(processor).alias("processor"), F.lit(strategy).alias("strategy"))
+
+    plain = bare_ext(ext)
+    listed = reversed(V.FORMAT_RULES if rules is None else rules)
+    return first_case([(plain.isin(names.split()), spec(*found)) for *found, names in listed], spec(*V.DEFAULT_FORMAT))
+
+
+def registered_formats(rules: list[tuple[str, str, str, str]] | None = None) -> list[str]:
+    """Extensions the rules know, in their order."""
+    return list(dict.fromkeys(" ".join(names for *_, names in (V.FORMAT_RULES if rules is None else rules)).split()))
+
+
 def triage_status(ext: Column) -> Column:
     return F.when(F.lower(ext).isin(V.READY_EXTENSIONS), "READY_FOR_INGEST").otherwise("IGNORED")
 

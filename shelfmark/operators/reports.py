@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import fixed_values as V
 from ..functions.lookup import lookup
+from ..functions.scoring import format_spec, registered_formats
 from .grouping import exact_quantiles, top_k_per
 
 
@@ -146,6 +147,17 @@ def profile(df: DataFrame, top: int = 5, approximate: bool = False) -> DataFrame
     return result.unionByName(best)
 
 
+def category_formats(files: DataFrame, extension: str = "extension") -> DataFrame:
+    """Per registry category: formats registered, files present and formats among them. Categories without files stay, files of
+    unknown formats make up one of their own."""
+    known = files.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, registered_formats()))).alias("ext"))
+    registered = known.groupBy(format_spec(F.col("ext"))["category"].alias("category")).agg(F.count("*").alias("formats"))
+    present = files.groupBy(extension).agg(F.count("*").alias("n")).groupBy(format_spec(F.col(extension))["category"].alias("category")).agg(
+        F.sum("n").alias("files"), F.count("*").alias("formats_seen"))
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("formats", "files", "formats_seen")}
+    return registered.join(present, "category", "full").withColumns(zero)
+
+
 def rows_of_maximum(df: DataFrame, columns: list[str], show: list[str]) -> DataFrame:
     """For each numeric column the row that holds its greatest value, in one pass."""
     picks = [F.struct(F.lit(c).alias("column"), F.max_by(F.struct(*show), F.struct(F.col(c), *[-F.col(s) for s in show])).alias("row")) for c in columns]

@@ -6,7 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.binary import file_health, file_type
 from ..sources import files, tables as table_sources
@@ -21,11 +21,15 @@ HEADERS = [b"%PDF-1.4\n", b"\xff\xd8\xff\xe0", b"PK\x03\x04", b"RIFF\x00\x00\x00
 KINDS = ["pdf", "jpg", "zip", "wav", "mov", ""]
 
 
+def signature(n: Column) -> Column:
+    """One of the file signatures in turn."""
+    return F.element_at(F.array(*[F.lit(h) for h in HEADERS]), (n % 6 + 1).cast("int"))
+
+
 def byte_files(t: Tables) -> DataFrame:
     """Every document as bytes behind one of several file signatures; some PDFs are cut or encrypted."""
-    head = F.element_at(F.array(*[F.lit(h) for h in HEADERS]), (F.col("n_chars") % 6 + 1).cast("int"))
     tail = F.when(F.col("lang") == "en", "%%EOF").when(F.col("lang") == "de", "/Encrypt %%EOF").otherwise("")
-    content = F.concat(head, F.col("text").cast("binary"), tail.cast("binary"))
+    content = F.concat(signature(F.col("n_chars")), F.col("text").cast("binary"), tail.cast("binary"))
     return t.docs.select(F.concat(F.lit("/in/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), "doc_id", content.alias("content"),
                          F.length(content).cast("bigint").alias("length"), F.timestamp_seconds(F.col("doc_id")).alias("modificationTime"))
 

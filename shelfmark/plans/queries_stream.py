@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .. import fixed_values as V
+from ..functions.binary import HEAD_BYTES
+from ..schemas import JOBS
 from ..sources import queues
 from ..streaming import jobs
+from .queries_files import KINDS, signature
 from .queries_ledger import TS, error_case, sql_list, texts
 from .queries_text import EXT, ROUTER_SQL, sql_map
 from .registry import query
@@ -25,19 +28,26 @@ def audit_stream(t: Tables) -> DataFrame:
     return t.sql(audit_sql(SPARK), events=stream(t, "events"))
 
 
-@query("st1_route_jobs", f"""WITH {FILES} SELECT id, {ROUTER_SQL} AS queue,
+DETECTED = f"CASE n_chars % 6 {' '.join(f"WHEN {i} THEN '{kind}'" for i, kind in enumerate(KINDS[:5]))} ELSE {EXT} END"
+
+
+@query("st1_route_jobs", f"""WITH {FILES}, typed AS (SELECT id, file_size_bytes, original_filename, {DETECTED} AS extension,
+    CASE WHEN n_chars % 6 < 3 THEN 'magic' WHEN n_chars % 6 < 5 THEN 'container' ELSE 'extension' END AS detection_method FROM files)
+  SELECT id, extension, detection_method, {ROUTER_SQL} AS queue,
   CASE WHEN file_size_bytes > 52428800 THEN 'deep' WHEN {EXT} IN ({sql_list(V.ROUTER_DEEP_TYPES)}) AND NOT
     (50 + 30 + {sql_map(V.ROUTER_WEIGHTS, EXT, '0')} + CASE WHEN {' OR '.join(f"contains(lower(original_filename), '{k}')" for k in V.ROUTER_KEYWORDS)} THEN 15 ELSE 0 END >= 70
-     AND file_size_bytes < 10485760) THEN 'deep' ELSE 'fast' END AS processing_path FROM files""")
+     AND file_size_bytes < 10485760) THEN 'deep' ELSE 'fast' END AS processing_path FROM typed""")
 def _(t: Tables):
     files = t.sql(files_sql(SPARK), documents=stream(t, "documents"))
-    incoming = files.select("id", F.col("original_path").alias("path"), F.col("original_filename").alias("filename"), "extension",
-                            F.col("file_size_bytes").alias("size"), F.col("ingested_at").alias("modified"))
-    messages = incoming.select(F.to_json(F.struct(F.col("id").cast("string").alias("id"), "path", "filename", "extension", "size", "modified")).alias("value"))
-    routed = jobs.route_jobs(queues.parse_jobs(messages), F.col("modified"))
+    head = F.substring(F.concat(signature(F.col("n_chars")), F.col("extracted_text").cast("binary")), 1, HEAD_BYTES)
+    incoming = files.select(F.col("id").cast("string").alias("id"), F.col("original_path").alias("path"), F.col("original_filename").alias("filename"),
+                            "extension", F.col("file_size_bytes").alias("size"), F.col("ingested_at").alias("modified"), F.base64(head).alias("head"))
+    parsed = queues.parse_jobs(incoming.select(F.to_json(F.struct("*")).alias("value")), T.StructType([*JOBS, T.StructField("head", T.StringType())]))
+    routed = jobs.route_jobs(parsed, F.col("modified"), F.unbase64("head"))
     folder = jobs.run_folder(t.spark)
-    queues.write_by_queue(routed.select("id", "queue", "processing_path"), f"{folder}/out", f"{folder}/state").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out").select(F.col("id").cast("bigint").alias("id"), "queue", "processing_path")
+    wanted = routed.select("id", "extension", "detection_method", "queue", "processing_path")
+    queues.write_by_queue(wanted, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").select(F.col("id").cast("bigint").alias("id"), "extension", "detection_method", "queue", "processing_path")
 
 
 @query("st2_extract_handoff", "SELECT doc_id AS job_id, length(text) AS chars, 'enrich:ner' AS queue FROM documents")

@@ -9,7 +9,7 @@ from ..functions import chunking, headers, naming, quality, scoring, text
 from ..functions.evidence import cited_ordinals, evidence_from_metadata, merge_evidence
 from ..functions.pii import mask_pii, pii_counts
 from ..functions.vectors import cosine
-from ..operators import classify, search
+from ..operators import classify, reports, search
 from ..operators.grouping import hashed_sample, number_rows, top_k_per
 from .queries_ledger import TS, rounded, sql_list
 from .registry import query
@@ -280,6 +280,33 @@ def _(t: Tables):
         F.count("*").alias("files"), F.countDistinct("extension").alias("formats"), F.array_join(F.array_sort(F.collect_set("extension")), ",").alias("extensions"))
 
 
+REGISTERED = [*scoring.registered_formats(), "no such format"]
+FORMAT_ROWS = f"""f AS (SELECT doc_id, [{sql_list(REGISTERED)}][doc_id % {len(REGISTERED)} + 1] AS extension FROM documents),
+  r AS (SELECT unnest(string_split(names, ' ')) AS extension, n, category, processor, strategy
+        FROM (VALUES {', '.join(f"({n}, '{c}', '{p}', '{s}', '{names}')" for n, (c, p, s, names) in enumerate(V.FORMAT_RULES))}) v(n, category, processor, strategy, names)),
+  known AS (SELECT extension, arg_max(category, n) AS category, arg_max(processor, n) AS processor, arg_max(strategy, n) AS strategy FROM r GROUP BY extension)"""
+
+
+def registered_files(t: Tables) -> DataFrame:
+    """Every registered format in turn, over all documents, with its category, processor and strategy."""
+    formats = F.array(*map(F.lit, REGISTERED))
+    docs = t.docs.select("doc_id", F.get(formats, (F.col("doc_id") % len(REGISTERED)).cast("int")).alias("extension"))
+    return docs.withColumn("_s", scoring.format_spec(F.col("extension"))).select("doc_id", "extension", "_s.*")
+
+
+@query("j7_format_registry", f"""WITH {FORMAT_ROWS} SELECT doc_id, extension, coalesce(category, 'unknown') AS category, coalesce(processor, 'strings') AS processor,
+  coalesce(strategy, 'binary') AS strategy FROM f LEFT JOIN known USING (extension)""")
+def _(t: Tables):
+    return registered_files(t)
+
+
+@query("a26_category_counts", f"""WITH {FORMAT_ROWS}, kinds AS (SELECT category, count(*) AS formats FROM known GROUP BY 1),
+  seen AS (SELECT coalesce(category, 'unknown') AS category, count(*) AS files, count(DISTINCT f.extension) AS formats_seen FROM f LEFT JOIN known USING (extension) GROUP BY 1)
+  SELECT category, coalesce(formats, 0) AS formats, coalesce(files, 0) AS files, coalesce(formats_seen, 0) AS formats_seen FROM kinds FULL JOIN seen USING (category)""")
+def _(t: Tables):
+    return reports.category_formats(registered_files(t).select("extension"))
+
+
 @query("a26_routing_counts", f"""WITH {FILES} SELECT {sql_map(V.EXTENSION_PARSERS, EXT, "'tika'")} AS parser, count(*) AS files,
   string_agg(DISTINCT extension, ',' ORDER BY extension) AS extensions FROM files GROUP BY 1""")
 def _(t: Tables):

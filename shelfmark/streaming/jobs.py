@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import fixed_values as V
+from ..functions.binary import file_type
 from ..functions.pii import mask_pii
 from ..functions.scoring import classify_error, router_path, router_priority, router_queue
 from ..operators.grouping import latest_per_key
@@ -31,8 +32,18 @@ def run_folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def route_jobs(jobs: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Jobs with priority, path and queue (one-to-one, no state)."""
+def detect_types(jobs: DataFrame, content: Column, members: Column | None = None) -> DataFrame:
+    """Jobs whose extension and mime come from the file's first bytes (and archive member names, when given) before its name, with the
+    way they were found in detection_method."""
+    found = jobs.withColumn("_type", file_type(content, F.coalesce("extension", F.lit("")), members))
+    return found.withColumns({"extension": F.col("_type.extension"), "mime": F.col("_type.mime"), "detection_method": F.col("_type.method")}).drop("_type")
+
+
+def route_jobs(jobs: DataFrame, as_of: Column | None = None, content: Column | None = None) -> DataFrame:
+    """Jobs with priority, path and queue (one-to-one, no state). With ``content``, the first bytes of the file, the type is detected
+    first and decides all three."""
+    if content is not None:
+        jobs = detect_types(jobs, content)
     now = F.current_timestamp() if as_of is None else as_of
     priority = router_priority(F.col("filename"), F.col("extension"), F.col("size"), F.col("modified"), now)
     routed = jobs.withColumn("priority", priority).withColumn(

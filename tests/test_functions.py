@@ -210,3 +210,12 @@ def test_file_health(spark, content, ext, health, errors):
 def test_fixed_tables_are_consistent():
     assert len(V.SUBMIT_KEYWORDS) == 23 and len(V.ROUTER_KEYWORDS) == 7 and len(V.CATEGORIES) == 9
     assert sum(V.QUALITY_WEIGHTS.values()) == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("ext,want", [
+    (".PDF", ("documents", "tika_html", "html_to_md")), ("gif", ("video_animation", "ffmpeg", "metadata")), ("ts", ("code", "parser_code", "text")),
+    ("sql", ("database", "parser_database", "structure")), ("tar.gz", ("archive", "parser_archive", "listing")), ("asc", ("encrypted", "skip", "skip")),
+    ("xyz", ("unknown", "strings", "binary")), ("", ("unknown", "strings", "binary")), (None, ("unknown", "strings", "binary"))])
+def test_format_spec(spark, ext, want):
+    rows = spark.createDataFrame([(ext,)], "e string")
+    assert tuple(rows.select(scoring.format_spec(F.col("e")).alias("s")).first()["s"]) == want

@@ -18,6 +18,16 @@ def test_parse_jobs_drops_bad_messages(spark, tmp_path):
     assert [tuple(r) for r in out.collect()] == [("2", "extract:documents", "deep")]
 
 
+def test_route_by_content(spark):
+    """Bytes decide before the name; a name decides where the bytes say nothing."""
+    rows = [("1", "a.txt", ".txt", b"%PDF-1.7"), ("2", "b.pdf", ".pdf", b"\x89PNG\r\n\x1a\n..."), ("3", "c.eml", ".eml", b"From: x"), ("4", "d", None, b""), ("5", "e.doc", ".doc", None)]
+    files = spark.createDataFrame([(i, n, e, 10, datetime.datetime(2020, 1, 1), bytearray(b) if b is not None else None) for i, n, e, b in rows],
+                                  "id string, filename string, extension string, size long, modified timestamp, head binary")
+    routed = {r.id: (r.extension, r.detection_method, r.queue) for r in jobs.route_jobs(files, F.col("modified"), F.col("head")).collect()}
+    assert routed == {"1": ("pdf", "magic", "extract:documents"), "2": ("png", "magic", "extract:images"), "3": ("eml", "extension", "extract:email"),
+                      "4": ("unknown", "unknown", "extract:unknown"), "5": ("doc", "extension", "extract:documents")}
+
+
 def test_updates_over_several_batches_equal_batch(spark, tmp_path):
     schema = "ts timestamp, queue_name string, processing_time_ms int"
     start = datetime.datetime(2024, 1, 1)
