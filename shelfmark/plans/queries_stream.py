@@ -88,8 +88,8 @@ def _(t: Tables):
 @query("st7_stuck_stages", f"""WITH {AUDIT}, l AS (SELECT *, lead(ts) OVER (PARTITION BY file_hash, stage ORDER BY ts, id) AS until, max(ts) OVER () AS now FROM audit)
   SELECT id, file_hash, stage, {TS.format('ts')} AS since FROM l WHERE status = 'started' AND least(coalesce(until, now), now) >= ts + INTERVAL 10 MINUTE""")
 def _(t: Tables):
-    spells = jobs.with_rocks(t.spark, lambda: jobs.collect_updates(jobs.stage_spells(audit_stream(t)), t.spark, ["id"]))
-    return texts(jobs.stuck_stages(spells, t.as_of(t.audit(), "ts")), "since")
+    alerts = jobs.with_rocks(t.spark, lambda: jobs.collect_stream(jobs.stuck_stages(audit_stream(t), delay="0 seconds"), t.spark))
+    return texts(alerts, "since")
 
 
 @query("st8_pattern_counts", f"WITH {CORRECTIONS} SELECT predicted_category, actual_category, count(*) AS occurrence_count, {TS.format('max(ts)')} AS last_seen FROM corrections GROUP BY 1, 2")

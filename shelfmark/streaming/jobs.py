@@ -84,35 +84,87 @@ def pattern_counts(corrections: DataFrame) -> DataFrame:
         F.count("*").alias("occurrence_count"), F.max("ts").alias("last_seen"))
 
 
+#: How far a status row may lag behind the newest one and still change outcomes.
+LATENESS = "1 day"
+#: Event time after which a key without rows is forgotten; a row that comes later starts anew.
+RETENTION = "90 days"
+
+
+def _reset_timer(handle: StatefulProcessorHandle, at_ms: int) -> None:
+    """One timer per key, so that timers do not grow with the rows."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer)
+    handle.registerTimer(at_ms)
+
+
 class KeyHistory(StatefulProcessor):
-    """Keeps the rows of a key in the order of (ts, id), whatever batches they come in, and reports every row whose outcome
-    is new or has changed. The latest report of each id is the result, so it depends neither on the slicing of the
-    input nor on the order of arrival; a row delivered twice counts once. The state holds a key's rows: one file's, or one
-    stage's of it."""
+    """Keeps the rows of a key that may still get rows before them, in the order of (ts, id), whatever batches they come in, and reports
+    every row whose outcome is new or has changed. The latest report of each id is the result, so it depends neither on the
+    slicing of the input nor on the order of arrival; a row delivered twice counts once.
+
+    Rows behind the watermark are settled: only what later outcomes need of them stays, one small row per key, and that goes
+    when the watermark has passed the key's last row by the retention. So the state of a key holds the rows of the lateness, not its
+    history, and a batch costs as much."""
 
     CARRIED: str
     OUTCOME: str
+    SETTLED: str
+
+    def __init__(self, retention_ms: int) -> None:
+        self._retention_ms = retention_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._rows = handle.getListState("rows", f"ts timestamp, id long, {self.CARRIED}, reported string")
+        self._handle = handle
+        self._rows = handle.getListState("rows", f"at long, id long, {self.CARRIED}, {self.OUTCOME}")
+        self._settled = handle.getValueState("settled", f"last long, {self.SETTLED}")
 
-    def outcomes(self, rows: pd.DataFrame) -> pd.DataFrame:
+    def outcomes(self, rows: pd.DataFrame, settled: tuple | None) -> pd.DataFrame:
+        """Outcome of every row, given what is left of the rows before."""
         raise NotImplementedError
 
+    def settle(self, rows: pd.DataFrame, settled: tuple | None) -> tuple:
+        """What outcomes of later rows need of these (at least one) and those before."""
+        raise NotImplementedError
+
+    def _before(self) -> tuple | None:
+        return tuple(self._settled.get())[1:] if self._settled.exists() else None
+
+    def _keep(self, rows: pd.DataFrame, watermark_ms: int) -> None:
+        """Settle the rows behind the watermark, keep the others, and wake when those are behind it, too."""
+        done = rows["at"] < watermark_ms * 1000
+        if done.any():
+            past = rows[done]
+            self._settled.update((int(past["at"].iloc[-1]), *self.settle(past, self._before())))
+        rest = rows[~done]
+        if len(rest):
+            self._rows.put(list(rest.astype(object).where(rest.notna(), None).itertuples(index=False, name=None)))
+            _reset_timer(self._handle, int(rest["at"].iloc[-1]) // 1000 + 1)
+        else:
+            self._rows.clear()
+            _reset_timer(self._handle, max(int(self._settled.get()[0]) // 1000, watermark_ms) + self._retention_ms)
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names = ["ts", "id", *(c.split()[0] for c in self.CARRIED.split(", "))]
-        new = pd.concat(list(rows))[names].assign(reported=None)
-        old = pd.DataFrame(list(self._rows.get()) if self._rows.exists() else [], columns=[*names, "reported"]).astype({"ts": new["ts"].dtype})
-        merged = (pd.concat([old, new]) if len(old) else new).drop_duplicates("id").sort_values(["ts", "id"], ignore_index=True)
-        found = self.outcomes(merged)
-        said = [str(t) for t in found.itertuples(index=False, name=None)]
-        changed = [a != b for a, b in zip(said, merged["reported"])]
-        merged["reported"] = said
-        plain = merged.astype(object).where(merged.notna(), None)
-        plain["ts"] = [t.to_pydatetime() for t in merged["ts"]]
-        self._rows.put(list(plain.itertuples(index=False, name=None)))
-        out = pd.concat([merged[["id"]].assign(**{n: k for n, k in zip(self.KEYS, key)}), merged[names[2:]], found], axis=1)[changed]
-        yield out[[c.split()[0] for c in self.output().split(", ")]]
+        names, told = ["at", "id", *_names(self.CARRIED)], _names(self.OUTCOME)
+        new = pd.concat(list(rows))[names]
+        old = self._stored()
+        merged = (pd.concat([old[names], new]) if len(old) else new).drop_duplicates("id").sort_values(["at", "id"], ignore_index=True)
+        found = self.outcomes(merged, self._before())
+        before = {r[0]: r[1:] for r in old[["id", *told]].itertuples(index=False, name=None)}
+        changed = [before.get(i) != t for i, t in zip(merged["id"], found.itertuples(index=False, name=None))]
+        whole = pd.concat([merged, found], axis=1)
+        self._keep(whole, timerValues.getCurrentWatermarkInMs())
+        yield whole.assign(**dict(zip(self.KEYS, key)))[changed][_names(self.output())]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self._rows.exists():
+            self._keep(self._stored(), timerValues.getCurrentWatermarkInMs())
+        else:
+            self._settled.clear()
+        return iter(())
+
+    def _stored(self) -> pd.DataFrame:
+        columns = ["at", "id", *_names(self.CARRIED), *_names(self.OUTCOME)]
+        return pd.DataFrame([tuple(r) for r in self._rows.get()] if self._rows.exists() else [], columns=columns)
 
     @classmethod
     def output(cls) -> str:
@@ -122,9 +174,18 @@ class KeyHistory(StatefulProcessor):
         pass
 
 
-def _follow(rows: DataFrame, history: type[KeyHistory]) -> DataFrame:
-    kept = rows.select("id", "ts", *history.KEYS, *(c.split()[0] for c in history.CARRIED.split(", ")))
-    return kept.groupBy(*history.KEYS).transformWithStateInPandas(history(), history.output(), outputMode="update", timeMode="None")
+def _names(ddl: str) -> list[str]:
+    return [part.split()[0] for part in ddl.split(", ")]
+
+
+def _millis(spark: SparkSession, interval: str) -> int:
+    return spark.range(1).select(F.unix_millis(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {interval}"))).first()[0]
+
+
+def _follow(rows: DataFrame, history: type[KeyHistory], lateness: str, retention: str) -> DataFrame:
+    kept = rows.withWatermark("ts", lateness).select("id", "ts", F.unix_micros("ts").alias("at"), *history.KEYS, *_names(history.CARRIED))
+    processor = history(_millis(rows.sparkSession, retention))
+    return kept.groupBy(*history.KEYS).transformWithStateInPandas(processor, history.output(), outputMode="update", timeMode="EventTime")
 
 
 class RetryCounter(KeyHistory):
@@ -133,19 +194,23 @@ class RetryCounter(KeyHistory):
     KEYS = ("file_hash", "stage")
     CARRIED = "error_type string, retry boolean"
     OUTCOME = "attempt int, decision string"
+    SETTLED = "attempts int"
 
-    def outcomes(self, rows: pd.DataFrame) -> pd.DataFrame:
-        attempt = pd.Series(range(1, len(rows) + 1), dtype="int32")
+    def outcomes(self, rows: pd.DataFrame, settled: tuple | None) -> pd.DataFrame:
+        attempt = pd.Series(range(1, len(rows) + 1), dtype="int32") + (settled[0] if settled else 0)
         again = rows["retry"].astype(bool) & (attempt <= V.MAX_RETRIES)
         return pd.DataFrame({"attempt": attempt, "decision": again.map({True: "retry", False: "dead_letter"})})
 
+    def settle(self, rows: pd.DataFrame, settled: tuple | None) -> tuple:
+        return (int(rows["attempt"].iloc[-1]),)
+
 
-def retry_or_dead(audit: DataFrame) -> DataFrame:
+def retry_or_dead(audit: DataFrame, lateness: str = LATENESS, retention: str = RETENTION) -> DataFrame:
     """Decision for each failed attempt of a file's stage: retry, or dead letter with its error class. An updating stream of
-    reports; the latest per id counts."""
+    reports; the latest per id counts. Rows later than ``lateness`` are dropped."""
     failed = audit.filter(F.col("status") == "failed").withColumn("_c", classify_error(F.col("error_message"))).select(
         "id", "file_hash", "stage", "ts", F.col("_c.error_type").alias("error_type"), F.col("_c.retry").alias("retry"))
-    return _follow(failed, RetryCounter)
+    return _follow(failed, RetryCounter, lateness, retention)
 
 
 class ErrorTransition(KeyHistory):
@@ -154,37 +219,81 @@ class ErrorTransition(KeyHistory):
     KEYS = ("file_hash",)
     CARRIED = "filename string, status string, error_message string"
     OUTCOME = "turned boolean"
+    SETTLED = "failed boolean"
 
-    def outcomes(self, rows: pd.DataFrame) -> pd.DataFrame:
+    def outcomes(self, rows: pd.DataFrame, settled: tuple | None) -> pd.DataFrame:
         failed = rows["status"] == "failed"
-        return pd.DataFrame({"turned": failed & ~failed.shift(fill_value=False)})
+        return pd.DataFrame({"turned": failed & ~failed.shift(fill_value=bool(settled and settled[0]))})
 
+    def settle(self, rows: pd.DataFrame, settled: tuple | None) -> tuple:
+        return (rows["status"].iloc[-1] == "failed",)
 
-def quarantine_on_error(audit: DataFrame) -> DataFrame:
-    """Reports of status rows; those whose latest report has ``turned`` are the files to quarantine."""
-    return _follow(audit, ErrorTransition)
 
+def quarantine_on_error(audit: DataFrame, lateness: str = LATENESS, retention: str = RETENTION) -> DataFrame:
+    """Reports of status rows; those whose latest report has ``turned`` are the files to quarantine. Rows later than ``lateness``
+    are dropped."""
+    return _follow(audit, ErrorTransition, lateness, retention)
 
-class StuckStage(KeyHistory):
-    """Tells for each row of a stage when the next one came."""
 
-    KEYS = ("file_hash", "stage")
-    CARRIED = "status string"
-    OUTCOME = "since timestamp, until timestamp"
+class StuckStage(StatefulProcessor):
+    """Raises an alert for a start once the watermark has passed it by the wait and nothing came in between. Until then the state holds
+    the start and the rows after it; decided starts and rows that no undecided one needs go."""
+
+    ROWS = ["at", "id", "started"]
 
-    def outcomes(self, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"since": rows["ts"], "until": rows["ts"].shift(-1)})
+    def __init__(self, wait_ms: int) -> None:
+        self._wait = wait_ms * 1000
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._rows = handle.getListState("rows", "at long, id long, started boolean")
+
+    def _stored(self) -> pd.DataFrame:
+        return pd.DataFrame([tuple(r) for r in self._rows.get()] if self._rows.exists() else [], columns=self.ROWS)
+
+    def _keep(self, rows: pd.DataFrame, watermark: int) -> None:
+        """Rows from the watermark or the first undecided start on stay; wake when that start is due."""
+        starts = rows.loc[rows["started"].astype(bool), "at"]
+        waiting = starts[starts + self._wait > watermark]
+        rest = rows[rows["at"] >= min([watermark, *waiting.head(1)])]
+        if not len(rest):
+            self._rows.clear()
+            return
+        self._rows.put([(int(a), int(i), bool(s)) for a, i, s in rest.itertuples(index=False, name=None)])
+        # without a start the rows go once the watermark is past the last of them
+        due = int(waiting.iloc[0]) + self._wait if len(waiting) else int(rest["at"].iloc[-1])
+        _reset_timer(self._handle, due // 1000 + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        merged = pd.concat([self._stored(), *(part[self.ROWS] for part in rows)]).drop_duplicates("id").sort_values(["at", "id"])
+        # nothing is decided here: a start that was due before this batch has had its timer
+        self._rows.put([(int(a), int(i), bool(s)) for a, i, s in merged.itertuples(index=False, name=None)])
+        starts = merged.loc[merged["started"].astype(bool), "at"]
+        due = int(starts.iloc[0]) + self._wait if len(starts) else int(merged["at"].iloc[-1])
+        _reset_timer(self._handle, max(due // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = self._stored()
+        due = rows["at"] + self._wait
+        after = rows["at"].shift(-1)
+        stuck = rows["started"].astype(bool) & (due <= watermark) & (after.isna() | (after >= due))
+        self._keep(rows, watermark)
+        yield pd.DataFrame({"id": rows["id"], **dict(zip(("file_hash", "stage"), key)), "since": rows["at"]})[stuck]
 
-def stage_spells(audit: DataFrame) -> DataFrame:
-    """Reports of stage rows with the time of the row after; the latest per id counts."""
-    return _follow(audit, StuckStage)
+    def close(self) -> None:
+        pass
 
 
-def stuck_stages(spells: DataFrame, as_of: Column, wait: str = "10 minutes") -> DataFrame:
-    """Starts after which nothing came for ten minutes, as known at ``as_of``."""
-    due = F.col("since") + F.expr(f"INTERVAL {wait}")
-    return spells.filter((F.col("status") == "started") & (F.least(F.coalesce("until", as_of), as_of) >= due)).select("id", "file_hash", "stage", "since")
+def stuck_stages(audit: DataFrame, wait: str = "10 minutes", delay: str = WATERMARK) -> DataFrame:
+    """Starts of a file's stage after which nothing came for the wait, as an appending stream: the alert comes by a timer of
+    event time, without a later row of the key. Rows later than ``delay`` are dropped; each start is reported once at most."""
+    rows = audit.withWatermark("ts", delay).select(
+        "id", "ts", F.unix_micros("ts").alias("at"), "file_hash", "stage", (F.col("status") == "started").alias("started"))
+    alerts = rows.groupBy("file_hash", "stage").transformWithStateInPandas(
+        StuckStage(_millis(audit.sparkSession, wait)), "id long, file_hash string, stage string, since long", outputMode="append", timeMode="EventTime")
+    return alerts.withColumn("since", F.timestamp_micros("since"))
 
 
 def extract_batch(batch: DataFrame) -> DataFrame:

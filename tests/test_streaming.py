@@ -98,11 +98,49 @@ def test_histories_do_not_depend_on_slicing(spark, tmp_path):
     turned = {r[0] for group in by_key(rows, 1).values() for before, r in zip([None, *group], group) if r[3] == "failed" and (before is None or before[3] != "failed")}
     assert {r.id for r in latest(spark, folder, schema, jobs.quarantine_on_error).filter("turned").collect()} == turned
 
-    now, wait = max(r[4] for r in rows), datetime.timedelta(minutes=10)
-    stuck = {r[0] for group in by_key(rows, 1, 2).values() for r, after in zip(group, [*group[1:], None])
-             if r[3] == "started" and min(after[4] if after else now, now) >= r[4] + wait}
-    got = jobs.stuck_stages(latest(spark, folder, schema, jobs.stage_spells), F.lit(now))
-    assert {r.id for r in got.collect()} == stuck
+
+def test_stuck_stages_alert_by_timer(spark, tmp_path):
+    """Rows come shuffled over six files. The delay covers all of them, so alerts are those known at the newest row less the delay: planted
+    last rows carry the clock beyond everything else."""
+    folder = str(tmp_path / "audit")
+    rows, schema = shuffled_audit(spark, folder)
+    wait, clock = datetime.timedelta(minutes=10), max(r[4] for r in rows) + datetime.timedelta(minutes=700)
+    spark.createDataFrame([(1000, "clock", "a", "started", clock, "n", None)], schema).coalesce(1).write.mode("append").parquet(folder)
+    stuck = {(r[0], r[4]) for group in by_key(rows, 1, 2).values() for r, after in zip(group, [*group[1:], None])
+             if r[3] == "started" and (after is None or after[4] >= r[4] + wait)}
+    source = queues.read_table_stream(spark, folder, schema, per_batch=1)
+    got = jobs.with_rocks(spark, lambda: jobs.collect_stream(jobs.stuck_stages(source, delay="600 minutes"), spark)).collect()
+    assert len(got) == len(stuck) and {(r.id, r.since) for r in got} == stuck
+
+
+def kept_rows(query):
+    return sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"])
+
+
+def test_state_is_bounded_and_expires(spark, tmp_path):
+    """One row an hour for 40 days: what stays is the lateness's share of a key, and nothing of a key that has been silent for the
+    retention. Outcomes go on counting over settled rows."""
+    folder, start = str(tmp_path / "audit"), datetime.datetime(2024, 1, 1)
+    schema = "id long, file_hash string, stage string, status string, ts timestamp, filename string, error_message string"
+    rows = [(h, "f0" if h < 24 else "f1", "a", "failed" if h % 3 else "completed", start + datetime.timedelta(hours=h), "n", "timeout") for h in range(960)]
+    for n in range(8):
+        spark.createDataFrame(rows[n * 120:(n + 1) * 120], schema).coalesce(1).write.mode("append").parquet(folder)
+    source = queues.read_table_stream(spark, folder, spark.read.parquet(folder).schema, per_batch=1)
+
+    def run(stream, name, mode):
+        query = (stream.writeStream.format("parquet") if mode == "append" else stream.writeStream.foreachBatch(
+            lambda batch, n: batch.write.mode("overwrite").parquet(str(tmp_path / name / f"version={n}"))))
+        query = query.outputMode(mode).option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True)
+        query = query.start()
+        query.awaitTermination()
+        return query
+
+    retries = jobs.with_rocks(spark, lambda: run(jobs.retry_or_dead(source, retention="10 days"), "retry", "update"))
+    assert 0 < kept_rows(retries) < 40  # 16 rows of the last day, what is settled, and the timer
+    attempts = [r.attempt for r in spark.read.parquet(str(tmp_path / "retry")).orderBy("id").collect()]
+    assert attempts == [*range(1, 17), *range(1, 625)]
+    stuck = jobs.with_rocks(spark, lambda: run(jobs.stuck_stages(source), "stuck", "append"))
+    assert 0 < kept_rows(stuck) < 10
 
 
 def test_drained_counts_and_late_rows(spark, tmp_path):
