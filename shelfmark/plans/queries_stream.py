@@ -128,6 +128,25 @@ def _(t: Tables):
     return texts(sessions, "session_start").select("worker_id", "session_start", "jobs")
 
 
+DELIVERIES = 7
+DELIVERY = "CAST(least(5, floor((day(ts) - 1) / 5)) + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS INT)"
+
+
+@query("st11_late_rows", f"""WITH d AS (SELECT event_id, ts, {DELIVERY} AS delivery FROM events),
+  n AS (SELECT delivery, date_trunc('millisecond', max(max(ts)) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) - INTERVAL 10 MINUTE AS behind FROM d GROUP BY delivery)
+  SELECT delivery, count(*) AS rows, count(*) FILTER (ts <= behind) AS late_rows FROM d JOIN n USING (delivery) GROUP BY delivery""")
+def _(t: Tables):
+    """Events come in deliveries of five days, every fiftieth one delivery too late; one run of the stream takes each."""
+    folder = jobs.run_folder(t.spark)
+    sent = t.events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.expr(DELIVERY).alias("delivery"))
+    counts = []
+    for n in range(DELIVERIES):
+        sent.filter(F.col("delivery") == n).drop("delivery").write.mode("append").parquet(f"{folder}/in")
+        rows = queues.read_table_stream(t.spark, f"{folder}/in", sent.drop("delivery").schema, per_batch=1_000_000)
+        counts.append((n, *jobs.run_counting_late(jobs.once_per_job(rows), t.spark, f"{folder}/out", f"{folder}/state")))
+    return t.spark.createDataFrame(counts, "delivery int, rows long, late_rows long").filter("rows > 0")
+
+
 @query("s18_sink_by_queue", f"WITH {AUDIT} SELECT queue_name, count(*) AS rows FROM audit GROUP BY 1")
 def _(t: Tables):
     folder = jobs.run_folder(t.spark)

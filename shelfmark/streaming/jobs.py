@@ -7,12 +7,13 @@ the table.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from .. import fixed_values as V
 from ..functions.binary import file_type
@@ -345,6 +346,52 @@ def late_rows(rows: DataFrame, ts: str = "ts", delay: str = WATERMARK) -> DataFr
     return rows.join(F.broadcast(limits), "batch").agg(F.count_if(F.col(ts) < F.col("limit")).alias("late_rows"), F.count("*").alias("rows"))
 
 
+class _Progress(StreamingQueryListener):
+    """Rows read and rows dropped behind the watermark, per run of a query."""
+
+    def __init__(self) -> None:
+        self.counts: dict[str, list[int]] = {}
+        self.ended: dict[str, threading.Event] = {}
+        self._lock = threading.Lock()
+
+    def end_of(self, run: str) -> threading.Event:
+        with self._lock:
+            return self.ended.setdefault(run, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        count = self.counts.setdefault(str(event.progress.runId), [0, 0])
+        count[0] += event.progress.numInputRows
+        count[1] += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.end_of(str(event.runId)).set()
+
+
+def run_counting_late(stream: DataFrame, spark: SparkSession, out: str, checkpoint: str, patience: float = 120) -> tuple[int, int]:
+    """Run an appending stream over the input that has come since the last run; rows it read and rows its stateful steps dropped as late,
+    taken from the progress of every batch. Exact where rows reach the stateful step one by one (de-duplication, key state);
+    windowed sums drop whole partial sums."""
+    progress = _Progress()
+    spark.streams.addListener(progress)
+    try:
+        query = (stream.writeStream.format("parquet").outputMode("append").option("path", out)
+                 .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        query.awaitTermination()
+        run = str(query.runId)
+        if not progress.end_of(run).wait(patience):  # events come in order, so all progress has come before the end
+            raise TimeoutError("the stream's progress was not reported")
+    finally:
+        spark.streams.removeListener(progress)
+    rows, late = progress.counts.get(run, (0, 0))
+    return rows, late
+
+
 def drain_to_index(stream: DataFrame, spark: SparkSession, index: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame]) -> None:
     """Write each micro-batch to its own folder of the index, after preparing it. A repeated batch
     overwrites itself, and offsets move on only after success."""
