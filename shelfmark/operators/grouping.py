@@ -62,33 +62,36 @@ def hashed_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
 
 
-def exact_quantiles(rows: DataFrame, group: str, value: str, points: dict[str, float], bins: int = 1000) -> DataFrame:
-    """Interpolated quantiles per group, one column per point. Counts over ``bins`` equal ranges tell
-    which ranges hold the wanted ranks; only values of those ranges are then sorted, so no task sorts a
-    whole group."""
+def exact_quantiles(rows: DataFrame, group: str, value: str, points: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """Interpolated quantiles per group, one column per point; exact.
+
+    A sketch that tasks merge gives two values around each point, by rank, so outliers do not matter: its ranks are off by one in
+    ``accuracy`` at most, and the bracket is four times as wide. Rows below a bracket are only counted, rows inside are counted by
+    value and numbered: some ten-thousandths of the group. Groups of up to ``accuracy`` rows are a bracket of their own. Null
+    values and null groups do not count; a wanted rank outside its bracket would end the query."""
+    slack, infinity = 4 / accuracy, F.lit(float("inf"))
     v = rows.filter(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
-    edges = v.groupBy(group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
-    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    place = F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width * bins)).cast("int")
-    binned = v.join(edges, group).select(group, "_v", "_n", F.coalesce(place, F.lit(0)).alias("_bin"))
-    counted = binned.groupBy(group, "_bin").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
-    upto = F.sum("_c").over(Window.partitionBy(group).orderBy("_bin"))  # at most ``bins`` rows per group
-    wanted = [F.struct(F.lit(name).alias("name"), F.lit(end).alias("end"), f(F.lit(p) * (F.col("_n") - 1)).cast("bigint").alias("rank"))
-              for name, p in points.items() for end, f in (("low", F.floor), ("high", F.ceil))]
-    targets = (counted.withColumn("_before", upto - F.col("_c")).withColumn("_t", F.explode(F.array(*wanted)))
-               .filter((F.col("_t.rank") >= F.col("_before")) & (F.col("_t.rank") < F.col("_before") + F.col("_c")))
-               .select(group, "_bin", "_before", "_n", "_t.*"))
-    values = (binned.join(targets.select(group, "_bin").distinct(), [group, "_bin"], "left_semi")
-              .groupBy(group, "_bin", "_v").agg(F.count("*").alias("_k")))
-    inside = F.sum("_k").over(Window.partitionBy(group, "_bin").orderBy("_v"))
-    placed = values.withColumn("_to", inside).join(targets, [group, "_bin"])
-    hit = placed.filter((F.col("rank") < F.col("_before") + F.col("_to")) & (F.col("rank") >= F.col("_before") + F.col("_to") - F.col("_k")))
-
-    def end(name: str, which: str) -> Column:
-        return F.max(F.when((F.col("name") == name) & (F.col("end") == which), F.col("_v")))
-
-    picks = []
-    for name, p in points.items():
-        at = F.lit(p) * (F.max("_n") - 1)
-        picks.append((end(name, "low") + (end(name, "high") - end(name, "low")) * (at - F.floor(at))).alias(name))
-    return hit.groupBy(group).agg(*picks)
+    ends = [end for p in points.values() for end in (max(0.0, p - slack), min(1.0, p + slack))]
+    sketch = v.groupBy(group).agg(F.percentile_approx("_v", ends, accuracy).alias("_q"), F.count("*").alias("_n"))
+
+    def bracket(n: int, name: str, p: float) -> Column:
+        small = F.col("_n") <= accuracy
+        low = F.when(small | F.lit(p <= slack), -infinity).otherwise(F.get("_q", 2 * n))
+        high = F.when(small | F.lit(p >= 1 - slack), F.lit(float("nan"))).otherwise(F.get("_q", 2 * n + 1))  # not a number orders last
+        return F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("_n") - 1)).alias("at"), low.alias("low"), high.alias("high"))
+
+    brackets = sketch.select(group, F.array(*(bracket(n, *point) for n, point in enumerate(points.items()))).alias("_b"))
+    met = v.join(brackets, group).select(group, "_v", F.explode("_b").alias("_b")).filter(F.col("_v") <= F.col("_b.high"))
+    counted = (met.select(group, "_b.name", "_b.at", F.when(F.col("_v") >= F.col("_b.low"), F.col("_v")).alias("_v"))
+               .groupBy(group, "name", "at", "_v").agg(F.count("*").alias("_k")))  # null: all rows below
+    upto = F.sum("_k").over(Window.partitionBy(group, "name", "at").orderBy(F.col("_v").asc_nulls_first()))
+    placed = counted.withColumn("_to", upto)
+
+    def ranked(rank: Column) -> Column:
+        found = F.max(F.when((rank < F.col("_to")) & (rank >= F.col("_to") - F.col("_k")), F.col("_v")))
+        return F.when(found.isNull(), F.raise_error(F.lit("a quantile lies outside its bracket"))).otherwise(found)
+
+    ends_ = placed.groupBy(group, "name", "at").agg(ranked(F.floor("at")).alias("_low"), ranked(F.ceil("at")).alias("_high"))
+    between = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("at") - F.floor("at"))
+    exact = F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(between)
+    return ends_.groupBy(group).agg(*(F.max(F.when(F.col("name") == name, exact)).alias(name) for name in points))

@@ -94,6 +94,22 @@ def test_exact_quantiles(spark, bins):
         assert (r.p50, r.p95) == (pytest.approx(np.quantile(data[r.g], 0.5)), pytest.approx(np.quantile(data[r.g], 0.95)))
 
 
+def test_exact_quantiles_of_a_hot_group_with_outliers(spark):
+    """One value at 1e300 and many ties: brackets come from ranks, so they stay narrow and the result exact."""
+    rng = random.Random(2)
+    data = [round(rng.gauss(0, 1), 3) for _ in range(60_000)] + [7.0] * 30_000 + [1e300, float("-inf")]
+    df = spark.createDataFrame([("hot", x) for x in data] + [("few", 1.0), ("few", 2.0), ("none", None)], "g string, x double").repartition(8)
+    points = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p95": 0.95, "p999": 0.9999, "p100": 1.0}
+    got = {r.g: r for r in grouping.exact_quantiles(df, "g", "x", points, 500).collect()}
+    ordered = sorted(data)
+    for name, p in points.items():
+        at = p * (len(ordered) - 1)
+        low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+        assert got["hot"][name] == (low if low == high else pytest.approx(low + (high - low) * (at - math.floor(at))))
+        assert got["few"][name] == pytest.approx(1 + p)
+    assert set(got) == {"hot", "few"}
+
+
 def test_upsert_is_idempotent(spark):
     base = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, v int, s string")
     new = spark.createDataFrame([("a", 2, "z")], "k string, v int, s string")
