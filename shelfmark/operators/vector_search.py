@@ -11,7 +11,7 @@ from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .grouping import number_rows, top_k_per
@@ -219,57 +219,67 @@ def similar_classes(vectors: DataFrame, above: float = 0.85, rows: int = BLOCK_R
 def fused_search(queries: DataFrame, corpus: DataFrame, top_k: int, by_score: bool = True, fusion_k: int = 60) -> DataFrame:
     """Items ranked by reciprocal-rank fusion over the full rankings of several queries.
 
-    Only candidates from the heads of the rankings get an exact rank, by counting per task how many
-    corpus rows come before them. The head is doubled until no other row can reach the top; should it
-    outgrow what a driver may hold, all ranks are computed as rows instead."""
+    Only candidates from the heads of the rankings get an exact rank. The scores of the candidates cut a query's ranking into
+    ranges; tasks count their corpus rows per range, and running sums of the counts are the ranks. Should a row outside the heads
+    still be able to reach the top, the second round takes heads so deep that none can. The lists of ranges go to every task, so where queries x candidates outgrow what may be
+    broadcast, all ranks are computed as rows instead."""
     corpus = corpus.select("id", "embedding")
-    total = corpus.count()
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    total, n_queries = corpus.count(), queries.count()
     depth = min(total, max(4 * top_k, 50))
-    sc = corpus.sparkSession.sparkContext
-    q_unit = None
     while True:
-        if size["n"] * depth * (size["dim"] or 1) * 8 > BROADCAST_BYTES:
+        if n_queries * n_queries * depth * MARK_BYTES > BROADCAST_BYTES:  # at most queries x depth candidates a query
             return _ranked_fusion(queries, corpus, top_k, by_score, fusion_k)
-        if q_unit is None:
-            q_unit = unit_rows(queries.select("query_id", "embedding").toPandas()["embedding"])  # size checked above
-        heads = search(queries, corpus, k=depth)
-        candidates = corpus.join(heads.select("id").distinct(), "id", "left_semi").toPandas()  # at most queries x depth rows
+        heads = cut_lineage(search(queries, corpus, k=depth))
+        candidates = corpus.join(heads.select("id").distinct(), "id", "left_semi")
+        marks = cut_lineage(search(queries, candidates, k=None, above=-1.5))
+        ranked = _candidate_ranks(marks, search(queries, corpus, k=None, above=-1.5))
+        weight = F.col("score") if by_score else F.lit(1.0)
+        fused = ranked.groupBy("id").agg(F.sum(weight / (F.col("place") + fusion_k)).alias("fused"))
+        best = cut_lineage(_listed(fused, top_k))
+        if depth >= total:
+            return best
         floor = heads.groupBy("query_id").agg(F.min("score").alias("s")).agg(F.sum(F.greatest("s", F.lit(0.0)) if by_score else F.lit(1.0))).first()[0]
-        c_ids = candidates["id"].to_numpy()
-        c_scores = np.round(q_unit @ unit_rows(candidates["embedding"]).T, DIGITS)
-        shared = sc.broadcast((q_unit, c_ids, c_scores))
-
-        def before(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            unit, ids_c, scores_c = shared.value
-            counts = np.zeros(scores_c.shape, dtype="int64")
-            for batch in batches:
-                if not len(batch):
-                    continue
-                ids = batch["id"].to_numpy()
-                scores = np.round(unit @ unit_rows(batch["embedding"]).T, DIGITS)
-                all_ids = np.concatenate([ids_c, ids])
-                is_row = np.concatenate([np.zeros(len(ids_c), "int64"), np.ones(len(ids), "int64")])
-                for q in range(len(unit)):
-                    order = np.lexsort((is_row, all_ids, -np.concatenate([scores_c[q], scores[q]])))
-                    ahead = np.cumsum(is_row[order])
-                    at = np.empty(len(order), "int64")
-                    at[order] = ahead
-                    counts[q] += at[: len(ids_c)]
-            q, c = np.indices(counts.shape)
-            yield pd.DataFrame({"q": q.ravel(), "c": c.ravel(), "n": counts.ravel()})
-
-        tallies = corpus.mapInPandas(before, "q long, c long, n long").groupBy("q", "c").agg(F.sum("n").alias("n")).toPandas()
-        weight = c_scores[tallies["q"], tallies["c"]] if by_score else np.ones(len(tallies))
-        fused = pd.DataFrame({"id": c_ids[tallies["c"]], "fused": weight / (tallies["n"].to_numpy() + 1 + fusion_k)})
-        fused = fused.groupby("id", as_index=False)["fused"].sum()
-        fused = fused.assign(key=-fused["fused"].round(12)).sort_values(["key", "id"]).head(top_k)
-        bound = (floor or 0.0) / (depth + 1 + fusion_k)
-        if depth >= total or (len(fused) == top_k and fused["fused"].iloc[-1] > bound):
-            break
-        depth = min(total, depth * 2)
-    out = [(row.id, float(row.fused), i + 1) for i, row in enumerate(fused.itertuples())]
-    return corpus.sparkSession.createDataFrame(out, f"id {corpus.schema['id'].dataType.simpleString()}, fused double, rank int")
+        last = best.agg(F.count("*").alias("n"), F.min("fused").alias("least")).first()
+        if last["n"] < top_k or last["least"] <= 0:
+            depth = total
+        elif last["least"] > floor / (depth + 1 + fusion_k):
+            return best
+        else:  # a row below depth d gets floor / (d + 1 + fusion_k) at most, and the least of the top only grows
+            depth = min(total, max(depth + 1, ceil(floor / last["least"]) - fusion_k))
+
+
+#: Bytes of one candidate's score and id in a list of ranges.
+MARK_BYTES = 32
+
+
+def _candidate_ranks(marks: DataFrame, scored: DataFrame) -> DataFrame:
+    """Marks (query_id, id, score) with their place among all scored rows, by falling score and then id."""
+    at = F.struct((-F.col("score")).alias("down"), "id")
+    lists = marks.groupBy("query_id").agg(F.array_sort(F.collect_list(at)).alias("_marks"))  # a query's candidates, bounded by the caller
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.shiftright(state["lo"] + state["hi"], 1)
+        before = F.get("_marks", middle) <= F.col("_at")
+        return F.when(state["lo"] >= state["hi"], state).otherwise(F.struct(
+            F.when(before, middle + 1).otherwise(state["lo"]).alias("lo"), F.when(before, state["hi"]).otherwise(middle).alias("hi")))
+
+    size = F.size("_marks")
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(size + 1)).cast("int"))
+    passed = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), size.alias("hi")), halve)["lo"]  # marks that do not come after the row
+    counts = (scored.select("query_id", at.alias("_at")).join(F.broadcast(lists), "query_id")
+              .groupBy("query_id", passed.alias("_range")).agg(F.count("*").alias("_n")))
+    own = lists.select("query_id", F.posexplode("_marks").alias("_range", "_at"))
+    both = counts.select("query_id", "_range", "_n", F.lit(None).alias("_at")).unionByName(own.withColumn("_n", F.lit(0).cast("bigint")))
+    so_far = Window.partitionBy("query_id").orderBy("_range").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = both.withColumn("_before", F.sum("_n").over(so_far)).filter("_at IS NOT NULL")  # rows of all ranges up to the mark's
+    return summed.select("query_id", "_at.id", (-F.col("_at.down")).alias("score"), (F.col("_before") + 1).alias("place"))
+
+
+def _listed(fused: DataFrame, top_k: int) -> DataFrame:
+    """The best ``top_k`` rows with their rank."""
+    best = fused.orderBy(F.desc(F.round("fused", 12)), "id").limit(top_k)
+    listed = best.agg(F.array_sort(F.collect_list(F.struct((-F.round("fused", 12)).alias("_key"), "id", "fused"))).alias("_b"))  # top_k rows
+    return listed.select(F.posexplode("_b").alias("_pos", "_r")).select("_r.id", "_r.fused", (F.col("_pos") + 1).cast("int").alias("rank"))
 
 
 def _ranked_fusion(queries: DataFrame, corpus: DataFrame, top_k: int, by_score: bool, fusion_k: int) -> DataFrame:
@@ -279,6 +289,4 @@ def _ranked_fusion(queries: DataFrame, corpus: DataFrame, top_k: int, by_score:
     ranked = number_rows(scored, ["query_id"], slices, ["_down", "id"], name="place")
     weight = F.col("score") if by_score else F.lit(1.0)
     fused = ranked.groupBy("id").agg(F.sum(weight / (F.col("place") + fusion_k)).alias("fused"))
-    best = fused.orderBy(F.desc(F.round("fused", 12)), "id").limit(top_k)
-    listed = best.agg(F.array_sort(F.collect_list(F.struct((-F.round("fused", 12)).alias("_key"), "id", "fused"))).alias("_b"))  # top_k rows
-    return listed.select(F.posexplode("_b").alias("_pos", "_r")).select("_r.id", "_r.fused", (F.col("_pos") + 1).cast("int").alias("rank"))
+    return _listed(fused, top_k)
