@@ -1,4 +1,4 @@
-"""Corpus graph: keyword, author and similarity edges, statistics, PageRank, shortest paths."""
+"""Corpus graph: keyword, author and similarity edges, statistics, PageRank."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import fixed_values as V
 from ..session import cut_lineage, drop_round, write_round
 from .grouping import top_k_per
+from .paths import path_between, shortest_paths  # noqa: F401  (part of the graph's interface)
 from .retrieval import tokens
 
 
@@ -114,40 +115,6 @@ def top_ranked(ranks: DataFrame, nodes: DataFrame, top: int = 20) -> DataFrame:
     return ordered.orderBy(F.desc("rank"), "id").limit(top)
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Least total weight from each source to every node it reaches (source, node, distance, path).
-
-    Only nodes whose distance fell in the last round are extended; the loop ends when none did."""
-    best = cut_lineage(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("distance"),
-                                      F.array("id").alias("path")).distinct())
-    links = cut_lineage(edges.groupBy(F.col("src").alias("node"), "dst").agg(F.min("weight").alias("weight")))
-    frontier = best
-    while True:
-        steps = frontier.join(links, "node").select(
-            "source", F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"),
-            F.concat("path", F.array("dst")).alias("path"))
-        shortest = steps.groupBy("source", "node").agg(F.min(F.struct("distance", "path")).alias("_s")).select(
-            "source", "node", F.col("_s.distance").alias("distance"), F.col("_s.path").alias("path"))
-        known = best.select("source", "node", F.col("distance").alias("_known"))
-        frontier = cut_lineage(shortest.join(known, ["source", "node"], "left").filter(
-            F.col("_known").isNull() | (F.col("distance") < F.col("_known"))).drop("_known"))
-        if frontier.isEmpty():
-            break
-        kept = best.join(frontier.select("source", "node"), ["source", "node"], "left_anti")
-        best = cut_lineage(kept.unionByName(frontier))
-    return best
-
-
-def path_between(edges: DataFrame, nodes: DataFrame, start: str, end: str) -> DataFrame:
-    """Shortest path between two labels, as labels and length; no row when there is none."""
-    source = nodes.filter(F.col("label") == start).select("id")
-    target = nodes.filter(F.col("label") == end).select(F.col("id").alias("node"))
-    found = shortest_paths(edges, source).join(target, "node")
-    steps = found.select("source", "distance", F.posexplode("path").alias("pos", "id")).join(nodes.select("id", "label"), "id")
-    return steps.groupBy("source", "distance").agg(F.array_sort(F.collect_list(F.struct("pos", "label"))).alias("_p")).select(
-        "distance", F.col("_p.label").alias("path"))
-
-
 def related_documents(edges: DataFrame, k: int = 5) -> DataFrame:
     """Strongest document neighbours of each document, read in both directions (document, related, weight, rank)."""
     alike = edges.filter(F.col("rel") == "SIMILAR_TO")
