@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import fixed_values as V
-from ..operators import components, entities, graph, reports, similar_texts, topics, vector_search
+from ..operators import components, entities, graph, paths, reports, similar_texts, topics, vector_search
 from ..operators.grouping import concat_ordered
 from ..session import cut_lineage
 from ..sources import tables as table_sources
@@ -134,7 +134,43 @@ def _(t: Tables):
 def _(t: Tables):
     edges = trade_edges(t)
     start = edges.filter("src = '0'").select(F.col("src").alias("id")).distinct()
-    return rounded(graph.shortest_paths(edges, start).select("node", "distance"), "distance", digits=4)
+    return rounded(paths.shortest_paths(edges, start).select("node", "distance"), "distance", digits=4)
+
+
+#: Lightest ways as recursion: all nodes with distance, links and node before, until a round changes none.
+PART_PATH_SQL = """WITH RECURSIVE l AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst, l_quantity AS w FROM lineitem),
+  e AS (SELECT src, dst, min(w)::DOUBLE AS w FROM l WHERE src <> dst GROUP BY ALL),
+  n AS (SELECT min(id) AS a, max(id) AS b FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)),
+  r(k, id, s, changed) AS (SELECT 0, a, {'d': 0.0::DOUBLE, 'h': 0::BIGINT, 'p': -1::BIGINT}, true FROM n UNION ALL
+    SELECT k, id, s, changed FROM (SELECT k, id, s, changed, bool_or(changed) OVER () AS any_changed FROM (
+      SELECT k + 1 AS k, id, min(s) AS s, count(*) FILTER (own) = 0 OR min(s) < min(s) FILTER (own) AS changed FROM (
+        SELECT k, id, s, true AS own FROM r UNION ALL SELECT k, dst, {'d': s.d + w, 'h': s.h + 1, 'p': src::BIGINT}, false FROM r JOIN e ON src = id) GROUP BY k, id)) WHERE any_changed),
+  f AS (SELECT id, s.d AS d, s.h AS h, s.p AS p FROM r WHERE k = (SELECT max(k) FROM r))"""
+
+
+def part_links(t: Tables) -> DataFrame:
+    """Part to next part of the same order, weighted by the least quantity."""
+    in_order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    pairs = t.lineitem.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(in_order).alias("dst"), F.col("l_quantity").alias("weight"))
+    return pairs.filter("src <> dst").groupBy("src", "dst").agg(F.min("weight").cast("double").alias("weight"))
+
+
+@query("g6_part_distances", f"{PART_PATH_SQL} SELECT id AS node, d AS distance, h AS hops, CASE WHEN p >= 0 THEN p END AS previous FROM f")
+def _(t: Tables):
+    links = cut_lineage(part_links(t))
+    first = links.agg(F.least(F.min("src"), F.min("dst")).alias("id"))
+    return paths.shortest_paths(links, first).select("node", "distance", "hops", "previous")
+
+
+@query("g6_path_between", f"""{PART_PATH_SQL}, way(id, d, h, p) AS (SELECT f.* FROM f JOIN n ON f.id = n.b UNION ALL SELECT f.* FROM way JOIN f ON f.id = way.p)
+  SELECT h AS position, 'part-' || id AS label, d AS distance FROM way""")
+def _(t: Tables):
+    """The way from the part with the least key to that with the greatest, node by node."""
+    links = cut_lineage(part_links(t))
+    nodes = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct().select(
+        "id", F.concat(F.lit("part-"), F.col("id").cast("string")).alias("label"))
+    ends = nodes.agg(F.min_by("label", "id"), F.max_by("label", "id")).first()
+    return paths.steps_between(links, nodes, ends[0], ends[1]).select("position", "label", "distance")
 
 
 def vendor_names(t: Tables) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..functions.text import query_keywords
-from ..operators import evaluation, keyword_index, retrieval, search, vector_search
+from ..operators import evaluation, keyword_index, retrieval, search, vector_buckets, vector_search
 from ..operators.grouping import top_k_per
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, cut_lineage
 from ..sources import vector_store
 from .queries_ledger import rounded, sql_list
 from .queries_text import sql_map
@@ -82,6 +82,14 @@ def with_copies(t: Tables) -> DataFrame:
     return own.unionByName(near).unionByName(equal)
 
 
+def with_changed(t: Tables) -> DataFrame:
+    """The vectors, each five times more with a first entry that moves away step by step."""
+    own = vectors(t).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    steps = own.select("id", "embedding", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k"))
+    moved = F.transform("embedding", lambda x, i: F.when(i == 0, x + F.lit(0.2) * F.col("k")).otherwise(x))
+    return own.unionByName(steps.select((F.col("id") + 1_000_000 * F.col("k")).alias("id"), moved.alias("embedding")))
+
+
 @query("j9_similar_pairs", """WITH own AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
   every AS (SELECT * FROM own UNION ALL SELECT id + 1000000, list_concat([v[1] + 0.05::DOUBLE], v[2:]) FROM own WHERE id % 5 = 0
     UNION ALL SELECT id + k, v FROM own, (VALUES (2000000), (3000000)) c(k) WHERE id % 7 = 0)
@@ -425,3 +433,19 @@ def _(t: Tables):
 @query("g3_similarity_edges", f"WITH {PAIRS} SELECT id_a, id_b, round(score, 6) AS score FROM pairs WHERE score > 0.35::DOUBLE")
 def _(t: Tables):
     return rounded(vector_search.similar_pairs(vectors(t).select("id", "embedding"), above=0.35, rows=200), "score")
+
+
+@query("g3_bucketed_edges")
+def _(t: Tables):
+    return rounded(vector_buckets.bucketed_pairs(with_changed(t), above=0.85)[0], "score")
+
+
+@query("g3_bucketed_recall", """WITH own AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings),
+  every AS (SELECT * FROM own UNION ALL SELECT id + 1000000 * k, list_concat([v[1] + 0.2::DOUBLE * k], v[2:]) FROM own, range(1, 6) r(k)),
+  one AS (SELECT min(id) AS id, v FROM every GROUP BY v HAVING len(list_filter(v, lambda x: x <> 0)) > 0)
+  SELECT count(*) AS links, 0 AS wrong, true AS reached FROM one a JOIN one b ON a.id < b.id WHERE round(list_cosine_similarity(a.v, b.v), 9) > 0.85::DOUBLE""")
+def _(t: Tables):
+    """Links of the exact join, those of the buckets that are none, and whether they hold at least 0.9 of them."""
+    vecs = cut_lineage(with_changed(t))
+    rate = vector_buckets.recall(vector_buckets.bucketed_pairs(vecs, above=0.85, rows=16)[0], vector_search.similar_classes(vecs, above=0.85)[0])
+    return rate.select("links", F.col("wrong").cast("int").alias("wrong"), (F.col("recall") >= 0.9).alias("reached"))
