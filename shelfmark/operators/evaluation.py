@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .. import fixed_values as V
 from ..functions.naming import paths_match
 from ..functions.scoring import any_word
 from ..session import cut_lineage
@@ -78,6 +79,12 @@ def keyword_precision(hits: DataFrame, expected: DataFrame, k: int = 5) -> DataF
         "query_id", F.coalesce("precision", F.lit(0.0)).alias("precision"))
 
 
+def precision_summary(precision: DataFrame, least: float = V.PLAUSIBLE_PRECISION) -> DataFrame:
+    """Number of queries, their mean precision (null without queries) and whether it is plausible."""
+    mean = F.avg("precision")
+    return precision.agg(F.count("*").alias("queries"), mean.alias("mean_precision"), (mean >= least).alias("plausible"))
+
+
 def ranking_quality(hits: DataFrame, judgements: DataFrame, k: int = 10) -> DataFrame:
     """Precision, recall, reciprocal rank and NDCG of each judged query. ``hits`` hold query_id, id and
     rank; ``judgements`` query_id and id."""

@@ -115,6 +115,12 @@ def top_ranked(ranks: DataFrame, nodes: DataFrame, top: int = 20) -> DataFrame:
     return ordered.orderBy(F.desc("rank"), "id").limit(top)
 
 
+def ranked_by_kind(ranks: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = ("document", "keyword"), top: int = 20, per_kind: int = 10) -> DataFrame:
+    """The best nodes of all, split by type (type, position, label, rank): at most ``per_kind`` of each kind asked for."""
+    best = top_ranked(ranks, nodes, top).filter(F.col("type").isin(*kinds))
+    return top_k_per(best, ["type"], [F.desc("rank"), F.col("id")], per_kind, "position").select("type", "position", "label", "rank")
+
+
 def related_documents(edges: DataFrame, k: int = 5) -> DataFrame:
     """Strongest document neighbours of each document, read in both directions (document, related, weight, rank)."""
     alike = edges.filter(F.col("rel") == "SIMILAR_TO")

@@ -83,6 +83,17 @@ def merge_by_url(results: DataFrame, url: str = "url", position: str = "position
     return merged.unionByName(alone)
 
 
+def evidence_by_url(results: DataFrame, url: str = "url", position: str = "position", evidence: str = "evidence") -> DataFrame:
+    """Evidence of merged results: the distinct entries of all results of a URL, each with the place it was first seen at (url, entry,
+    first_position, first_index; reading a URL's rows in that order gives the union). One row per entry, so a URL may have any number.
+    A result without URL stands alone and keeps its own entries; null entries and null arrays give no row."""
+    own = F.when(F.coalesce(F.col(url), F.lit("")) == "", F.col(position))
+    entries = results.select(F.nullif(F.col(url), F.lit("")).alias("url"), F.col(position).alias("_position"), own.alias("_own"),
+                             F.posexplode(evidence).alias("_index", "entry")).filter("entry IS NOT NULL")
+    seen = entries.groupBy("url", "_own", "entry").agg(F.min(F.struct("_position", "_index")).alias("_first"))
+    return seen.select("url", "entry", F.col("_first._position").alias("first_position"), F.col("_first._index").alias("first_index"))
+
+
 def merge_by_id(results: DataFrame, key: str, position: str) -> DataFrame:
     """One row per id: its first position, the values of its last occurrence."""
     row = F.struct(*[F.col(c) for c in results.columns if c != position])

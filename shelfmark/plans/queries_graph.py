@@ -119,12 +119,32 @@ def _(t: Tables):
     return rounded(graph.pagerank(nodes, edges), "rank", digits=9)
 
 
-@query("g5_pagerank_corpus")
-def _(t: Tables):
+CORPUS_RANKS = f"""WITH RECURSIVE {EDGES.replace('edges AS (', 'links AS (')},
+  named AS (SELECT md5('document:' || src) AS src, md5(CASE rel WHEN 'HAS_AUTHOR' THEN 'author' WHEN 'MENTIONS' THEN 'keyword' ELSE 'document' END || ':' || dst) AS dst, dst AS label,
+    CASE rel WHEN 'HAS_AUTHOR' THEN 'author' WHEN 'MENTIONS' THEN 'keyword' ELSE 'document' END AS type FROM links),
+  kinds AS (SELECT md5('document:' || label) AS id, label, 'document' AS type FROM names UNION SELECT dst, label, type FROM named), e AS (SELECT src, dst FROM named),
+  {PAGERANK_SQL.replace('UNION SELECT dst FROM e)', 'UNION SELECT dst FROM e UNION SELECT id FROM kinds)')},
+  best AS (SELECT id, round(rank, 12) AS rank, label, type FROM r JOIN kinds USING (id) WHERE k = (SELECT max(k) FROM r) ORDER BY 2 DESC, id LIMIT 20)"""
+
+
+def corpus_ranks(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """PageRank of the corpus graph and its nodes."""
     docs, edges = graph_parts(t)
     edges = cut_lineage(edges)
     nodes = cut_lineage(graph.build_nodes(docs, edges))
-    return graph.top_ranked(graph.pagerank(nodes, edges.select("src", "dst")), nodes)
+    return graph.pagerank(nodes, edges.select("src", "dst")), nodes
+
+
+@query("g5_pagerank_corpus", f"{CORPUS_RANKS} SELECT id, round(rank, 9) AS rank, label, type FROM best")
+def _(t: Tables):
+    return rounded(graph.top_ranked(*corpus_ranks(t)), "rank", digits=9)
+
+
+@query("g5_ranked_by_kind", f"""{CORPUS_RANKS} SELECT type, row_number() OVER (PARTITION BY type ORDER BY rank DESC, id) AS position, label, round(rank, 9) AS rank FROM best
+  WHERE type IN ('document', 'keyword') QUALIFY position <= 10""")
+def _(t: Tables):
+    """The twenty best nodes of the corpus graph, documents and keywords apart."""
+    return rounded(graph.ranked_by_kind(*corpus_ranks(t)), "rank", digits=9)
 
 
 @query("g6_shortest_paths", """WITH RECURSIVE e AS (SELECT c_nationkey::VARCHAR AS src, s_nationkey::VARCHAR AS dst, avg(l_extendedprice) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey
@@ -132,7 +152,7 @@ def _(t: Tables):
   d(hops, node, distance) AS (SELECT 0, '0', 0.0::DOUBLE UNION ALL SELECT hops + 1, dst, min(distance + weight) FROM d JOIN e ON src = node WHERE hops < 6 GROUP BY hops, dst)
   SELECT node, round(min(distance), 4) AS distance FROM d GROUP BY node""")
 def _(t: Tables):
-    edges = trade_edges(t)
+    edges = cut_lineage(trade_edges(t))
     start = edges.filter("src = '0'").select(F.col("src").alias("id")).distinct()
     return rounded(paths.shortest_paths(edges, start).select("node", "distance"), "distance", digits=4)
 

@@ -330,6 +330,32 @@ def _(t: Tables):
     return rounded(evaluation.keyword_precision(keyword_hits(t, 5).join(documents(t), "id"), expected), "precision")
 
 
+SEMANTIC_PRECISION = f"""{EXPECTED_WORDS}, s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS score
+    FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id, embeddings e), top AS (SELECT query_id, id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5),
+  h AS (SELECT query_id, len(list_filter(words, lambda x: contains('doc_' || id || '.txt ' || lower(coalesce(text, '')), x))) > 0 AS good FROM top JOIN words USING (query_id) JOIN documents ON doc_id = id),
+  p AS (SELECT w.query_id, coalesce((SELECT count(*) FILTER (good) FROM h WHERE h.query_id = w.query_id), 0) / 5.0::DOUBLE AS precision FROM words w)"""
+
+
+def semantic_precision(t: Tables) -> DataFrame:
+    """Precision of the five nearest documents of each question, found by vector and judged by file name and text."""
+    asked = t.benchmark.select(F.col("item_id").alias("vec_id")).join(t.embeddings, "vec_id").select(F.col("vec_id").alias("query_id"), "embedding")
+    hits = vector_search.search(asked, vectors(t), k=5)
+    name = F.concat(F.lit("doc_"), F.col("id").cast("string"), F.lit(".txt"))
+    named = hits.join(documents(t), "id").select("query_id", "rank", F.concat_ws(" ", name, "text").alias("text"))
+    expected = questions(t).select("query_id", F.slice(query_keywords(F.col("query")), 1, 3).alias("words"))
+    return evaluation.keyword_precision(named, expected)
+
+
+@query("e2_semantic_precision", f"WITH {SEMANTIC_PRECISION} SELECT query_id, round(precision, 6) AS precision FROM p")
+def _(t: Tables):
+    return rounded(semantic_precision(t), "precision")
+
+
+@query("e2_semantic_summary", f"WITH {SEMANTIC_PRECISION} SELECT count(*) AS queries, round(avg(precision), 6) AS mean_precision, avg(precision) >= {V.PLAUSIBLE_PRECISION}::DOUBLE AS plausible FROM p")
+def _(t: Tables):
+    return rounded(evaluation.precision_summary(semantic_precision(t)), "mean_precision")
+
+
 @query("e3_ranking_quality", f"""WITH {SCORED}, j AS (SELECT label AS query_id, vec_id AS id FROM embeddings), n AS (SELECT query_id, count(*) AS expected FROM j GROUP BY 1),
   g AS (SELECT r.query_id, count(*) AS found, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM ranked r JOIN j USING (query_id, id) WHERE rank <= 10 GROUP BY 1)
   SELECT query_id, round(coalesce(found, 0) / 10.0, 6)::DOUBLE AS precision, round(coalesce(found, 0) / expected::DOUBLE, 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS reciprocal_rank,

@@ -658,6 +658,15 @@ def _(t: Tables):
     return search.merge_by_url(t.pages.select(F.col("page_id").alias("position"), url.alias("url"), F.col("html").alias("content")))
 
 
+@query("w3_merge_evidence", f"""WITH {HOSTS}, e AS (SELECT url, position, CASE WHEN url IS NULL THEN position END AS own, i, [position % 5, length(content) % 3][i + 1] AS page FROM hits, (VALUES (0), (1)) v(i))
+  SELECT url, page, position AS first_position, i AS first_index FROM e QUALIFY row_number() OVER (PARTITION BY url, own, page ORDER BY position, i) = 1""")
+def _(t: Tables):
+    url = F.when(~F.col("url").contains(".html"), F.split_part("url", F.lit("/"), F.lit(3)))
+    page = [F.struct((n % F.lit(m)).cast("int").alias("page")) for n, m in ((F.col("page_id"), 5), (F.length("html"), 3))]
+    hits = t.pages.select(F.col("page_id").alias("position"), url.alias("url"), F.array(*page).alias("evidence"))
+    return search.evidence_by_url(hits).select("url", "entry.page", "first_position", "first_index")
+
+
 @query("w4_merge_by_id", f"""WITH {HOSTS} SELECT url, min(position) AS position, arg_max(content, position) AS content FROM hits WHERE url IS NOT NULL GROUP BY url""")
 def _(t: Tables):
     url = F.when(~F.col("url").contains(".html"), F.split_part("url", F.lit("/"), F.lit(3)))

@@ -75,3 +75,21 @@ def test_no_edges(spark):
     got = paths.shortest_paths(edges, spark.createDataFrame([(1,), (None,)], "id long")).collect()
     assert [tuple(r) for r in got] == [(1, 1, 0.0, 0, None)]
     assert [tuple(r) for r in paths.path_steps(paths.shortest_paths(edges, spark.createDataFrame([(1,)], "id long")), spark.createDataFrame([(1, 1), (1, 2)], "source long, node long")).collect()] == [(1, 1, 0, 1)]
+
+
+def test_ranked_by_kind(spark):
+    from shelfmark.operators import graph
+
+    nodes = spark.createDataFrame([(f"n{i:02}", f"l{i}", ("document", "keyword", "author")[i % 3]) for i in range(60)], "id string, label string, type string")
+    ranks = spark.createDataFrame([(f"n{i:02}", 1.0 - i // 2 / 100) for i in range(60)], "id string, rank double")
+    got = sorted(tuple(r) for r in graph.ranked_by_kind(ranks, nodes, per_kind=5).collect())
+    assert got == [(kind, p + 1, f"l{3 * p + k}", 1.0 - (3 * p + k) // 2 / 100) for k, kind in enumerate(("document", "keyword")) for p in range(5)]
+
+
+def test_evidence_by_url(spark):
+    from shelfmark.operators import search
+
+    rows = [("u", 1, [(3,), None, (4,)]), ("u", 0, [(4,)]), (None, 2, [(4,), (4,)]), ("", 3, [(4,)]), ("v", 4, None), ("w", 5, [])]
+    df = spark.createDataFrame(rows, "url string, position int, evidence array<struct<page:int>>")
+    got = sorted((r.first_position, r.first_index, r.url, r.entry.page) for r in search.evidence_by_url(df).collect())
+    assert got == [(0, 0, "u", 4), (1, 0, "u", 3), (2, 0, None, 4), (3, 0, None, 4)]
