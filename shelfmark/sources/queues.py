@@ -15,6 +15,11 @@ def read_table_stream(spark: SparkSession, folder: str, schema: T.StructType, pa
     return (spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_batch).parquet(folder))
 
 
+def table_path(folder: str, name: str) -> str:
+    """Pattern that only a table's path matches, be it one file or a folder of them: a stream takes no plain path of a file."""
+    return f"{folder.rstrip('/')}/{name}.[p]arquet"
+
+
 def read_job_stream(spark: SparkSession, folder: str, per_batch: int = 1000) -> DataFrame:
     """Job messages, one JSON text per line (column value)."""
     return spark.readStream.option("maxFilesPerTrigger", per_batch).text(folder)

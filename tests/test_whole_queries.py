@@ -62,3 +62,13 @@ def test_catalog_profile_covers_every_table(spark):
     rows = QUERIES["s7_catalog_profile"](spark, SF).collect()
     assert {f"{r.table_name}.parquet" for r in rows} == set(os.listdir(SF))
     assert {r.table_name: r["columns"] for r in rows}["documents"].startswith("doc_id:bigint,text:string")
+
+
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    """A table may be a folder of files; each of its rows is read once."""
+    for name in ("documents", "labels", "conversations", "events"):
+        table = spark.read.parquet(f"{SF}/{name}.parquet")
+        table.repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for query in ("s17_queue_batches", "st1_route_jobs", "st2_extract_handoff", "st8_pattern_counts", "st9_drain_to_index", "st3_once_per_job"):
+        one, many = (QUERIES[query](spark, d).collect() for d in (SF, str(tmp_path)))
+        assert one and sorted(map(str, one)) == sorted(map(str, many)), query
