@@ -35,6 +35,23 @@ def test_similar_pairs_exact(vectors, rows):
     assert got == {(a, b) for a, b in itertools.combinations(range(320), 2) if round(cos(table[a], table[b]), 9) > 0.85}
 
 
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_similar_links_exact(spark, vectors, monkeypatch, blocks):
+    """Links of each vector, copies counted; null and zero vectors have none. Only counts leave the tasks."""
+    monkeypatch.setattr(vector_search, "grid_blocks", lambda count, dim: blocks)
+    monkeypatch.setattr(vector_search, "SLICE_CELLS", 500)
+    df, table = vectors
+    df = df.unionByName(spark.createDataFrame([(401, None), (402, None)], df.schema))
+    got = {r.id: (r.class_id, r.links) for r in vector_search.similar_links(df, above=0.3).collect()}
+    near = {a: sum(round(cos(table[a], table[b]), 9) > 0.3 for b in table if b != a) for a in table}
+    first = {a: min(b for b in table if (table[b] == table[a]).all()) for a in table}
+    assert got == {**{a: (first[a], near[a]) for a in table}, 401: (401, 0), 402: (402, 0)}
+
+
+def test_grid_sends_each_vector_a_bounded_number_of_times():
+    assert [vector_search.grid_blocks(n, 64) for n in (1, 2000, 100_000, 600_000)] == [1, 2, 16, 16]
+
+
 @pytest.mark.parametrize("block", [False, True])
 def test_search_exact(vectors, monkeypatch, block):
     df, table = vectors
