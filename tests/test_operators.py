@@ -48,6 +48,18 @@ def test_similar_links_exact(spark, vectors, monkeypatch, blocks):
     assert got == {**{a: (first[a], near[a]) for a in table}, 401: (401, 0), 402: (402, 0)}
 
 
+def test_similar_pairs_take_the_grid_where_bounds_exclude_little(vectors, monkeypatch):
+    """At a low threshold pivots would send a vector to most cells; the grid finds the same pairs."""
+    taken = []
+    grid = vector_search._grid_pairs
+    monkeypatch.setattr(vector_search, "_grid_pairs", lambda reps, above, blocks: taken.append(blocks) or grid(reps, above, 3))
+    monkeypatch.setattr(vector_search, "SLICE_CELLS", 500)
+    df, table = vectors
+    got = [(r.id_a, r.id_b) for r in vector_search.similar_pairs(df, above=0.1, rows=16).collect()]
+    assert taken and len(got) == len(set(got))
+    assert set(got) == {(a, b) for a, b in itertools.combinations(range(320), 2) if round(cos(table[a], table[b]), 9) > 0.1}
+
+
 def test_grid_sends_each_vector_a_bounded_number_of_times():
     assert [vector_search.grid_blocks(n, 64) for n in (1, 2000, 100_000, 600_000)] == [1, 2, 16, 16]
 
