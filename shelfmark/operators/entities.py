@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from math import ceil, floor
+from collections.abc import Iterator
+from itertools import combinations
+from math import ceil, comb, floor
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
@@ -42,41 +45,80 @@ def _with_deletions(word: Column) -> Column:
     return F.concat(F.array(word), F.transform(at, lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1))))
 
 
+#: Spellings a name may have as join keys, and the length up to which they are tried.
+SPELLINGS, SPELT_LENGTH = 2000, 40
+NAMES_AT_ONCE = 500
+
+
+def _kept_lengths(ratio: float, longest: int) -> dict[int, list[int]]:
+    """For each length of a name, lengths of the common subsequences that it must have with similar names of up to ``longest`` characters."""
+    kept: dict[int, set[int]] = {}
+    for m in range(1, longest + 1):
+        for n in range(1, longest + 1):
+            if 2 * min(m, n) >= ratio * (m + n) - EPS:
+                kept.setdefault(m, set()).add(ceil(ratio * (m + n) / 2 - EPS))
+    return {m: sorted(sizes) for m, sizes in kept.items()}
+
+
+def _spelt_up_to(ratio: float) -> int:
+    """Length up to which names meet by spellings: few of them a name, but all names too short for the piece bound."""
+    longest = _short_bounds(ratio)[0]
+    while longest < SPELT_LENGTH and max(sum(comb(m - 1, c - 1) for c in sizes) for m, sizes in _kept_lengths(ratio, longest + 1).items()) <= SPELLINGS:
+        longest += 1
+    return longest
+
+
 def similar_names(names: DataFrame, ratio: float = V.ENTITY_RATIO, column: str = "name") -> DataFrame:
     """Pairs of distinct names with equal first letter and similarity of at least ``ratio`` (a < b).
 
-    Candidates come from an exact prefix filter: a ratio r over lengths m and n leaves at most
-    (1-r)(m+n) unmatched characters, so at least r(m+n)/2 - (1-r)(m+n) - 1 two-character pieces are
-    shared, and two names must then share one of the rarest pieces of each. Names too short for this
-    bound are compared through their spellings with one character left out. The join keys are rare by
-    choice; keys that are hot nevertheless are split by adaptive execution."""
-    share = _gram_share(ratio)
-    short_limit, gap = _short_bounds(ratio)
+    Candidates come from two exact filters. Matched characters are a common subsequence, which may begin with the equal first letter, so two names of lengths m and n
+    share a spelling of r(m+n)/2 characters, rounded up, that leaves out some of the others. Names of up to 16 letters (at 0.85) meet under these spellings,
+    which are nearly as rare as the pairs. Longer names meet each other, and those short ones that can match them, by a prefix filter: a ratio r leaves at most
+    (1-r)(m+n) unmatched characters, so at least r(m+n)/2 - (1-r)(m+n) - 1 two-character pieces are shared, and two names must then share one of the
+    rarest pieces of each. Keys that are hot nevertheless are split by adaptive execution."""
+    share, longest = _gram_share(ratio), _spelt_up_to(ratio)
+    kept = _kept_lengths(ratio, longest)
     plain = names.select(F.col(column).alias("name")).filter(F.length("name") > 0).distinct()
     keyed = plain.select("name", F.lower("name").alias("low"))
-    keyed = keyed.withColumn("block", F.substring("low", 1, 1)).withColumn("n", F.length("low"))
+    keyed = cut_lineage(keyed.withColumn("block", F.substring("low", 1, 1)).withColumn("n", F.length("low")))
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), NAMES_AT_ONCE):
+                part = batch.iloc[start:start + NAMES_AT_ONCE]
+                yield pd.DataFrame([(name, low, low[0] + "".join(rest)) for name, low in zip(part["name"], part["low"])
+                                    for c in kept[len(low)] for rest in set(combinations(low[1:], c - 1))], columns=["name", "low", "key"])
+
+    spelt = keyed.filter(F.col("n") <= longest).select("name", "low").mapInPandas(spell, "name string, low string, key string")
+    spelt_rows = cut_lineage(spelt.select("name", "low", F.length("low").alias("n"), F.length("key").alias("size"), F.xxhash64("key").alias("key")))
+
+    shortest = ceil((longest + 1) * ratio / (2 - ratio) - EPS)  # of those that can match a longer name
     need = F.floor(F.lit(share) * (F.col("n") + F.ceil(F.col("n") * (ratio / (2 - ratio)) - EPS)) - 1 - EPS)
-    gram_rows = keyed.select("name", "low", "block", "n", need.alias("need"), F.explode(_grams(F.col("low"))).alias("key"))
+    gram_rows = keyed.filter(F.col("n") >= shortest).select("name", "low", "block", "n", need.alias("need"), F.explode(_grams(F.col("low"))).alias("key"))
     frequency = gram_rows.groupBy("key").agg(F.count("*").alias("freq"))
     ordered = (gram_rows.join(frequency, "key").groupBy("name", "low", "block", "n", "need")
                .agg(F.array_sort(F.collect_list(F.struct("freq", "key"))).alias("sorted")))
-    long_ = ordered.filter("need >= 1").select(
+    long_ = ordered.select(
         "name", "low", "block", "n", F.explode(F.slice(F.col("sorted.key"), F.lit(1), (F.size("sorted") - F.col("need") + 1).cast("int"))).alias("key"))
-    keys = F.array("low")
-    for _ in range(gap):
-        keys = F.array_distinct(F.flatten(F.transform(keys, _with_deletions)))
-    short_rows = keyed.filter(F.col("n") <= short_limit).select("name", "low", "block", "n", F.explode(keys).alias("key"))
-
-    def meet(rows: DataFrame) -> DataFrame:
-        a = rows.select(F.col("name").alias("a"), F.col("low").alias("la"), "block", "key", F.col("n").alias("na"))
-        b = rows.select(F.col("name").alias("b"), F.col("low").alias("lb"), "block", "key", F.col("n").alias("nb"))
-        both = F.col("na") + F.col("nb")
-        close = 2 * F.least("na", "nb") >= ratio * both - EPS
+    both = F.col("na") + F.col("nb")
+
+    def side(rows: DataFrame, own: str, keys: list[str]) -> DataFrame:
+        return rows.select(F.col("name").alias(own), F.col("low").alias(f"l{own}"), F.col("n").alias(f"n{own}"), *keys)
+
+    def close(met: DataFrame) -> DataFrame:
         # matched characters are a common subsequence, so the edit distance is within the unmatched ones
         edits = F.levenshtein("la", "lb") <= (1 - ratio) * both + EPS
-        return a.join(b, ["block", "key"]).filter((F.col("a") < F.col("b")) & close & edits).select("a", "b", "la", "lb")
-
-    candidates = meet(long_).unionByName(meet(short_rows)).distinct()
+        return met.filter((2 * F.least("na", "nb") >= ratio * both - EPS) & edits).select("a", "b", "la", "lb")
+
+    under = ["size", "key"]
+    short_pairs = side(spelt_rows, "a", under).join(side(spelt_rows, "b", under), under).filter(
+        (F.col("a") < F.col("b")) & (F.ceil(F.lit(ratio) * both / 2 - EPS) == F.col("size")))
+    under = ["block", "key"]
+    far = side(long_.filter(F.col("n") > longest), "a", under).join(side(long_, "b", under), under)
+    ordered_pair = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "la", "lb")).otherwise(
+        F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("lb").alias("la"), F.col("la").alias("lb")))
+    long_pairs = close(far.filter(F.col("a") != F.col("b"))).select(ordered_pair.alias("p")).select("p.*")
+    candidates = cut_lineage(close(short_pairs).unionByName(long_pairs).distinct())
     return candidates.withColumn("ratio", matching_ratio("la", "lb")).filter(F.col("ratio") >= ratio).select("a", "b", "ratio")
 
 

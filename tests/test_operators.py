@@ -204,6 +204,27 @@ def test_fuzzy_names_and_merge_match_brute_force(spark):
     assert {r.name: r.leader for r in entities.merge_entities(df).collect()} == leader
 
 
+def test_names_around_the_length_of_spellings(spark):
+    """Names of common pieces, all with one first letter, on both sides of the length up to which they meet under spellings; a name has few of these."""
+    from math import comb
+
+    rng, names = random.Random(8), set()
+    while len(names) < 260:
+        w = list("E" + "".join(rng.choice(["ing", "tion", "sch", "er", "th", "o"]) for _ in range(rng.randint(1, 7))))
+        names.add("".join(w))
+        for _ in range(rng.randint(1, 4)):
+            w.pop(rng.randrange(1, len(w))) if rng.random() < 0.6 and len(w) > 2 else w.insert(rng.randrange(1, len(w) + 1), rng.choice("inge"))
+            names.add("".join(w))
+    for ratio in (0.8, 0.85, 0.9):
+        longest = entities._spelt_up_to(ratio)
+        kept = entities._kept_lengths(ratio, longest)
+        assert longest >= entities._short_bounds(ratio)[0] and all(sum(comb(m - 1, c - 1) for c in sizes) <= entities.SPELLINGS for m, sizes in kept.items())
+        want = {(a, b) for a, b in itertools.combinations(sorted(names), 2) if SequenceMatcher(None, a.lower(), b.lower()).ratio() >= ratio}
+        assert min(len(x) for p in want for x in p) <= longest < max(len(x) for p in want for x in p)
+        df = spark.createDataFrame([(n,) for n in names], "name string")
+        assert {(r.a, r.b) for r in entities.similar_names(df, ratio).collect()} == want
+
+
 def test_shortest_path_fixture(spark):
     steps = [("Review_A", "Project_X"), ("Project_X", "Budget"), ("Budget", "Finance_Dept"), ("Review_A", "Finance_Dept")]
     weights = [1.0, 1.0, 1.0, 5.0]
