@@ -2,7 +2,7 @@
 
 An index is a folder of batches. A batch holds the postings of its documents as blocks: one row for a term and a window of WINDOW consecutive ids, with the ids
 as distances from the window's start, the counts and the documents' lengths, and the block's highest count and least length. Blocks lie in folders by
-range of the term's hash, sorted by term and window. The batch's entry in ``batches`` is written last, so readers see a batch whole or not at all.
+the term's hash; the files of a folder hold some windows each, sorted by term and window. The batch's entry in ``batches`` is written last, so readers see a batch whole or not at all.
 
 A search reads the folders of its terms. The scores of each query's rarest terms give a score that its k best reach at least. Terms
 whose best blocks together stay below it cannot bring in a document, so their blocks are read only in windows that hold candidates, and a candidate
@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -24,8 +25,11 @@ from .retrieval import query_terms, tokens
 
 #: Ids of one block's window, and so the most postings of a block.
 WINDOW = 1024
-#: Postings of one folder, about.
-POSTINGS_A_PART = 4_000_000
+#: Postings of one folder, about. Each task that writes puts a file into every folder, so folders are large.
+POSTINGS_A_PART = 32_000_000
+#: Windows of one task that writes, about, and the most of these tasks.
+TASK_WINDOWS = 4
+MAX_TASKS = 240
 #: Postings per wanted hit from which the threshold is taken.
 SEED = 8
 ROUNDING = 1e-9
@@ -70,24 +74,27 @@ def add_batch(documents: DataFrame, path: str) -> None:
     refused like known ones. Null and blank texts count as documents without words."""
     spark = documents.sparkSession
     name = uuid.uuid4().hex
-    cut = documents.select(F.col("id").cast("bigint").alias("id"), F.coalesce(tokens(F.col("text")), F.array()).alias("_t")).select("id", "_t", F.size("_t").alias("len"))
+    keyed = documents.select(F.col("id").cast("bigint").alias("id"), "text").withColumn("window", F.floor(F.col("id") / WINDOW))
+    cut = keyed.select("id", "window", F.coalesce(tokens(F.col("text")), F.array()).alias("_t")).withColumn("len", F.size("_t"))
     lengths = f"{path}/documents/{name}"
     cut.select("id", "len").write.parquet(lengths)
     new = spark.read.parquet(lengths)
-    sums = new.agg(F.count("*").alias("n"), F.count("id").alias("ids"), F.count_distinct("id").alias("distinct"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")).first()
+    sums = new.agg(F.count("*").alias("n"), F.count("id").alias("ids"), F.count_distinct("id").alias("distinct"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"),
+                   F.count_distinct(F.floor(F.col("id") / WINDOW)).alias("windows")).first()
     known = [spark.read.parquet(f"{path}/documents/{b.name}").select("id") for b in _batches(spark, path)]
     if sums["distinct"] < sums["n"] or (known and not new.join(reduce(DataFrame.unionAll, known), "id", "left_semi").isEmpty()):
         drop_round(spark, lengths)
         raise ValueError("ids must be new, distinct and not null")
-    counted = cut.select("id", "len", F.explode(_term_counts(F.col("_t"))).alias("c")).select("id", "len", "c.term", "c.tf")
+    # the texts are dealt out by window, so that a window's blocks are made and written by one task and postings are never shuffled
+    whole = keyed.repartition(max(1, min(MAX_TASKS, ceil(sums["windows"] / TASK_WINDOWS))), "window")
+    counted = whole.select("window", "id", F.coalesce(tokens(F.col("text")), F.array()).alias("_t")).select(
+        "window", "id", F.size("_t").alias("len"), F.explode(_term_counts(F.col("_t"))).alias("c")).select("window", "id", "len", "c.term", "c.tf")
     place = F.struct(F.pmod(F.col("id"), F.lit(WINDOW)).cast("int").alias("offset"), "tf", "len")
-    blocks = counted.groupBy("term", F.floor(F.col("id") / WINDOW).alias("window")).agg(
-        F.sort_array(F.collect_list(place)).alias("p"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
+    blocks = counted.groupBy("window", "term").agg(F.sort_array(F.collect_list(place)).alias("p"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
     parts = max(1, sums["tokens"] // POSTINGS_A_PART)
     stored = blocks.select(_part(parts).alias("part"), "term", "window", F.size("p").alias("n"), "max_tf", "min_len",
                            F.col("p.offset").alias("offsets"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"))
-    order = ["part", "term", "window"]
-    stored.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("part").parquet(f"{path}/postings/{name}")
+    stored.sortWithinPartitions("part", "term", "window").write.partitionBy("part").parquet(f"{path}/postings/{name}")
     row = spark.createDataFrame([(name, sums["n"], sums["tokens"], parts)], "name string, documents bigint, tokens bigint, parts int")
     row.coalesce(1).write.mode("append").parquet(f"{path}/batches")
 

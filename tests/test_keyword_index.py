@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfmark.operators import keyword_index, retrieval
 from tests.test_queries import SF
@@ -59,3 +60,17 @@ def test_a_search_reads_no_documents(spark):
     QUERIES["rt2_bm25"](spark, SF).count()
     frame = QUERIES["rt2_bm25"](spark, SF)
     assert "documents.parquet" not in frame._jdf.queryExecution().toString()
+
+
+def test_postings_are_not_shuffled(spark, tmp_path):
+    """A window's blocks are made and written where its texts are, so they lie in one file a folder."""
+    docs = spark.range(40_000).selectExpr("id", "concat('w', id % 7, ' w', id % 11, ' common') AS text").repartition(8)
+    path, coalesce = str(tmp_path / "index"), "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        keyword_index.add_batch(docs, path)
+    finally:
+        spark.conf.set(coalesce, before)
+    files = spark.read.parquet(f"{path}/postings/*").select("window", F.input_file_name().alias("file"))
+    assert files.groupBy("window").agg(F.count_distinct("file").alias("n")).agg(F.max("n")).first()[0] == 1
