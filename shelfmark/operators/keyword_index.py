@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .. import fixed_values as V
 from ..session import drop_round, write_round
 from .grouping import top_k_per
-from .retrieval import query_terms, tokens
+from .retrieval import query_terms, term_counts, tokens
 
 #: Ids of one block's window, and so the most postings of a block.
 WINDOW = 1024
@@ -55,20 +55,6 @@ def _part(parts: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")
 
 
-def _term_counts(words: Column) -> Column:
-    """Array of (term, tf) of an array of words, without a shuffle: equal words stand together once sorted, and a count is the way to the next run."""
-    def bound(value: Column, use) -> Column:  # a lambda holds the value, so it is computed once
-        return F.get(F.transform(F.array(value), use), 0)
-
-    def counts(ordered: Column) -> Column:
-        places = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(F.array().cast("array<int>"))
-        starts = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-        return bound(starts, lambda b: F.transform(b, lambda i, k: F.struct(
-            F.get(ordered, i).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(ordered)) - i).alias("tf"))))
-
-    return bound(F.array_sort(words), counts)
-
-
 def add_batch(documents: DataFrame, path: str) -> None:
     """Add ``documents`` (id, a whole number, and text) to the index at ``path``, which need not exist. Ids must be new and differ; null ids are
     refused like known ones. Null and blank texts count as documents without words."""
@@ -88,7 +74,7 @@ def add_batch(documents: DataFrame, path: str) -> None:
     # the texts are dealt out by window, so that a window's blocks are made and written by one task and postings are never shuffled
     whole = keyed.repartition(max(1, min(MAX_TASKS, ceil(sums["windows"] / TASK_WINDOWS))), "window")
     counted = whole.select("window", "id", F.coalesce(tokens(F.col("text")), F.array()).alias("_t")).select(
-        "window", "id", F.size("_t").alias("len"), F.explode(_term_counts(F.col("_t"))).alias("c")).select("window", "id", "len", "c.term", "c.tf")
+        "window", "id", F.size("_t").alias("len"), F.explode(term_counts(F.col("_t"))).alias("c")).select("window", "id", "len", "c.term", "c.tf")
     place = F.struct(F.pmod(F.col("id"), F.lit(WINDOW)).cast("int").alias("offset"), "tf", "len")
     blocks = counted.groupBy("window", "term").agg(F.sort_array(F.collect_list(place)).alias("p"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
     parts = max(1, sums["tokens"] // POSTINGS_A_PART)

@@ -12,6 +12,8 @@ from .grouping import top_k_per
 
 TOKEN = V.WORD + "{2,}"
 SMALL_VOCABULARY = 1_000_000
+#: Postings that one task sums up, about.
+POSTINGS_A_TASK = 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -25,10 +27,24 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return exploded.filter(~F.col("term").isin(V.ENGLISH_STOPWORDS))
 
 
+def term_counts(words: Column) -> Column:
+    """Array of (term, tf) of an array of words, without a shuffle: equal words stand together once sorted, and a count is the way to the next run."""
+    def bound(value: Column, use) -> Column:  # a lambda holds the value, so it is computed once
+        return F.get(F.transform(F.array(value), use), 0)
+
+    def counts(ordered: Column) -> Column:
+        places = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return bound(starts, lambda b: F.transform(b, lambda i, k: F.struct(
+            F.get(ordered, i).alias("term"), (F.coalesce(F.get(b, k + 1), F.size(ordered)) - i).alias("tf"))))
+
+    return bound(F.array_sort(words), counts)
+
+
 def bm25(documents: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Best documents of each query by BM25. ``documents`` hold id and text, ``queries`` query_id and query.
 
-    Tokens that no query asks for are dropped before anything is shuffled."""
+    Words are counted inside tasks, and those that no query asks for are dropped, before anything is shuffled."""
     terms = cut_lineage(query_terms(queries))
     vocabulary = terms.select("term").distinct()
     small = terms.count() <= SMALL_VOCABULARY
@@ -38,9 +54,11 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     seen = Observation()
     cut = (documents.select("id", tokens(F.col("text")).alias("_t")).select("id", "_t", F.coalesce(F.size("_t"), F.lit(0)).alias("_len"))
            .observe(seen, F.count(F.lit(1)).alias("n"), F.avg("_len").alias("mean")))
-    asked = (cut.select("id", "_len", F.explode("_t").alias("term")).join(vocabulary, "term", "left_semi")
-             .groupBy("id", "_len", "term").agg(F.count("*").alias("tf")))
+    counted = cut.select("id", "_len", F.explode(term_counts(F.col("_t"))).alias("c")).select("id", "_len", "c.term", "c.tf")
+    asked = counted.join(vocabulary, "term", "left_semi")
     postings = cut_lineage(asked)
+    if small:  # a document's postings go to one task, which sums them up; tasks grow in number, not in size
+        postings = postings.repartition(max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), postings.count() // POSTINGS_A_TASK), "id")
     corpus = seen.get
     n, mean = corpus["n"], corpus["mean"] or 1.0
     df = postings.groupBy("term").agg(F.count("*").alias("df"))

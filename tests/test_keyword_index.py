@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,13 @@ def test_postings_are_not_shuffled(spark, tmp_path):
         spark.conf.set(coalesce, before)
     files = spark.read.parquet(f"{path}/postings/*").select("window", F.input_file_name().alias("file"))
     assert files.groupBy("window").agg(F.count_distinct("file").alias("n")).agg(F.max("n")).first()[0] == 1
+
+
+def test_a_documents_scores_are_summed_in_one_task(spark):
+    """Postings are dealt out by document once, before they are multiplied by the queries."""
+    docs = spark.createDataFrame([(i, f"w{i % 5} w{i % 3} common") for i in range(60)], "id bigint, text string")
+    queries = spark.createDataFrame([(q, f"common w{q}") for q in range(5)], "query_id int, query string")
+    found = retrieval.bm25(docs, queries, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan and not re.search(r"hashpartitioning\(query_id#\d+, id#", plan)
+    assert found.count() == 15
