@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut_lineage, drop_round, write_round
+from ..session import cut_lineage, drop_buckets, drop_round, write_buckets, write_round
+
+SMALL_FRONTIER = 100_000  # nodes that a round extends whatever their distance
 
 
 def _inner(links: DataFrame, starts: DataFrame) -> DataFrame:
@@ -41,9 +43,14 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
     Among paths of equal weight that with fewest links counts, then the least node before the end. Weights are not negative; edges without a weight,
     loops and all but the lightest of parallel edges do not matter. Chains count as one link while distances spread, and their inner
-    nodes get theirs afterwards, so the rounds are as many as a path has branching nodes. A round extends the nodes that got better in the
-    one before, is one written table, and the table before it goes."""
-    links = cut_lineage(edges.filter("src <> dst AND weight IS NOT NULL").groupBy(F.col("src").alias("node"), "dst").agg(F.min("weight").cast("double").alias("weight")))
+    nodes get theirs afterwards, so the rounds are as many as a path has branching nodes, or some more. The links are dealt out by node once and stay
+    where they are. A round extends the nodes that got nearer and were not extended since: all of them while they are few, else those within half a mean
+    weight of the nearest, as what lies behind will mostly get nearer still, so most links are followed once. It is one written table, and the table before it goes."""
+    spark = edges.sparkSession
+    # dealt out by node before they are grouped, so that grouping and bucketing share one shuffle
+    given = edges.filter("src <> dst AND weight IS NOT NULL").select(F.col("src").alias("node"), "dst", "weight")
+    dealt = given.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node")
+    links, kept = write_buckets(dealt.groupBy("node", "dst").agg(F.min("weight").cast("double").alias("weight")), "node")
     starts = sources.select(F.col("id").cast(links.schema["node"].dataType).alias("id")).filter("id IS NOT NULL").distinct()
     inner = _inner(links, starts)
     steps = links.select("node", "dst", F.col("weight").alias("_weight"), F.lit(1).cast("long").alias("_hops"), F.col("node").alias("previous"))
@@ -52,20 +59,28 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
         to_branch = steps.join(inner.withColumnRenamed("node", "dst"), "dst", "left_anti")
         through = to_branch.join(chains.select("node", "head", "weight", "hops"), "node").select(
             F.col("head").alias("node"), "dst", (F.col("weight") + F.col("_weight")).alias("_weight"), (F.col("hops") + 1).alias("_hops"), "previous")
-        steps = cut_lineage(to_branch.join(inner, "node", "left_anti").unionByName(through))
+        steps, branching = write_buckets(to_branch.join(inner, "node", "left_anti").unionByName(through), "node")
+        chains = cut_lineage(chains)
+        drop_buckets(spark, kept)
+        kept = branching
     kind = links.schema["node"].dataType
     best, path = write_round(starts.select(
         F.col("id").alias("source"), F.col("id").alias("node"),
         F.struct(F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("hops"), F.lit(None).cast(kind).alias("previous")).alias("way"), F.lit(True).alias("better")))
-    while not (frontier := best.filter("better")).isEmpty():
-        reached = frontier.join(steps, "node").select("source", F.col("dst").alias("node"), F.struct(
+    width = (steps.agg(F.avg("_weight")).first()[0] or 0.0) / 2
+    while (ahead := best.filter("better").agg(F.count("*").alias("n"), F.min("way.distance").alias("least")).first())["n"]:
+        near = F.lit(True) if ahead["n"] <= SMALL_FRONTIER else F.col("way.distance") <= ahead["least"] + width
+        reached = best.filter(F.col("better") & near).join(steps, "node").select("source", F.col("dst").alias("node"), F.struct(
             (F.col("way.distance") + F.col("_weight")).alias("distance"), (F.col("way.hops") + F.col("_hops")).alias("hops"), "previous").alias("_way"))
         shortest = reached.groupBy("source", "node").agg(F.min("_way").alias("_way"))
         better = F.col("_way").isNotNull() & (F.col("way").isNull() | (F.col("_way") < F.col("way")))
-        best, fresh = write_round(best.drop("better").join(shortest, ["source", "node"], "full").select(
-            "source", "node", F.when(better, F.col("_way")).otherwise(F.col("way")).alias("way"), better.alias("better")))
-        drop_round(best.sparkSession, path)
+        nearer = better & (F.col("way").isNull() | (F.struct("_way.distance", "_way.hops") < F.struct("way.distance", "way.hops")))  # another node before it changes nothing behind
+        waits = F.coalesce(F.col("better") & ~near, F.lit(False))
+        best, fresh = write_round(best.join(shortest, ["source", "node"], "full").select(
+            "source", "node", F.when(better, F.col("_way")).otherwise(F.col("way")).alias("way"), (nearer | waits).alias("better")))
+        drop_round(spark, path)
         path = fresh
+    drop_buckets(spark, kept)
     found = best.select("source", "node", "way.distance", "way.hops", "way.previous")
     if chains is None:
         return found

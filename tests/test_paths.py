@@ -41,6 +41,25 @@ def test_equals_dijkstra(spark, seed):
     assert len(got) == len(want)
 
 
+@pytest.mark.parametrize("small", [0, 5])
+def test_nearest_nodes_first(spark, monkeypatch, small):
+    """Rounds that extend only the nearest of many nodes, over links that are dealt out once and shuffled in no round."""
+    monkeypatch.setattr(paths, "SMALL_FRONTIER", small)
+    written, write = [], paths.write_round
+    monkeypatch.setattr(paths, "write_round", lambda df: written.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = random.Random(11)
+        edges = [(rng.randrange(60), rng.randrange(60), float(rng.randrange(0, 50))) for _ in range(400)] + [(i, i + 1, 1.0) for i in range(100, 110)] + [(7, 100, 0.0)]
+        got = paths.shortest_paths(frame(spark, edges), spark.createDataFrame([(0,), (3,)], "id long")).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {(s, node): way for s in (0, 3) for node, way in dijkstra(edges, s).items()}
+    assert {(r.source, r.node): (r.distance, r.hops, -1 if r.previous is None else r.previous) for r in got} == want
+    rounds = [p for p in written if "_weight" in p and "_way" in p]
+    assert len(rounds) > 3 and all("Bucketed: true" in p for p in rounds)
+
+
 def test_steps_follow_predecessors(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(30), rng.randrange(30), float(rng.randrange(1, 9))) for _ in range(70)]
