@@ -17,7 +17,7 @@ EARLY = 0.25
 #: Ids sent to every task, at most; more are joined by shuffles.
 SENT_IDS = 2_000_000
 #: Shingles and texts of one piece of a cell; a task holds two pieces.
-PIECE_SHINGLES, PIECE_TEXTS = 4_000_000, 1_000
+PIECE_SHINGLES, PIECE_TEXTS = 4_000_000, 500
 #: Allowed for rounding: in similarities, and in products of them and numbers of shingles.
 SLACK, COUNT_SLACK = 1e-9, 1e-6
 
@@ -103,7 +103,7 @@ def _candidates(sets: DataFrame, above: float) -> DataFrame:
     met = a.join(b, "h").filter((F.col("id_a") < F.col("id_b")) & enough).select("id_a", "id_b", order.alias("k"), F.get("least_a", order).alias("v")).distinct()
     texts = least.join(sets.select("id", F.size("s").alias("n")), "id").select("n", F.posexplode("least").alias("k", "v"))
     large = texts.groupBy("k", "v").agg(F.greatest(F.ceil(F.sum("n") / PIECE_SHINGLES), F.ceil(F.count("*") / PIECE_TEXTS)).alias("pieces")).filter("pieces > 1")
-    placed = met.join(large, ["k", "v"], "left")
+    placed = met.join(F.broadcast(large), ["k", "v"], "left")  # at most three rows for 500 texts or 4,000,000 shingles
     piece_a, piece_b = (F.coalesce(F.pmod(F.xxhash64(i), "pieces"), F.lit(0)) for i in ("id_a", "id_b"))
     cell = F.when(F.col("k") == 3, F.xxhash64("id_a", "id_b")).otherwise(F.xxhash64("k", "v", F.least(piece_a, piece_b), F.greatest(piece_a, piece_b)))
     return placed.select("id_a", "id_b", cell.alias("cell"))
