@@ -90,3 +90,21 @@ def test_corpus_ranks_write_no_similarity_edges(spark, monkeypatch):
     for name in ("similar_pairs", "similar_classes", "listed_pairs", "_cell_pairs"):
         monkeypatch.setattr(vector_search, name, None, raising=False)
     assert QUERIES["g5_pagerank_corpus"](spark, SF).count() == 20 and 0 < QUERIES["g5_ranked_by_kind"](spark, SF).count() <= 20
+
+
+def test_similarity_joins_list_every_pair(spark, tmp_path):
+    """A row per pair with its score, pairs of copies among them; rows that come twice meet twice, null vectors and equal ids never."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(5, 8))
+    table = [(i, (centres[i % 5] + 0.3 * rng.normal(size=8)).astype("float32").tolist(), i % 3) for i in range(60)]
+    table += [(60, table[4][1], 0), (61, None, 1), (7, table[7][1], 1)]
+    spark.createDataFrame(table, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    own = [(i, np.array(v, float)) for i, v, _ in table if v is not None]
+    moved = [(i + 1_000_000, np.concatenate([[v[0] + 0.05], v[1:]])) for i, v in own if i % 5 == 0]
+    copies = [(i + k, v) for i, v in own if i % 7 == 0 for k in (2_000_000, 3_000_000)]
+    for query, rows, above in (("j9_similar_pairs", own + moved + copies, 0.85), ("j9_similar_pairs_wide", own, 0.3), ("g3_similarity_edges", own, 0.35)):
+        scored = [(a, b, float(x @ y / np.linalg.norm(x) / np.linalg.norm(y))) for a, x in rows for b, y in rows if a < b]
+        want = sorted((a, b, round(s, 6)) for a, b, s in scored if round(s, 9) > above)
+        got = sorted((r.id_a, r.id_b, r.score) for r in QUERIES[query](spark, str(tmp_path)).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want], atol=1.1e-6), query
+        assert len(got) > 100, query
