@@ -72,6 +72,33 @@ def test_slices_give_the_same(spark, monkeypatch):
     assert {(r.doc_id, r.item_id, r.start) for r in dc.leaks(docs, bench).collect()} == {(i, i, 2) for i in range(0, 9, 2)}
 
 
+def test_items_of_the_same_words_are_searched_once_and_slices_in_turn(spark, monkeypatch):
+    """Copies of an item under other ids cost no seeds, and each slice ends before the next begins."""
+    text = " ".join(f"w{j}" for j in range(20))
+    bench = spark.createDataFrame([(i, text.title() if i % 2 else text) for i in range(9)] + [(50, text + " x"), (None, text)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "a b " + text), (2, "a b"), (None, text)], "doc_id bigint, text string")
+    monkeypatch.setattr(dc, "SLICE_SEEDS", 200)
+    written, write = [], dc.write_table
+    monkeypatch.setattr(dc, "write_table", lambda *a, **b: written.append(1) or write(*a, **b))
+    got = sorted((r.item_id is None, r.item_id or 0, r.doc_id is None, r.matched, r.start) for r in dc.leaks(docs, bench).collect())
+    assert not written and got == sorted((i is None, i or 0, d, 16, 0 if d else 2) for i in [*range(9), 50, None] for d in (False, True))
+    monkeypatch.setattr(dc, "SLICE_SEEDS", 100)
+    assert sorted((r.item_id is None, r.item_id or 0, r.doc_id is None, r.matched, r.start) for r in dc.leaks(docs, bench).collect()) == got and len(written) == 2
+
+
+def test_pieces_of_documents_give_the_same(spark, monkeypatch):
+    """Passages that lie across two pieces, at the ends of a text or in a text shorter than a piece."""
+    monkeypatch.setattr(dc, "PIECE", 7)
+    test_equals_brute_force(spark)
+
+
+def test_a_long_document_of_nothing_but_hits(spark):
+    """Hits carry the words around them alone; whole documents at each of 75,000 hits would be 18 GB."""
+    item = " ".join(f"w{j}" for j in range(30))
+    docs = spark.createDataFrame([(1, f"{item} " * 1000)], "doc_id bigint, text string")
+    assert [tuple(r) for r in dc.leaks(docs, spark.createDataFrame([(7, item)], "item_id bigint, text string")).collect()] == [(1, 7, 16, 16, 0)]
+
+
 def test_twin_and_operator_agree_on_short_items(spark):
     import duckdb
 
