@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import ceil, comb, floor
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..functions.matching import matching_ratio
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_round, write_round
 
 
 def _grams(text: Column) -> Column:
@@ -48,6 +49,8 @@ def _with_deletions(word: Column) -> Column:
 #: Spellings a name may have as join keys, and the length up to which they are tried.
 SPELLINGS, SPELT_LENGTH = 2000, 40
 NAMES_AT_ONCE = 500
+#: Matches of one first letter that a task decides in one pass, about 200 bytes each.
+EDGES_AT_ONCE = 1 << 20
 
 
 def _kept_lengths(ratio: float, longest: int) -> dict[int, list[int]]:
@@ -131,30 +134,44 @@ def one_edit_apart(names: DataFrame, column: str = "name") -> DataFrame:
     return a.join(b, "key").filter("a < b").select("a", "b").distinct().filter(F.levenshtein(F.lower("a"), F.lower("b")) <= 1)
 
 
+def _members(edges: DataFrame) -> DataFrame:
+    """Names (name) that join an earlier one, from all matches (a < b)."""
+    spark, path, found = edges.sparkSession, None, []
+    left = edges.select("a", "b", F.substring(F.lower("a"), 1, 1).alias("block"))
+    while (left.groupBy("block").count().agg(F.max("count")).first()[0] or 0) > EDGES_AT_ONCE:  # every round settles the matches of the first name at least
+        waiting = left.select(F.col("b").alias("a")).distinct()
+        joined = cut_lineage(left.join(waiting, "a", "left_anti").select(F.col("b").alias("name")).distinct())
+        found.append(joined)
+        rest, written = write_round(left.join(joined.select(F.col("name").alias("b")), "b", "left_anti").join(
+            joined.select(F.col("name").alias("a")), "a", "left_anti").select("a", "b", "block"))
+        if path:
+            drop_round(spark, path)
+        left, path = rest, written
+
+    def decide(matches: pd.DataFrame) -> pd.DataFrame:
+        joined: set[str] = set()
+        for a, b in matches.sort_values("b")[["a", "b"]].itertuples(index=False, name=None):
+            if a not in joined:  # all matches that lead to a came before
+                joined.add(b)
+        return pd.DataFrame({"name": list(joined)}, dtype=object)
+
+    found.append(left.groupBy("block").applyInPandas(decide, "name string"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def merge_entities(names: DataFrame, ratio: float = V.ENTITY_RATIO, column: str = "name") -> DataFrame:
     """Greedy clusters in sorted order (name, leader, winner): a name joins the first earlier leader it
     resembles, else it leads. The winner is the longest name of the cluster.
 
-    The order is resolved in rounds over the match edges: a name is decided once all its earlier
-    matches are, so each round settles all names whose predecessors are settled."""
+    A name joins one exactly if some earlier match of it does not itself join one. Matches have equal first letters, so each letter is decided on its own: in one
+    pass of a task over the matches in order where they are at most ``EDGES_AT_ONCE``. Before that, rounds thin them out while a letter has more: names that no
+    match leads to any more are leaders, their matches join, and all matches of these are dropped."""
     plain = names.select(F.col(column).alias("name")).filter(F.length("name") > 0).distinct()
     edges = cut_lineage(similar_names(names, ratio, column).select("a", "b"))
-    later = edges.select(F.col("b").alias("name")).distinct().withColumn("_later", F.lit(True))
-    state = plain.join(later, "name", "left").select("name", F.when(F.col("_later"), "open").otherwise("leader").alias("status"))
-    state = cut_lineage(state)
-    while True:  # every round settles a name at least: that with the earliest open predecessors
-        if state.filter("status = 'open'").isEmpty():
-            break
-        before = edges.join(state.select(F.col("name").alias("a"), "status"), "a").groupBy(F.col("b").alias("name")).agg(
-            F.bool_or(F.col("status") == "leader").alias("_led"), F.bool_or(F.col("status") == "open").alias("_waits"))
-        decided = F.when(F.col("_led"), "member").when(F.col("_waits"), "open").otherwise("leader")
-        state = cut_lineage(state.join(before, "name", "left").select(
-            "name", F.when(F.col("status") == "open", decided).otherwise(F.col("status")).alias("status")))
-    leaders = state.filter("status = 'leader'").select("name")
-    members = state.filter("status = 'member'").select("name")
-    first = (edges.join(leaders.select(F.col("name").alias("a")), "a", "left_semi").join(members.select(F.col("name").alias("b")), "b", "left_semi")
-             .groupBy("b").agg(F.min("a").alias("leader")).withColumnRenamed("b", "name"))
-    clusters = leaders.select("name", F.col("name").alias("leader")).unionByName(first)
+    members = cut_lineage(_members(edges))
+    led = edges.join(members.select(F.col("name").alias("a")), "a", "left_anti").join(members.select(F.col("name").alias("b")), "b", "left_semi")
+    first = led.groupBy("b").agg(F.min("a").alias("leader")).withColumnRenamed("b", "name")
+    clusters = plain.join(members, "name", "left_anti").select("name", F.col("name").alias("leader")).unionByName(first)
     winners = clusters.groupBy("leader").agg(
         F.min(F.struct(-F.length("name"), "name")).alias("_w"), F.count("*").alias("cluster_size"))
     return clusters.join(winners.select("leader", F.col("_w.name").alias("winner"), "cluster_size"), "leader")

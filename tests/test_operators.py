@@ -219,6 +219,27 @@ def test_fuzzy_names_and_merge_match_brute_force(spark):
     assert {r.name: r.leader for r in entities.merge_entities(df).collect()} == leader
 
 
+@pytest.mark.parametrize("at_once", [1 << 20, 40, 1])
+def test_merging_needs_no_round_per_step_of_a_chain(spark, monkeypatch, at_once):
+    """Chains of matches are followed in one pass a letter; rounds only thin out letters with many matches."""
+    rng = random.Random(2)
+    names = [f"{letter}{i:03d}" for letter in "aéZ" for i in range(70)]
+    chain = {(a, b) for a, b in zip(names, names[1:]) if a[0] == b[0]}
+    edges = sorted(chain | {tuple(sorted(rng.sample([n for n in names if n[0] == "Z"], 2))) for _ in range(30)})
+    monkeypatch.setattr(entities, "similar_names", lambda *_: spark.createDataFrame(edges, "a string, b string"))
+    monkeypatch.setattr(entities, "EDGES_AT_ONCE", at_once)
+    written, cut = [], entities.cut_lineage
+    monkeypatch.setattr(entities, "cut_lineage", lambda df: written.append(1) or cut(df))
+    leaders, want = set(), {}
+    for n in sorted(names):
+        led = [a for a, b in edges if b == n and a in leaders]
+        want[n] = min(led, default=n)
+        leaders |= set() if led else {n}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert {r.name: r.leader for r in entities.merge_entities(df).collect()} == want
+    assert len(written) == 2 or at_once < 1000
+
+
 def test_names_around_the_length_of_spellings(spark):
     """Names of common pieces, all with one first letter, on both sides of the length up to which they meet under spellings; a name has few of these."""
     from math import comb
